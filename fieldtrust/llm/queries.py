@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm import bpe, chat, embeddings, langid, minhash, ogg, secrets, substring, urls
+from fieldtrust.llm import bpe, chat, embeddings, langid, minhash, ogg, packing, secrets, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link(table(spark, sf_dir, "embeddings"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_digest(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -67,7 +71,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embeddings, op3_bpe, op4_minhash, op5_urls, op6_chat, op7_ogg, op8_secrets, op9_langid, op10_substring)}
+QUERIES = {f.__name__: f for f in (op1_embeddings, op2_packing, op3_bpe, op4_minhash, op5_urls, op6_chat, op7_ogg, op8_secrets, op9_langid, op10_substring)}
 
 ORACLES = {
     "op5_urls": r"""
