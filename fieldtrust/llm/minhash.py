@@ -9,12 +9,11 @@ bucket keys.
 
 Documents with equal sets form a class with one representative; only those
 enter buckets. In each bucket every member is paired with the hub, the member
-that shares most buckets with others, never with all members. Pairs are
-confirmed on the full sets. Then, round after round, buckets whose members are
-still in different components get the next hub and pair it with the members
-outside its component, until each such bucket has had every member as its hub:
-all pairs that could still join two components are tested, and the pair count
-follows the members, not their squares, wherever buckets do hold copies.
+that shares most buckets with others, never with all members; pairs are
+confirmed on the full sets. Links between members that are no hubs are found
+family by family: ids that the stars left outside their family's largest
+component are compared with all ids of the family, in blocks of ``BLOCK`` rows
+as matrix products, which emit pairs of components only.
 
 Edge cases: null or blank text has an empty set and is linked with nothing;
 fewer words than a shingle make one shingle; repeated rows and equal sets are
@@ -28,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.llm.common import LOWER, RunHash, blocks, components, cut, mix, text_buffer, word_hashes, words
 
 #: 48 bands of 6 bins: a pair at similarity 0.8 shares no bucket once in 2 million.
 BANDS, ROWS = 48, 6
+#: Rows of a block in the comparison inside families, and columns at a time.
+BLOCK, SLICE = 512, 4096
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -151,33 +152,78 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("src", "dst", "x", "y").mapInArrow(run, f"src {kind}, dst {kind}")
 
 
+def cross_links(strays: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): pairs of labels between which some link exists. ``strays``
+    and ``members`` are (family, id, label, block, blocks of the other side,
+    shingles); blocks of rows meet pairwise, and a task counts common shingles
+    of two blocks as a product of 0/1 matrices, a slice of columns at a time."""
+    kind = members.schema["label"].dataType.simpleString()
+
+    def places(lists: pa.ListArray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        at = np.minimum(np.searchsorted(wanted, flat), len(wanted) - 1)
+        ok = wanted[at] == flat
+        return row[ok], at[ok]
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        left = table["left"].to_numpy()
+        x, y = table.filter(pa.array(left)), table.filter(pa.array(~left))
+        src, dst = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(x) and len(y):
+            xs, ys = x["shingles"].combine_chunks(), y["shingles"].combine_chunks()
+            shared = np.intersect1d(xs.flatten().to_numpy(), ys.flatten().to_numpy())
+            common = np.zeros((len(x), len(y)), np.float32)
+            if len(shared):
+                (xr, xc), (yr, yc) = places(xs, shared), places(ys, shared)
+                for lo in range(0, len(shared), SLICE):
+                    a, b = np.zeros((len(x), SLICE), np.float32), np.zeros((len(y), SLICE), np.float32)
+                    i, j = (xc >= lo) & (xc < lo + SLICE), (yc >= lo) & (yc < lo + SLICE)
+                    a[xr[i], xc[i] - lo] = 1
+                    b[yr[j], yc[j] - lo] = 1
+                    common += a @ b.T
+            n = xs.value_lengths().to_numpy()[:, None] + ys.value_lengths().to_numpy()[None, :]
+            linked = 100 * common.astype(np.int64) >= percent * (n - common.astype(np.int64))
+            xl, yl = x["label"].to_pandas().to_numpy(), y["label"].to_pandas().to_numpy()
+            i, j = np.nonzero(linked & (xl[:, None] != yl[None, :]))
+            pairs = sorted(set(zip(np.minimum(xl[i], yl[j]).tolist(), np.maximum(xl[i], yl[j]).tolist(), strict=True)))
+            src, dst = [p[0] for p in pairs], [p[1] for p in pairs]
+        out = table.schema.field("label").type
+        return pa.table([pa.array(src, out), pa.array(dst, out)], ["src", "dst"])
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = strays.select("family", F.col("block").alias("i"), every("others").alias("j"), "label", "shingles", F.lit(True).alias("left"))
+    y = members.select("family", every("others").alias("i"), F.col("block").alias("j"), "label", "shingles", F.lit(False).alias("left"))
+    return x.unionAll(y).groupBy("family", "i", "j").applyInArrow(compare, f"src {kind}, dst {kind}")
+
+
 def link_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, component_id) of the ids in buckets; ``members`` is (bucket, id, pop)."""
+    """(id, component_id) of the ids in buckets; ``members`` is (bucket, id, pop).
+
+    Stars give most links. What they may miss are links between two members
+    neither of which is a hub: so within each family (ids that stars connect,
+    confirmed or not) the ids outside the largest component are compared with
+    all ids of the family, and components between which a link turns up merge.
+    """
     pair = F.least("hub", "id").alias("src"), F.greatest("hub", "id").alias("dst")
-    hubs = members.groupBy("bucket").agg(F.max(F.struct("pop", (-F.col("id")).alias("n"), "id"))["id"].alias("hub"))
+    hubs = members.groupBy("bucket").agg(F.max(F.struct("pop", "id"))["id"].alias("hub"))
     tested = cut(members.join(hubs, "bucket").where("hub <> id").select(*pair).distinct(), "pairs")
     links = cut(confirmed(tested, sets, percent), "links")
     ids = cut(members.select("id").distinct(), "ids")
-    hubs_each = 4
-    while True:
-        labels = cut(components(ids, links), "labels")
-        placed = members.join(labels, "id")
-        groups = placed.groupBy("bucket", "component_id").count()
-        largest = groups.groupBy("bucket").agg(F.max(F.struct("count", "component_id"))["component_id"].alias("largest"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        active = cut(placed.join(largest.select("bucket", "largest"), "bucket"), "active")
-        strays = active.where("component_id <> largest")
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), "id"))
-        hubs = strays.withColumn("turn", order)
-        chosen = hubs.where(F.col("turn") <= hubs_each).select("bucket", F.col("id").alias("hub"), F.col("component_id").alias("hub_component"))
-        fresh = active.join(chosen, "bucket").where("component_id <> hub_component").select(*pair).distinct()
-        fresh = cut(fresh.join(tested, ["src", "dst"], "left_anti"), "pairs")
-        last = hubs.where(F.col("turn") > hubs_each).isEmpty()
-        if last and fresh.isEmpty():
-            return labels
-        links = cut(links.unionAll(confirmed(fresh, sets, percent)), "links")
-        if last:
-            return components(ids, links)
-        tested, hubs_each = tested.unionAll(fresh), hubs_each * 4
+    labels = components(ids, links).withColumnRenamed("component_id", "label")
+    families = components(ids, tested).withColumnRenamed("component_id", "family")
+    placed = cut(labels.join(families, "id"), "families")
+    groups = placed.groupBy("family", "label").count()
+    mixed = groups.groupBy("family").agg(F.max(F.struct("count", "label"))["label"].alias("largest"), F.max("count").alias("most"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    mixed = cut(mixed.select("family", "largest", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("xs"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ys")), "mixed")
+    active = cut(placed.join(mixed, "family").join(sets, "id"), "active")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias("block")
+    strays = active.where("label <> largest").select("family", "id", "label", block("xs"), F.col("ys").alias("others"), "shingles")
+    others = active.select("family", "id", "label", block("ys"), F.col("xs").alias("others"), "shingles")
+    merged = cut(cross_links(strays, others, percent).distinct(), "merged")
+    named = components(placed.select(F.col("label").alias("id")).distinct(), merged).withColumnRenamed("id", "label")
+    return placed.join(named, "label").select("id", "component_id")
 
 
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
