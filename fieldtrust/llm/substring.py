@@ -139,17 +139,19 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", k: in
     that also start earlier. Keys must be unique here."""
     rows = paths(documents, key, text, k, m)
     shared = rows.groupBy("mini").agg(F.count(F.lit(1)).alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
-    found = cut(rows.join(shared.select("mini", (F.col("lo") != F.col("hi")).alias("branches")), "mini"), "paths")
+    # written first, so that the join's sides are plain shuffles, which Spark can split where a minimiser is frequent
+    shared = cut(shared.select("mini", (F.col("lo") != F.col("hi")).alias("branches")), "shared")
+    found = cut(rows.join(shared, "mini"), "paths")
     source = F.struct(key, "start")
     classes = found.groupBy("mini", "content").agg(F.min(source).alias("source"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"), F.first("branches").alias("branches"))
     branching = classes.where("branches").select(f"source.{key}", F.struct("mini", "content", "source.start", "n").alias("p"))
     chosen = branching.groupBy(key).agg(F.collect_list("p").alias("paths"))
     windows = cut(opened(documents, chosen, key, text, k), "windows")
     earliest = windows.groupBy("window").agg(F.min(F.struct(key, "pos")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    later = windows.join(earliest.select("window", "first"), "window").where(F.struct(key, "pos") != F.col("first"))
+    later = windows.join(cut(earliest.select("window", "first"), "earliest"), "window").where(F.struct(key, "pos") != F.col("first"))
     # what the joins find: single windows of representatives, and whole paths that repeat an earlier one
     single = later.select(key, F.struct(F.col("pos").alias("start"), (F.col("pos") + k).alias("stop")).alias("span"))
-    repeated = classes.where("c > 1").select("mini", "content", "source")
+    repeated = cut(classes.where("c > 1").select("mini", "content", "source"), "repeated")
     whole = found.join(repeated, ["mini", "content"]).where(source != F.col("source"))
     whole = whole.select(key, F.struct("start", (F.col("start") + F.col("n") + (k - 1)).alias("stop")).alias("span"))
     return cut(single.unionAll(whole).groupBy(key).agg(F.array_sort(F.collect_list("span")).alias("spans")), "spans")
