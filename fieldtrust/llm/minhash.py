@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import LOWER, RunHash, blocks, components, cut, mix, text_buffer, word_hashes, words
+from fieldtrust.llm.common import LOWER, RunHash, blocks, components, cut, fresh, mix, text_buffer, word_hashes, words
 
 #: 48 bands of 6 bins: a pair at similarity 0.8 shares no bucket once in 2 million.
 BANDS, ROWS = 48, 6
@@ -247,5 +247,6 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``documents`` with one row of each group of near copies: the smallest key."""
-    kept = classes(documents, key, text, **settings).where("kept").select(key).distinct()
-    return documents.join(kept.withColumnRenamed(key, "key_"), F.col(key).eqNullSafe(F.col("key_")), "left_semi").dropDuplicates([key])
+    other = fresh(documents, "kept_key")
+    kept = classes(documents, key, text, **settings).where("kept").select(F.col(key).alias(other)).distinct()
+    return documents.join(kept, F.col(key).eqNullSafe(F.col(other)), "left_semi").dropDuplicates([key])

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldtrust.llm.common import fresh
+
 #: The base patterns, in the order of their kinds, and the least
 #: length of what is measured (the value, the match, the match).
 KINDS = {
@@ -109,11 +111,11 @@ def entropy_spans(text: Column, base: Column) -> Column:
     return F.filter(hot, lambda s: ~inside(s))
 
 
-def scan(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with ``base`` and ``spans`` columns."""
+def scan(documents: DataFrame, text: str = "text", base: str = "base", spans: str = "spans") -> DataFrame:
+    """``documents`` with the two span columns."""
     body = F.coalesce(F.col(text), F.lit(""))
-    based = documents.withColumn("base", base_spans(body))
-    return based.withColumn("spans", F.array_sort(F.concat("base", entropy_spans(body, F.col("base")))))
+    based = documents.withColumn(base, base_spans(body))
+    return based.withColumn(spans, F.array_sort(F.concat(base, entropy_spans(body, F.col(base)))))
 
 
 def listed(spans: str | Column) -> Column:
@@ -129,6 +131,7 @@ def scan_digest(documents: DataFrame, key: str = "doc_id", text: str = "text") -
 def redact(documents: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with every span, overlapping ones as one, replaced by ``mark``."""
     columns = documents.columns
+    base, spans = fresh(documents, "base"), fresh(documents, "spans")
     body = F.col(text)
 
     def step(acc: Column, s: Column) -> Column:
@@ -137,5 +140,5 @@ def redact(documents: DataFrame, text: str = "text", mark: str = "[SECRET]") ->
         piece = F.concat(acc["out"], F.when(ahead, F.concat(body.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))).otherwise(F.lit("")))
         return F.struct(piece.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    clean = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.char_length(body))))
-    return scan(documents, text).withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(body)).select(columns)
+    clean = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.char_length(body))))
+    return scan(documents, text, base, spans).withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(body)).select(columns)

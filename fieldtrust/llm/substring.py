@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import RunHash, blocks, cut, powers, text_buffer, word_hashes, words
+from fieldtrust.llm.common import RunHash, blocks, cut, fresh, text_buffer, word_hashes, words
 
 #: Words of a window, and of the runs whose smallest hash joins windows.
 K, M = 20, 6
@@ -165,12 +165,12 @@ def kept_words(spans: list, n: int) -> np.ndarray:
     return np.cumsum(keep)[:n] == 0
 
 
-def _keyed(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+def _keyed(documents: DataFrame, key: str, text: str, named: str) -> tuple[DataFrame, str]:
     """``documents`` and the column that tells them apart: the key itself or,
     where keys are null or repeat, the key with a hash of the text."""
     if documents.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).isEmpty():
         return documents, key
-    return documents.withColumn("doc_", F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h"))), "doc_"
+    return documents.withColumn(named, F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h"))), named
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, m: int = M) -> DataFrame:
@@ -187,14 +187,15 @@ def dedup_digest(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def _apply(documents: DataFrame, key: str, text: str, k: int, m: int, digest: bool) -> DataFrame:
     keep = [key] if digest else documents.columns
-    documents, unique = _keyed(documents, key, text)
+    held, other, named = fresh(documents, "spans"), fresh(documents, "repeat_key"), fresh(documents, "doc")
+    documents, unique = _keyed(documents, key, text, named)
     spans = repeats(documents, unique, text, k, m)
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text):
             n_words, n_removed, out = [], [], []
-            column, lists = b.column(text).cast(pa.binary()).to_pylist(), b.column("spans_")
+            column, lists = b.column(text).cast(pa.binary()).to_pylist(), b.column(held)
             valid = lists.is_valid().to_pylist()
             for i, data in enumerate(column):
                 parts = (data or b"").split()
@@ -215,5 +216,5 @@ def _apply(documents: DataFrame, key: str, text: str, k: int, m: int, digest: bo
 
     kinds = {c: kinds[c] for c in keep} | {"n_words": "bigint", "n_removed": "bigint"} | ({"kept_sha256": "string"} if digest else {})
     need = documents.select(*dict.fromkeys([*keep, text, unique]))
-    joined = need.join(spans.select(F.col(unique).alias("key_"), F.col("spans").alias("spans_")), F.col(unique) == F.col("key_"), "left").drop("key_")
+    joined = need.join(spans.select(F.col(unique).alias(other), F.col("spans").alias(held)), F.col(unique) == F.col(other), "left").drop(other)
     return joined.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()))
