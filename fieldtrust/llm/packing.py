@@ -23,9 +23,11 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,7 @@ from fieldtrust.llm.common import LOWER, blocks, text_buffer, word_hashes, words
 WINDOW, END_ID = 2048, 1
 SHARD_BYTES = 4 << 20
 SLOTS = 1 << 18
+ROWS32 = (1 << 32) // SLOTS
 #: BM25's parameters, and how many of a seed's rarest terms form its query.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
 
@@ -82,27 +85,33 @@ def term_slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def corpus_statistics(documents: DataFrame, text: str) -> tuple[np.ndarray, int, float]:
-    """Document frequency of each slot, number of documents, words in a document."""
+def corpus_statistics(documents: DataFrame, text: str) -> tuple[np.ndarray, int, float, int]:
+    """Document frequency of each slot, number of documents, mean of their
+    words, bytes of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs, total = np.zeros(SLOTS, np.int64), 0, 0
+        counts, docs, total, size = np.zeros(SLOTS, np.int64), 0, 0, 0
         for b in blocks(batches, text):
             values, offsets = text_buffer(b.column(text))
             s, e, first = words(values, offsets)
-            row = np.repeat(np.arange(b.num_rows), np.diff(first))
-            pairs = np.unique(row * SLOTS + term_slots(word_hashes(LOWER[values], s, e)))
-            counts += np.bincount(pairs % SLOTS, minlength=SLOTS)
-            docs, total = docs + b.num_rows, total + len(s)
+            slots = term_slots(word_hashes(LOWER[values], s, e))
+            for lo in range(0, b.num_rows, ROWS32):  # so many rows that row and slot fit in 32 bits
+                hi = min(b.num_rows, lo + ROWS32)
+                row = np.repeat(np.arange(hi - lo, dtype=np.uint32), np.diff(first[lo : hi + 1]))
+                pairs = np.sort(row * np.uint32(SLOTS) + slots[first[lo] : first[hi]].astype(np.uint32))
+                new = np.ones(len(pairs), bool)
+                new[1:] = pairs[1:] != pairs[:-1]
+                counts += np.bincount(pairs[new] % np.uint32(SLOTS), minlength=SLOTS)
+            docs, total, size = docs + b.num_rows, total + len(s), size + len(values)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]]).astype(np.int32)), pa.array(np.concatenate([counts[at], [docs, total]]))], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2, -3]]).astype(np.int32)), pa.array(np.concatenate([counts[at], [docs, total, size]]))], ["slot", "n"])
 
     sums = documents.select(text).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    slots, n = sums["slot"].to_numpy(), sums["n"].to_numpy()  # at most SLOTS + 2 rows
-    frequency = np.zeros(SLOTS + 2, np.int64)
-    frequency[slots] = n  # -1 and -2 are the last two places
-    docs, total = int(frequency[-1]), int(frequency[-2])
-    return frequency[:SLOTS], docs, total / max(1, docs)
+    slots, n = sums["slot"].to_numpy(), sums["n"].to_numpy()  # at most SLOTS + 3 rows
+    frequency = np.zeros(SLOTS + 3, np.int64)
+    frequency[slots] = n  # the negative ones are the last places
+    docs, total, size = map(int, frequency[[-1, -2, -3]])
+    return frequency[:SLOTS], docs, total / max(1, docs), size
 
 
 class Index:
@@ -114,8 +123,10 @@ class Index:
         self.n = len(offsets) - 1
         hashes = word_hashes(LOWER[values], s, e)
         row = np.repeat(np.arange(self.n), np.diff(first))
-        terms, which = np.unique(hashes, return_inverse=True)
-        pairs, tf = np.unique(which * max(1, self.n) + row, return_counts=True)
+        which, terms = pd.factorize(hashes)  # a term's number: its first place
+        pairs = np.sort(which * max(1, self.n) + row)
+        new = np.flatnonzero(np.diff(pairs, prepend=-1))
+        tf, pairs = np.diff(np.append(new, len(pairs))), pairs[new]
         term, self.doc = np.divmod(pairs, max(1, self.n))
         self.start = np.searchsorted(term, np.arange(len(terms) + 1))
         df = frequency[term_slots(terms)]
@@ -124,9 +135,12 @@ class Index:
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
         # of each document, the rarest terms that some other document has too
         shared = np.flatnonzero(np.diff(self.start)[term] > 1) if len(term) else np.zeros(0, np.int64)
-        by_doc = shared[np.lexsort((term[shared], -idf[term[shared]], self.doc[shared]))]
-        ends = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
-        self.query = [term[by_doc[a : min(b, a + QUERY_TERMS)]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        rarity = np.argsort(-idf, kind="stable")
+        place = np.empty(len(terms), np.int64)
+        place[rarity] = np.arange(len(terms))
+        by_doc = np.sort(self.doc[shared] * max(1, len(terms)) + place[term[shared]])
+        ends = np.searchsorted(by_doc, np.arange(self.n + 1) * max(1, len(terms)))
+        self.query = [rarity[by_doc[a : min(b, a + QUERY_TERMS)] % len(terms)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents with a term of the seed's query, best first."""
@@ -184,8 +198,7 @@ def plan(sizes: np.ndarray, index: Index, window: int) -> list[tuple[int, int, i
 
 def _packed(documents: DataFrame, tokenizer: str, window: int, end_id: int, key: str, text: str, fields: list[str], values) -> DataFrame:
     slim = documents.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    frequency, docs, mean = corpus_statistics(slim, "text")
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    frequency, docs, mean, size = corpus_statistics(slim, "text")
     shards = max(1, -(-size // SHARD_BYTES))
     statistics = documents.sparkSession.sparkContext.broadcast(frequency)  # SLOTS counts
     kind = documents.schema[key].dataType.simpleString()
@@ -194,7 +207,7 @@ def _packed(documents: DataFrame, tokenizer: str, window: int, end_id: int, key:
         table = table.combine_chunks().sort_by([("key", "ascending")])
         shard, encode = table["shard"][0].as_py(), tokens(tokenizer)
         column = table["text"].combine_chunks()
-        ids = [np.array([*encode(t), end_id], np.uint32) for t in column.to_pylist()]
+        ids = [np.frombuffer(array("I", encode(t) + [end_id]), np.uint32) for t in column.to_pylist()]
         sizes = np.array(list(map(len, ids)), np.int64)
         pieces = plan(sizes, Index(column, statistics.value, docs, mean), window)
         d, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
