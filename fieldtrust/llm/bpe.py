@@ -30,7 +30,7 @@ from fieldtrust.llm.common import blocks
 #: The byte-level pre-tokeniser's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct chunks and words that a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 NEVER = 1 << 60
 #: A space before other white space or the end: not every space is a cut.
 SIMPLE = re.compile(r" (?:\s|$)")

@@ -52,7 +52,7 @@ def fresh(df: DataFrame, name: str) -> str:
 # ---------------------------------------------------------------- arrow
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``max_bytes``; a
     single longer text stays whole."""
     for batch in batches:
@@ -99,14 +99,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and its inverse modulo 2**64 for i up to n."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
+        size = (n + 1 + 0xFFFF) & ~0xFFFF
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = out[0], out[1]
-        if size <= 1 << 23:  # a single giant text doesn't stay in memory
+        if size <= 1 << 22:  # a single giant text doesn't stay in memory
             _powers[base] = have
     return have
 

@@ -33,7 +33,7 @@ from fieldtrust.llm.common import blocks
 #: Bounds of the labelled sample: rows over all languages, and words.
 MAX_ROWS, MAX_WORDS = 600, 150_000
 #: Words that a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -161,7 +161,7 @@ def fit(rows: list[tuple[str, str]], steps: int = 30, stretch: int = 25, seed: i
 class Predictor:
     def __init__(self, model: Model):
         self.model, self.rows = model, {}
-        self.scores = np.zeros((0, len(model.labels)))
+        self.scores = np.zeros((0, len(model.labels)), np.float32)
         self.letters = np.zeros(0)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -177,7 +177,7 @@ class Predictor:
             new.update(d)
         if new := [w for w in new if w not in self.rows]:
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, model.emissions(new)])
+            self.scores = np.concatenate([self.scores, model.emissions(new).astype(np.float32)])
             self.letters = np.concatenate([self.letters, [any(map(str.isalpha, w)) for w in new]])
         ids = np.fromiter((i for d in docs for i in map(self.rows.__getitem__, d)), np.int64, lengths.sum())
         full = lengths > 0
