@@ -70,31 +70,32 @@ def base_spans(text: Column) -> Column:
 
 def hot_range(hit: Column) -> Column:
     """struct<first, last>: starts of the first and last window of a candidate
-    whose entropy reaches its class's bound, -1 if none does."""
-    chars = F.regexp_extract_all(hit, F.lit("."), F.lit(0))
-    size = F.char_length(hit)
+    whose entropy reaches its class's bound, -1 if none does. One fold over the
+    characters that carries the window, so time is linear in the length."""
     bits = F.when(hit.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS))
     # entropy = log2(w) - sum(c * log2 c) / w: the sum is what changes by counts
     most = (F.log2(F.lit(float(WINDOW))) - bits) * WINDOW + 1e-9
     clog = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    count = lambda at, n, c: F.size(F.filter(F.slice(chars, at, n), lambda x: x == c))
+    count = lambda window, c: F.char_length(window) - F.char_length(F.replace(window, c, F.lit("")))
 
-    def step(acc: Column, i: Column) -> Column:
-        # window i holds chars i .. i+WINDOW-1 (from 1); acc is that of window i-1
-        gone, come = F.element_at(chars, F.greatest(i - 1, F.lit(1))), F.element_at(chars, i + WINDOW - 1)
-        out, into = count(F.greatest(i - 1, F.lit(1)), F.lit(WINDOW), gone), count(i, F.lit(WINDOW - 1), come)
-        total = F.when(i == 1, acc["sum"]).otherwise(acc["sum"] - clog(out) + clog(out - 1) - clog(into) + clog(into + 1))
+    def state(at: Column, total: Column, window: Column, first: Column, last: Column, most: Column) -> Column:
         hot = total <= most
         return F.struct(
-            total.alias("sum"),
-            F.when(hot & (acc["first"] < 0), i - 1).otherwise(acc["first"]).alias("first"),
-            F.when(hot, i - 1).otherwise(acc["last"]).alias("last"),
+            at.alias("at"), total.alias("sum"), window.alias("window"), F.when(hot & (first < 0), at).otherwise(first).alias("first"), F.when(hot, at).otherwise(last).alias("last"), most.alias("most")
         )
 
-    head = F.slice(chars, 1, WINDOW)
-    start = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda acc, c: acc + clog(F.size(F.filter(head, lambda x: x == c))))
-    zero = F.struct(start.alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), size - (WINDOW - 1)), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    def step(acc: Column, come: Column) -> Column:
+        gone, rest = F.substring(acc["window"], 1, 1), F.substring(acc["window"], 2, WINDOW)
+        out, into = count(acc["window"], gone), count(rest, come)
+        total = acc["sum"] - clog(out) + clog(out - 1) - clog(into) + clog(into + 1)
+        return state(acc["at"] + 1, total, F.concat(rest, come), acc["first"], acc["last"], acc["most"])
+
+    head = F.substring(hit, 1, WINDOW)
+    letters = F.array_distinct(F.regexp_extract_all(head, F.lit("."), F.lit(0)))
+    start = F.aggregate(letters, F.lit(0.0), lambda acc, c: acc + clog(count(head, c)))
+    zero = state(F.lit(0), start, head, F.lit(-1), F.lit(-1), most)
+    following = F.regexp_extract_all(F.substring(hit, F.lit(WINDOW + 1), F.char_length(hit)), F.lit("."), F.lit(0))
+    return F.aggregate(following, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
