@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrust.functions.paths import flatten_json
 from fieldtrust.functions.text import slug
+from fieldtrust.sources.datasets import ocr_lines
 from fieldtrust.sources.ingest import lines
 
 #: Label words that mark an identifier.
@@ -116,7 +119,52 @@ def infer_schema(documents: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-REGISTRY = {"text_search": text_search, "replay": replay, "canned": canned_map}
+def ocr_search(tokens: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Label search over OCR tokens (doc_id, page, text, score, bbox) in
+    reading order; token_prob is the mean score of the value's words, each by
+    its first token on the document, null for words without one."""
+    placed = ocr_lines(tokens)
+    line = placed.groupBy("doc_id", "page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), " ").alias("content"))
+    body = line.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "content"))), lambda x: x["content"]), "\n").alias("text"))
+    found = text_search(body, leaves)
+    first = placed.groupBy("doc_id", F.lower("text").alias("word")).agg(F.min_by("score", F.struct("page", "pos")).alias("score"))
+    parts = found.select("doc_id", "path", F.explode(F.split(F.lower("value"), " ")).alias("word")).join(first, ["doc_id", "word"])
+    p = F.least(F.lit(1.0), F.greatest(F.lit(1e-6), "score"))
+    return found.join(parts.groupBy("doc_id", "path").agg(F.exp(F.avg(F.log(p))).alias("token_prob")), ["doc_id", "path"], "left")
+
+
+def prompt(schema: dict[str, Any]) -> str:
+    """Instruction for a model client; the document's text follows it."""
+    return "Return one JSON object of this schema, each leaf as {value, confidence}.\n" + json.dumps(schema) + "\n\nDocument:\n"
+
+
+def model_extractor(schema: dict[str, Any], client: Callable[[list[str], float], list[str]], runs: int = 1) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """An extractor around ``client(prompts, temperature) -> replies``, called
+    with Arrow batches of documents on the executors. One run is drawn at
+    temperature 0, several at 0.7. Unreadable replies give no predictions."""
+    if runs < 1:
+        raise ValueError("runs must be at least 1")
+    head = prompt(schema)
+
+    def extract(documents: DataFrame, leaves: DataFrame) -> DataFrame:
+        @F.pandas_udf("array<string>")
+        def ask(texts: pd.Series) -> pd.Series:
+            asked = [head + (t or "") for t in texts]
+            drawn = [client(asked, 0.0 if runs == 1 else 0.7) for _ in range(runs)]
+            return pd.Series([list(r) for r in zip(*drawn, strict=True)])
+
+        replies = documents.select("doc_id", F.posexplode(ask("text")).alias("run", "reply"))
+        # a run is a document of its own while its reply is parsed
+        keyed = replies.select(F.struct("doc_id", "run").alias("doc_id"), "reply")
+        parsed = parse_model_json(keyed).select("doc_id.doc_id", "doc_id.run", "path", "value", "verbalized")
+        order = leaves.select(F.col("path").alias("leaf"), "ord")
+        joined = parsed.join(F.broadcast(order), F.regexp_replace("path", r"\[\d+\]", "[]") == F.col("leaf"), "left").drop("leaf")  # a schema's leaves
+        return joined.withColumn("support", F.lit(None).cast("double"))
+
+    return extract
+
+
+REGISTRY = {"text_search": text_search, "ocr_search": ocr_search, "replay": replay, "canned": canned_map}
 
 
 def extractor(name: str):

@@ -44,6 +44,17 @@ def leaderboard(cal: DataFrame, test: DataFrame, alphas: list[float]) -> DataFra
     return out.orderBy(F.desc("auroc"), "signal", "alpha")
 
 
+def multi_split(outcomes: DataFrame, by: list[str], alphas: list[float], splits: int = 40) -> DataFrame:
+    """(by, alpha, coverage, risk): means over random halvings of the documents,
+    all of them in one job; a split is a key like any other."""
+    rows = outcomes.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    rows = rows.withColumn("fit", uniform(F.col("doc_id"), F.col("s")) < 0.5)
+    fitted = conformal.thresholds(rows.where("fit"), [*by, "s"], alphas)
+    test = rows.where("NOT fit").join(fitted, [*by, "s"]).withColumn("accept", F.coalesce(F.col("conf") >= F.col("threshold"), F.lit(False)))
+    each = conformal.coverage_and_risk(test, [*by, "s", "alpha"])
+    return each.groupBy(*by, "alpha").agg(F.avg("coverage").alias("coverage"), F.avg("risk").alias("risk"))
+
+
 def best(table: DataFrame, metric: str, name: str, smallest: bool = True) -> DataFrame:
     """The row with the best metric; names break ties."""
     order = F.struct(F.col(metric) if smallest else -F.col(metric), name)

@@ -641,6 +641,19 @@ def leaderboard(spark, sf):
     return r6(out, "coverage", "risk", "auroc", "e_aurc", "ece")
 
 
+@query(f"""WITH {_O}, v AS (SELECT o.*, s, {_U.format(x="doc_id::VARCHAR || '|' || s::VARCHAR")} < 0.5 AS fit FROM o CROSS JOIN range(0, 4) r(s)), ft AS (SELECT * FROM v WHERE fit), {_fitted('ft', 'signal s', 'one')},
+e AS (SELECT v.signal, v.s, alpha, avg(coalesce(conf >= t, false)::INT) AS c, CASE WHEN sum(coalesce(conf >= t, false)::INT) > 0 THEN sum((coalesce(conf >= t, false) AND correct = 0)::INT) / sum(coalesce(conf >= t, false)::INT) ELSE 0 END AS k FROM v JOIN one USING (signal, s) WHERE NOT fit GROUP BY 1, 2, 3)
+SELECT signal, alpha, round(avg(c), 6) AS coverage, round(avg(k), 6) AS risk FROM e GROUP BY 1, 2""")
+def multi_split_conformal(spark, sf):
+    return r6(harness.multi_split(outcomes(spark, sf), ["signal"], ALPHAS, splits=4), "coverage", "risk")
+
+
+@query()
+def verify_auto(spark, sf):
+    out = verify.verify_auto(invoices(spark, sf))
+    return r6(out.groupBy("path", "decision").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence")), "confidence")
+
+
 @query()
 def calibration_table(spark, sf):
     rows = outcomes(spark, sf)

@@ -304,3 +304,20 @@ def test_splits(spark):
     assert 60 < cal.count() < 140
     with pytest.raises(ValueError):
         harness.disjoint(docs, test)
+
+
+def test_model_extractor_and_ocr(spark):
+    docs = spark.createDataFrame([(1, "x"), (2, None)], "doc_id int, text string")
+    schema = {"properties": {"a": {"type": "string"}, "b": {"type": "number"}}}
+    leaves = extract.schema_table(spark, schema)
+
+    def client(prompts, temperature):
+        return ['Sure: {"a": {"value": "v", "confidence": 0.9}, "b": 3}' if p.endswith("x") else "no idea" for p in prompts]
+
+    rows = extract.model_extractor(schema, client, runs=2)(docs, leaves).collect()
+    assert {(r.doc_id, r.run, r.path, r.value, r.verbalized) for r in rows} == {(1, k, "a", "v", 0.9) for k in (0, 1)} | {(1, k, "b", "3", None) for k in (0, 1)}
+    box = lambda x0, y0: {"x0": x0, "y0": y0, "x1": x0 + 0.1, "y1": y0 + 0.02}
+    tokens = [(1, 0, "$42.50", 0.75, box(0.5, 0.101)), (1, 0, "Total:", 0.9, box(0.1, 0.1)), (1, 0, "Date:", 0.9, box(0.1, 0.2))]
+    df = spark.createDataFrame(tokens, "doc_id int, page int, text string, score double, bbox struct<x0: double, y0: double, x1: double, y1: double>")
+    found = extract.ocr_search(df, extract.schema_table(spark, {"properties": {"total": {"type": "number"}, "date": {"type": "string"}}})).collect()
+    assert [(r.path, r.value, r.token_prob) for r in found] == [("total", "$42.50", pytest.approx(0.75))]
