@@ -33,24 +33,23 @@ def join_index(prefix: Column, idx: Column, rel: Column) -> Column:
 
 def flatten_json(docs: DataFrame, key: str, column: str) -> DataFrame:
     """(key, path, value, value_type) of every leaf of JSON texts, whatever
-    their depth: the frontier of containers shrinks a level at a time."""
+    their depth. Each level opens the containers that the one before left; the
+    loop asks only whether any is left. Unreadable texts and empty containers
+    have no leaves."""
     spark = docs.sparkSession
-    view = f"flatten_{id(docs)}"
-    docs.select(F.col(key).alias("k"), F.try_parse_json(column).alias("v")).createOrReplaceTempView(view)
-    out = spark.sql(f"""
-        WITH RECURSIVE t AS (
-          SELECT k, '' AS path, v FROM {view} WHERE v IS NOT NULL
-          UNION ALL
-          SELECT t.k,
-                 CASE WHEN e.key IS NULL THEN concat(t.path, '[', e.pos, ']')
-                      WHEN t.path = '' THEN e.key ELSE concat(t.path, '.', e.key) END,
-                 e.value
-          FROM t, LATERAL variant_explode(t.v) AS e
-        )
-        SELECT k AS `{key}`, path, CAST(v AS STRING) AS value, schema_of_variant(v) AS value_type
-        FROM t WHERE schema_of_variant(v) NOT LIKE 'OBJECT%' AND schema_of_variant(v) NOT LIKE 'ARRAY%'
-    """)
-    return out
+    level = docs.select(F.col(key).alias("k"), F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL")
+    found = None
+    while True:
+        level = level.withColumn("kind", F.schema_of_variant("v"))
+        opens = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
+        leaves = level.where(~opens).select(F.col("k").alias(key), "path", F.col("v").cast("string").alias("value"), F.col("kind").alias("value_type"))
+        found = leaves if found is None else found.unionAll(leaves)
+        level = level.where(opens)
+        if level.isEmpty():
+            return found
+        entry = spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "item")
+        inner = F.when(F.col("name").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(".", "path", "name"))
+        level = level.lateralJoin(entry).select("k", inner.alias("path"), F.col("item").alias("v"))
 
 
 def nest(leaves: dict[str, Any]) -> Any:

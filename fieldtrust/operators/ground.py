@@ -66,7 +66,7 @@ def fuzzy(predictions: DataFrame, words: DataFrame, min_support: float = 0.5) ->
     t = targets(predictions).where(F.col("n_tokens") <= LONG)
     pages = page_words(words).join(t, "doc_id")
     tokens = F.split("target", " ")
-    hit = F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: F.array_contains(tokens, F.element_at(F.transform("ws", lambda w: w["t"]), i)))
+    hit = F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: F.array_contains(tokens, F.element_at("ws", i)["t"]))
     near = F.array_distinct(F.flatten(F.transform(hit, lambda i: F.transform(F.sequence(F.lit(0), F.col("n_tokens")), lambda o: F.greatest(F.lit(1), i - o)))))
     starts = F.when(F.col("n_tokens") == 1, F.sequence(F.lit(1), F.size("ws"))).otherwise(near)
     rows = pages.withColumn("start", F.explode(starts))
