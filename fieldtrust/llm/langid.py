@@ -7,8 +7,8 @@ forward-backward gives every word its label distribution. A document's
 language is the label with the largest sum over its words; the score is that
 label's mean.
 
-The model is fitted on a bounded sample of labelled rows (``MAX_ROWS`` rows,
-``MAX_WORDS`` words); prediction covers every word of every text.
+The model is fitted on a bounded sample of labelled rows (``MAX_ROWS`` rows of
+up to ``MAX_CHARS`` characters, ``MAX_WORDS`` words); prediction covers every word of every text.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; so
 is every text if no labelled row exists; words without letters are neutral;
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from fieldtrust.llm.common import blocks
 
-#: Bounds of the labelled sample: rows over all languages, and words.
-MAX_ROWS, MAX_WORDS = 600, 150_000
+#: Bounds of the labelled sample: rows over all languages, words, and characters
+#: of a row that may be in it.
+MAX_ROWS, MAX_WORDS, MAX_CHARS = 600, 150_000, 50_000
 #: Words that a worker remembers before it starts afresh.
 CACHE_WORDS = 150_000
 UNKNOWN = "und"
@@ -202,7 +203,7 @@ def train(documents: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits on at most ``max_rows`` labelled rows, as many of each language as
     there are; which ones, a hash of the key decides. Two narrow passes: counts
     for each language, then the rows below a hash bound."""
-    known = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
+    known = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.char_length("text") <= MAX_CHARS) & ~F.coalesce(held_out(), F.lit(False)))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()}
     if not counts:
         return Model([], {}, np.zeros((0, 0)), np.zeros((0, 0)))
