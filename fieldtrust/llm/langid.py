@@ -34,7 +34,7 @@ from fieldtrust.llm.common import blocks
 #: of a row that may be in it.
 MAX_ROWS, MAX_WORDS, MAX_CHARS = 600, 150_000, 50_000
 #: Words that a worker remembers before it starts afresh.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -230,7 +230,7 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
-        for b in blocks(batches, text):
+        for b in blocks(batches, text, 4 << 20):  # larger blocks, as each step of the recursions serves all texts of one
             labels, score = predictor(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(labels, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
