@@ -17,8 +17,9 @@ as matrix products, which emit pairs of components only.
 
 Edge cases: null or blank text has an empty set and is linked with nothing;
 fewer words than a shingle make one shingle; repeated rows and equal sets are
-one class; rows that share a doc_id are one document; extra columns are kept
-by ``dedup`` and not read otherwise; an empty table gives an empty result.
+one class; rows that share a doc_id are one document in ``classes``, while
+``dedup`` tells them apart by their texts; extra columns are kept by ``dedup``
+and not read otherwise; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -246,7 +247,17 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``documents`` with one row of each group of near copies: the smallest key."""
-    other = fresh(documents, "kept_key")
-    kept = classes(documents, key, text, **settings).where("kept").select(F.col(key).alias(other)).distinct()
-    return documents.join(kept, F.col(key).eqNullSafe(F.col(other)), "left_semi").dropDuplicates([key])
+    """``documents`` with one row of each group of near copies: the smallest
+    key, null after all others. Where keys are null or repeat, documents are
+    told apart by key and text; rows equal in both are one document."""
+    doc, other = fresh(documents, "doc"), fresh(documents, "kept_key")
+    if documents.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).isEmpty():
+        kept = classes(documents, key, text, **settings).where("kept").select(F.col(key).alias(other))
+        return documents.join(kept, F.col(key) == F.col(other), "left_semi")
+    parts = (F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-")) for c in (key, text))
+    named = documents.withColumn(doc, F.md5(F.concat_ws("\0", *parts).cast("binary")))
+    placed = classes(named, doc, text, **settings).select(F.col(doc).alias(other), "component_id").distinct()
+    keys = named.select(F.col(doc).alias(other), F.col(key).alias("key")).distinct()
+    first = F.min_by(other, F.struct(F.col("key").isNull(), "key", other)).alias(other)
+    kept = cut(placed.join(keys, other).groupBy("component_id").agg(first).select(other), "kept")
+    return named.join(kept, F.col(doc) == F.col(other), "left_semi").dropDuplicates([doc]).drop(doc)

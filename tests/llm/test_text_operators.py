@@ -148,6 +148,15 @@ def test_minhash_dedup_and_empty(documents, empty):
     assert minhash.classes(empty).collect() == [] and minhash.dedup(empty).columns == empty.columns
 
 
+def test_minhash_dedup_null_and_repeated_ids(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(12))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (7, text(2)), (4, text(4)), (None, None), (9, "")]
+    kept = minhash.dedup(spark.createDataFrame(rows, "doc_id long, text string"), size=2)
+    assert kept.columns == ["doc_id", "text"]
+    want = [(None, text(0)), (None, text(1)), (5, text(3)), (7, text(2)), (4, text(4)), (None, None), (9, "")]
+    assert Counter(map(tuple, kept.collect())) == Counter(want)
+
+
 def brute_substring(rows, k=20):
     seen, out = {}, {}
     for i, t in sorted(rows):
