@@ -3,8 +3,8 @@
 Documents are dealt to shards of about ``SHARD_BYTES`` of text by a hash. Each
 shard has a BM25 inverted index over its documents, whose document
 frequencies, count and mean length come from the whole corpus. A seed document
-opens a window; its rarest terms query the index, and the unused neighbours
-that it returns fill the window greedily, best first, as whole pieces while
+opens a window; all its terms query the index, and the unused neighbours that
+it returns fill the window greedily, best first, as whole pieces while
 they fit; the best one left is then cut to close the window exactly, and its
 rest stays unused. Without neighbours the next unused document takes their
 place. Only a shard's last window is not full.
@@ -39,8 +39,8 @@ WINDOW, END_ID = 2048, 1
 SHARD_BYTES = 4 << 20
 SLOTS = 1 << 18
 ROWS32 = (1 << 32) // SLOTS
-#: BM25's parameters, and how many of a seed's rarest terms form its query.
-K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: BM25's parameters.
+K1, B = 1.2, 0.75
 
 
 class Tokens:
@@ -133,20 +133,18 @@ class Index:
         idf = np.log1p((docs - df + 0.5) / (df + 0.5))
         length = np.diff(first)[self.doc]
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
-        # of each document, the rarest terms that some other document has too
+        # of each document, all terms that some other document has too
         shared = np.flatnonzero(np.diff(self.start)[term] > 1) if len(term) else np.zeros(0, np.int64)
-        rarity = np.argsort(-idf, kind="stable")
-        place = np.empty(len(terms), np.int64)
-        place[rarity] = np.arange(len(terms))
-        by_doc = np.sort(self.doc[shared] * max(1, len(terms)) + place[term[shared]])
-        ends = np.searchsorted(by_doc, np.arange(self.n + 1) * max(1, len(terms)))
-        self.query = [rarity[by_doc[a : min(b, a + QUERY_TERMS)] % len(terms)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        by_doc = shared[np.argsort(self.doc[shared], kind="stable")]
+        ends = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
+        self.query = np.split(term[by_doc], ends[1:-1])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with a term of the seed's query, best first."""
-        spans = [slice(self.start[t], self.start[t + 1]) for t in self.query[seed]]
-        if not spans:
+        """Unused documents with a term of the seed, best first."""
+        terms = self.query[seed]
+        if not len(terms):
             return np.zeros(0, np.int64)
+        spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]
         docs = np.concatenate([self.doc[s] for s in spans])
         score = np.bincount(docs, np.concatenate([self.weight[s] for s in spans]), self.n)
         found = np.flatnonzero((score > 0) & unused)

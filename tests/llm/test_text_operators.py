@@ -373,3 +373,25 @@ def test_packing_prefers_lexical_neighbours():
     assert index.neighbours(0, np.ones(4, bool)).tolist()[1:] == [2] and index.neighbours(1, np.ones(4, bool)).tolist()[1:] == [3]
     pieces = packing.plan(np.array([5, 5, 5, 5]), index, 10)
     assert [(d, s) for d, _, _, s, _ in pieces] == [(0, 0), (2, 0), (1, 1), (3, 1)]
+
+
+def test_packing_scores_all_terms_of_a_seed():
+    import pyarrow as pa
+
+    rare, common = [f"r{i}" for i in range(30)], [f"o{i}" for i in range(300)]
+    texts = [" ".join(rare + common), " ".join(rare), " ".join(common), " ".join(common[:40] + rare[:2]), "none of these", ""]
+    frequency = np.full(packing.SLOTS, 20, np.int64)
+    values, offsets = packing.text_buffer(pa.array([" ".join(rare)]))
+    starts, ends, _ = packing.words(values, offsets)
+    frequency[packing.term_slots(packing.word_hashes(values, starts, ends))] = 2
+    index = packing.Index(pa.array(texts), frequency, 100, 100.0)
+
+    def score(text):
+        ours, own = text.split(), set(texts[0].split())
+        norm = packing.K1 * (1 - packing.B + packing.B * len(ours) / 100.0)
+        idf = lambda t: math.log1p((100 - (2 if t in rare else 20) + 0.5) / ((2 if t in rare else 20) + 0.5))
+        return sum(idf(t) * (packing.K1 + 1) / (1 + norm) for t in ours if t in own)
+
+    want = sorted((1, 2, 3), key=lambda d: -score(texts[d]))
+    assert index.neighbours(0, np.arange(6) > 0).tolist() == want
+    assert index.neighbours(4, np.ones(6, bool)).tolist() == [] and index.neighbours(5, np.ones(6, bool)).tolist() == []
