@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from fieldtrust.llm.common import blocks
+from fieldtrust.llm.common import blocks, lean
 
 #: The byte-level pre-tokeniser's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -206,6 +206,7 @@ def encode(documents: DataFrame, tokenizer: str, text: str = "text", key: str =
     A narrow map: no shuffle, memory bounded by a block of texts."""
     kind = documents.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = made(TrieEncoder, tokenizer)
         for b in blocks(batches, text):
@@ -220,6 +221,7 @@ def encode_digest(documents: DataFrame, tokenizer: str, text: str = "text", key:
     without sending the ids through Arrow."""
     kind = documents.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = made(Digests, tokenizer)
         for b in blocks(batches, text):

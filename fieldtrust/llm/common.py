@@ -9,10 +9,12 @@ of words falls out of one prefix sum.
 
 from __future__ import annotations
 
-import os
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +26,44 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``; a local folder
-    only where the session names none, as in tests."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = "file://" + os.path.join(tempfile.gettempdir(), "fieldtrust-checkpoints")
+    """Folder all executors share: ``spark.checkpoint.dir``. Where it is unset,
+    a temporary one if executors are threads of this machine (as in tests);
+    on a cluster that is an error, as each would see a folder of its own."""
+    if not (got := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        got = f"file://{tempfile.gettempdir()}/fieldtrust-checkpoints"
     return got.rstrip("/")
 
 
+#: Ends of an execution at which Spark may delete its shuffle files.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs neither
-    recompute it nor depend on the executors that made it."""
+    recompute it nor depend on the executors that made it. The shuffle files
+    of the write are deleted at its end."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*cuts: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, when nothing will read them again."""
+    for df in cuts:
+        root = shared_dir(df.sparkSession)
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if path.rpartition("/")[0].endswith(root.partition(":")[2].lstrip("/")):
+                at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, whatever the case."""
     have = {c.lower() for c in df.columns}
@@ -52,6 +75,23 @@ def fresh(df: DataFrame, name: str) -> str:
 # ---------------------------------------------------------------- arrow
 
 
+def lean(run: Callable) -> Callable:
+    """A map over Arrow batches whose worker, which Spark uses again for other
+    tasks, keeps no table and no freed memory after it."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``max_bytes``; a
     single longer text stays whole."""
@@ -106,7 +146,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = out[0], out[1]
-        if size <= 1 << 22:  # a single giant text doesn't stay in memory
+        if size <= 1 << 21:  # a single giant text doesn't stay in memory
             _powers[base] = have
     return have
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import components, cut, mix
+from fieldtrust.llm.common import components, cut, lean, mix
 
 #: Tables, hash values joined in a bucket key, and probed buckets beside a vector's own.
 TABLES, HASHES, PROBES = 16, 3, 3
@@ -102,6 +102,7 @@ def buckets(vectors: DataFrame, dim: int, tables: int, hashes: int, probes: int)
     """(bucket, id, own): the buckets of each vector, and whether it is stored there."""
     kind = vectors.schema["id"].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(dim, tables, hashes, probes)
         for b in batches:
@@ -128,6 +129,7 @@ def unit_vectors(embeddings: DataFrame, key: str, embedding: str) -> tuple[DataF
     dim = size["s"] if size else 1
     kind = embeddings.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = usable(b.column("v"))
@@ -148,6 +150,7 @@ def near(pairs: DataFrame, vectors: DataFrame, dim: int, least: float) -> DataFr
     kind = pairs.schema["src"].dataType.simpleString()
     wide = math.cos(min(math.pi, 2 * math.acos(least))) - 1e-9
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cosine = np.einsum("ij,ij->i", matrix(b.column("x"), dim), matrix(b.column("y"), dim))

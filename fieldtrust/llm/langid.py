@@ -1,19 +1,23 @@
 """Language ID with a linear-chain conditional random field over words.
 
 Each word has affix, character n-gram and lexicon features; label transitions
-are learned with them. The training sequences are spliced from stretches of
-documents in different languages, so the model sees code-switched text, and
-forward-backward gives every word its label distribution. A document's
+are learned with them. The lexicon is learned too: words that the labelled rows
+have at least ``LEXICON_COUNT`` times, nearly always in one language. The
+training sequences are spliced from stretches of documents in different
+languages, so the model sees code-switched text, and forward-backward gives
+every word its label distribution: ``label_words`` returns it. A document's
 language is the label with the largest sum over its words; the score is that
 label's mean.
 
 The model is fitted on a bounded sample of labelled rows (``MAX_ROWS`` rows of
-up to ``MAX_CHARS`` characters, ``MAX_WORDS`` words); prediction covers every word of every text.
+up to ``MAX_CHARS`` characters, ``MAX_WORDS`` words); prediction covers every
+word of every text. Features are 64-bit hashes in a sorted array.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; so
 is every text if no labelled row exists; words without letters are neutral;
-very long texts are read whole; equal texts get equal results; extra columns
-are not read.
+very long texts are read whole; equal texts get equal results, repeated or null
+keys too; extra columns are kept and not read, and where one has the name of a
+result column the result's name gets a ``_`` at its end.
 """
 
 from __future__ import annotations
@@ -28,46 +32,103 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import blocks
+from fieldtrust.llm.common import RunHash, blocks, fresh, lean, mix
 
 #: Bounds of the labelled sample: rows over all languages, words, and characters
 #: of a row that may be in it.
 MAX_ROWS, MAX_WORDS, MAX_CHARS = 600, 150_000, 50_000
+#: A word of the lexicon: how often at least, and the share of its language.
+LEXICON_COUNT, LEXICON_SHARE = 3, 0.9
 #: Words that a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: Bytes of text in one call of the recursions.
+BLOCK_BYTES = 1 << 20
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = re.compile(r"[^\w\n]|[\d_]")
+_PLACE = mix(np.arange(31, 35, dtype=np.uint64)) | np.uint64(1)
+_KIND = {k: mix(np.uint64([i]))[0] for i, k in enumerate(("gram", "prefix", "suffix", "word"), 900)}
 
 
-def features(word: str) -> list[str]:
-    """Affixes of four letters, n-grams of one to three with the word's
-    borders, and the word itself."""
-    w = _OTHER.sub("", word).lower()
-    if not w:
-        return []
-    s = f"^{w}$"
-    return [s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)] + ["p:" + w[:4], "s:" + w[-4:], "w:" + w]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words' features, the word that each belongs to, and the
+    hash of each whole word (0 without a letter). A word's features are n-grams
+    of one to three letters with its borders, affixes of four, and itself."""
+    text = _OTHER.sub("", "\n".join(words).lower())
+    codes = np.frombuffer(("^" + text.replace("\n", "$\n^") + "$").encode("utf-32-le"), np.uint32)
+    line = codes == 10
+    owner = np.cumsum(line)
+    breaks = np.flatnonzero(line)
+    first, last = np.append(0, breaks + 1) + 1, np.append(breaks, len(codes)) - 1  # inside the borders
+    some = last > first
+    letter = mix(codes.astype(np.uint64) + np.uint64(77))
+    at = np.flatnonzero(~line & some[owner])
+    hashes, owners = [], []
+    for n in (1, 2, 3):
+        i = at[at + n <= len(codes)]
+        i = i[(owner[i] == owner[i + n - 1]) & ~line[i + n - 1]]
+        h = np.full(len(i), _KIND["gram"] + np.uint64(n))
+        for j in range(n):
+            h += letter[i + j] * _PLACE[j]
+        hashes.append(mix(h))
+        owners.append(owner[i])
+    run, have = RunHash(letter), np.flatnonzero(some)
+    first, last = first[have], last[have]
+    whole = np.zeros(len(words), np.uint64)
+    whole[have] = run(first, last)
+    for kind, h in (("prefix", run(first, np.minimum(last, first + 4))), ("suffix", run(np.maximum(first, last - 4), last)), ("word", whole[have])):
+        hashes.append(mix(h + _KIND[kind]))
+        owners.append(have)
+    return np.concatenate(hashes), np.concatenate(owners), whole
+
+
+class Places:
+    """Finds 64-bit keys in a sorted array, through a table of their high bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, np.uint64(0))
+        self.shift = np.uint64(64 - max(8, min(20, 4 + int(len(keys)).bit_length())))
+        edges = np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.float64) * 2.0 ** int(self.shift)
+        self.start = np.append(np.searchsorted(keys, edges[:-1].astype(np.uint64)), len(keys)).astype(np.int32)
+        self.depth = int(np.diff(self.start).max(initial=0))
+
+    def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``wanted`` are there, and where."""
+        slot = (wanted >> self.shift).astype(np.int64)
+        at, stop = self.start[slot], self.start[slot + 1]
+        open_ = np.flatnonzero(at < stop)
+        found, place = [], []
+        for _ in range(self.depth):
+            hit = self.keys[at[open_]] == wanted[open_]
+            found.append(open_[hit])
+            place.append(at[open_[hit]])
+            at[open_] += 1
+            open_ = open_[~hit]
+            open_ = open_[at[open_] < stop[open_]]
+        return (np.concatenate(found), np.concatenate(place)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 @dataclass
 class Model:
     labels: list[str]
-    index: dict[str, int]  # feature -> row of weights
-    weights: np.ndarray  # features x labels
+    keys: np.ndarray  # sorted hashes of the features
+    weights: np.ndarray  # (features, then one row for each label's lexicon) x labels
+    lexicon: np.ndarray  # sorted hashes of words
+    language: np.ndarray  # label of each word of the lexicon
     moves: np.ndarray  # labels x labels, log space
 
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of weights that the words' features have, and their words."""
+        if not hasattr(self, "_places"):
+            self._places = Places(self.keys), Places(self.lexicon)
+        hashes, owner, whole = features(words)
+        at, row = self._places[0](hashes)
+        word, entry = self._places[1](whole)
+        return np.concatenate([row, len(self.keys) + self.language[entry]]), np.concatenate([owner[at], word])
+
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of distinct words for each label."""
-        get, rows, ends = self.index.get, [], []
-        for w in words:
-            rows += [i for f in features(w) if (i := get(f)) is not None]
-            ends.append(len(rows))
-        out = np.zeros((len(words) + 1, len(self.labels)))
-        if rows:
-            sums = np.zeros((len(rows) + 1, len(self.labels)))
-            np.cumsum(self.weights[rows], axis=0, out=sums[1:])
-            out[: len(words)] = np.diff(sums[[0, *ends]], axis=0)
-        return out[: len(words)]
+        row, owner = self.rows(words)
+        return np.stack([np.bincount(owner, self.weights[row, j], len(words)) for j in range(len(self.labels))], 1)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,14 +195,14 @@ def fit(rows: list[tuple[str, str]], steps: int = 30, stretch: int = 25, seed: i
     words = np.array([which[w] for p, _ in pieces for w in p], np.int64)
     gold = np.repeat([k for _, k in pieces], [len(p) for p, _ in pieces])
     lengths = np.array([sum(len(p) for p, _ in pieces[i : i + 8]) for i in range(0, len(pieces), 8)], np.int64)
-    index: dict[str, int] = {}
-    rows_of = [[index.setdefault(f, len(index)) for f in features(w)] for w in types]
-    flat = np.array([i for r in rows_of for i in r], np.int64)
-    owner = np.repeat(np.arange(len(types)), [len(r) for r in rows_of])
-    n, k = len(index), len(labels)
+    k = len(labels)
+    goal = np.stack([np.bincount(words, gold == j, len(types)) for j in range(k)], 1)
+    hashes, owner, whole = features(types)
+    model = Model(labels, np.unique(hashes), np.zeros((0, k)), *lexicon(whole, goal), np.zeros((k, k)))
+    flat, owner = model.rows(types)
+    n = len(model.keys) + k
     theta = [np.zeros((n, k)), np.zeros((k, k))]
     m1, m2 = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
-    goal = np.stack([np.bincount(words, gold == j, len(types)) for j in range(k)], 1)
     inner = np.ones(len(words), bool)
     inner[np.cumsum(lengths)[:-1]] = False
     inner = np.flatnonzero(inner[1:]) + 1
@@ -156,21 +217,29 @@ def fit(rows: list[tuple[str, str]], steps: int = 30, stretch: int = 25, seed: i
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             x += 0.1 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    return Model(labels, index, theta[0], theta[1])
+    model.weights, model.moves = theta[0].astype(np.float32), theta[1]
+    del model._places  # each worker makes its own
+    return model
+
+
+def lexicon(whole: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted word hashes, label of each) of frequent words of one language."""
+    keys, at = np.unique(whole, return_inverse=True)
+    sums = np.stack([np.bincount(at, c, len(keys)) for c in counts.T], 1)
+    total = sums.sum(1)
+    good = (keys != 0) & (total >= LEXICON_COUNT) & (sums.max(1) >= LEXICON_SHARE * total)
+    return keys[good], sums[good].argmax(1)
 
 
 class Predictor:
     def __init__(self, model: Model):
         self.model, self.rows = model, {}
         self.scores = np.zeros((0, len(model.labels)), np.float32)
-        self.letters = np.zeros(0)
+        self.letters = np.zeros(0, bool)
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        model, docs = self.model, [t.split() if t else [] for t in texts]
-        lengths = np.array([len(d) for d in docs], np.int64)
-        labels, score = [UNKNOWN] * len(docs), np.zeros(len(docs))
-        if not model.labels or not lengths.sum():
-            return labels, score
+    def posteriors(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Label distributions of the documents' words end to end, and which
+        of the words have a letter."""
         if len(self.rows) > CACHE_WORDS:
             self.rows, self.scores, self.letters = {}, self.scores[:0], self.letters[:0]
         new: set[str] = set()
@@ -178,21 +247,39 @@ class Predictor:
             new.update(d)
         if new := [w for w in new if w not in self.rows]:
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, model.emissions(new).astype(np.float32)])
+            self.scores = np.concatenate([self.scores, self.model.emissions(new).astype(np.float32)])
             self.letters = np.concatenate([self.letters, [any(map(str.isalpha, w)) for w in new]])
+        lengths = np.array([len(d) for d in docs], np.int64)
         ids = np.fromiter((i for d in docs for i in map(self.rows.__getitem__, d)), np.int64, lengths.sum())
+        post, _ = forward_backward(self.scores[ids], lengths[lengths > 0], self.model.moves)
+        return post, self.letters[ids]
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        model, docs = self.model, [t.split() if t else [] for t in texts]
+        lengths = np.array([len(d) for d in docs], np.int64)
+        labels, score = [UNKNOWN] * len(docs), np.zeros(len(docs))
+        if not model.labels or not lengths.sum():
+            return labels, score
+        post, weight = self.posteriors(docs)
         full = lengths > 0
-        post, _ = forward_backward(self.scores[ids], lengths[full], model.moves)
-        weight = self.letters[ids]
         first = (np.cumsum(lengths) - lengths)[full]
-        sums = np.add.reduceat(post * weight[:, None], first)
-        count = np.add.reduceat(weight, first)
+        post *= weight[:, None]
+        sums = np.add.reduceat(post, first)
+        count = np.add.reduceat(weight, first, dtype=np.int64)
         best = sums.argmax(1)
         for d, b, s, c in zip(np.flatnonzero(full), best, sums.max(1), count, strict=True):
             if c:
                 labels[d], score[d] = model.labels[b], min(1.0, s / c)
         return labels, score
 
+    def words(self, text: str | None) -> list[tuple[str, str, float]]:
+        """(word, label, probability) of each word; ``und`` without a letter."""
+        parts = text.split() if text else []
+        if not parts or not self.model.labels:
+            return [(w, UNKNOWN, 0.0) for w in parts]
+        post, letter = self.posteriors([parts])
+        return [(w, self.model.labels[b], p) if ok else (w, UNKNOWN, 0.0) for w, b, p, ok in zip(parts, post.argmax(1).tolist(), post.max(1).tolist(), letter.tolist(), strict=True)]
+
 
 def held_out(key: str = "doc_id"):
     """Rows that the model never sees: crc32 of the key as text, modulo 4, is 2."""
@@ -206,7 +293,7 @@ def train(documents: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     known = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.char_length("text") <= MAX_CHARS) & ~F.coalesce(held_out(), F.lit(False)))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()}
     if not counts:
-        return Model([], {}, np.zeros((0, 0)), np.zeros((0, 0)))
+        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 0)))
     each = max(1, max_rows // len(counts))
     part = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 1.5 * each / n + 1e-6))) for k, n in counts.items()), F.lit(0.0))
     # 1.5 times the share, so that each language has enough; the exact bound is set here
@@ -221,17 +308,28 @@ def train(documents: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     return fit(out)
 
 
-def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``documents`` with lang_pred and score; a narrow map."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_WORDS
-    keep = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(keep).schema)
+def predict(documents: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``documents`` with the language and its score; a narrow map."""
+    label, score = fresh(documents, label), fresh(documents, score)
+    return _mapped(documents, model, text, {label: "string", score: "double"}, lambda p, texts: [pa.array(x) for x in p(texts)])
+
+
+def label_words(documents: DataFrame, model: Model, text: str = "text", words: str = "words") -> DataFrame:
+    """``documents`` with array<struct<word, lang, score>>: each word's language."""
+    kind = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())]))
+    named = lambda p, texts: [pa.array([[dict(zip(("word", "lang", "score"), w, strict=True)) for w in p.words(t)] for t in texts], kind)]
+    return _mapped(documents, model, text, {fresh(documents, words): "array<struct<word: string, lang: string, score: double>>"}, named)
+
+
+def _mapped(documents: DataFrame, model: Model, text: str, added: dict[str, str], made) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS
+    keep = documents.columns
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema] + [f"`{c}` {t}" for c, t in added.items()]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
-        for b in blocks(batches, text, 4 << 20):  # larger blocks, as each step of the recursions serves all texts of one
-            labels, score = predictor(b.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(labels, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+        for b in blocks(batches, text, BLOCK_BYTES):
+            yield pa.RecordBatch.from_arrays([*b.columns, *made(predictor, b.column(text).to_pylist())], [*keep, *added])
 
-    return documents.select(keep).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return documents.mapInArrow(run, ", ".join(kinds))

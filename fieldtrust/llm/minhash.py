@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import LOWER, RunHash, blocks, components, cut, fresh, mix, text_buffer, word_hashes, words
+from fieldtrust.llm.common import LOWER, RunHash, blocks, components, cut, fresh, lean, mix, text_buffer, word_hashes, words
 
 #: 48 bands of 6 bins: a pair at similarity 0.8 shares no bucket once in 2 million.
 BANDS, ROWS = 48, 6
@@ -91,6 +91,7 @@ def signatures(documents: DataFrame, key: str, text: str, size: int, bands: int,
     """(key, n_shingles, s1, s2, keys): size, two set hashes and bucket keys."""
     kind = documents.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
         for b in blocks(batches, text):
@@ -120,6 +121,7 @@ def full_sets(documents: DataFrame, ids: DataFrame, key: str, text: str, size: i
     """(id, shingles array<bigint>): the full sets of the rows named in ids."""
     kind = documents.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text):
             sets = list(shingle_sets(b.column(text), size))
@@ -134,6 +136,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (src, dst) with 100 * intersection >= percent * union."""
     kind = pairs.schema["src"].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = []

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fieldtrust.llm.common import blocks, text_bytes
+from fieldtrust.llm.common import blocks, lean, text_bytes
 
 #: Samples in a packet, samples a second, serial numbers of the two streams.
 BLOCK, RATE, AUDIO, NOTES = 576, 8000, 1, 2
@@ -161,6 +161,7 @@ def to_media(documents: DataFrame, text: str = "text", key: str = "doc_id") -> D
     """(key, media binary): one container for each text."""
     kind = documents.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text):
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(map(store, text_bytes(b.column(text))), pa.binary())], [key, "media"])
@@ -172,6 +173,7 @@ def from_media(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, payload binary, n_bytes, feature): containers read back."""
     kind = media.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "media"):
             got = list(map(load, b.column("media").to_pylist()))
@@ -191,6 +193,7 @@ def media_digest(documents: DataFrame, text: str = "text", key: str = "doc_id")
         payload, n, feature = load(media)
         return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text):
             columns = zip(*map(digest, text_bytes(b.column(text))), strict=True)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.llm.bpe import PATTERN, byte_alphabet
-from fieldtrust.llm.common import LOWER, blocks, text_buffer, word_hashes, words
+from fieldtrust.llm.common import LOWER, blocks, lean, text_buffer, word_hashes, words
 
 WINDOW, END_ID = 2048, 1
 SHARD_BYTES = 4 << 20
@@ -89,6 +89,7 @@ def corpus_statistics(documents: DataFrame, text: str) -> tuple[np.ndarray, int,
     """Document frequency of each slot, number of documents, mean of their
     words, bytes of all texts."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs, total, size = np.zeros(SLOTS, np.int64), 0, 0, 0
         for b in blocks(batches, text):

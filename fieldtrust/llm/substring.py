@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import RunHash, blocks, cut, fresh, text_buffer, word_hashes, words
+from fieldtrust.llm.common import RunHash, blocks, cut, fresh, lean, text_buffer, word_hashes, words
 
 #: Words of a window, and of the runs whose smallest hash joins windows.
 K, M = 20, 6
@@ -71,6 +71,7 @@ def paths(documents: DataFrame, key: str, text: str, k: int, m: int) -> DataFram
     """(key, mini, content, start, n): the super-k-mers of each text."""
     kind = documents.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text):
             values, offsets = text_buffer(b.column(text))
@@ -104,6 +105,7 @@ def opened(documents: DataFrame, chosen: DataFrame, key: str, text: str, k: int)
     paths, read from the texts. ``chosen`` has one row for each key."""
     kind = documents.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text):
             values, offsets = text_buffer(b.column(text))
@@ -192,6 +194,7 @@ def _apply(documents: DataFrame, key: str, text: str, k: int, m: int, digest: bo
     spans = repeats(documents, unique, text, k, m)
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text):
             n_words, n_removed, out = [], [], []

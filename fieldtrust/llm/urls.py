@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldtrust.llm.common import lean
+
 #: Largest rule table that is sent whole.
 MAX_BYTES = 64 << 20
 DEFAULT = "allow"
@@ -118,6 +120,7 @@ def _mapped(pages: DataFrame, rules: DataFrame, sizes: list[int], key: str, url:
     packed = pages.sparkSession.sparkContext.broadcast(DigestTable.pack([(rule_text(r["host"], r["path"]), r["verdict"] == "block") for r in rules.collect()]))
     kind = pages.schema[key].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = DigestTable(packed.value)
         for b in batches:

@@ -295,9 +295,11 @@ def test_language_id_held_out(spark):
 def test_language_id_awkward_rows(documents, empty, spark):
     model = langid.fit([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 5)
     got = by_id(langid.predict(documents, model))
-    assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[19].lang_pred == "und" and got[19].score == 0.0
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[19].lang_pred == "und" and got[19].score_ == 0.0 and got[19].score == 2.0
     assert got[20].lang_pred in ("de", "en") and got[7].spans == "x" and len(got) == len(ROWS)
-    assert (got[7].lang_pred, got[7].score) == (got[8].lang_pred, got[8].score)
+    assert (got[7].lang_pred, got[7].score_) == (got[8].lang_pred, got[8].score_)
+    twins = langid.predict(spark.createDataFrame([(None, "the cat"), (None, "the cat"), (1, "der Hund"), (1, None)], "doc_id long, text string"), model).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in twins) == [(0, "en"), (0, "en"), (1, "de"), (1, "und")]
     assert langid.predict(empty, model).collect() == []
     none = langid.train(spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string"))
     assert by_id(langid.predict(documents, none))[7].lang_pred == "und"
@@ -326,6 +328,58 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(post, np.concatenate(expected)) and np.allclose(counts, pairs)
 
 
+def brute_language(model, text):
+    """One document's answer, word by word, from the model's weights."""
+    parts = (text or "").split()
+    if not any(map(str.isalpha, "".join(parts))):
+        return "und", 0.0
+    k = len(model.labels)
+    row = {h: i for i, h in enumerate(model.keys.tolist())}
+    known = dict(zip(model.lexicon.tolist(), model.language.tolist(), strict=True))
+    emit = []
+    for w in parts:
+        hashes, _, whole = langid.features([w])
+        own = [row[h] for h in hashes.tolist() if h in row] + ([len(row) + known[int(whole[0])]] if int(whole[0]) in known else [])
+        emit.append(np.exp(model.weights[own].sum(0, dtype=float)) if own else np.ones(k))
+    move, forward, backward = np.exp(model.moves), [], [np.ones(k)]
+    for e in emit:
+        a = e if not forward else (forward[-1] @ move) * e
+        forward.append(a / a.sum())
+    for e in emit[:0:-1]:
+        b = move @ (e * backward[-1])
+        backward.append(b / b.sum())
+    post = np.array(forward) * np.array(backward[::-1])
+    post /= post.sum(1, keepdims=True)
+    letters = np.array([any(map(str.isalpha, w)) for w in parts])
+    sums = post[letters].sum(0)
+    return model.labels[int(sums.argmax())], float(sums.max() / letters.sum())
+
+
+def test_language_id_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs)
+    assert len(model.lexicon) > 100
+    for r in langid.predict(docs.limit(60), model).collect():
+        lang, score = brute_language(model, r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def test_language_id_labels_words(spark):
+    en, de = "the cat is on the mat and it was for the dog with that", "der hund ist auf der matte und es war für die katze mit das"
+    model = langid.fit([(en, "en"), (de, "de")] * 20)
+    docs = spark.createDataFrame([(1, f"{en} 12 {de}"), (2, None), (3, "")], "id long, text string")
+    got = by_id(langid.label_words(docs, model), "id")
+    assert [w.lang for w in got[1].words] == ["en"] * len(en.split()) + ["und"] + ["de"] * len(de.split())
+    assert [w.word for w in got[1].words] == f"{en} 12 {de}".split() and got[2].words == [] and got[3].words == []
+
+
+def test_language_id_lexicon():
+    model = langid.fit([("the common word the common", "en"), ("das gemeinsame wort das common", "de")] * 5)
+    words = {w: langid.features([w])[2][0] for w in ("the", "common", "das")}
+    listed = dict(zip(model.lexicon.tolist(), model.language.tolist(), strict=True))
+    assert model.labels[listed[int(words["the"])]] == "en" and model.labels[listed[int(words["das"])]] == "de" and int(words["common"]) not in listed
+
+
 def test_language_id_code_switching():
     en, de = "the cat is on the mat and it was for the dog with that", "der hund ist auf der matte und es war für die katze mit das"
     model = langid.fit([(en, "en"), (de, "de")] * 20)
