@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrust.llm import langid, minhash, packing, queries, secrets, substring
-from fieldtrust.llm.common import cut
+from fieldtrust.llm.common import cut, fresh
 
 MIN_SCORE = 0.5
 ORACLE_SQL = None
@@ -37,8 +37,9 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = langid.predict(docs, langid.train(docs))
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+    label, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    judged = langid.predict(docs, langid.train(docs), label=label, score=score)
+    return judged.where((F.col(label) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
