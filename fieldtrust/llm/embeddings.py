@@ -2,23 +2,30 @@
 
 A vector's hash under one rotation is the axis, with sign, that its rotated
 form is nearest to; three rounds of random signs and a fast Hadamard transform
-rotate. A table's bucket joins ``HASHES`` such values. Every vector is stored in
-its own bucket of each table and also probes the ``PROBES`` next best buckets.
-In each bucket the smallest stored id is the hub; the others are candidate
-pairs with it, which the cosine of the two vectors, in double precision,
-confirms. Components of confirmed pairs gather all near copies.
+rotate. A table's bucket joins some such values (``settings``: as many as keep
+unrelated vectors apart at the table's size). Every vector is stored in its own
+bucket of each table and also probes the next best buckets. Cosines, in double
+precision, confirm every link.
+
+Equal vectors are one from the start. The vectors of a bucket meet in three
+steps, after which no two of them that are linked are apart:
+
+1. each is compared with the bucket's hub, a stored one of them (stars);
+2. those that aren't linked with the hub are compared with one another, block
+   by block inside tasks, unless all are in one component already;
+3. one of another component within twice the angle of a hub is compared with
+   the hub's star: only there can a vector be that is linked with both.
 
 Links inside a component are counted without writing its pairs: angles obey
 the triangle inequality, so two vectors whose angles to the component's mean
 direction add up to no more than the bound are linked. Only vectors for which
-that leaves some pair open are compared with one another, in blocks. In the same
-way ids that their hubs left outside the largest component nearby are compared
-with it, so that a link between two members that are no hubs isn't lost.
-
-Edge cases: vectors that are null, zero, of another length than most, or hold
-null or non-finite components link with nothing; equal vectors link; rows with
-equal ids are one vector, the first in order of its components; an empty table
-gives an empty result; extra columns are not read.
+that leaves some pair open are compared with one another, in blocks.
+
+Edge cases: vectors that are null, zero, empty, or hold null or non-finite
+components link with nothing; vectors of different lengths link only with
+their like; equal vectors link; rows with equal ids are one vector, the first
+in order of its components; a null id links with nothing; an empty table gives
+an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,37 +34,32 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import components, cut, lean, mix
+from fieldtrust.llm.common import components, cut, drop, lean, mix
 
-#: Tables, hash values joined in a bucket key, and probed buckets beside a vector's own.
-TABLES, HASHES, PROBES = 16, 3, 3
-#: Rows of one block in the comparison of open pairs.
+#: Hash values joined in a bucket key at least, tables for each of them, and
+#: probed buckets beside a vector's own.
+HASHES, TABLES_EACH, PROBES = 3, 4, 3
+#: Tables that are hashed and shuffled at once, which bounds the disk.
+PASS = 6
+#: Rows of one block in comparisons inside tasks.
 BLOCK = 2048
 
 
-def usable(values: pa.Array) -> np.ndarray:
-    """Rows of a list column as doubles; all NaN where the vector is unusable."""
-    lists = values.to_pylist()
-    sizes = [len(x) for x in lists if x]
-    dim = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 1
-    out = np.full((len(lists), dim), np.nan)
-    for i, x in enumerate(lists):
-        if x and len(x) == dim and None not in x:
-            out[i] = x
-    bad = ~np.isfinite(out).all(axis=1) | ~out.any(axis=1)
-    out[bad] = np.nan
-    return out
+def settings(count: int, dim: int) -> tuple[int, int]:
+    """Tables and hash values: so many values that ``count`` spread vectors are
+    about one a bucket, and more tables as each then finds less."""
+    values = max(HASHES, math.ceil(math.log(max(2, count)) / math.log(2 * max(2, dim))))
+    return TABLES_EACH * values, values
 
 
 class Hasher:
     def __init__(self, dim: int, tables: int, hashes: int, probes: int, seed: int = 5):
-        self.dim, self.size = dim, 1 << max(1, (dim - 1).bit_length())
-        self.tables, self.hashes, self.probes = tables, hashes, probes
+        self.dim, self.size = dim, 1 << max(2, (dim - 1).bit_length())
+        self.tables, self.hashes, self.probes = tables, hashes, min(probes, self.size - 1)
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables * hashes, 3, self.size))
 
     def rotate(self, x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -71,89 +73,88 @@ class Hasher:
             x = x / math.sqrt(self.size)
         return x
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
+    def keys(self, x: np.ndarray, tables: range | None = None) -> np.ndarray:
         """n x tables x (1 + probes) bucket keys, a vector's own first. A probe
         changes the one hash value whose runner-up is nearest to its best."""
+        tables = range(self.tables) if tables is None else tables
         n = len(x)
         x = np.pad(x, ((0, 0), (0, self.size - self.dim)))
-        out = np.empty((n, self.tables, 1 + self.probes), np.uint64)
+        out = np.empty((n, len(tables), 1 + self.probes), np.uint64)
         weight = mix(np.arange(7, 7 + self.hashes, dtype=np.uint64)) | np.uint64(1)
         depth = min(self.size, 1 + self.probes)
         rows = np.arange(n)
-        for t in range(self.tables):
+        for place, t in enumerate(tables):
             best, loss = [], []
             for h in range(self.hashes):
                 y = self.rotate(x, self.signs[t * self.hashes + h])
-                top = np.argsort(-np.abs(y), axis=1)[:, :depth]
+                size = np.abs(y)
+                top = np.argpartition(size, self.size - depth, axis=1)[:, self.size - depth :]
+                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(size, top, axis=1), axis=1, kind="stable"), axis=1)
                 near = np.take_along_axis(y, top, axis=1)
                 best.append((2 * top + (near < 0)).astype(np.uint64))
                 loss.append(np.abs(near[:, :1]) - np.abs(near[:, 1:]))
-            own = sum(b[:, 0] * w for b, w in zip(best, weight, strict=True)) + mix(np.uint64([t + 1]))
-            out[:, t, 0] = mix(own)
+            own = sum(b[:, 0] * w for b, w in zip(best, weight, strict=True)) + mix(np.uint64([t + 1 + (self.dim << 16)]))
+            out[:, place, 0] = mix(own)
             order = np.argsort(np.concatenate(loss, axis=1), axis=1)[:, : self.probes]
+            best = np.stack(best)
             for p in range(self.probes):
                 h, d = np.divmod(order[:, p], depth - 1)
-                values, base = np.stack(best)[h, rows, d + 1], np.stack(best)[h, rows, 0]
-                out[:, t, 1 + p] = mix(own + (values - base) * weight[h])
+                values, base = best[h, rows, d + 1], best[h, rows, 0]
+                out[:, place, 1 + p] = mix(own + (values - base) * weight[h])
         return out
 
 
-def buckets(vectors: DataFrame, dim: int, tables: int, hashes: int, probes: int) -> DataFrame:
-    """(bucket, id, own): the buckets of each vector, and whether it is stored there."""
-    kind = vectors.schema["id"].dataType.simpleString()
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(dim, tables, hashes, probes)
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                keys = hasher.keys(matrix(part.column("v"), dim))
-                each = keys.shape[1] * keys.shape[2]
-                own = np.zeros(keys.shape, bool)
-                own[:, :, 0] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1).view(np.int64)), part.column("id").take(pa.array(np.repeat(np.arange(part.num_rows), each))), pa.array(own.reshape(-1))], ["bucket", "id", "own"]
-                )
-
-    return vectors.mapInArrow(run, f"bucket bigint, id {kind}, own boolean")
+def usable(v: Column) -> Column:
+    return F.coalesce(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, dim)
+def unit(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each length that occurs, and their vectors scaled to length 1."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        x = column.take(pa.array(at)).flatten().to_numpy().astype(float).reshape(len(at), size)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        yield at, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def unit_vectors(embeddings: DataFrame, key: str, embedding: str) -> tuple[DataFrame, int]:
-    """(id, v array<double>) of usable vectors, scaled to length 1, and their dimension."""
-    size = embeddings.where(F.size(embedding) > 0).groupBy(F.size(embedding).alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
-    dim = size["s"] if size else 1
-    kind = embeddings.schema[key].dataType.simpleString()
+def buckets(vectors: DataFrame, tables: int, hashes: int, probes: int, part: range) -> DataFrame:
+    """(bucket, id, own): buckets of each vector in some tables, and whether it
+    is stored there."""
+    kind = vectors.schema["id"].dataType.simpleString()
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers: dict[int, Hasher] = {}
         for b in batches:
-            x = usable(b.column("v"))
-            ok = ~np.isnan(x[:, 0]) if x.shape[1] == dim else np.zeros(len(x), bool)
-            x = x[ok]
-            x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x.reshape(0, dim)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, dim * len(x) + 1, dim, dtype=np.int32)), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(ok)), lists], ["id", "v"])
-
-    sized = embeddings.where((F.size(embedding) == dim) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(embedding).cast("array<double>").alias("v"))
-    return sized.mapInArrow(run, f"id {kind}, v array<double>"), dim
-
-
-def near(pairs: DataFrame, vectors: DataFrame, dim: int, least: float) -> DataFrame:
-    """Pairs (src, dst, linked) within twice the linked angle; linked where the
-    cosine is at or above ``least``."""
+            for low in range(0, b.num_rows, 1024):
+                ids, column = b.column("id").slice(low, 1024), b.column("v").slice(low, 1024)
+                for at, x in unit(column):
+                    dim = x.shape[1]
+                    if dim not in hashers:
+                        hashers[dim] = Hasher(dim, tables, hashes, probes)
+                    keys = hashers[dim].keys(x, part)
+                    own = np.zeros(keys.shape, bool)
+                    own[:, :, 0] = True
+                    rows = pa.array(np.repeat(at, keys.shape[1] * keys.shape[2]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), ids.take(rows), pa.array(own.reshape(-1))], ["bucket", "id", "own"])
+
+    return vectors.select("id", "v").mapInArrow(run, f"bucket bigint, id {kind}, own boolean")
+
+
+def judged(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """Pairs (src, dst) within twice the linked angle, with ``linked``: cosine
+    at or above ``least``."""
     kind = pairs.schema["src"].dataType.simpleString()
     wide = math.cos(min(math.pi, 2 * math.acos(least))) - 1e-9
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cosine = np.einsum("ij,ij->i", matrix(b.column("x"), dim), matrix(b.column("y"), dim))
+            same = np.flatnonzero((b.column("x").value_lengths().to_numpy() == b.column("y").value_lengths().to_numpy()))
+            b, cosine = b.take(pa.array(same)), np.zeros(len(same))
+            for (at, x), (_, y) in zip(unit(b.column("x")), unit(b.column("y")), strict=True):
+                cosine[at] = np.einsum("ij,ij->i", x, y)
             out = pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(cosine >= least)], ["src", "dst", "linked"])
             yield out.filter(pa.array(cosine >= wide))
 
@@ -161,92 +162,134 @@ def near(pairs: DataFrame, vectors: DataFrame, dim: int, least: float) -> DataFr
     return joined.select("src", "dst", "x", "y").mapInArrow(run, f"src {kind}, dst {kind}, linked boolean")
 
 
-def merged(ids: DataFrame, pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """(id, component_id). Hubs may miss a link between two other members: so
-    in each family (ids joined by pairs within twice the angle, as two members
-    linked with each other and one with a hub must be) the ids outside the
-    largest component are compared with all others, in blocks."""
-    kind = vectors.schema["id"].dataType.simpleString()
-    labels = components(ids, pairs.where("linked")).withColumnRenamed("component_id", "label")
-    families = components(ids, pairs).withColumnRenamed("component_id", "family")
-    placed = cut(labels.join(families, "id"), "families")
-    groups = placed.groupBy("family", "label").count()
-    mixed = groups.groupBy("family").agg(F.max(F.struct("count", "label"))["label"].alias("largest"), F.max("count").alias("most"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    mixed = cut(mixed.select("family", "largest", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("xs"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ys")), "mixed")
-    active = cut(placed.join(mixed, "family").join(vectors, "id"), "active")
+def dealt(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Blocks of the two sides (group, id, label, v) against one another: rows
+    (group, i, j, id, label, v, left) of each pair of blocks."""
+    sized = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    blocks = cut(sized(left, "xs").join(sized(right, "ys"), "group"), "blocks")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = active.where("label <> largest").select("family", block("xs").alias("i"), every("ys").alias("j"), "label", "v", F.lit(True).alias("left"))
-    y = active.select("family", every("xs").alias("i"), block("ys").alias("j"), "label", "v", F.lit(False).alias("left"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group["left"]], group[~group["left"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": []})
-        p, q = a["label"].to_numpy(), b["label"].to_numpy()
-        i, j = np.nonzero((np.stack(a["v"].to_list()) @ np.stack(b["v"].to_list()).T >= least) & (p[:, None] != q[None, :]))
-        return pd.DataFrame({"src": np.minimum(p[i], q[j]), "dst": np.maximum(p[i], q[j])}).drop_duplicates()
-
-    found = cut(x.unionAll(y).groupBy("family", "i", "j").applyInPandas(compare, f"src {kind}, dst {kind}").distinct(), "merged")
-    named = components(placed.select(F.col("label").alias("id")).distinct(), found).withColumnRenamed("id", "label")
-    return placed.join(named, "label").select("id", "component_id")
+    x = left.join(blocks, "group").select("group", block("xs").alias("i"), every("ys").alias("j"), "id", "label", "v", F.lit(True).alias("left"))
+    y = right.join(blocks, "group").select("group", every("xs").alias("i"), block("ys").alias("j"), "id", "label", "v", F.lit(False).alias("left"))
+    return x.unionAll(y)
+
+
+def linked_blocks(table: pa.Table, least: float) -> Iterator[tuple[pa.Table, pa.Table, np.ndarray]]:
+    """Left and right rows of equal length, and which of them are linked."""
+    table = table.combine_chunks()
+    sides = [table.filter(pa.array(m)) for m in (table["left"].to_numpy(), ~table["left"].to_numpy())]
+    if all(map(len, sides)):
+        parts = [{x.shape[1]: (at, x) for at, x in unit(s["v"].combine_chunks())} for s in sides]
+        for size in parts[0].keys() & parts[1].keys():
+            (at, x), (to, y) = parts[0][size], parts[1][size]
+            yield sides[0].take(pa.array(at)), sides[1].take(pa.array(to)), x @ y.T >= least
+
+
+def across(rows: DataFrame, least: float) -> DataFrame:
+    """(src, dst): pairs of labels between which a link exists in the blocks."""
+    field = rows.schema["label"].dataType.simpleString()
+
+    def compare(table: pa.Table) -> pa.Table:
+        src, dst = [], []
+        for a, b, linked in linked_blocks(table, least):
+            x, y = (side["label"].combine_chunks().dictionary_encode() for side in (a, b))
+            i, j = np.nonzero(linked)
+            pairs = np.unique(np.stack([x.indices.to_numpy()[i], y.indices.to_numpy()[j]]), axis=1)
+            src += x.dictionary.take(pa.array(pairs[0])).to_pylist()
+            dst += y.dictionary.take(pa.array(pairs[1])).to_pylist()
+        kept = [(min(s, d), max(s, d)) for s, d in zip(src, dst, strict=True) if s != d]
+        kind = table.schema.field("label").type
+        return pa.table([pa.array([k[0] for k in kept], kind), pa.array([k[1] for k in kept], kind)], ["src", "dst"])
+
+    return rows.groupBy("group", "i", "j").applyInArrow(compare, f"src {field}, dst {field}").distinct()
+
+
+def classes(vectors: DataFrame, least: float, tables: int, hashes: int, probes: int) -> DataFrame:
+    """(id, component_id) of distinct vectors (id, v)."""
+    stars, members = [], []
+    for low in range(0, tables, PASS):
+        placed = cut(buckets(vectors, tables, hashes, probes, range(low, min(tables, low + PASS))), "placed")
+        hub = F.min(F.when(F.col("own"), F.struct(F.xxhash64("bucket", "id").alias("h"), "id")))["id"]
+        hubs = placed.groupBy("bucket").agg(hub.alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1 AND hub IS NOT NULL")
+        found = placed.join(cut(hubs.select("bucket", "hub"), "hubs"), "bucket").where("hub <> id")
+        members.append(cut(found.select("bucket", "id", "own", "hub"), "members"))
+        stars.append(members[-1].select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct())
+        drop(placed)
+    members = _union(members)
+    pairs = cut(judged(cut(_union(stars).distinct(), "pairs"), vectors, least), "judged")
+    labels = cut(components(vectors.select("id"), pairs.where("linked")).withColumnRenamed("component_id", "label"), "labels")
+    # those of a bucket that its hub isn't linked with, unless one component holds them all
+    close = pairs.where("linked").select(F.col("src").alias("hub"), F.col("dst").alias("id"))
+    rest = cut(members.join(close, ["hub", "id"], "left_anti").join(labels, "id").select("bucket", "id", "own", "label"), "rest")
+    open_ = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("own").alias("stored")).where("lo <> hi AND stored")
+    rest = cut(rest.join(cut(open_.select("bucket"), "open"), "bucket").join(vectors, "id").select(F.col("bucket").alias("group"), "id", "label", "v").distinct(), "rest")
+    inside = cut(across(dealt(rest, rest), least), "inside")
+    # those of other components near a hub against its star
+    near = pairs.where("NOT linked").join(labels.select(F.col("id").alias("src"), F.col("label").alias("p")), "src").join(labels.select(F.col("id").alias("dst"), "label"), "dst").where("p <> label")
+    near = cut(near.join(vectors.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("group"), F.col("dst").alias("id"), "label", "v"), "near")
+    hubs = cut(near.select("group").distinct(), "hubs")
+    star = pairs.where("linked").join(hubs, F.col("src") == F.col("group")).join(labels.withColumnRenamed("id", "dst"), "dst").join(vectors.withColumnRenamed("id", "dst"), "dst")
+    star = cut(star.select("group", F.col("dst").alias("id"), "label", "v"), "star")
+    outside = cut(across(dealt(near, star), least), "outside")
+    named = components(labels.select(F.col("label").alias("id")).distinct(), inside.unionAll(outside)).withColumnRenamed("id", "label")
+    return labels.join(named, "label").select("id", "component_id")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
 
 
-def open_links(outer: DataFrame, dim: int, least: float) -> DataFrame:
-    """(id, n_open): links among the open vectors of each component (id,
-    component_id, angle, v), in blocks of rows dealt to pairs of blocks."""
+def counted(members: DataFrame, dim: int, least: float) -> DataFrame:
+    """(id, n_links) of the members (id, v, copies, component_id, n) of
+    components, where n is the number of all vectors in the component."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    scaled = members.withColumn("u", F.transform("v", lambda x: x.cast("double"))).withColumn("length", F.sqrt(dot("u", "u")))
+    mean = cut(scaled.groupBy("component_id").agg(F.array(*(F.avg(F.get("u", F.lit(i)) / F.col("length")) for i in range(dim))).alias("mean")), "means")
+    norm = F.sqrt(dot("mean", "mean"))
+    cosine = F.when((norm > 1e-9) & (F.col("length") > 0), dot("u", "mean") / norm / F.col("length")).otherwise(F.lit(-1.0))
+    angles = scaled.join(mean, "component_id").withColumn("angle", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine))))
+    angles = cut(angles.select("id", "v", "copies", "component_id", "n", "angle"), "angles")
+    widest = cut(angles.groupBy("component_id").agg(F.max("angle").alias("widest")), "widest")
+    bound = math.acos(least) - 1e-7
+    # a vector is open if its angle and the widest of its component exceed the bound
+    told = cut(angles.join(widest, "component_id").withColumn("open", F.coalesce(F.col("angle") + F.col("widest") > bound, F.lit(True))), "told")
+    outer = told.where("open").select(F.col("component_id").alias("group"), "id", F.col("copies").alias("label"), "v")
+    size = cut(outer.groupBy(F.col("group").alias("component_id")).agg(F.sum("label").alias("n_outer")), "outer")
     kind = outer.schema["id"].dataType.simpleString()
-    blocks_of = outer.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = outer.join(blocks_of, "component_id").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.select("component_id", F.col("b").alias("i"), every.alias("j"), "id", "v", F.lit(True).alias("left"))
-    right = dealt.select("component_id", every.alias("i"), F.col("b").alias("j"), "id", "v", F.lit(False).alias("left"))
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group["left"]], group[~group["left"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "n": []})
-        same = a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]
-        linked = (np.stack(a["v"].to_list()) @ np.stack(b["v"].to_list()).T >= least) & ~same
-        return pd.DataFrame({"id": a["id"].to_numpy(), "n": linked.sum(axis=1)})
+    def count(table: pa.Table) -> pa.Table:
+        ids, n = [], []
+        for a, b, linked in linked_blocks(table, least):
+            copies = b["label"].to_numpy().astype(float)
+            ids.append(a["id"].combine_chunks())
+            n.append((linked @ copies).round().astype(np.int64))
+        return pa.table([pa.concat_arrays(ids) if ids else pa.array([], table.schema.field("id").type), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["id", "n"])
 
-    counts = left.unionAll(right).groupBy("component_id", "i", "j").applyInPandas(count, f"id {kind}, n bigint")
-    return counts.groupBy("id").agg(F.sum("n").alias("n_open"))
+    opened = dealt(outer, outer).groupBy("group", "i", "j").applyInArrow(count, f"id {kind}, n bigint")
+    opened = cut(opened.groupBy("id").agg(F.sum("n").alias("n_open")), "opened")
+    # open vectors are linked with every vector that isn't open, and with those counted, themselves among them
+    inner = told.select("id", "component_id", "n", "open").join(size, "component_id", "left").join(opened, "id", "left")
+    return inner.select("id", (F.when(F.col("open"), F.col("n") - F.col("n_outer") + F.coalesce("n_open", F.lit(0))).otherwise(F.col("n")) - 1).alias("n_links"))
 
 
-def link(embeddings: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = 0.95, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
+def link(embeddings: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = 0.95, tables: int | None = None, hashes: int | None = None, probes: int = PROBES) -> DataFrame:
     """(key, n_links, component_id, kept): one row for each distinct id."""
-    vectors, dim = unit_vectors(embeddings, key, embedding)
-    vectors = cut(vectors.groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    placed = buckets(vectors, dim, tables, hashes, probes)
-    found = placed.groupBy("bucket").agg(F.min(F.when(F.col("own"), F.col("id"))).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1 AND hub IS NOT NULL")
-    hubs = cut(found.select("bucket", "hub"), "hubs")
-    pairs = placed.join(hubs, "bucket").where("hub <> id").select(F.col("hub").alias("src"), F.col("id").alias("dst"))
-    close = cut(near(cut(pairs.distinct(), "pairs"), vectors, dim, least), "pairs")
-    labels = cut(merged(vectors.select("id"), close, vectors, least), "labels")
-    grouped = labels.join(labels.groupBy("component_id").count().where("count > 1"), "component_id")
-    members = cut(vectors.join(grouped, "id"), "members")
-    counted = _counted(members, dim, least)
-    ids = embeddings.select(key).distinct()
-    out = ids.join(labels.withColumnRenamed("id", key), key, "left").join(counted.withColumnRenamed("id", key), key, "left")
+    rows = embeddings.where(F.col(key).isNotNull() & usable(F.col(embedding))).select(F.col(key).alias("id"), F.col(embedding).alias("v"))
+    digest = F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256)
+    rows = cut(rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("digest", digest), "vectors")
+    once = cut(rows.groupBy("digest").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"), F.count(F.lit(1)).alias("copies")), "distinct")
+    size = once.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    dim = size[1] or 1
+    want = settings(size[0], dim)
+    labels = cut(classes(once.select("id", "v"), least, tables or want[0], hashes or want[1], probes), "labels")
+    whole = once.select("id", "copies").join(labels, "id").groupBy("component_id").agg(F.sum("copies").alias("n")).where("n > 1")
+    members = once.join(labels, "id").join(cut(whole, "sizes"), "component_id").select("id", "v", "copies", "component_id", "n")
+    links = counted(cut(members, "members"), dim, least)
+    told = once.select("digest", "id").join(labels, "id").join(links, "id", "left").select("digest", "component_id", "n_links")
+    found = rows.select(F.col("id").alias(key), "digest").join(cut(told, "told"), "digest").drop("digest")
+    out = embeddings.select(key).distinct().join(found, key, "left")
     component = F.coalesce("component_id", key)
     return out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col(key)).alias("kept"))
-
-
-def _counted(members: DataFrame, dim: int, least: float) -> DataFrame:
-    """(id, n_links) of the members (id, v, component_id, count) of components."""
-    mean = members.groupBy("component_id").agg(F.array(*(F.avg(F.col("v")[i]) for i in range(dim))).alias("mean"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(dot("mean", "mean"))
-    cosine = F.when(norm > 1e-9, dot("v", "mean") / norm).otherwise(F.lit(-1.0))
-    angles = cut(members.join(mean, "component_id").withColumn("angle", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))).drop("mean"), "angles")
-    widest = angles.groupBy("component_id").agg(F.max("angle").alias("widest"))
-    bound = math.acos(least) - 1e-7
-    # a vector is open if its angle and the widest of its component exceed the bound
-    judged = cut(angles.join(widest, "component_id").withColumn("open", F.col("angle") + F.col("widest") > bound), "judged")
-    size = judged.where("open").groupBy("component_id").agg(F.count(F.lit(1)).alias("n_outer"))
-    outer = judged.where("open").select("id", "component_id", "v")
-    opened = open_links(outer, dim, least)
-    inner = judged.select("id", "component_id", "count", "open").join(size, "component_id", "left").join(opened, "id", "left")
-    # open vectors are linked with every vector that isn't open, and with those counted
-    return inner.select("id", F.when(F.col("open"), F.col("count") - F.col("n_outer") + F.coalesce("n_open", F.lit(0))).otherwise(F.col("count") - 1).alias("n_links"))

@@ -1,6 +1,7 @@
 """Embeddings, urls, chats and the pipeline against plain definitions."""
 
 import json
+import math
 import random
 import re
 
@@ -36,7 +37,7 @@ def test_embedding_links_equal_brute_force(spark, loose, monkeypatch):
     rows = vectors(loose)
     df = spark.createDataFrame([(i, v, "a") for i, v in rows], "vec_id long, embedding array<float>, id string")
     got = by_id(embeddings.link(df), "vec_id")
-    good = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]  # no other usable length occurs twice
     unit = np.stack([v / np.linalg.norm(v) for _, v in good])
     linked = unit @ unit.T >= 0.95
     ids = [i for i, _ in good]
@@ -50,6 +51,51 @@ def test_embedding_links_equal_brute_force(spark, loose, monkeypatch):
     assert {i: tuple(r)[1:] for i, r in got.items()} == expected
 
 
+def links_found(spark, x, planted, **settings):
+    """Share of the planted pairs that end in one component, checking that no
+    component holds a vector without a link."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_id(embeddings.link(df, **settings), "vec_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    assert all(r.n_links <= linked[i].sum() - 1 for i, r in got.items())
+    return np.mean([got[a].component_id == got[b].component_id for a, b in planted])
+
+
+def near_to(rng, x, cosine):
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    return cosine * x + math.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+def test_embeddings_recall_in_full_buckets(spark):
+    """Some ten unrelated vectors a bucket: hubs are mostly unrelated ones."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = near_to(rng, x[:200], 0.955)
+    both = np.concatenate([x, y])
+    keys = embeddings.Hasher(16, 8, 2, embeddings.PROBES).keys(both)[:, :, 0]
+    assert 4 < np.mean([len(both) / len(set(k)) for k in keys.T]) < 40
+    assert links_found(spark, both, [(i, 4000 + i) for i in range(200)], tables=8, hashes=2) >= 0.98
+
+
+def test_embeddings_recall_in_a_dense_topic(spark):
+    """Vectors at a cosine of 0.75 with one another, and planted pairs."""
+    rng = np.random.default_rng(8)
+    topic = rng.normal(size=(1, 32))
+    topic /= np.linalg.norm(topic)
+    x = near_to(rng, np.repeat(topic, 1500, 0), math.sqrt(0.75))
+    y = near_to(rng, x[:150], 0.96)
+    assert links_found(spark, np.concatenate([x, y]), [(i, 1500 + i) for i in range(150)]) >= 0.98
+
+
+def test_embeddings_of_two_lengths_and_repeated_ids(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.01]), (3, [1.0, 2.0]), (4, [2.0, 4.0]), (5, [-1.0, 2.0]), (6, [1.0]), (7, [3.0]), (8, [-2.0]), (5, [1.0, 2.01]), (None, [1.0]), (None, [1.0])]
+    got = {r.vec_id: tuple(r)[1:] for r in embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (1, 6, True), 7: (1, 6, False), 8: (0, 8, True), None: (0, None, True)}
+
+
 def test_embeddings_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.link(df).collect() == []
@@ -59,7 +105,7 @@ def test_hasher_puts_near_vectors_together():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 64))
     y = x + 0.3 * np.linalg.norm(x, axis=1, keepdims=True) * rng.normal(size=(200, 64)) / 8
-    h = embeddings.Hasher(64, embeddings.TABLES, embeddings.HASHES, embeddings.PROBES)
+    h = embeddings.Hasher(64, *embeddings.settings(200, 64), embeddings.PROBES)
     a, b = h.keys(x), h.keys(y)
     assert np.allclose(np.linalg.norm(h.rotate(x, h.signs[0]), axis=1), np.linalg.norm(x, axis=1))
     met = [bool(set(p[:, 0]) & set(q.ravel())) for p, q in zip(a, b, strict=True)]
