@@ -178,6 +178,43 @@ def test_substring_equals_brute_force(documents, empty):
     assert substring.dedup_digest(empty).collect() == []
 
 
+def test_substring_of_branching_repeats(spark):
+    """Passages that are cut, joined, nested and periodic, so that the graph
+    branches, ends and closes in many ways."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        out = []
+        for _ in range(rng.randint(1, 5)):
+            a = rng.randint(0, 380)
+            out += base[a : a + rng.randint(1, 150)] if rng.random() < 0.7 else [f"u{i}_{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 30))]
+        rows.append((i, " ".join(out)))
+    rows += [(200, "x y z " * 60), (201, "y z x " * 30), (202, "o " * 70), (203, rows[5][1]), (204, rows[5][1])]
+    got = by_id(substring.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: tuple(r)[1:] for i, r in got.items()} == brute_substring(rows)
+
+
+def test_substring_compacts_paths_between_branches(spark):
+    """Two passages that stand in the same documents become one path each."""
+    rows = [(i, f"{prose(30)} {PASSAGE} {prose(30)}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring.paths(df, "doc_id", "text", 20, 6).groupBy("mini", "content").agg({"*": "count"}).where("`count(1)` > 1").count()
+    spans = [s for r in substring.repeats(df).collect() for s in r.spans]
+    long = [s for s in spans if s.words is not None]
+    assert found > 3 and len(long) == 3 and all(s.stop - s.start >= 40 for s in long)
+
+
+def test_substring_keeps_words_that_differ_from_their_source():
+    import pyarrow as pa
+
+    words = [b"w%d" % i for i in range(60)]
+    spans = [(0, 20, substring.digest(words[:20])), (30, 50, substring.digest(words[29:49])), (55, 58, None)]
+    column = pa.array([dict(zip(("start", "stop", "words"), s, strict=True)) for s in spans], pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("words", pa.binary())]))
+    kept = substring.kept_words(column, words)
+    assert not kept[:20].any() and kept[20:55].all() and not kept[55:58].any() and kept[58:].all()
+
+
 def test_substring_repeated_ids(spark):
     rows = [(1, PASSAGE), (1, PASSAGE), (1, PASSAGE + " more"), (None, PASSAGE), (2, None), (2, PASSAGE)]
     got = substring.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -188,6 +225,7 @@ def test_substring_repeated_ids(spark):
 def test_substring_keeps_other_columns(documents):
     got = by_id(substring.dedup(documents))
     assert got[7].text == BASE and got[8].text == "" and got[8].spans == "x" and got[13].bucket == "y" and got[1].text is None
+    assert got[8].n_words == 1 and got[8].n_words_ == 120 and got[8].n_removed == 120
 
 
 # ---------------------------------------------------------------- secrets
