@@ -47,8 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring.dedup(docs)
-    return _measured(out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))), docs.columns)
+    n_words, n_removed = (F.col(fresh(docs, c)) for c in ("n_words", "n_removed"))
+    return _measured(substring.dedup(docs).where((n_removed == 0) | (n_removed < n_words)), docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
