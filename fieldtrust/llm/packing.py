@@ -1,21 +1,25 @@
 """Sequence packing by lexical retrieval.
 
-Documents are dealt to shards of about ``SHARD_BYTES`` of text by a hash. Each
-shard has a BM25 inverted index over its documents, whose document
-frequencies, count and mean length come from the whole corpus. A seed document
-opens a window; all its terms query the index, and the unused neighbours that
-it returns fill the window greedily, best first, as whole pieces while
-they fit; the best one left is then cut to close the window exactly, and its
-rest stays unused. Without neighbours the next unused document takes their
-place. Only a shard's last window is not full.
-
-Corpus frequencies are held for ``SLOTS`` hash slots of the terms, so their
-size is fixed: colliding terms share a count, which only blurs rare terms.
+Documents are put in an order in which like ones are neighbours, by two
+MinHash values of their words, and dealt to shards of about ``SHARD_BYTES``
+along it: two documents are in one shard as likely as they share words,
+wherever in the input they stand. Each shard has a BM25 inverted index over its
+documents, whose document frequencies, count and mean length come from the
+whole corpus. A seed document opens a window; all its terms query the index,
+and the unused neighbours that it returns fill the window greedily, best first,
+as whole pieces while they fit; the best one left is then cut to close the
+window exactly, and its rest stays unused. Without neighbours the next unused
+document takes their place. Only a shard's last window is not full.
+
+A word that many documents choose as their MinHash fills many shards, in the
+order of the second value and then of a hash, so no task grows with it. Corpus
+frequencies are held for ``SLOTS`` hash slots of the terms, so their size is
+fixed: colliding terms share a count, which only blurs rare terms.
 
 Edge cases: a null or empty text is the end id alone; very long documents fill
 windows of their own and their last piece is a seed; repeated rows are packed
-each on its own; an empty table gives an empty result; extra columns are not
-read.
+each on its own, with null or equal keys too; an empty table gives an empty
+result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,18 +33,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.llm.bpe import PATTERN, byte_alphabet
-from fieldtrust.llm.common import LOWER, blocks, lean, text_buffer, word_hashes, words
+from fieldtrust.llm.common import LOWER, blocks, cut, lean, mix, text_buffer, word_hashes, words
 
 WINDOW, END_ID = 2048, 1
-SHARD_BYTES = 4 << 20
+#: Bytes of text of a shard, and shards of a task.
+SHARD_BYTES, TASK_SHARDS = 4 << 20, 4
 SLOTS = 1 << 18
 ROWS32 = (1 << 32) // SLOTS
 #: BM25's parameters.
 K1, B = 1.2, 0.75
+#: A term that so large a share of a shard's documents has is a matrix column.
+DENSE = 1 / 8
 
 
 class Tokens:
@@ -72,30 +80,26 @@ class Tokens:
         return [i for part in self.split.split(text) for i in ([self.special[part]] if part in self.special else self.encode(part))]
 
 
-_tokens: dict[str, Tokens] = {}
-
-
-def tokens(path: str) -> Tokens:
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
-
-
 def term_slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def corpus_statistics(documents: DataFrame, text: str) -> tuple[np.ndarray, int, float, int]:
-    """Document frequency of each slot, number of documents, mean of their
-    words, bytes of all texts."""
+def signed(documents: DataFrame) -> DataFrame:
+    """``documents`` (key, text) with two MinHash values of the words, near and
+    far; and at the end of each task rows (slot, n) without a text: document
+    frequencies of the slots and, as slots -1 to -3, documents, words, bytes."""
+    kind = documents.schema["key"].dataType.simpleString()
+    names = ["key", "text", "near", "far", "slot", "n"]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs, total, size = np.zeros(SLOTS, np.int64), 0, 0, 0
-        for b in blocks(batches, text):
-            values, offsets = text_buffer(b.column(text))
+        counts, docs, total, size, key_type = np.zeros(SLOTS, np.int64), 0, 0, 0, None
+        for b in blocks(batches, "text"):
+            key_type = b.column("key").type
+            values, offsets = text_buffer(b.column("text"))
             s, e, first = words(values, offsets)
-            slots = term_slots(word_hashes(LOWER[values], s, e))
+            hashes = word_hashes(LOWER[values], s, e)
+            slots = term_slots(hashes)
             for lo in range(0, b.num_rows, ROWS32):  # so many rows that row and slot fit in 32 bits
                 hi = min(b.num_rows, lo + ROWS32)
                 row = np.repeat(np.arange(hi - lo, dtype=np.uint32), np.diff(first[lo : hi + 1]))
@@ -104,10 +108,26 @@ def corpus_statistics(documents: DataFrame, text: str) -> tuple[np.ndarray, int,
                 new[1:] = pairs[1:] != pairs[:-1]
                 counts += np.bincount(pairs[new] % np.uint32(SLOTS), minlength=SLOTS)
             docs, total, size = docs + b.num_rows, total + len(s), size + len(values)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2, -3]]).astype(np.int32)), pa.array(np.concatenate([counts[at], [docs, total, size]]))], ["slot", "n"])
-
-    sums = documents.select(text).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+            least = np.zeros((2, b.num_rows), np.uint64)
+            some = np.flatnonzero(np.diff(first))
+            if len(some):
+                for i, salt in enumerate((3, 5)):
+                    least[i, some] = np.minimum.reduceat(mix(hashes ^ np.uint64(salt)), first[:-1][some])
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("text"), *(pa.array(x.view(np.int64)) for x in least), none.cast(pa.int32()), none], names)
+        if docs:
+            at = np.flatnonzero(counts)
+            slot, n = np.concatenate([at, [-1, -2, -3]]), np.concatenate([counts[at], [docs, total, size]])
+            none = pa.nulls(len(slot), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), key_type), pa.nulls(len(slot), pa.string()), none, none, pa.array(slot, pa.int32()), pa.array(n)], names)
+
+    return documents.mapInArrow(run, f"key {kind}, text string, near bigint, far bigint, slot int, n bigint")
+
+
+def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, int, float, int]:
+    """Document frequency of each slot, number of documents, mean of their
+    words, bytes of all texts, from the rows of ``signed``."""
+    sums = rows.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slots, n = sums["slot"].to_numpy(), sums["n"].to_numpy()  # at most SLOTS + 3 rows
     frequency = np.zeros(SLOTS + 3, np.int64)
     frequency[slots] = n  # the negative ones are the last places
@@ -116,7 +136,8 @@ def corpus_statistics(documents: DataFrame, text: str) -> tuple[np.ndarray, int,
 
 
 class Index:
-    """BM25 postings of a shard's documents, sorted by term."""
+    """BM25 postings of a shard's documents, sorted by term; those of frequent
+    terms as columns of a matrix."""
 
     def __init__(self, column: pa.Array, frequency: np.ndarray, docs: int, mean: float):
         values, offsets = text_buffer(column)
@@ -134,8 +155,13 @@ class Index:
         idf = np.log1p((docs - df + 0.5) / (df + 0.5))
         length = np.diff(first)[self.doc]
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
-        # of each document, all terms that some other document has too
-        shared = np.flatnonzero(np.diff(self.start)[term] > 1) if len(term) else np.zeros(0, np.int64)
+        own = np.diff(self.start)
+        wide = own > max(1, DENSE * self.n)
+        at = np.flatnonzero(wide[term])
+        self.dense = np.zeros((self.n, int(wide.sum())), np.float32)
+        self.dense[self.doc[at], np.cumsum(wide)[term[at]] - 1] = self.weight[at]
+        # of each document, the other terms that some other document has too
+        shared = np.flatnonzero(((own > 1) & ~wide)[term])
         by_doc = shared[np.argsort(self.doc[shared], kind="stable")]
         ends = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
         self.query = np.split(term[by_doc], ends[1:-1])
@@ -143,13 +169,14 @@ class Index:
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents with a term of the seed, best first."""
         terms = self.query[seed]
-        if not len(terms):
-            return np.zeros(0, np.int64)
-        spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]
-        docs = np.concatenate([self.doc[s] for s in spans])
-        score = np.bincount(docs, np.concatenate([self.weight[s] for s in spans]), self.n)
+        score = np.zeros(self.n)
+        if len(terms):
+            spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        if self.dense.shape[1]:
+            score += self.dense @ (self.dense[seed] > 0).astype(np.float32)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def plan(sizes: np.ndarray, index: Index, window: int) -> list[tuple[int, int, int, int, int]]:
@@ -180,11 +207,10 @@ def plan(sizes: np.ndarray, index: Index, window: int) -> list[tuple[int, int, i
             continue
         near = index.neighbours(seed, unused)
         left = sizes[near] - begun[near]
-        for d, n in zip(near.tolist(), left.tolist(), strict=True):
-            if n <= space:
-                take(d, n)
-                if not space:
-                    break
+        at = 0
+        while space and len(fit := np.flatnonzero(left[at:] <= space)[:1]):
+            at += int(fit[0]) + 1
+            take(int(near[at - 1]), space)
         while space:
             rest = near[unused[near]]
             if not len(rest):
@@ -196,27 +222,40 @@ def plan(sizes: np.ndarray, index: Index, window: int) -> list[tuple[int, int, i
 
 
 def _packed(documents: DataFrame, tokenizer: str, window: int, end_id: int, key: str, text: str, fields: list[str], values) -> DataFrame:
-    slim = documents.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    frequency, docs, mean, size = corpus_statistics(slim, "text")
-    shards = max(1, -(-size // SHARD_BYTES))
+    rows = cut(signed(documents.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))), "signed")
+    frequency, docs, mean, size = corpus_statistics(rows)
     statistics = documents.sparkSession.sparkContext.broadcast(frequency)  # SLOTS counts
-    kind = documents.schema[key].dataType.simpleString()
+    kind, shard_bytes = documents.schema[key].dataType.simpleString(), SHARD_BYTES
+    kinds = {"bigint": pa.int64(), "array<int>": pa.list_(pa.int32())}
 
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("key", "ascending")])
-        shard, encode = table["shard"][0].as_py(), tokens(tokenizer)
-        column = table["text"].combine_chunks()
-        ids = [np.frombuffer(array("I", encode(t) + [end_id]), np.uint32) for t in column.to_pylist()]
+    def packed(keys: pa.Array, texts: pa.Array, encode: Tokens, number: int) -> tuple[pa.RecordBatch, int]:
+        ids = [np.frombuffer(array("I", encode(t) + [end_id]), np.uint32) for t in texts.to_pylist()]
         sizes = np.array(list(map(len, ids)), np.int64)
-        pieces = plan(sizes, Index(column, statistics.value, docs, mean), window)
+        pieces = plan(sizes, Index(texts, statistics.value, docs, mean), window)
         d, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
         extra = [values(ids[i][s : s + n]) for i, s, n, _, _ in pieces]
-        arrays = [table["key"].take(pa.array(d)), pa.array(start), pa.array(length), extra, pa.array(sizes[d]), pa.array(sequence + (shard << 32)), pa.array(offset)]
-        kinds = {"bigint": pa.int64(), "array<int>": pa.list_(pa.int32())}
-        return pa.table([pa.array(a, kinds[f.split()[1]]) if isinstance(a, list) else a for a, f in zip(arrays, [key, *fields], strict=True)], [key, *(f.split()[0] for f in fields)])
+        arrays = [start, length, extra, sizes[d], sequence + number, offset]
+        made = pa.RecordBatch.from_arrays([keys.take(pa.array(d)), *(pa.array(a, kinds[f.split()[1]]) for a, f in zip(arrays, fields, strict=True))], [key, *(f.split()[0] for f in fields)])
+        return made, number + int(sequence[-1]) + 1
 
-    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("key", "text"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(pack, f"{key} {kind}, {', '.join(fields)}")
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, number, held, full = Tokens(tokenizer), TaskContext.get().partitionId() << 32, [], 0
+        for b in blocks(batches, "text", shard_bytes // 4):
+            held.append(b)
+            full += b.column("text").nbytes
+            if full >= shard_bytes:
+                shard = pa.Table.from_batches(held).combine_chunks()
+                held, full = [], 0
+                made, number = packed(*(shard[c].combine_chunks() for c in ("key", "text")), encode, number)
+                yield made
+        if held:
+            shard = pa.Table.from_batches(held).combine_chunks()
+            yield packed(*(shard[c].combine_chunks() for c in ("key", "text")), encode, number)[0]
+
+    order = ["near", "far", F.xxhash64("key", "text")]
+    dealt = rows.where("slot IS NULL").repartitionByRange(max(1, -(-size // (shard_bytes * TASK_SHARDS))), *order).sortWithinPartitions(*order)
+    return dealt.select("key", "text").mapInArrow(run, f"{key} {kind}, {', '.join(fields)}")
 
 
 def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -456,6 +456,28 @@ def test_packing_is_lossless_and_tight(documents, empty, library, monkeypatch):
     assert packing.pack_digest(empty, queries.tokenizer()).collect() == []
 
 
+def test_packing_neighbours_from_different_input_parts_meet(spark, monkeypatch):
+    """Near copies at both ends of the input, in more shards than one."""
+    monkeypatch.setattr(packing, "SHARD_BYTES", 40_000)
+    rng = random.Random(4)
+    text = lambda: " ".join(f"v{rng.randint(0, 4000)}" for _ in range(150))
+    texts = [text() for _ in range(150)]
+    rows = list(enumerate(texts)) + [(1000 + i, t + " and more") for i, t in enumerate(texts)]
+    out = packing.pack_digest(spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(2, "doc_id"), queries.tokenizer()).collect()
+    where = defaultdict(set)
+    for r in out:
+        where[r.doc_id].add(r.sequence_id)
+    assert len({s >> 32 for w in where.values() for s in w}) > 1
+    # a window has four or five texts; one that was cut to close a window has no room for its copy
+    assert np.mean([bool(where[i] & where[1000 + i]) for i in range(150)]) > 0.6
+
+
+def test_packing_repeated_and_null_keys(spark):
+    rows = [(None, "a b"), (None, "a b"), (1, "c"), (1, "d"), (1, None)]
+    out = packing.pack_digest(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer()).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in out) == [(0, 3), (0, 3), (1, 1), (1, 2), (1, 2)] and len({r.sequence_id for r in out}) == 1
+
+
 def test_packing_prefers_lexical_neighbours():
     import pyarrow as pa
 
