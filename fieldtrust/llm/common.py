@@ -176,11 +176,22 @@ def words(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bytes that are hashed at once, so that the tables stay in a core's cache.
+_STEP = 1 << 16
+
+
 def word_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, inverse = powers(_BASE, len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(_BYTE[values] * power[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    out = np.empty(len(starts), np.uint64)
+    borders = np.append(np.searchsorted(starts, np.arange(0, len(values), _STEP)), len(starts)).tolist()
+    for i, j in zip(borders, borders[1:], strict=False):
+        if i < j:
+            base, last = int(starts[i]), int(ends[j - 1])
+            power, inverse = powers(_BASE, last - base)
+            sums = np.zeros(last - base + 1, np.uint64)
+            np.cumsum(_BYTE[values[base:last]] * power[: last - base], out=sums[1:])
+            first = starts[i:j] - base
+            out[i:j] = (sums[ends[i:j] - base] - sums[first]) * inverse[first]
+    return mix(out)
 
 
 class RunHash:

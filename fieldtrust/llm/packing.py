@@ -171,10 +171,12 @@ class Index:
         terms = self.query[seed]
         score = np.zeros(self.n)
         if len(terms):
-            spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]
-            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
-        if self.dense.shape[1]:
-            score += self.dense @ (self.dense[seed] > 0).astype(np.float32)
+            first, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
+            score += np.bincount(self.doc[at], self.weight[at], self.n)
+        if self.dense.shape[1]:  # no matrix product: its library would start threads of its own
+            score += np.einsum("ij,j->i", self.dense, (self.dense[seed] > 0).astype(np.float32))
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
