@@ -80,6 +80,16 @@ class Tokens:
         return [i for part in self.split.split(text) for i in ([self.special[part]] if part in self.special else self.encode(part))]
 
 
+_tokens: dict[str, Tokens] = {}
+
+
+def tokens(path: str) -> Tokens:
+    """A worker's tokenizer, kept for its next task: some 20 MB."""
+    if path not in _tokens:
+        _tokens[path] = Tokens(path)
+    return _tokens[path]
+
+
 def term_slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
@@ -166,17 +176,22 @@ class Index:
         ends = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
         self.query = np.split(term[by_doc], ends[1:-1])
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with a term of the seed, best first."""
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for the seed's terms."""
         terms = self.query[seed]
         score = np.zeros(self.n)
         if len(terms):
-            first, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+            begin, size = self.start[terms], self.start[terms + 1] - self.start[terms]
             ends = np.cumsum(size)
-            at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
+            at = np.arange(ends[-1]) + np.repeat(begin - ends + size, size)
             score += np.bincount(self.doc[at], self.weight[at], self.n)
         if self.dense.shape[1]:  # no matrix product: its library would start threads of its own
             score += np.einsum("ij,j->i", self.dense, (self.dense[seed] > 0).astype(np.float32))
+        return score
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents with a term of the seed, best first."""
+        score = self.scores(seed)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -184,42 +199,45 @@ class Index:
 def plan(sizes: np.ndarray, index: Index, window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard."""
     out: list[tuple[int, int, int, int, int]] = []
-    unused, begun = np.ones(len(sizes), bool), np.zeros(len(sizes), np.int64)
+    left = sizes.copy()
     sequence, space, following = 0, window, 0
 
     def take(d: int, most: int) -> None:
         nonlocal space
-        n = int(min(sizes[d] - begun[d], most))
-        out.append((d, int(begun[d]), n, sequence, window - space))
-        begun[d] += n
+        n = int(min(left[d], most))
+        out.append((d, int(sizes[d] - left[d]), n, sequence, window - space))
+        left[d] -= n
         space -= n
-        unused[d] = begun[d] < sizes[d]
 
     while True:
-        while following < len(sizes) and not unused[following]:
+        while following < len(sizes) and not left[following]:
             following += 1
         if following == len(sizes):
             return out
         seed = following
-        while unused[seed]:  # whole windows of a long document, then its last piece
+        while left[seed]:  # whole windows of a long document, then its last piece
             take(seed, space)
             if not space:
                 sequence, space = sequence + 1, window
         if space == window:
             continue
-        near = index.neighbours(seed, unused)
-        left = sizes[near] - begun[near]
-        at = 0
-        while space and len(fit := np.flatnonzero(left[at:] <= space)[:1]):
-            at += int(fit[0]) + 1
-            take(int(near[at - 1]), space)
-        while space:
-            rest = near[unused[near]]
-            if not len(rest):
-                rest = np.flatnonzero(unused[following:])[:1] + following
-            if not len(rest):
-                return out
-            take(int(rest[0]), space)
+        score = index.scores(seed) * (left > 0)
+        while space:  # the best that fits; what doesn't fit now won't fit later
+            fit = np.where(left <= space, score, 0.0)
+            best = int(fit.argmax())
+            if not fit[best] > 0:
+                break
+            take(best, space)
+            score[best] = 0
+        while space:  # the best of all is cut, without any the next
+            best = int(score.argmax())
+            if not score[best] > 0:
+                rest = np.flatnonzero(left[following:])[:1] + following
+                if not len(rest):
+                    return out
+                best = int(rest[0])
+            take(best, space)
+            score[best] = 0
         sequence, space = sequence + 1, window
 
 
@@ -242,7 +260,7 @@ def _packed(documents: DataFrame, tokenizer: str, window: int, end_id: int, key:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number, held, full = Tokens(tokenizer), TaskContext.get().partitionId() << 32, [], 0
+        encode, number, held, full = tokens(tokenizer), TaskContext.get().partitionId() << 32, [], 0
         for b in blocks(batches, "text", shard_bytes // 4):
             held.append(b)
             full += b.column("text").nbytes
