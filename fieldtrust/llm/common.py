@@ -206,6 +206,20 @@ class RunHash:
         return mix((self.sums[stop] - self.sums[start]) * self.inverse[start])
 
 
+def normal_words(values: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int]]:
+    """The rows' words in lower case, each with one space behind it, end to
+    end, and the offsets of the rows."""
+    inside = ~_SPACE[values]
+    behind = np.append(ends, 0)[:-1]
+    close = np.zeros(len(values) + 1, np.int64)
+    close[behind] = 1
+    keep = inside.astype(np.int64)
+    sums = np.append(0, np.cumsum(keep)) + np.append(0, np.cumsum(close[1:]))  # bytes before each place
+    out = np.full(int(sums[-1]), 32, np.uint8)
+    out[sums[:-1][inside]] = LOWER[values[inside]]
+    return out.tobytes(), sums[offsets].tolist()
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -243,3 +257,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not moved:
             break
     return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component_id"))
+
+
+def dealt(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
+    """Blocks of some ``block`` rows of two sides (group, id, label, v) against
+    one another: rows (group, i, j, id, label, v, left) of each pair of blocks."""
+    sized = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    blocks = cut(sized(left, "xs").join(sized(right, "ys"), "group"), "blocks")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = left.join(blocks, "group").select("group", own("xs").alias("i"), every("ys").alias("j"), "id", "label", "v", F.lit(True).alias("left"))
+    y = right.join(blocks, "group").select("group", every("xs").alias("i"), own("ys").alias("j"), "id", "label", "v", F.lit(False).alias("left"))
+    return x.unionAll(y)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import components, cut, drop, lean, mix
+from fieldtrust.llm.common import components, cut, dealt, drop, lean, mix
 
 #: Hash values joined in a bucket key at least, tables for each of them, and
 #: probed buckets beside a vector's own.
@@ -162,18 +162,6 @@ def judged(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return joined.select("src", "dst", "x", "y").mapInArrow(run, f"src {kind}, dst {kind}, linked boolean")
 
 
-def dealt(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Blocks of the two sides (group, id, label, v) against one another: rows
-    (group, i, j, id, label, v, left) of each pair of blocks."""
-    sized = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    blocks = cut(sized(left, "xs").join(sized(right, "ys"), "group"), "blocks")
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = left.join(blocks, "group").select("group", block("xs").alias("i"), every("ys").alias("j"), "id", "label", "v", F.lit(True).alias("left"))
-    y = right.join(blocks, "group").select("group", every("xs").alias("i"), block("ys").alias("j"), "id", "label", "v", F.lit(False).alias("left"))
-    return x.unionAll(y)
-
-
 def linked_blocks(table: pa.Table, least: float) -> Iterator[tuple[pa.Table, pa.Table, np.ndarray]]:
     """Left and right rows of equal length, and which of them are linked."""
     table = table.combine_chunks()
@@ -223,14 +211,14 @@ def classes(vectors: DataFrame, least: float, tables: int, hashes: int, probes:
     rest = cut(members.join(close, ["hub", "id"], "left_anti").join(labels, "id").select("bucket", "id", "own", "label"), "rest")
     open_ = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("own").alias("stored")).where("lo <> hi AND stored")
     rest = cut(rest.join(cut(open_.select("bucket"), "open"), "bucket").join(vectors, "id").select(F.col("bucket").alias("group"), "id", "label", "v").distinct(), "rest")
-    inside = cut(across(dealt(rest, rest), least), "inside")
+    inside = cut(across(dealt(rest, rest, BLOCK), least), "inside")
     # those of other components near a hub against its star
     near = pairs.where("NOT linked").join(labels.select(F.col("id").alias("src"), F.col("label").alias("p")), "src").join(labels.select(F.col("id").alias("dst"), "label"), "dst").where("p <> label")
     near = cut(near.join(vectors.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("group"), F.col("dst").alias("id"), "label", "v"), "near")
     hubs = cut(near.select("group").distinct(), "hubs")
     star = pairs.where("linked").join(hubs, F.col("src") == F.col("group")).join(labels.withColumnRenamed("id", "dst"), "dst").join(vectors.withColumnRenamed("id", "dst"), "dst")
     star = cut(star.select("group", F.col("dst").alias("id"), "label", "v"), "star")
-    outside = cut(across(dealt(near, star), least), "outside")
+    outside = cut(across(dealt(near, star, BLOCK), least), "outside")
     named = components(labels.select(F.col("label").alias("id")).distinct(), inside.unionAll(outside)).withColumnRenamed("id", "label")
     return labels.join(named, "label").select("id", "component_id")
 
@@ -268,7 +256,7 @@ def counted(members: DataFrame, dim: int, least: float) -> DataFrame:
             n.append((linked @ copies).round().astype(np.int64))
         return pa.table([pa.concat_arrays(ids) if ids else pa.array([], table.schema.field("id").type), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["id", "n"])
 
-    opened = dealt(outer, outer).groupBy("group", "i", "j").applyInArrow(count, f"id {kind}, n bigint")
+    opened = dealt(outer, outer, BLOCK).groupBy("group", "i", "j").applyInArrow(count, f"id {kind}, n bigint")
     opened = cut(opened.groupBy("id").agg(F.sum("n").alias("n_open")), "opened")
     # open vectors are linked with every vector that isn't open, and with those counted, themselves among them
     inner = told.select("id", "component_id", "n", "open").join(size, "component_id", "left").join(opened, "id", "left")

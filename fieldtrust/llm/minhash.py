@@ -7,16 +7,24 @@ empty bin takes the value of the first non-empty bin in a random order of its
 own, the same for all documents (optimal densification). Bands of bins are
 bucket keys.
 
-Documents with equal sets form a class with one representative; only those
-enter buckets. In each bucket every member is paired with the hub, the member
-that shares most buckets with others, never with all members; pairs are
-confirmed on the full sets. Links between members that are no hubs are found
-family by family: ids that the stars left outside their family's largest
-component are compared with all ids of the family, in blocks of ``BLOCK`` rows
-as matrix products, which emit pairs of components only.
+Documents with the same words in the same order, by a digest of these, form a
+class with one representative; only those enter buckets. The members of a
+bucket meet in three steps, after which no two of them that are linked are
+apart; all links are confirmed on the full sets:
+
+1. each is paired with the bucket's hub, the member that shares most buckets
+   with others (stars);
+2. those of one hub's buckets that aren't linked with it are compared with one
+   another, unless all are in one component already;
+3. one of another component whose distance from a hub is at most twice that of
+   a link is compared with the hub's star: only there can a document be that is
+   linked with both, as Jaccard distances obey the triangle inequality.
+
+Steps 2 and 3 go over blocks of ``BLOCK`` rows as matrix products inside tasks,
+and give pairs of components only. Shingles are compared by 64-bit hashes.
 
 Edge cases: null or blank text has an empty set and is linked with nothing;
-fewer words than a shingle make one shingle; repeated rows and equal sets are
+fewer words than a shingle make one shingle; repeated rows and equal texts are
 one class; rows that share a doc_id are one document in ``classes``, while
 ``dedup`` tells them apart by their texts; extra columns are kept by ``dedup``
 and not read otherwise; an empty table gives an empty result.
@@ -24,6 +32,7 @@ and not read otherwise; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import LOWER, RunHash, blocks, components, cut, fresh, lean, mix, text_buffer, word_hashes, words
+from fieldtrust.llm.common import LOWER, RunHash, blocks, components, cut, dealt, fresh, lean, mix, normal_words, text_buffer, word_hashes, words
 
 #: 48 bands of 6 bins: a pair at similarity 0.8 shares no bucket once in 2 million.
 BANDS, ROWS = 48, 6
@@ -42,7 +51,10 @@ BLOCK, SLICE = 512, 4096
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of each text's shingles."""
     values, offsets = text_buffer(column)
-    s, e, first = words(values, offsets)
+    return shingled(values, *words(values, offsets), size)
+
+
+def shingled(values: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, size: int) -> Iterator[np.ndarray]:
     hashes = word_hashes(LOWER[values], s, e)
     run = RunHash(hashes)
     at = np.arange(max(0, len(hashes) - size + 1))
@@ -88,33 +100,30 @@ class Signer:
 
 
 def signatures(documents: DataFrame, key: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(key, n_shingles, s1, s2, keys): size, two set hashes and bucket keys."""
+    """(key, n_shingles, same, keys): size of the set, digest of the words, and
+    bucket keys."""
     kind = documents.schema[key].dataType.simpleString()
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
         for b in blocks(batches, text):
-            n, s1, s2, keys = [], [], [], []
-            for shingles in shingle_sets(b.column(text), size):
+            values, offsets = text_buffer(b.column(text))
+            s, e, first = words(values, offsets)
+            n, keys = [], []
+            for shingles in shingled(values, s, e, first, size):
                 n.append(len(shingles))
-                s1.append(mix(shingles).sum(dtype=np.uint64))
-                s2.append(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 keys.append(signer.keys(shingles) if len(shingles) else np.zeros(0, np.uint64))
+            data, at = normal_words(values, offsets, e)
+            same = [hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(at, at[1:], strict=False)]
             ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(key),
-                    pa.array(n, pa.int64()),
-                    pa.array(np.array(s1, np.uint64).view(np.int64)),
-                    pa.array(np.array(s2, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
-                ],
-                [key, "n_shingles", "s1", "s2", "keys"],
+                [b.column(key), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
+                [key, "n_shingles", "same", "keys"],
             )
 
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, n_shingles bigint, s1 bigint, s2 bigint, keys array<bigint>")
+    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, n_shingles bigint, same binary, keys array<bigint>")
 
 
 def full_sets(documents: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -133,7 +142,8 @@ def full_sets(documents: DataFrame, ids: DataFrame, key: str, text: str, size: i
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (src, dst) with 100 * intersection >= percent * union."""
+    """``pairs`` (src, dst) with ``linked``: 100 * intersection >= percent *
+    union, and ``near``: within twice the distance of a link."""
     kind = pairs.schema["src"].dataType.simpleString()
 
     @lean
@@ -144,24 +154,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 lists = b.column(c)
                 flat, ends = lists.flatten().to_numpy(), np.cumsum(np.append(0, lists.value_lengths().to_numpy(zero_copy_only=False)))
                 columns.append([flat[i:j].view(np.uint64) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
-            linked = []
+            near, linked = [], []
             for x, y in zip(*columns, strict=True):
                 small, large = (x, y) if len(x) < len(y) else (y, x)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["src", "dst"]).filter(pa.array(linked, pa.bool_()))
+                near.append(100 * both >= (2 * percent - 100) * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_())], ["src", "dst", "linked", "near"])
 
     joined = pairs.join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("y")), "dst").join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("x")), "src")
-    return joined.select("src", "dst", "x", "y").mapInArrow(run, f"src {kind}, dst {kind}")
+    return joined.select("src", "dst", "x", "y").mapInArrow(run, f"src {kind}, dst {kind}, linked boolean, near boolean")
 
 
-def cross_links(strays: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(src, dst): pairs of labels between which some link exists. ``strays``
-    and ``members`` are (family, id, label, block, blocks of the other side,
-    shingles); blocks of rows meet pairwise, and a task counts common shingles
-    of two blocks as a product of 0/1 matrices, a slice of columns at a time."""
-    kind = members.schema["label"].dataType.simpleString()
+def cross_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): pairs of labels between which some link exists in pairs of
+    blocks, as ``dealt`` gives them. A task counts common shingles of two
+    blocks as a product of 0/1 matrices, a slice of columns at a time."""
+    kind = rows.schema["label"].dataType.simpleString()
 
     def places(lists: pa.ListArray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat = lists.flatten().to_numpy()
@@ -176,7 +186,7 @@ def cross_links(strays: DataFrame, members: DataFrame, percent: int) -> DataFram
         x, y = table.filter(pa.array(left)), table.filter(pa.array(~left))
         src, dst = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(x) and len(y):
-            xs, ys = x["shingles"].combine_chunks(), y["shingles"].combine_chunks()
+            xs, ys = x["v"].combine_chunks(), y["v"].combine_chunks()
             shared = np.intersect1d(xs.flatten().to_numpy(), ys.flatten().to_numpy())
             common = np.zeros((len(x), len(y)), np.float32)
             if len(shared):
@@ -196,55 +206,45 @@ def cross_links(strays: DataFrame, members: DataFrame, percent: int) -> DataFram
         out = table.schema.field("label").type
         return pa.table([pa.array(src, out), pa.array(dst, out)], ["src", "dst"])
 
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = strays.select("family", F.col("block").alias("i"), every("others").alias("j"), "label", "shingles", F.lit(True).alias("left"))
-    y = members.select("family", every("others").alias("i"), F.col("block").alias("j"), "label", "shingles", F.lit(False).alias("left"))
-    return x.unionAll(y).groupBy("family", "i", "j").applyInArrow(compare, f"src {kind}, dst {kind}")
+    return rows.groupBy("group", "i", "j").applyInArrow(compare, f"src {kind}, dst {kind}").distinct()
 
 
 def link_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, component_id) of the ids in buckets; ``members`` is (bucket, id, pop).
-
-    Stars give most links. What they may miss are links between two members
-    neither of which is a hub: so within each family (ids that stars connect,
-    confirmed or not) the ids outside the largest component are compared with
-    all ids of the family, and components between which a link turns up merge.
-    """
-    pair = F.least("hub", "id").alias("src"), F.greatest("hub", "id").alias("dst")
-    hubs = members.groupBy("bucket").agg(F.max(F.struct("pop", "id"))["id"].alias("hub"))
-    tested = cut(members.join(hubs, "bucket").where("hub <> id").select(*pair).distinct(), "pairs")
-    links = cut(confirmed(tested, sets, percent), "links")
+    """(id, component_id) of the ids in buckets; ``members`` is (bucket, id, pop)."""
+    hubs = cut(members.groupBy("bucket").agg(F.max(F.struct("pop", "id"))["id"].alias("hub")), "hubs")
+    pairs = cut(members.join(hubs, "bucket").where("hub <> id").select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct(), "pairs")
+    tested = cut(confirmed(pairs, sets, percent), "tested")
     ids = cut(members.select("id").distinct(), "ids")
-    labels = components(ids, links).withColumnRenamed("component_id", "label")
-    families = components(ids, tested).withColumnRenamed("component_id", "family")
-    placed = cut(labels.join(families, "id"), "families")
-    groups = placed.groupBy("family", "label").count()
-    mixed = groups.groupBy("family").agg(F.max(F.struct("count", "label"))["label"].alias("largest"), F.max("count").alias("most"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    mixed = cut(mixed.select("family", "largest", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("xs"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ys")), "mixed")
-    active = cut(placed.join(mixed, "family").join(sets, "id"), "active")
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias("block")
-    strays = active.where("label <> largest").select("family", "id", "label", block("xs"), F.col("ys").alias("others"), "shingles")
-    others = active.select("family", "id", "label", block("ys"), F.col("xs").alias("others"), "shingles")
-    merged = cut(cross_links(strays, others, percent).distinct(), "merged")
-    named = components(placed.select(F.col("label").alias("id")).distinct(), merged).withColumnRenamed("id", "label")
-    return placed.join(named, "label").select("id", "component_id")
+    labels = cut(components(ids, tested.where("linked")).withColumnRenamed("component_id", "label"), "labels")
+    ends = labels.select(F.col("id").alias("src"), F.col("label").alias("p")), labels.select(F.col("id").alias("dst"), "label")
+    strays = cut(tested.where("NOT linked").join(ends[0], "src").join(ends[1], "dst").where("p <> label").select(F.col("src").alias("group"), F.col("dst").alias("id"), "label", "near"), "strays")
+    several = strays.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    full = sets.withColumnRenamed("shingles", "v")
+    loose = cut(strays.join(cut(several.select("group"), "several"), "group").select("group", "id", "label").join(full, "id"), "loose")
+    inside = cut(cross_links(dealt(loose, loose, BLOCK), percent), "inside")
+    near = cut(strays.where("near").select("group", "id", "label").join(full, "id"), "near")
+    wanted = cut(near.select("group").distinct(), "wanted")
+    star = tested.where("linked").join(wanted, F.col("src") == F.col("group")).join(ends[1], "dst")
+    star = cut(star.select("group", F.col("dst").alias("id"), "label").join(full, "id"), "star")
+    outside = cut(cross_links(dealt(near, star, BLOCK), percent), "outside")
+    named = components(labels.select(F.col("label").alias("id")).distinct(), inside.unionAll(outside)).withColumnRenamed("id", "label")
+    return labels.join(named, "label").select("id", "component_id")
 
 
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept): one row for each input row."""
     signed = cut(signatures(documents, key, text, size, bands, rows), "signatures")
-    equal = ["n_shingles", "s1", "s2"]
-    reps = signed.where("n_shingles > 0").groupBy(*equal).agg(F.min_by(F.struct(key, "keys"), key).alias("r")).where(F.col(f"r.{key}").isNotNull())
-    reps = cut(reps.select(*equal, F.col(f"r.{key}").alias("id"), "r.keys"), "classes")
+    reps = signed.where("n_shingles > 0").groupBy("same").agg(F.min_by(F.struct(key, "keys"), key).alias("r")).where(F.col(f"r.{key}").isNotNull())
+    reps = cut(reps.select("same", F.col(f"r.{key}").alias("id"), "r.keys"), "classes")
     buckets = reps.select("id", F.explode("keys").alias("bucket"))
     several = buckets.groupBy("bucket").count().where("count > 1")
-    members = cut(buckets.join(several, "bucket"), "members")
+    members = cut(buckets.join(cut(several, "several"), "bucket"), "members")
     pop = members.groupBy("id").agg(F.sum("count").alias("pop"))
     members = cut(members.join(pop, "id").select("bucket", "id", "pop"), "members")
     sets = cut(full_sets(documents, members.select("id").distinct(), key, text, size), "sets")
     labels = link_classes(members, sets, percent)
-    named = cut(reps.join(labels, "id", "left").select(*equal, F.coalesce("component_id", "id").alias("component_id")), "named")
-    out = signed.select(key, *equal).join(named, equal, "left")
+    named = cut(reps.join(labels, "id", "left").select("same", F.coalesce("component_id", "id").alias("component_id")), "named")
+    out = signed.select(key, "n_shingles", "same").join(named, "same", "left")
     component = F.coalesce("component_id", key)
     return out.select(key, "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col(key)).alias("kept"))
 
