@@ -2,20 +2,24 @@
 
 Base kinds are leftmost non-overlapping matches of three patterns. The method
 adds ``entropy`` spans: candidates are maximal runs of token characters; a
-window of ``WINDOW`` characters slides over each, and the Shannon entropy of
-the window's characters follows from the counts of the one that leaves and the
-one that enters. Runs of hexadecimal digits and mixed runs have bounds of their
-own. Candidates on the allow list (plain words, numbers, paths, addresses,
-identifiers of a known public form, placeholders) are suppressed, as are spans
-that lie inside base ones.
+window of ``WINDOW`` characters slides over each. One fold carries how often
+each character stands in the window, and how many of each character class; the
+Shannon entropy changes with the counts of the character that leaves and the
+one that enters. The classes in a window (digits, hexadecimal digits, letters
+of one case, mixed) decide which bound holds. Candidates on the allow list
+(plain words, numbers, paths, identifiers of a known public form) are
+suppressed, placeholder words end a candidate, and spans inside base ones go.
 
 Positions are code points, ends exclusive. Null or empty text has no spans.
-Every text is scanned whole; repeated rows give equal rows; other columns are
-kept by ``redact`` and not read otherwise.
+Every text is scanned whole; repeated rows, and rows of repeated or null keys,
+give equal results; other columns are kept by ``redact``, whatever their names,
+and not read otherwise. ``scan`` replaces columns named like its results.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,32 +34,55 @@ KINDS = {
 }
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-HEX_BITS, MIXED_BITS = 3.0, 3.7
-#: Forms that are no secrets.
+#: Bits at which a window counts, by the classes of its characters; a window of
+#: digits alone never does.
+HEX_BITS, LETTER_BITS, MIXED_BITS = 3.0, 4.0, 3.7
+#: Forms that are no secrets, and words that end a candidate.
 ALLOWED = (
     r"^[A-Za-z_=-]+$",
     r"^[0-9_=+/-]+$",
     r"^(/|[a-z0-9]+-)?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|x{6}|0123456789|abcdefgh",
 )
+PLACEHOLDERS = ("example", "placeholder", "changeme", "xxxxxx", "0123456789", "abcdefgh")
+#: A candidate's characters, class by class.
+DIGITS, LOW_HEX, LOW, HIGH_HEX, HIGH, SYMBOLS = "0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_=-"
+CLASSES = {"digits": DIGITS, "low_hex": LOW_HEX, "low": LOW, "high_hex": HIGH_HEX, "high": HIGH, "symbols": SYMBOLS}
+ALPHABET = "".join(CLASSES.values())
+#: Elements that a fold appends one by one before it starts another array.
+CHUNK = 128
+
+
+def collected(items: Column, state: Column, step, element: str) -> Column:
+    """The elements that a fold makes, as one array. ``step(acc, x)`` gives the
+    fields of the next state and the new element. Elements are appended to
+    arrays of at most ``CHUNK``, so no long array is copied for each of them."""
+    kind = f"array<{element}>"
+    none = F.array().cast(kind)
+    start = F.struct(state.alias("s"), none.alias("few"), F.array().cast(f"array<{kind}>").alias("done"))
+
+    def next_(acc: Column, x: Column) -> Column:
+        new, made = step(acc["s"], x)
+        full = F.size(acc["few"]) >= CHUNK
+        few = F.array_append(F.when(full, none).otherwise(acc["few"]), made).cast(kind)
+        return F.struct(new.alias("s"), few.alias("few"), F.when(full, F.array_append(acc["done"], acc["few"])).otherwise(acc["done"]).cast(f"array<{kind}>").alias("done"))
+
+    return F.aggregate(items, start, next_, lambda acc: F.flatten(F.array_append(acc["done"], acc["few"])))
 
 
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of the pattern's matches in order: the
     lengths of the pieces between the matches and of these add up."""
-    spans = "array<struct<start:int,end:int,hit:string>>"
-    none = F.array().cast(spans)
+    element = "struct<start:int,end:int,hit:string>"
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["piece"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.char_length(x["piece"])
         end = start + F.char_length(x["hit"])
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))).cast(spans).alias("spans"))
+        return end, F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
 
     pairs = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), collected(pairs, F.lit(0), step, element)).otherwise(F.array().cast(f"array<{element}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -70,39 +97,56 @@ def base_spans(text: Column) -> Column:
 
 def hot_range(hit: Column) -> Column:
     """struct<first, last>: starts of the first and last window of a candidate
-    whose entropy reaches its class's bound, -1 if none does. One fold over the
-    characters that carries the window, so time is linear in the length."""
-    bits = F.when(hit.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS))
+    whose entropy reaches the bound of its classes, -1 if none does. One fold
+    over pairs of a leaving and an entering character, so time is linear."""
     # entropy = log2(w) - sum(c * log2 c) / w: the sum is what changes by counts
-    most = (F.log2(F.lit(float(WINDOW))) - bits) * WINDOW + 1e-9
+    most = lambda bits: (math.log2(WINDOW) - bits) * WINDOW + 1e-9
     clog = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    count = lambda window, c: F.char_length(window) - F.char_length(F.replace(window, c, F.lit("")))
-
-    def state(at: Column, total: Column, window: Column, first: Column, last: Column, most: Column) -> Column:
-        hot = total <= most
-        return F.struct(
-            at.alias("at"), total.alias("sum"), window.alias("window"), F.when(hot & (first < 0), at).otherwise(first).alias("first"), F.when(hot, at).otherwise(last).alias("last"), most.alias("most")
-        )
+    codes = F.transform(F.split(hit, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    come = F.filter(codes, lambda c: c > 0)
+    pairs = F.zip_with(F.slice(F.concat(F.array_repeat(F.lit(0), WINDOW), come), 1, F.size(come)), come, lambda o, i: F.struct(o.alias("out"), i.alias("come")))
+    ranges, at = {}, 0
+    for name, chars in CLASSES.items():
+        ranges[name] = at + 1, at + len(chars)
+        at += len(chars)
 
-    def step(acc: Column, come: Column) -> Column:
-        gone, rest = F.substring(acc["window"], 1, 1), F.substring(acc["window"], 2, WINDOW)
-        out, into = count(acc["window"], gone), count(rest, come)
-        total = acc["sum"] - clog(out) + clog(out - 1) - clog(into) + clog(into + 1)
-        return state(acc["at"] + 1, total, F.concat(rest, come), acc["first"], acc["last"], acc["most"])
-
-    head = F.substring(hit, 1, WINDOW)
-    letters = F.array_distinct(F.regexp_extract_all(head, F.lit("."), F.lit(0)))
-    start = F.aggregate(letters, F.lit(0.0), lambda acc, c: acc + clog(count(head, c)))
-    zero = state(F.lit(0), start, head, F.lit(-1), F.lit(-1), most)
-    following = F.regexp_extract_all(F.substring(hit, F.lit(WINDOW + 1), F.char_length(hit)), F.lit("."), F.lit(0))
-    return F.aggregate(following, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    def step(acc: Column, x: Column) -> Column:
+        out, into = x["out"], x["come"]
+        n_out = F.get(acc["counts"], out - 1)
+        n_in = F.get(acc["counts"], into - 1)
+        moved = F.when(out == into, F.lit(0.0)).otherwise(F.when(out > 0, clog(n_out - 1) - clog(n_out)).otherwise(F.lit(0.0)) + clog(n_in + 1) - clog(n_in))
+        counts = F.when(out == into, acc["counts"]).otherwise(F.transform(acc["counts"], lambda n, j: F.when(j == into - 1, n + 1).when(j == out - 1, n - 1).otherwise(n)))
+        n = {c: acc[c] + into.between(*r).cast("int") - out.between(*r).cast("int") for c, r in ranges.items()}
+        total, place = acc["sum"] + moved, acc["at"] + 1
+        return F.struct(place.alias("at"), total.alias("sum"), counts.alias("counts"), *(v.alias(c) for c, v in n.items()), *marks(acc, place, total, n))
+
+    def marks(acc: Column, place: Column, total: Column, n: dict[str, Column]) -> list[Column]:
+        plain = n["symbols"] == 0
+        lows, highs = n["low_hex"] + n["low"], n["high_hex"] + n["high"]
+        digits = n["digits"] == WINDOW
+        hexes = plain & (n["low"] + n["high"] == 0) & ((n["low_hex"] == 0) | (n["high_hex"] == 0))
+        letters = (lows == WINDOW) | (highs == WINDOW)
+        bound = F.when(digits, F.lit(-1.0)).when(hexes, F.lit(most(HEX_BITS))).when(letters, F.lit(most(LETTER_BITS))).otherwise(F.lit(most(MIXED_BITS)))
+        hot, start = (place >= WINDOW) & (total <= bound), place - WINDOW
+        return [F.when(hot & (acc["first"] < 0), start).otherwise(acc["first"]).alias("first"), F.when(hot, start).otherwise(acc["last"]).alias("last")]
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), *(F.lit(0).alias(c) for c in CLASSES), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    return F.aggregate(pairs, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+
+def blanked(text: Column) -> Column:
+    """The text with placeholder words blanked, of the same length."""
+    out = text
+    for word in PLACEHOLDERS:
+        out = F.regexp_replace(out, f"(?i){word}", " " * len(word))
+    return F.when(text.rlike("(?i)" + "|".join(PLACEHOLDERS)), out).otherwise(text)
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
     """Spans of the method, in the form of ``base_spans``."""
     kind = len(KINDS)
     allowed = lambda hit: F.array_contains(F.array(*(hit.rlike(p) for p in ALLOWED)), F.lit(True))
-    candidates = F.filter(located(text, CANDIDATE), lambda s: ~allowed(s["hit"]))
+    candidates = F.filter(located(blanked(text), CANDIDATE), lambda s: ~allowed(s["hit"]))
     ranged = F.transform(candidates, lambda s: F.struct(s["start"].alias("start"), hot_range(s["hit"]).alias("r")))
     hot = F.transform(
         F.filter(ranged, lambda s: s["r"]["first"] >= 0),
@@ -135,11 +179,13 @@ def redact(documents: DataFrame, text: str = "text", mark: str = "[SECRET]") ->
     base, spans = fresh(documents, "base"), fresh(documents, "spans")
     body = F.col(text)
 
-    def step(acc: Column, s: Column) -> Column:
-        # acc: text so far, and the first code point that is not in it yet
-        ahead = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.when(ahead, F.concat(body.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))).otherwise(F.lit("")))
-        return F.struct(piece.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        # the first code point that isn't dealt with, and the piece kept before this span, null inside the last one
+        kept = F.when((s["start"] >= at), F.struct(at.alias("at"), (s["start"] - at).alias("n")))
+        return F.greatest(at, s["end"]), kept
 
-    clean = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.char_length(body))))
+    kept = F.filter(collected(F.col(spans), F.lit(0), step, "struct<at:int,n:int>"), lambda x: x.isNotNull())
+    pieces = F.transform(kept, lambda x: F.concat(body.substr(x["at"] + 1, x["n"]), F.lit(mark)))
+    rest = body.substr(F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.char_length(body))
+    clean = F.concat(F.array_join(pieces, ""), rest)
     return scan(documents, text, base, spans).withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(body)).select(columns)
