@@ -26,6 +26,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ MAX_ROWS, MAX_WORDS, MAX_CHARS = 600, 150_000, 50_000
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.9
 #: Words that a worker remembers before it starts afresh.
 CACHE_WORDS = 100_000
-#: Bytes of text in one call of the recursions.
-BLOCK_BYTES = 1 << 20
+#: Bytes of text in one call of the recursions, and words that they go over one by one.
+BLOCK_BYTES, STRETCH = 1 << 20, 256
 UNKNOWN = "und"
 _OTHER = re.compile(r"[^\w\n]|[\d_]")
 _PLACE = mix(np.arange(31, 35, dtype=np.uint64)) | np.uint64(1)
@@ -131,8 +132,50 @@ class Model:
         return np.stack([np.bincount(owner, self.weights[row, j], len(words)) for j in range(len(self.labels))], 1)
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Label distribution of each word. Long sequences are cut into stretches
+    that the recursions go over side by side; what a stretch does to the
+    messages at its borders is a matrix, so the result is the same."""
+    counts = -(-lengths // STRETCH)
+    if counts.max(initial=0) <= 1:
+        return forward_backward(scores, lengths, moves)[0]
+    k, total = scores.shape[1], int(counts.sum())
+    last = np.cumsum(counts) - 1
+    sizes = np.full(total, STRETCH)
+    sizes[last] = lengths - (counts - 1) * STRETCH
+    before, behind = np.ones((total, k)), np.ones((total, k))
+    inner = np.flatnonzero(np.repeat(counts > 1, counts))
+    begin = (np.cumsum(sizes) - sizes)[inner]
+    t = np.exp(moves - moves.max())
+    emit = np.maximum(np.exp(scores - scores.max(1, keepdims=True)), 1e-30)
+    maps = np.broadcast_to(np.eye(k), (len(inner), k, k)).copy()
+    for i in range(STRETCH):  # each stretch's product of steps, from the message before to the one behind
+        on = np.flatnonzero(sizes[inner] > i)
+        m = (maps[on] @ t) * emit[begin[on] + i][:, None, :]
+        maps[on] = m / m.sum((1, 2), keepdims=True)
+    place = dict(zip(inner.tolist(), range(len(inner)), strict=True))
+    end, n = last[counts > 1], counts[counts > 1]
+    head = (np.cumsum(lengths) - lengths)[counts > 1]
+    ahead = emit[head]  # the first word of a sequence has no step before it
+    for i in range(1, STRETCH):
+        ahead = (ahead @ t) * emit[head + i]
+        ahead /= ahead.sum(1, keepdims=True)
+    for a, end, first in zip(ahead, end.tolist(), (end - n + 1).tolist(), strict=True):
+        for c in range(first + 1, end + 1):
+            before[c] = a @ t
+            a = a @ maps[place[c]]
+            a = a / a.sum()
+        b = np.ones(k)
+        for c in range(end, first, -1):
+            b = maps[place[c]] @ b
+            b = b / b.sum()
+            behind[c - 1] = b
+    return forward_backward(scores, sizes, moves, before, behind)[0]
+
+
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Label distribution of each word, and the expected counts of transitions.
+    ``before`` and ``behind`` are messages into each sequence, if any.
 
     ``scores`` holds the sequences' emission scores end to end. The steps run
     over all sequences at once, longest first, so step t has those left."""
@@ -154,10 +197,10 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray)
     a = None
     for i in range(steps):
         k, now = alive[i], e[first[i] : first[i + 1]]
-        a = now.copy() if i == 0 else (a[:k] @ t) * now
-        a /= a.sum(1, keepdims=True)
+        a = (now if before is None else now * before[order]) if i == 0 else (a[:k] @ t) * now
+        a = a / a.sum(1, keepdims=True)
         f[first[i] : first[i + 1]] = a
-    b = np.ones((alive[0] if steps else 0, labels))
+    b = np.ones((alive[0] if steps else 0, labels)) if behind is None else behind[order]
     counts = np.zeros((labels, labels))
     for i in range(steps - 1, -1, -1):
         k, here = alive[i], slice(first[i], first[i + 1])
@@ -250,9 +293,8 @@ class Predictor:
             self.scores = np.concatenate([self.scores, self.model.emissions(new).astype(np.float32)])
             self.letters = np.concatenate([self.letters, [any(map(str.isalpha, w)) for w in new]])
         lengths = np.array([len(d) for d in docs], np.int64)
-        ids = np.fromiter((i for d in docs for i in map(self.rows.__getitem__, d)), np.int64, lengths.sum())
-        post, _ = forward_backward(self.scores[ids], lengths[lengths > 0], self.model.moves)
-        return post, self.letters[ids]
+        ids = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(docs)), np.int64, lengths.sum())
+        return posteriors(self.scores[ids], lengths[lengths > 0], self.model.moves), self.letters[ids]
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         model, docs = self.model, [t.split() if t else [] for t in texts]

@@ -379,6 +379,13 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(post, np.concatenate(expected)) and np.allclose(counts, pairs)
 
 
+def test_long_sequences_equal_whole_ones():
+    rng = np.random.default_rng(1)
+    lengths = np.array([3, 700, 256, 1, 257, 1025, 20])
+    scores, moves = 3 * rng.normal(size=(lengths.sum(), 4)), rng.normal(size=(4, 4))
+    assert np.allclose(langid.posteriors(scores, lengths, moves), langid.forward_backward(scores, lengths, moves)[0])
+
+
 def brute_language(model, text):
     """One document's answer, word by word, from the model's weights."""
     parts = (text or "").split()
