@@ -6,13 +6,16 @@ strings. Executors memory-map the keys, probe all candidates of a batch of urls
 rules have) by one vectorised binary search, and confirm hits on the stored
 strings, so that a colliding key changes nothing. The longest fitting rule wins.
 
-The array is sent to the executors only up to ``MAX_BYTES``; larger rule sets
-are joined with the candidates on the key, in Spark.
+An array of up to ``MAX_BYTES`` is sent to all executors. Larger rule sets are
+dealt to several such arrays by a hash; the distinct candidates are dealt alike
+and probe the array of their shard in the same way.
 
 Edge cases: a null url, or one without ``://``, has empty host and path and no
 rule; an empty rule set gives every url the default verdict; of repeated rules
 the first verdict in alphabetical order holds; repeated rows give equal rows;
-extra columns are not read.
+extra columns are not read; only host suffixes of lengths that rules have are
+tried, so a host of very many labels costs no more than its length times these.
+Verdicts are whatever strings the rules hold.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import lean
+from fieldtrust.llm.common import cut, lean
 
 #: Largest rule table that is sent whole.
 MAX_BYTES = 64 << 20
@@ -50,13 +53,15 @@ def rule_text(host: str, path: str) -> bytes:
     return f"{host}\0{path}".encode()
 
 
-def candidates(host: str, path: str, sizes: list[int]) -> list[bytes]:
-    """Strings of the rules that would fit, longest hosts first."""
+def candidates(host: str, path: str, sizes: list[int], lengths: frozenset[int]) -> list[bytes]:
+    """Strings of the rules that would fit, longest hosts first. ``sizes`` and
+    ``lengths``: those of the rules' paths and hosts."""
     if not host:
         return []
-    hosts, at = [host], 0
+    starts, at = [0], 0
     while (at := host.find(".", at) + 1) > 0:
-        hosts.append(host[at:])
+        starts.append(at)
+    hosts = [host[i:] for i in starts if len(host) - i in lengths]
     return [rule_text(h, path[:n]) for h in hosts if h for n in sizes if n <= len(path)]
 
 
@@ -72,18 +77,18 @@ class DigestTable:
         n = int(np.frombuffer(self.map, np.int64, 1)[0])
         self.keys = np.frombuffer(self.map, np.uint64, n, 8)
         self.ends = np.frombuffer(self.map, np.int64, n, 8 + 8 * n)
-        self.block = np.frombuffer(self.map, np.uint8, n, 8 + 16 * n)
-        self.base = 8 + 17 * n
+        self.code = np.frombuffer(self.map, np.int32, n, 8 + 16 * n)
+        self.base = 8 + 20 * n
 
     @staticmethod
-    def pack(rules: list[tuple[bytes, bool]]) -> bytes:
-        """rules: (string, block?), distinct strings."""
+    def pack(rules: list[tuple[bytes, int]]) -> bytes:
+        """rules: (string, code), distinct strings."""
         rules = sorted((xxhash.xxh64_intdigest(t), t, b) for t, b in rules)
         parts = [
             np.array([len(rules)], np.int64),
             np.array([k for k, _, _ in rules], np.uint64),
             np.cumsum([len(t) for _, t, _ in rules], dtype=np.int64),
-            np.array([b for _, _, b in rules], np.uint8),
+            np.array([b for _, _, b in rules], np.int32),
         ]
         return b"".join(p.tobytes() for p in parts) + b"".join(t for _, t, _ in rules)
 
@@ -111,28 +116,29 @@ class DigestTable:
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(key, host, path, rule, verdict). ``rules``: host, path, verdict."""
     rules = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    sizes = sorted(r[0] for r in rules.select(F.char_length("path")).distinct().collect())  # as many as lengths of rule paths
     total = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 32)).first()[0] or 0
-    return _mapped(pages, rules, sizes, key, url, default) if total <= max_bytes else _joined(pages, rules, sizes, key, url, default)
-
-
-def _mapped(pages: DataFrame, rules: DataFrame, sizes: list[int], key: str, url: str, default: str) -> DataFrame:
-    packed = pages.sparkSession.sparkContext.broadcast(DigestTable.pack([(rule_text(r["host"], r["path"]), r["verdict"] == "block") for r in rules.collect()]))
+    length = lambda c: [r[0] for r in rules.select(F.char_length(c)).distinct().collect()]  # noqa: E731  as many as lengths occur
+    sizes, lengths = sorted(length("path")), frozenset(length("host"))
     kind = pages.schema[key].dataType.simpleString()
+    if total > max_bytes:
+        return _sharded(pages, rules, sizes, lengths, key, url, default, -(-total // max(max_bytes, 1 + total // 4)))
+    listed = rules.collect()
+    verdicts = sorted({r["verdict"] or default for r in listed})
+    packed = pages.sparkSession.sparkContext.broadcast(DigestTable.pack([(rule_text(r["host"], r["path"]), verdicts.index(r["verdict"] or default)) for r in listed]))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = DigestTable(packed.value)
         for b in batches:
             parts = [split_url(u) for u in b.column(url).to_pylist()]
-            tried = [candidates(h, p, sizes) for h, p in parts]
+            tried = [candidates(h, p, sizes, lengths) for h, p in parts]
             flat = [t for c in tried for t in c]
             hits, at, rule, verdict = table.find(flat), 0, [], []
             for c in tried:
                 best = max(((len(flat[i]), flat[i], int(hits[i])) for i in range(at, at + len(c)) if hits[i] >= 0), default=None)
                 at += len(c)
                 rule.append(best and best[1].replace(b"\0", b"").decode())
-                verdict.append(("block" if table.block[best[2]] else "allow") if best else default)
+                verdict.append(verdicts[table.code[best[2]]] if best else default)
             yield pa.RecordBatch.from_arrays(
                 [b.column(key), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())],
                 [key, "host", "path", "rule", "verdict"],
@@ -141,27 +147,36 @@ def _mapped(pages: DataFrame, rules: DataFrame, sizes: list[int], key: str, url:
     return pages.select(key, url).mapInArrow(run, f"{key} {kind}, host string, path string, rule string, verdict string")
 
 
-def _joined(pages: DataFrame, rules: DataFrame, sizes: list[int], key: str, url: str, default: str) -> DataFrame:
-    """The same for any number of rules: distinct candidates meet the rules in
-    a join, first on distinct (host, path) pairs, then on the pages."""
-    at = F.locate("://", url)
-    rest = F.when(at > 0, F.regexp_extract(F.expr(f"substring(`{url}`, locate('://', `{url}`) + 3)"), r"(?s)^([^?#]*)", 1)).otherwise("")
-    lower = F.translate(F.substring_index("rest", "/", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = F.expr("substring(rest, char_length(substring_index(rest, '/', 1)) + 1)")
-    parts = pages.withColumn("rest", F.coalesce(rest, F.lit(""))).select(key, lower.alias("host"), path.alias("path"))
-    labels = F.split("host", "\\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    tried = (
-        parts.select("host", "path")
-        .distinct()
-        .select("host", "path", F.explode(hosts).alias("h"))
-        .where("h <> ''")
-        .select("host", "path", "h", F.explode(F.array(*map(F.lit, sizes))).alias("n"))
-        .where(F.col("n") <= F.char_length("path"))
-        .select("host", "path", "h", F.expr("left(path, n)").alias("p"))
-    )
-    listed = rules.select(F.xxhash64("host", "path").alias("digest"), F.col("host").alias("rh"), F.col("path").alias("rp"), "verdict")
-    hits = tried.withColumn("digest", F.xxhash64("h", "p")).join(listed, "digest").where("h = rh AND p = rp")
-    size = F.octet_length("rh") + F.octet_length("rp")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(size.alias("s"), F.concat("rh", "rp").alias("rule"), "verdict")).alias("b"))
-    return parts.join(best, ["host", "path"], "left").select(key, "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+def _sharded(pages: DataFrame, rules: DataFrame, sizes: list[int], lengths: frozenset[int], key: str, url: str, default: str, shards: int) -> DataFrame:
+    """The same with as many arrays as the rules need. Candidates are distinct,
+    so no shard holds a frequent host more than once."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    @lean
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [split_url(u) for u in b.column(url).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array([x[i] for x in parts], pa.string()) for i in (0, 1))], [key, "host", "path"])
+
+    @lean
+    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tried = [candidates(h, p, sizes, lengths) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
+            row = pa.array(np.repeat(np.arange(b.num_rows), list(map(len, tried))))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in ("host", "path")), pa.array([t for c in tried for t in c], pa.binary())], ["host", "path", "tried"])
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, verdicts = left["tried"].to_pylist(), right["verdict"].to_pylist()
+        table = DigestTable(DigestTable.pack(list(zip(right["text"].to_pylist(), range(len(right)), strict=True))))
+        found = [(t, verdicts[table.code[i]]) for t, i in zip(texts, table.find(texts).tolist(), strict=True) if i >= 0]
+        return pa.table([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())], ["tried", "verdict"])
+
+    parts = cut(pages.select(key, url).mapInArrow(split, f"{key} {kind}, host string, path string"), "urls")
+    tried = cut(parts.select("host", "path").distinct().mapInArrow(tries, "host string, path string, tried binary"), "tried")
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
+    listed = rules.select(F.concat(F.col("host").cast("binary"), F.lit(b"\0"), F.col("path").cast("binary")).alias("text"), F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    once = tried.select("tried").distinct().withColumn("shard", shard("tried"))
+    hits = once.groupBy("shard").cogroup(listed.withColumn("shard", shard("text")).groupBy("shard")).applyInArrow(probe, "tried binary, verdict string")
+    best = tried.join(cut(hits, "hits"), "tried").groupBy("host", "path").agg(F.max(F.struct(F.octet_length("tried").alias("n"), "tried", "verdict")).alias("b"))
+    rule = F.replace(F.decode("b.tried", "UTF-8"), F.lit("\0"), F.lit(""))
+    return parts.join(cut(best, "rules"), ["host", "path"], "left").select(key, "host", "path", rule.alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))

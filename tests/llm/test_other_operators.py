@@ -124,7 +124,7 @@ def test_components_of_a_long_chain(spark):
 # ---------------------------------------------------------------- urls
 
 URLS = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/a?x#y", "https://a.www.example.com/en/", "https://www.example.com/", "https://www.example.com", "http://example.com/en", "http://x.net/es/1", "http://net/fr/", "http://example.network/es/",
-        "http://a?b/c", "ftp://h#/es/", "http://x.net/es/1", "http://user@x.net:80/fr/", "http://ünï.net/fr/ü", "x" * 3000 + "://b.com/" + "p" * 9000]
+        "http://a?b/c", "ftp://h#/es/", "http://x.net/es/1", "http://user@x.net:80/fr/", "http://ünï.net/fr/ü", "x" * 3000 + "://b.com/" + "p" * 9000, "http://" + "a." * 20_000 + "net/es/", "http://x.net/es/\0"]
 
 
 def brute(url):
@@ -143,6 +143,8 @@ def test_url_rules(spark, max_bytes):
     rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
     got = by_id(urls.judge(pages, rules, max_bytes=max_bytes), "page_id")
     assert {i: tuple(r)[1:] for i, r in got.items()} == {i: brute(u) for i, u in enumerate(URLS)}
+    other = rules.selectExpr("host", "path", "concat(verdict, '?') AS verdict")
+    assert {r.verdict for r in urls.judge(pages, other, max_bytes=max_bytes).collect()} == {"allow?", "block?", "allow"}
     none = urls.judge(pages, rules.where("false"), max_bytes=max_bytes).collect()
     assert {r.verdict for r in none} == {"allow"} and len(none) == len(URLS)
     assert urls.judge(pages.where("false"), rules, max_bytes=max_bytes).collect() == []
