@@ -61,11 +61,11 @@ def wer(pred: Column, gold: Column) -> Column:
 
 
 def _private(n: Column) -> Column:
-    """A character for n: three bytes of UTF-8 from U+4E00 on."""
-    point = (n + 0x4E00).cast("int")
+    """A character for n, which may reach a million: four bytes of UTF-8 from U+10000 on."""
+    point = (n + 0xFFFF).cast("int")
     octet = lambda x: F.lpad(F.hex(x), 2, "0")
-    first, second, third = F.shiftright(point, 12) + 0xE0, F.shiftright(point, 6).bitwiseAND(0x3F) + 0x80, point.bitwiseAND(0x3F) + 0x80
-    return F.decode(F.unhex(F.concat(octet(first), octet(second), octet(third))), "utf-8")
+    low = [F.shiftright(point, k).bitwiseAND(0x3F) + 0x80 for k in (12, 6, 0)]
+    return F.decode(F.unhex(F.concat(*map(octet, (F.shiftright(point, 18) + 0xF0, *low)))), "utf-8")
 
 
 def anls_term(pred: Column, gold: Column, tau: float = 0.5) -> Column:

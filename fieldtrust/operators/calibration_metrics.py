@@ -16,7 +16,11 @@ def edges(bins: int) -> list[float]:
 
 def bin_of(conf: Column, bins: int) -> Column:
     """Bin of (lo, hi]; 0 is in the first."""
-    return F.size(F.filter(F.array(*map(F.lit, edges(bins))), lambda e: e < conf))
+    step = 1.0 / bins
+    guess = F.least(F.lit(bins - 1), F.greatest(F.lit(0), (F.ceil(conf * bins) - 1).cast("int")))
+    # the edges are multiples of a rounded step: one of them may lie on the other side of the guess
+    low = F.when((guess > 0) & ~(guess * F.lit(step) < conf), guess - 1).otherwise(guess)
+    return F.coalesce(F.when((low < bins - 1) & ((low + 1) * F.lit(step) < conf), low + 1).otherwise(low), F.lit(0))
 
 
 def reliability_bins(outcomes: DataFrame, by: list[str], bins: int = 15) -> DataFrame:

@@ -36,7 +36,8 @@ def fit_histogram(outcomes: DataFrame, by: list[str], bins: int = 15) -> DataFra
 
 
 def apply_histogram(rows: DataFrame, fitted: DataFrame, by: list[str], bins: int = 15) -> DataFrame:
-    return rows.withColumn("bin", bin_of(F.col("conf"), bins)).join(F.broadcast(fitted), [*by, "bin"]).drop("bin")  # bins x keys rows
+    """``rows`` with calibrated, null for keys that the fit hasn't seen."""
+    return rows.withColumn("bin", bin_of(F.col("conf"), bins)).join(fitted, [*by, "bin"], "left").drop("bin")
 
 
 # ------------------------------------------------------------- temperature
@@ -58,7 +59,8 @@ def fit_temperature(outcomes: DataFrame, by: list[str], steps: int = 41, rounds:
 
 
 def apply_temperature(rows: DataFrame, fitted: DataFrame, by: list[str]) -> DataFrame:
-    return rows.join(fitted, by).withColumn("calibrated", sigmoid(logit(F.col("conf")) / F.exp("log_t"))).drop("log_t")
+    """``rows`` with calibrated, null for keys that the fit hasn't seen."""
+    return rows.join(fitted, by, "left").withColumn("calibrated", sigmoid(logit(F.col("conf")) / F.exp("log_t"))).drop("log_t")
 
 
 # ------------------------------------------------------------- learned

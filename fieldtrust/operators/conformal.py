@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.functions.text import loose_number
-from fieldtrust.operators.prefix import cumulated, tie_groups
+from fieldtrust.operators.prefix import cumulated, tie_groups, times
 from fieldtrust.operators.resampling import uniform
 from fieldtrust.operators.selective_metrics import detection
 
@@ -53,6 +53,15 @@ def by_taxonomy(outcomes: DataFrame, value: str = "value", support: str = "suppo
     return outcomes.withColumn("t", F.explode(F.array(*every))).select("*", "t.rank", "t.taxonomy", "t.grp").drop("t")
 
 
+def taxonomy_counts(outcomes: DataFrame, by: list[str], value: str = "value", support: str = "support") -> DataFrame:
+    """(by, conf, correct, n_rows, rank, taxonomy, grp): rows are counted by all
+    their groups at once, and only the counts are repeated for each taxonomy."""
+    named = taxonomies(F.col(value), F.col(support))
+    counts = outcomes.groupBy(*by, "conf", "correct", *(g.alias(f"in_{k}") for k, g in named.items())).agg(F.count(F.lit(1)).alias("n_rows"))
+    every = [F.struct(F.lit(i).alias("rank"), F.lit(k).alias("taxonomy"), F.col(f"in_{k}").alias("grp")) for i, k in enumerate(named)]
+    return counts.withColumn("each_", F.explode(F.array(*every))).select(*by, "conf", "correct", "n_rows", "each_.*")
+
+
 # ------------------------------------------------------------- thresholds
 
 
@@ -72,29 +81,39 @@ def grouped_thresholds(cal: DataFrame, by: list[str], group: str, alphas: list[f
     return own.unionByName(thresholds(cal, by, alphas).withColumn(group, F.lit(None).cast("string")))
 
 
-def apply_grouped(test: DataFrame, fitted: DataFrame, by: list[str], group: str, pooled_fallback: bool = True) -> DataFrame:
+def apply_thresholds(test: DataFrame, fitted: DataFrame, by: list[str], alphas: list[float]) -> DataFrame:
+    """``test`` for each alpha with ``accept``; keys without a threshold are reviewed."""
+    each = test.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    return each.join(fitted, [*by, "alpha"], "left").withColumn("accept", F.coalesce(F.col("conf") >= F.col("threshold"), F.lit(False)))
+
+
+def apply_grouped(test: DataFrame, fitted: DataFrame, by: list[str], group: str, alphas: list[float], pooled_fallback: bool = True) -> DataFrame:
     """``test`` for each alpha with ``accept``. A group that was not seen takes
-    the pooled threshold, or is reviewed without the fallback."""
+    the pooled threshold, or is reviewed without the fallback; so are keys
+    without any threshold."""
     own = fitted.where(F.col(group).isNotNull()).select(*by, group, "alpha", F.col("threshold").alias("t_own"), F.lit(True).alias("seen"))
     pooled = fitted.where(F.col(group).isNull()).select(*by, "alpha", F.col("threshold").alias("t_pooled"))
-    both = test.join(pooled, by).join(own, [*by, group, "alpha"], "left")
+    each = test.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    both = each.join(pooled, [*by, "alpha"], "left").join(own, [*by, group, "alpha"], "left")
     fallback = F.col("t_pooled") if pooled_fallback else F.lit(None).cast("double")
     threshold = F.when(F.coalesce("seen", F.lit(False)), F.col("t_own")).otherwise(fallback)
     return both.withColumn("accept", F.coalesce(F.col("conf") >= threshold, F.lit(False))).drop("t_own", "t_pooled", "seen")
 
 
 def coverage_and_risk(accepted: DataFrame, by: list[str]) -> DataFrame:
-    n = F.sum(F.col("accept").cast("int"))
-    wrong = F.sum((F.col("accept") & (F.col("correct") == 0)).cast("int"))
-    return accepted.groupBy(*by).agg((n / F.count(F.lit(1))).alias("coverage"), F.when(n > 0, wrong / n).otherwise(F.lit(0.0)).alias("risk"))
+    rows = times(accepted)
+    n = F.sum(F.col("accept").cast("int") * rows)
+    wrong = F.sum((F.col("accept") & (F.col("correct") == 0)).cast("int") * rows)
+    return accepted.groupBy(*by).agg((n / F.sum(rows)).alias("coverage"), F.when(n > 0, wrong / n).otherwise(F.lit(0.0)).alias("risk"))
 
 
 def ablation(cal: DataFrame, test: DataFrame, by: list[str], alphas: list[float]) -> DataFrame:
     """(by, taxonomy, alpha, coverage, risk) of every taxonomy, and pooled."""
     keys = [*by, "taxonomy"]
-    fitted = grouped_thresholds(by_taxonomy(cal), keys, "grp", alphas)
-    grouped = coverage_and_risk(apply_grouped(by_taxonomy(test), fitted, keys, "grp"), [*keys, "alpha"])
-    pooled = test.join(thresholds(cal, by, alphas), by).withColumn("accept", F.coalesce(F.col("conf") >= F.col("threshold"), F.lit(False)))
+    fitted = grouped_thresholds(taxonomy_counts(cal, by), keys, "grp", alphas)
+    grouped = coverage_and_risk(apply_grouped(taxonomy_counts(test, by), fitted, keys, "grp", alphas), [*keys, "alpha"])
+    counts = test.groupBy(*by, "conf", "correct").agg(F.count(F.lit(1)).alias("n_rows"))
+    pooled = apply_thresholds(counts, thresholds(cal, by, alphas), by, alphas)
     return grouped.unionByName(coverage_and_risk(pooled, [*by, "alpha"]).withColumn("taxonomy", F.lit("pooled")))
 
 
@@ -102,9 +121,9 @@ def select_taxonomy(select: DataFrame, by: list[str], alphas: list[float]) -> Da
     """(by, alpha, taxonomy, coverage): largest in-sample coverage on the
     selection split, the first of the catalogue on ties."""
     keys = [*by, "taxonomy", "rank"]
-    rows = by_taxonomy(select)
+    rows = taxonomy_counts(select, by)
     fitted = grouped_thresholds(rows, keys, "grp", alphas)
-    found = coverage_and_risk(apply_grouped(rows, fitted, keys, "grp"), [*keys, "alpha"])
+    found = coverage_and_risk(apply_grouped(rows, fitted, keys, "grp", alphas), [*keys, "alpha"])
     best = found.groupBy(*by, "alpha").agg(F.max(F.struct("coverage", (-F.col("rank")).alias("order"), "taxonomy")).alias("b"))
     return best.select(*by, "alpha", "b.taxonomy", "b.coverage")
 
@@ -117,8 +136,8 @@ def coverage_gain(cal: DataFrame, by: list[str], group: Column, alpha: float, ha
     keys = [*by, "h"]
     fitted = grouped_thresholds(halved.where("fit"), keys, "grp", [alpha])
     held = halved.where("NOT fit")
-    grouped = coverage_and_risk(apply_grouped(held, fitted, keys, "grp"), keys).select(*keys, F.col("coverage").alias("g"))
-    pooled = held.join(fitted.where(F.col("grp").isNull()).select(*keys, "threshold"), keys).withColumn("accept", F.coalesce(F.col("conf") >= F.col("threshold"), F.lit(False)))
+    grouped = coverage_and_risk(apply_grouped(held, fitted, keys, "grp", [alpha]), keys).select(*keys, F.col("coverage").alias("g"))
+    pooled = apply_thresholds(held, fitted.where(F.col("grp").isNull()).select(*keys, "alpha", "threshold"), keys, [alpha])
     both = coverage_and_risk(pooled, keys).select(*keys, F.col("coverage").alias("p")).join(grouped, keys)
     return both.groupBy(*by).agg(F.avg(F.col("g") - F.col("p")).alias("gain"))
 

@@ -1,8 +1,11 @@
 """Grounding: where a value stands on its pages, and how surely.
 
-A two-branch plan: values that some window of words equals exactly are found by
-a hash join on the window's text; only the others go on to the fuzzy branch,
-whose windows are those near a word that equals one of the value's.
+Words are gathered into one array for each page, which meets the document's
+values in one join; a pair of page and value is judged inside its row. A
+verbatim window decides a page; only pages without one are searched for near
+matches, among the windows near a word that equals one of the value's, or for
+long values by bags of words. A window holds places and text only, never a copy
+of its page, so a row grows with the page and not with its square.
 """
 
 from __future__ import annotations
@@ -26,85 +29,109 @@ def penalty(score: Column, n: Column, mode: str = "uniform") -> Column:
 
 
 def targets(predictions: DataFrame) -> DataFrame:
-    """(doc_id, path, target, n_tokens) of the values to find."""
+    """(doc_id, path, target, tokens, n_tokens) of the values to find."""
     t = predictions.where(F.col("value").isNotNull()).select("doc_id", "path", match_form(F.col("value")).alias("target")).where("target <> ''")
-    return t.withColumn("n_tokens", F.size(F.split("target", " ")))
+    return t.withColumn("tokens", F.split("target", " ")).withColumn("n_tokens", F.size("tokens"))
 
 
 def page_words(words: DataFrame) -> DataFrame:
-    """(doc_id, page, ws): the words of each page in order."""
-    rows = words.select("doc_id", "page", F.struct("pos", match_form(F.col("text")).alias("t"), "x0", "y0", "x1", "y1").alias("w"))
-    return rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("w")).alias("ws"))
-
-
-def _windows(pages: DataFrame, width: Column) -> DataFrame:
-    """(..., start, width, joined) of each page's windows up to ``width``."""
-    starts = pages.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("ws"))))
-    wide = starts.withColumn("width", F.explode(F.sequence(F.lit(1), F.least(width, F.size("ws") - F.col("start") + 1))))
-    return wide.withColumn("joined", F.array_join(F.transform(F.slice("ws", F.col("start"), F.col("width")), lambda w: w["t"]), " "))
+    """(doc_id, page, ws, ts, bs): the words of each page in order, their texts and boxes."""
+    rows = words.select("doc_id", "page", F.struct("pos", match_form(F.col("text")).alias("t"), F.struct("x0", "y0", "x1", "y1").alias("b")).alias("w"))
+    ws = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    return ws.select("doc_id", "page", F.col("ws.t").alias("ts"), F.col("ws.b").alias("bs"))
 
 
 def _box(start: Column, width: Column) -> Column:
-    part = F.slice("ws", start, width)
+    part = F.slice("bs", start, width)
     edge = lambda f, c: f(F.transform(part, lambda w: w[c])).alias(c)
     return F.struct(edge(F.array_min, "x0"), edge(F.array_min, "y0"), edge(F.array_max, "x1"), edge(F.array_max, "y1"))
 
 
-def exact(predictions: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, path, page, score, n, bbox) of verbatim windows."""
-    t = targets(predictions)
-    # only as wide as the document's longest target, and only its own targets' texts
-    widest = t.groupBy("doc_id").agg((F.max("n_tokens") + 1).alias("most"))
-    w = _windows(page_words(words).join(widest, "doc_id"), F.col("most")).select("doc_id", "page", "start", "width", "joined", _box(F.col("start"), F.col("width")).alias("bbox"))
-    hits = w.join(t.withColumnRenamed("target", "joined"), ["doc_id", "joined"]).where(F.col("width") <= F.col("n_tokens") + 1)
-    return hits.groupBy("doc_id", "path", "page").agg(F.lit(1.0).alias("score"), F.count_distinct("start").alias("n"), F.min(F.struct("start", "width", "bbox"))["bbox"].alias("bbox"))
-
-
-def fuzzy(predictions: DataFrame, words: DataFrame, min_support: float = 0.5) -> DataFrame:
-    """The same for values without a verbatim window. One-word values try all
-    starts; others the starts near a word that equals one of theirs."""
-    t = targets(predictions).where(F.col("n_tokens") <= LONG)
-    pages = page_words(words).join(t, "doc_id")
-    tokens = F.split("target", " ")
-    hit = F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: F.array_contains(tokens, F.element_at("ws", i)["t"]))
-    near = F.array_distinct(F.flatten(F.transform(hit, lambda i: F.transform(F.sequence(F.lit(0), F.col("n_tokens")), lambda o: F.greatest(F.lit(1), i - o)))))
-    starts = F.when(F.col("n_tokens") == 1, F.sequence(F.lit(1), F.size("ws"))).otherwise(near)
-    rows = pages.withColumn("start", F.explode(starts))
-    rows = rows.withColumn("width", F.explode(F.sequence(F.lit(1), F.least(F.col("n_tokens") + 1, F.size("ws") - F.col("start") + 1))))
-    rows = rows.withColumn("joined", F.array_join(F.transform(F.slice("ws", F.col("start"), F.col("width")), lambda w: w["t"]), " "))
-    a, b = F.char_length("joined"), F.char_length("target")
-    rows = rows.where(F.abs(a - b) <= (1 - min_support) * F.greatest(a, b))  # others can't reach min_support
-    scored = rows.select("doc_id", "path", "page", "start", "width", similarity(F.col("joined"), F.col("target")).alias("score"), _box(F.col("start"), F.col("width")).alias("bbox"))
-    best = scored.groupBy("doc_id", "path", "page").agg(F.max("score").alias("best"))
-    ties = scored.join(best, ["doc_id", "path", "page"]).where(F.col("score") >= F.col("best") - NO_TIE)
-    return ties.where("best > 0").groupBy("doc_id", "path", "page").agg(F.max("best").alias("score"), F.count(F.lit(1)).alias("n"), F.min(F.struct("start", "width", "bbox"))["bbox"].alias("bbox"))
-
-
-def by_tokens(predictions: DataFrame, words: DataFrame) -> DataFrame:
-    """The same for long values: overlap of bags of words."""
-    t = targets(predictions).where(F.col("n_tokens") > LONG).withColumn("tokens", F.split("target", " "))
-    pages = page_words(words).join(t, "doc_id").withColumn("texts", F.transform("ws", lambda w: w["t"]))
-    hit = F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: F.array_contains("tokens", F.element_at(F.col("texts"), i)))
+def _upto(last: Column) -> Column:
+    return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _joined(start: Column, width: Column) -> Column:
+    return F.array_join(F.slice("ts", start, width), " ")
+
+
+def _verbatim() -> Column:
+    """array<struct<start, width>>: places where a window equals the target, the
+    narrowest of each start. Only words that the target begins with are tried."""
+    target, n = F.col("target"), F.size("ts")
+    begin = F.filter(_upto(n), lambda i: (F.element_at("ts", i) != "") & target.startswith(F.element_at("ts", i)))
+    fitting = lambda i: F.filter(_upto(F.least(F.col("n_tokens") + 1, n - i + 1)), lambda w: _joined(i, w) == target)
+    return F.filter(F.transform(begin, lambda i: F.struct(i.alias("start"), F.get(fitting(i), F.lit(0)).alias("width"))), lambda x: x["width"].isNotNull())
+
+
+def _near(min_support: float) -> Column:
+    """array<struct<score, start, width>> of the windows that may reach
+    ``min_support``. One-word values try all starts; others the starts near a
+    word that equals one of theirs."""
+    target, n = F.col("target"), F.size("ts")
+    hit = F.filter(_upto(n), lambda i: F.array_contains(F.col("tokens"), F.element_at("ts", i)))
+    around = F.array_distinct(F.flatten(F.transform(hit, lambda i: F.transform(F.sequence(F.lit(0), F.col("n_tokens")), lambda o: F.greatest(F.lit(1), i - o)))))
+    starts = F.when(F.col("n_tokens") == 1, _upto(n)).otherwise(around)
+    wide = lambda i: F.transform(_upto(F.least(F.col("n_tokens") + 1, n - i + 1)), lambda w: F.struct(i.alias("start"), w.alias("width"), _joined(i, w).alias("text")))
+    size = F.char_length(target)
+    close = lambda x: F.abs(F.char_length(x["text"]) - size) <= (1 - min_support) * F.greatest(F.char_length(x["text"]), size)
+    windows = F.filter(F.flatten(F.transform(starts, wide)), close)
+    return F.transform(windows, lambda x: F.struct(similarity(x["text"], target).alias("score"), x["start"].alias("start"), x["width"].alias("width")))
+
+
+def _bags() -> Column:
+    """The same for long values: overlap of bags of words, in windows of the value's length."""
+    hit = F.filter(_upto(F.size("ts")), lambda i: F.array_contains(F.col("tokens"), F.element_at("ts", i)))
     offsets = F.array(F.lit(0), F.floor(F.col("n_tokens") / 2).cast("int"), F.col("n_tokens") - 1)
     starts = F.array_distinct(F.flatten(F.transform(hit, lambda i: F.transform(offsets, lambda o: F.greatest(F.lit(1), i - o)))))
-    rows = pages.withColumn("start", F.explode(starts)).withColumn("window", F.slice("texts", F.col("start"), F.col("n_tokens")))
     count = lambda array, x: F.size(F.filter(array, lambda y: y == x))
-    overlap = F.aggregate(F.array_distinct("tokens"), F.lit(0), lambda s, x: s + F.least(count(F.col("tokens"), x), count(F.col("window"), x)))
-    scored = rows.select("doc_id", "path", "page", "start", (2.0 * overlap / (F.size("window") + F.col("n_tokens"))).alias("score"), _box(F.col("start"), F.size("window")).alias("bbox"))
-    best = scored.groupBy("doc_id", "path", "page").agg(F.max(F.struct("score", (-F.col("start")).alias("s"), "bbox")).alias("b"))
-    return best.select("doc_id", "path", "page", "b.score", F.lit(1).cast("long").alias("n"), "b.bbox")
+    # a word counts as often as both sides have it: its places on one side that the other has room for
+    overlap = lambda window: F.aggregate(F.array_distinct("tokens"), F.lit(0), lambda s, x: s + F.least(count(F.col("tokens"), x), count(window, x)))
+
+    def scored(i: Column) -> Column:
+        window = F.slice("ts", i, F.col("n_tokens"))
+        return F.struct((2.0 * overlap(window) / (F.size(window) + F.col("n_tokens"))).alias("score"), i.alias("start"), F.size(window).alias("width"))
+
+    return F.transform(starts, scored)
+
+
+def located(predictions: DataFrame, words: DataFrame, min_support: float = 0.5, use_fuzzy: bool = True) -> DataFrame:
+    """(doc_id, path, page, score, n, bbox): the best place of each value on
+    each page, and at how many it stands alike."""
+    rows = page_words(words).join(targets(predictions), "doc_id").withColumn("exact", _verbatim())
+    none = F.array().cast("array<struct<score: double, start: int, width: int>>")
+    verbatim = F.transform("exact", lambda x: F.struct(F.lit(1.0).alias("score"), x["start"].alias("start"), x["width"].alias("width")))
+    long = F.lit(False)
+    if use_fuzzy:
+        long = (F.col("n_tokens") > LONG) & (F.size("exact") == 0)
+        near = F.when(long, _bags()).otherwise(_near(min_support))
+    else:
+        near = none
+    rows = rows.withColumn("places", F.when(F.size("exact") > 0, verbatim).otherwise(near))
+    # one fold: the best score, the first place that has it, and how many places do
+    zero = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit(0).alias("width"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.struct(x["score"].alias("score"), F.lit(1).alias("n"), x["start"].alias("start"), x["width"].alias("width"))
+        more = F.struct(acc["score"].alias("score"), (acc["n"] + 1).alias("n"), acc["start"].alias("start"), acc["width"].alias("width"))
+        return F.when(x["score"] > acc["score"] + NO_TIE, new).when((x["score"] > 0) & (x["score"] >= acc["score"] - NO_TIE), more).otherwise(acc)
+
+    rows = rows.withColumn("b", F.aggregate("places", zero, step)).where("b.n > 0")
+    n = F.when(long, F.lit(1)).otherwise(F.col("b.n")).cast("long")
+    return rows.select("doc_id", "path", "page", "b.score", n.alias("n"), _box(F.col("b.start"), F.col("b.width")).alias("bbox"))
 
 
 def ground(predictions: DataFrame, words: DataFrame, min_support: float = 0.5, mode: str = "uniform", use_fuzzy: bool = True) -> DataFrame:
     """``predictions`` with page, bbox and support of the best place; pages
-    later in the document win ties; null where support is under min_support."""
-    found = exact(predictions, words)
-    if use_fuzzy:
-        rest = predictions.join(found.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_anti")
-        found = found.unionByName(fuzzy(rest, words, min_support)).unionByName(by_tokens(rest, words))
+    later in the document win ties; null where support is under min_support.
+    A prediction that has a support already keeps its place."""
+    given = [c for c in ("support", "page", "bbox") if c in predictions.columns]
+    asked = predictions.where(F.col("support").isNull()) if "support" in given else predictions
+    found = located(asked, words, min_support, use_fuzzy)
     s = found.withColumn("support", penalty(F.col("score"), F.col("n"), mode)).where(F.col("support") >= min_support)
     best = s.groupBy("doc_id", "path").agg(F.max(F.struct("support", "page", "bbox")).alias("g"))
-    return predictions.drop("page", "bbox", "support").join(best, ["doc_id", "path"], "left").select("*", "g.support", "g.page", "g.bbox").drop("g")
+    own = [F.coalesce(F.col(c), F.col(f"g.{c}")).alias(c) if c in given else F.col(f"g.{c}").alias(c) for c in ("support", "page", "bbox")]
+    return predictions.join(best, ["doc_id", "path"], "left").select(*(c for c in predictions.columns if c not in given), *own)
 
 
 def char_span(text: Column, target: Column) -> Column:

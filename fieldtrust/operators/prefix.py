@@ -3,23 +3,28 @@
 Threshold metrics depend only on how many right and wrong values each distinct
 confidence has, so rows are first reduced to *tie groups* (map-side, by any
 keys). Order-sensitive metrics need every row: those are summed inside slices
-of the confidence scale, and slices get the totals of the slices above them.
+of the confidence scale, which are cut further by ranges of ``ord`` where many
+rows share one confidence, and slices get the totals of the slices above them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Slices of the confidence scale in ordered prefix sums.
 SLICES = 1024
 
 
+def times(rows: DataFrame) -> Column:
+    """How many rows a row stands for: 1, or its ``n_rows``."""
+    return F.col("n_rows") if "n_rows" in rows.columns else F.lit(1)
+
+
 def tie_groups(outcomes: DataFrame, by: list[str]) -> DataFrame:
     """(by, conf, n, pos, errors) of each distinct confidence."""
-    return outcomes.groupBy(*by, "conf").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("correct").cast("long").alias("pos"), F.sum(1 - F.col("correct")).cast("long").alias("errors")
-    )
+    n, right = times(outcomes), F.col("correct")
+    return outcomes.groupBy(*by, "conf").agg(F.sum(n).cast("long").alias("n"), F.sum(right * n).cast("long").alias("pos"), F.sum((1 - right) * n).cast("long").alias("errors"))
 
 
 def cumulated(ties: DataFrame, by: list[str]) -> DataFrame:
@@ -38,10 +43,17 @@ def cumulated(ties: DataFrame, by: list[str]) -> DataFrame:
 
 def ranked(outcomes: DataFrame, by: list[str]) -> DataFrame:
     """Rows with k and k_errors in stable order: confidence falling, then ord."""
-    sliced = outcomes.withColumn("slice", F.floor(F.col("conf") * SLICES))
-    totals = sliced.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("correct")).alias("e"))
-    above = Window.partitionBy(*by).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "slice", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("e").over(above), F.lit(0)).alias("e0"))
-    inside = Window.partitionBy(*by, "slice").orderBy(F.desc("conf"), "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a slice of one confidence may be cut by ord; a part's place is (slice, part)
+    ends = outcomes.agg(F.min("ord").cast("double").alias("lo"), F.max("ord").cast("double").alias("hi")).first()
+    lo, width = ends["lo"] or 0.0, ((ends["hi"] or 0.0) - (ends["lo"] or 0.0)) / SLICES + 1e-9
+    slice_ = F.floor(F.col("conf") * SLICES)
+    whole = outcomes.withColumn("slice", slice_)
+    single = whole.groupBy(*by, "slice").agg(F.min("conf").alias("c0"), F.max("conf").alias("c1")).where("c0 = c1").select(*by, "slice", F.lit(True).alias("even"))
+    cut = F.when(F.col("even"), F.floor((F.col("ord") - lo) / width)).otherwise(F.lit(0))
+    sliced = whole.join(single, [*by, "slice"], "left").withColumn("part", cut).drop("even")
+    totals = sliced.groupBy(*by, "slice", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("correct")).alias("e"))
+    above = Window.partitionBy(*by).orderBy(F.desc("slice"), "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "slice", "part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("e").over(above), F.lit(0)).alias("e0"))
+    inside = Window.partitionBy(*by, "slice", "part").orderBy(F.desc("conf"), "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = sliced.withColumn("k", F.count(F.lit(1)).over(inside)).withColumn("k_errors", F.sum(1 - F.col("correct")).over(inside))
-    return counted.join(offsets, [*by, "slice"]).withColumn("k", F.col("k") + F.col("n0")).withColumn("k_errors", F.col("k_errors") + F.col("e0")).drop("n0", "e0", "slice")
+    return counted.join(offsets, [*by, "slice", "part"]).withColumn("k", F.col("k") + F.col("n0")).withColumn("k_errors", F.col("k_errors") + F.col("e0")).drop("n0", "e0", "slice", "part")

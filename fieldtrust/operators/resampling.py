@@ -3,6 +3,8 @@ the keys, so they are the same on every run and in every partition."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,44 +25,64 @@ def poisson_weight(u: Column) -> Column:
     return w
 
 
-def replicates(rows: DataFrame, n: int) -> DataFrame:
-    return rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+#: Modulus and multipliers of the draws.
+PRIME, STEP, MULTIPLIERS = 2147483647, 1640531527, (48271, 69621, 16807)
 
 
-def bootstrap_mean(rows: DataFrame, by: list[str], key: str, value: Column, n: int = 50, level: float = 0.95) -> DataFrame:
-    """(by, estimate, lo, hi): percentile interval of a mean by Poisson
-    bootstrap; a row's weight is its own, so nothing is resampled by position."""
-    drawn = replicates(rows.withColumn("v_", value), n).withColumn("w", poisson_weight(uniform(F.col(key), F.col("rep"))))
-    stats = drawn.groupBy(*by, "rep").agg((F.sum(F.col("v_") * F.col("w")) / F.sum("w")).alias("stat"))
-    tail = (1 - level) / 2
-    ends = stats.groupBy(*by).agg(F.percentile("stat", F.lit(tail)).alias("lo"), F.percentile("stat", F.lit(1 - tail)).alias("hi"))
-    return rows.groupBy(*by).agg(F.avg(value).alias("estimate")).join(ends, by)
+def seed(key: Column) -> Column:
+    """31-bit number of a key, from its md5: one for each row, not for each draw."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(PRIME))
+
+
+def draw(seed: Column, rep: Column) -> Column:
+    """Uniform number in [0, 1] of a seed and a replicate: multiplications and
+    shifts of whole numbers, cheap enough for thousands of replicates."""
+    x = (seed + (rep + 1) * F.lit(STEP)) % PRIME
+    for m, k in zip(MULTIPLIERS, (15, 13, 16), strict=True):
+        x = (x.bitwiseXOR(F.shiftright(x, k)) * F.lit(m)) % PRIME
+    return x / float(PRIME)
 
 
-def cluster_bootstrap_mean(rows: DataFrame, by: list[str], cluster: str, value: Column, n: int = 50, level: float = 0.95) -> DataFrame:
-    """The same with one weight for each cluster: rows are summed to clusters first."""
-    sums = rows.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
-    drawn = replicates(sums, n).withColumn("w", poisson_weight(uniform(F.col(cluster), F.col("rep"))))
-    stats = drawn.groupBy(*by, "rep").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("c") * F.col("w"))).alias("stat"))
-    tail = (1 - level) / 2
+def replicates(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Each row ``n`` times, with rep and the uniform number u of its key."""
+    seeded = rows.withColumn("seed_", seed(F.col(key)))
+    return seeded.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("u", draw(F.col("seed_"), F.col("rep").cast("long"))).drop("seed_")
+
+
+def bootstrap(rows: DataFrame, by: list[str], key: str, statistic: Callable[[DataFrame, list[str]], DataFrame], n: int = 2000, level: float = 0.95) -> DataFrame:
+    """(by, estimate, lo, hi): percentile interval of any statistic by Poisson
+    bootstrap over ``key``, which may be a row's or a cluster's; a key's weight
+    is its own, so nothing is resampled by position. ``statistic(rows, keys)``
+    gives (keys, stat) of rows with their weights in ``w``."""
+    drawn = replicates(rows, key, n).withColumn("w", poisson_weight(F.col("u")))
+    stats, tail = statistic(drawn, [*by, "rep"]), (1 - level) / 2
     ends = stats.groupBy(*by).agg(F.percentile("stat", F.lit(tail)).alias("lo"), F.percentile("stat", F.lit(1 - tail)).alias("hi"))
-    return rows.groupBy(*by).agg(F.avg(value).alias("estimate")).join(ends, by)
+    seen = statistic(rows.withColumn("w", F.lit(1)), by).withColumnRenamed("stat", "estimate")
+    return seen.join(ends, by) if by else seen.crossJoin(ends)  # one row each
+
+
+def bootstrap_mean(rows: DataFrame, by: list[str], key: str, value: Column, n: int = 2000, level: float = 0.95) -> DataFrame:
+    """The interval of a mean over rows, or over clusters if ``key`` repeats:
+    rows are summed to keys first."""
+    sums = rows.groupBy(*by, key).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
+    mean = lambda df, keys: df.groupBy(*keys).agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("c") * F.col("w"))).alias("stat"))
+    return bootstrap(sums, by, key, mean, n, level)
 
 
-def paired_permutation(pairs: DataFrame, by: list[str], key: str, n: int = 200) -> DataFrame:
+def paired_permutation(pairs: DataFrame, by: list[str], key: str, n: int = 10_000) -> DataFrame:
     """(by, diff, p): two-sided sign-flip test of columns x and y, add-one."""
-    d = pairs.withColumn("d", F.col("x") - F.col("y"))
-    sign = F.when(uniform(F.col(key), F.col("rep")) < 0.5, F.lit(-1)).otherwise(F.lit(1))
-    flipped = replicates(d, n).groupBy(*by, "rep").agg(F.avg(F.col("d") * sign).alias("t"))
+    d = pairs.withColumn("d", F.col("x") - F.col("y")).where("d IS NOT NULL").select(*by, key, "d")
+    sign = F.when(F.col("u") < 0.5, F.lit(-1)).otherwise(F.lit(1))
+    flipped = replicates(d, key, n).groupBy(*by, "rep").agg(F.avg(F.col("d") * sign).alias("t"))
     seen = d.groupBy(*by).agg(F.avg("d").alias("diff"))
     hits = flipped.join(seen, by).groupBy(*by, "diff").agg(F.sum((F.abs("t") >= F.abs("diff") - 1e-12).cast("int")).alias("hits"))
     return hits.select(*by, "diff", ((F.col("hits") + 1) / (n + 1)).alias("p"))
 
 
-def paired_bootstrap(pairs: DataFrame, by: list[str], key: str, n: int = 200) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, by: list[str], key: str, n: int = 10_000) -> DataFrame:
     """(by, diff, p): twice the smaller share of replicates on either side of 0."""
-    d = pairs.withColumn("d", F.col("x") - F.col("y"))
-    drawn = replicates(d, n).withColumn("w", poisson_weight(uniform(F.col(key), F.col("rep"))))
+    d = pairs.withColumn("d", F.col("x") - F.col("y")).where("d IS NOT NULL").select(*by, key, "d")
+    drawn = replicates(d, key, n).withColumn("w", poisson_weight(F.col("u")))
     means = drawn.groupBy(*by, "rep").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("t"))
     sides = means.groupBy(*by).agg(F.avg((F.col("t") <= 0).cast("double")).alias("le"), F.avg((F.col("t") >= 0).cast("double")).alias("ge"))
     return d.groupBy(*by).agg(F.avg("d").alias("diff")).join(sides, by).select(*by, "diff", F.least(F.lit(1.0), 2 * F.least("le", "ge")).alias("p"))

@@ -37,7 +37,7 @@ def leaderboard(cal: DataFrame, test: DataFrame, alphas: list[float]) -> DataFra
     alpha, by thresholds fitted on the calibration split, best auroc first."""
     by = ["signal"]
     fitted = conformal.thresholds(cal, by, alphas)
-    accepted = test.join(fitted, by).withColumn("accept", F.coalesce(F.col("conf") >= F.col("threshold"), F.lit(False)))
+    accepted = conformal.apply_thresholds(test, fitted, by, alphas)
     held = conformal.coverage_and_risk(accepted, ["signal", "alpha"])
     scores = selective_metrics.detection(test, by).select("signal", "auroc").join(selective_metrics.aurc_family(test, by).select("signal", "e_aurc"), by).join(cm.ece_mce(test, by).select("signal", "ece"), by)
     out = held.join(scores, by).withColumn("guarantee_held", F.col("risk") <= F.col("alpha") + 1e-9)
@@ -47,10 +47,11 @@ def leaderboard(cal: DataFrame, test: DataFrame, alphas: list[float]) -> DataFra
 def multi_split(outcomes: DataFrame, by: list[str], alphas: list[float], splits: int = 40) -> DataFrame:
     """(by, alpha, coverage, risk): means over random halvings of the documents,
     all of them in one job; a split is a key like any other."""
-    rows = outcomes.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    # what matters of a document's rows are their counts, so those are repeated for each split
+    rows = outcomes.groupBy("doc_id", *by, "conf", "correct").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     rows = rows.withColumn("fit", uniform(F.col("doc_id"), F.col("s")) < 0.5)
     fitted = conformal.thresholds(rows.where("fit"), [*by, "s"], alphas)
-    test = rows.where("NOT fit").join(fitted, [*by, "s"]).withColumn("accept", F.coalesce(F.col("conf") >= F.col("threshold"), F.lit(False)))
+    test = conformal.apply_thresholds(rows.where("NOT fit"), fitted, [*by, "s"], alphas)
     each = conformal.coverage_and_risk(test, [*by, "s", "alpha"])
     return each.groupBy(*by, "alpha").agg(F.avg("coverage").alias("coverage"), F.avg("risk").alias("risk"))
 

@@ -141,25 +141,24 @@ def page_word_boxes(spark, sf):
 
 
 _MATCH = "regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace({v}, '\\s+', ' ', 'g'))), '[$€£¥₹]', '', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g'), '([0-9]),([0-9])', '\\1\\2', 'g')"
-_GROUND = f"""ws AS (SELECT doc_id, list({_MATCH.format(v='tok')} ORDER BY line, place) AS ws FROM (SELECT doc_id, line, unnest(range(0, len(s))) AS place, unnest(s) AS tok FROM (SELECT doc_id, line, string_split(content, ' ') AS s FROM ln)) WHERE tok <> '' GROUP BY 1),
-tg AS (SELECT doc_id, path, value, {_MATCH.format(v='value')} AS target FROM ext),
-st AS (SELECT tg.doc_id, path, value, target, len(string_split(target, ' ')) AS n, ws, unnest(range(1, len(ws) + 1)) AS s FROM tg JOIN ws USING (doc_id)),
-sk AS (SELECT *, unnest(range(0, n + 1)) AS k FROM st),
-g AS (SELECT doc_id, path, count(DISTINCT s) AS places FROM sk WHERE s + k <= len(ws) AND array_to_string(ws[s:s + k], ' ') = target GROUP BY 1, 2)"""
+_GROUND = f"""w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, place) AS i, {_MATCH.format(v='tok')} AS t FROM (SELECT doc_id, line, unnest(range(0, len(s))) AS place, unnest(s) AS tok FROM (SELECT doc_id, line, string_split(content, ' ') AS s FROM ln)) WHERE tok <> ''),
+tg AS (SELECT doc_id, path, {_MATCH.format(v='value')} AS target FROM ext),
+sp AS (SELECT doc_id, path, target, unnest(range(0, len(string_split(target, ' ')))) AS o, unnest(string_split(target, ' ')) AS tok, len(string_split(target, ' ')) AS n FROM tg),
+g AS (SELECT doc_id, path, count(*) AS places FROM (SELECT sp.doc_id, path, w.i - o AS s, n FROM sp JOIN w ON w.doc_id = sp.doc_id AND w.t = sp.tok GROUP BY 1, 2, 3, 4 HAVING count(*) = n) GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {_LINES}, {_GROUND}
 SELECT e.doc_id, e.path, e.value, CASE WHEN 1.0 / places >= 0.5 THEN round(1.0 / places, 6) END AS support, round(CASE WHEN 1.0 / places >= 0.5 THEN 1.0 / places ELSE 0.0 END, 6) AS confidence,
   CASE WHEN coalesce(1.0 / places, 0) >= 0.8 THEN 'accept' ELSE 'review' END AS decision FROM ext e LEFT JOIN g USING (doc_id, path)""")
 def verify_invoices(spark, sf):
-    out = verify.verify(invoices(spark, sf), extract.schema_table(spark, INVOICE_SCHEMA), fuzzy=False)
+    out = verify.verify(invoices(spark, sf), extract.schema_table(spark, INVOICE_SCHEMA))
     return r6(out.select("doc_id", "path", "value", "support", "confidence", "decision"), "support", "confidence")
 
 
 @query()
 def ground_fuzzy(spark, sf):
-    """Corrupted values of run 0 against the invoices' words."""
-    p = predictions(spark, sf).where("run = 0").select("doc_id", "path", "value")
+    """Corrupted values of all runs against the invoices' words."""
+    p = predictions(spark, sf).select("doc_id", F.concat_ws("#", "path", "run").alias("path"), "value")
     g = ground.ground(p, ingest.words(invoices(spark, sf)))
     return r6(g.select("doc_id", "path", "value", "support", "page"), "support")
 
@@ -420,7 +419,7 @@ SELECT signal, alpha, {_COVER} FROM y GROUP BY 1, 2""")
 def grouped_conformal(spark, sf):
     rows = outcomes(spark, sf).withColumn("grp", conformal.grounded_group(F.col("support")))
     fitted = conformal.grouped_thresholds(rows.where("split = 'cal'"), ["signal"], "grp", ALPHAS)
-    return r6(conformal.coverage_and_risk(conformal.apply_grouped(rows.where("split = 'test'"), fitted, ["signal"], "grp"), ["signal", "alpha"]), "coverage", "risk")
+    return r6(conformal.coverage_and_risk(conformal.apply_grouped(rows.where("split = 'test'"), fitted, ["signal"], "grp", ALPHAS), ["signal", "alpha"]), "coverage", "risk")
 
 
 @query(f"""WITH {_O}, {_TAX}, cal AS (SELECT * FROM x WHERE split = 'cal'), {_fitted('cal', 'signal taxonomy grp', 'own')}, {_fitted('cal', 'signal taxonomy', 'pool')},
@@ -562,22 +561,28 @@ def table_grits(spark, sf):
 _W = "(" + " + ".join(f"({{u}} >= {t!r})::INT" for t in [0.367879441171, 0.735758882343, 0.919698602929, 0.981011843124, 0.996340153173, 0.999405815182, 0.999916758851, 0.999989750803]) + ")"
 
 
+_SEED = "('0x' || substr(md5({x}::VARCHAR), 1, 8))::BIGINT % 2147483647"
+_X = "((h + (rep + 1) * 1640531527) % 2147483647)"
+for _m, _k in zip(resampling.MULTIPLIERS, (15, 13, 16), strict=True):
+    _X = f"list_transform([{_X}], lambda x: (xor(x, x >> {_k}) * {_m}) % 2147483647)[1]"
+_DRAW = f"({_X} / 2147483647.0::DOUBLE)"
+
+
 def _mean_ci(cluster: bool) -> str:
     key = "doc_id" if cluster else "ord"
     src = "(SELECT signal, doc_id, sum(correct) AS s, count(*) AS c FROM o GROUP BY 1, 2)" if cluster else "(SELECT signal, ord, correct AS s, 1 AS c FROM o)"
-    u = _U.format(x=f"{key}::VARCHAR || '|' || rep::VARCHAR")
-    return f"""WITH {_O}, d AS (SELECT *, {u} AS u FROM {src} CROSS JOIN range(0, 20) r(rep)), w AS (SELECT *, {_W.format(u='u')} AS w FROM d), st AS (SELECT signal, rep, sum(s * w) / sum(c * w) AS stat FROM w GROUP BY 1, 2)
+    return f"""WITH {_O}, d AS (SELECT signal, s, c, rep, {_DRAW} AS u FROM (SELECT *, {_SEED.format(x=key)} AS h FROM {src}) CROSS JOIN range(0, 2000) r(rep)), w AS (SELECT signal, s, c, rep, {_W.format(u='u')} AS w FROM d), st AS (SELECT signal, rep, sum(s * w) / sum(c * w) AS stat FROM w GROUP BY 1, 2)
 SELECT e.signal, round(estimate, 6) AS estimate, round(lo, 6) AS lo, round(hi, 6) AS hi FROM (SELECT signal, avg(correct) AS estimate FROM o GROUP BY 1) e JOIN (SELECT signal, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi FROM st GROUP BY 1) q USING (signal)"""
 
 
 @query(_mean_ci(False))
 def bootstrap_ci(spark, sf):
-    return r6(resampling.bootstrap_mean(outcomes(spark, sf), ["signal"], "ord", F.col("correct"), n=20), "estimate", "lo", "hi")
+    return r6(resampling.bootstrap_mean(outcomes(spark, sf), ["signal"], "ord", F.col("correct")), "estimate", "lo", "hi")
 
 
 @query(_mean_ci(True))
 def cluster_bootstrap_ci(spark, sf):
-    return r6(resampling.cluster_bootstrap_mean(outcomes(spark, sf), ["signal"], "doc_id", F.col("correct"), n=20), "estimate", "lo", "hi")
+    return r6(resampling.bootstrap_mean(outcomes(spark, sf), ["signal"], "doc_id", F.col("correct")), "estimate", "lo", "hi")
 
 
 def _pairs(spark, sf):
@@ -585,20 +590,21 @@ def _pairs(spark, sf):
     return wide.select("doc_id", "path", F.col("combined").alias("x"), F.col("verbalized").alias("y"))
 
 
-_D = "d AS (SELECT a.doc_id, a.path, a.conf - b.conf AS d FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.path = b.path WHERE a.signal = 'combined' AND b.signal = 'verbalized')"
-_UD = _U.format(x="doc_id::VARCHAR || '|' || rep::VARCHAR")
+_D = "d AS (SELECT a.doc_id, a.path, a.conf - b.conf AS d, {s} AS h FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.path = b.path WHERE a.signal = 'combined' AND b.signal = 'verbalized')"
+_D = _D.format(s=_SEED.format(x="a.doc_id"))
+_UD = _DRAW
 
 
-@query(f"""WITH {_O}, {_D}, f AS (SELECT path, rep, avg(d * CASE WHEN {_UD} < 0.5 THEN -1 ELSE 1 END) AS t FROM d CROSS JOIN range(0, 20) r(rep) GROUP BY 1, 2), s AS (SELECT path, avg(d) AS diff FROM d GROUP BY 1)
-SELECT path, round(diff, 6) AS diff, round((sum((abs(t) >= abs(diff) - 1e-12)::INT) + 1) / 21, 6) AS p FROM f JOIN s USING (path) GROUP BY path, diff""")
+@query(f"""WITH {_O}, {_D}, f AS (SELECT path, rep, avg(d * CASE WHEN {_UD} < 0.5 THEN -1 ELSE 1 END) AS t FROM d CROSS JOIN range(0, 10000) r(rep) GROUP BY 1, 2), s AS (SELECT path, avg(d) AS diff FROM d GROUP BY 1)
+SELECT path, round(diff, 6) AS diff, round((sum((abs(t) >= abs(diff) - 1e-12)::INT) + 1) / 10001, 6) AS p FROM f JOIN s USING (path) GROUP BY path, diff""")
 def permutation_test(spark, sf):
-    return r6(resampling.paired_permutation(_pairs(spark, sf), ["path"], "doc_id", n=20), "diff", "p")
+    return r6(resampling.paired_permutation(_pairs(spark, sf), ["path"], "doc_id"), "diff", "p")
 
 
-@query(f"""WITH {_O}, {_D}, f AS (SELECT path, d, rep, {_W.format(u=_UD)} AS w FROM d CROSS JOIN range(0, 20) r(rep)), m AS (SELECT path, rep, sum(d * w) / sum(w) AS t FROM f GROUP BY 1, 2), s AS (SELECT path, avg((t <= 0)::INT) AS le, avg((t >= 0)::INT) AS ge FROM m GROUP BY 1)
+@query(f"""WITH {_O}, {_D}, f AS (SELECT path, d, rep, {_W.format(u=_UD)} AS w FROM d CROSS JOIN range(0, 10000) r(rep)), m AS (SELECT path, rep, sum(d * w) / sum(w) AS t FROM f GROUP BY 1, 2), s AS (SELECT path, avg((t <= 0)::INT) AS le, avg((t >= 0)::INT) AS ge FROM m GROUP BY 1)
 SELECT path, round(diff, 6) AS diff, round(least(1, 2 * least(le, ge)), 6) AS p FROM s JOIN (SELECT path, avg(d) AS diff FROM d GROUP BY 1) USING (path)""")
 def paired_bootstrap_test(spark, sf):
-    return r6(resampling.paired_bootstrap(_pairs(spark, sf), ["path"], "doc_id", n=20), "diff", "p")
+    return r6(resampling.paired_bootstrap(_pairs(spark, sf), ["path"], "doc_id"), "diff", "p")
 
 
 _PS = "SELECT p_brand AS fam, p_partkey AS ord, CAST((p_partkey * 7919 % 9973) AS DOUBLE) / CAST(997300 AS DOUBLE) AS p FROM {part}"
@@ -641,11 +647,11 @@ def leaderboard(spark, sf):
     return r6(out, "coverage", "risk", "auroc", "e_aurc", "ece")
 
 
-@query(f"""WITH {_O}, v AS (SELECT o.*, s, {_U.format(x="doc_id::VARCHAR || '|' || s::VARCHAR")} < 0.5 AS fit FROM o CROSS JOIN range(0, 4) r(s)), ft AS (SELECT * FROM v WHERE fit), {_fitted('ft', 'signal s', 'one')},
+@query(f"""WITH {_O}, v AS (SELECT o.*, s, {_U.format(x="doc_id::VARCHAR || '|' || s::VARCHAR")} < 0.5 AS fit FROM o CROSS JOIN range(0, 40) r(s)), ft AS (SELECT * FROM v WHERE fit), {_fitted('ft', 'signal s', 'one')},
 e AS (SELECT v.signal, v.s, alpha, avg(coalesce(conf >= t, false)::INT) AS c, CASE WHEN sum(coalesce(conf >= t, false)::INT) > 0 THEN sum((coalesce(conf >= t, false) AND correct = 0)::INT) / sum(coalesce(conf >= t, false)::INT) ELSE 0 END AS k FROM v JOIN one USING (signal, s) WHERE NOT fit GROUP BY 1, 2, 3)
 SELECT signal, alpha, round(avg(c), 6) AS coverage, round(avg(k), 6) AS risk FROM e GROUP BY 1, 2""")
 def multi_split_conformal(spark, sf):
-    return r6(harness.multi_split(outcomes(spark, sf), ["signal"], ALPHAS, splits=4), "coverage", "risk")
+    return r6(harness.multi_split(outcomes(spark, sf), ["signal"], ALPHAS), "coverage", "risk")
 
 
 @query()

@@ -18,11 +18,10 @@ def lines(documents: DataFrame, text: str = "text") -> DataFrame:
 def words(documents: DataFrame, text: str = "text", line_height: float = 0.04) -> DataFrame:
     """(doc_id, page, line, pos, text, x0, y0, x1, y1): tokens between single
     spaces; empty ones advance the column and are dropped."""
-    tokens = lines(documents, text).select("doc_id", "page", "line", F.split("content", " ").alias("t"))
+    tokens = lines(documents, text).select("doc_id", "page", "line", F.posexplode(F.split("content", " ")).alias("place", "text"))
     # a token's column: the characters and spaces before it on its line
-    starts = F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.aggregate(F.slice("t", 1, i - 1), F.lit(0), lambda a, x: a + F.char_length(x) + 1))
-    w = tokens.select("doc_id", "page", "line", F.posexplode(F.arrays_zip(F.col("t").alias("text"), starts.alias("col"))).alias("place", "w"))
-    w = w.select("doc_id", "page", "line", "place", F.col("w.text").alias("text"), F.col("w.col").alias("col")).where("text <> ''")
+    before = Window.partitionBy("doc_id", "page", "line").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    w = tokens.withColumn("col", F.coalesce(F.sum(F.char_length("text") + 1).over(before), F.lit(0))).where("text <> ''")
     cap = lambda limit, c: F.least(F.lit(limit), c)
     y0, x0 = cap(0.98, F.col("line") * F.lit(line_height)), cap(0.98, 0.02 + 0.012 * F.col("col"))
     pos = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line", "place")) - 1
