@@ -15,8 +15,12 @@ from fieldtrust.functions.text import slug
 from fieldtrust.sources.datasets import ocr_lines
 from fieldtrust.sources.ingest import lines
 
-#: Label words that mark an identifier.
-ID_WORDS = ("id", "no", "number", "ref", "code")
+#: Label words that mark an identifier, and the forms of a
+#: labelled line, of a number and of a date.
+ID_WORDS = ("id", "no", "number", "ref", "invoice", "order", "#")
+LABEL_LINE = r"(?U)^\s*([A-Za-z][\w /&.#-]{0,40}?)\s*:\s*(\S.*?)\s*$"
+NUMBER_VALUE = r"(?U)^[$€£]?\s?-?[\d,]+(?:\.\d+)?\s?%?$"
+DATE_VALUE = r"(?U)^\d{4}-\d{1,2}-\d{1,2}$|^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$"
 
 
 def leaves_of(schema: dict[str, Any], prefix: str = "", required: bool = True) -> list[dict]:
@@ -63,12 +67,18 @@ def json_schema(leaves: list[dict], name: str = "schema") -> dict[str, Any]:
 def text_search(documents: DataFrame, leaves: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, ord, path, value, page, line): for each leaf outside arrays the
     rest of the first line that holds its label, then its aliases. The leaves
-    are a schema's and travel with each line; the first hit is kept by a
-    minimum, so no document's lines meet in a sort."""
+    are one schema's, which travel with each line, or, with a doc_id, each
+    document's own; the first hit is kept by a minimum, so no document's lines
+    meet in a sort."""
     label = F.regexp_replace(F.element_at(F.split("path", r"\."), -1), "_", " ")
-    wanted = leaves.where(~F.col("path").contains("[")).select("ord", "path", F.posexplode(F.concat(F.array(label), F.coalesce("aliases", F.array().cast("array<string>")))).alias("nth", "label"))
+    own = ["doc_id"] if "doc_id" in leaves.columns else []
+    wanted = leaves.where(~F.col("path").contains("[")).select(*own, "ord", "path", F.posexplode(F.concat(F.array(label), F.coalesce("aliases", F.array().cast("array<string>")))).alias("nth", "label"))
     flat = lines(documents, text).withColumn("low", F.lower("content"))
-    hits = flat.join(F.broadcast(wanted.withColumn("low_label", F.lower("label"))), F.col("low").contains(F.col("low_label")))  # a schema's labels
+    wanted = wanted.withColumn("low_label", F.lower("label"))
+    if own:
+        hits = flat.join(wanted, "doc_id").where(F.col("low").contains(F.col("low_label")))
+    else:
+        hits = flat.join(F.broadcast(wanted), F.col("low").contains(F.col("low_label")))  # a schema's labels
     rule = F.concat(F.lit(r"(?i)\b\Q"), F.col("label"), F.lit(r"\E\b(.*)$"))
     # a dash is a separator only where no digit follows: a minus sign stays
     rest = F.trim(F.regexp_replace(F.call_function("regexp_extract", F.col("content"), rule, F.lit(1)), r"^[ \t:—–]*(-(?!\d)[ \t:—–-]*)?", ""))
@@ -100,25 +110,35 @@ def parse_model_json(replies: DataFrame, column: str = "reply") -> DataFrame:
 
 
 def infer_schema(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(path, type, scoring, numeric_tol, n_docs) from ``Label: value`` lines,
-    for each label that occurs; the label of the smallest (document, page,
-    line) decides."""
-    rule = r"^\s*([A-Za-z][A-Za-z0-9 ./_-]{0,40}?)\s*:\s*(\S.*?)\s*$"
-    found = lines(documents, text).where(F.col("content").rlike(rule)).select("doc_id", "page", "line", F.regexp_extract("content", rule, 1).alias("label"), F.regexp_extract("content", rule, 2).alias("v"))
+    """(doc_id, ord, path, type, scoring, numeric_tol, required, aliases): each
+    document's own schema, from its ``Label: value`` lines. The first line of a
+    label decides; its order is that of the lines."""
+    found = lines(documents, text).where(F.col("content").rlike(LABEL_LINE))
+    found = found.select("doc_id", "page", "line", F.regexp_extract("content", LABEL_LINE, 1).alias("label"), F.regexp_extract("content", LABEL_LINE, 2).alias("v"))
     named = found.withColumn("path", slug(F.col("label"), None)).where("path <> ''")
-    first = named.groupBy("path").agg(F.min(F.struct("doc_id", "page", "line", "label", "v")).alias("f"), F.count_distinct("doc_id").alias("n_docs"))
+    first = named.groupBy("doc_id", "path").agg(F.min(F.struct("page", "line", "label", "v")).alias("f"))
     is_id = F.lit(False)
     for w in ID_WORDS:
         is_id = is_id | F.lower("f.label").contains(w)
-    number = F.col("f.v").rlike(r"^[$€£]?\s*-?[\d.,]+\s*%?$") & ~is_id
-    date = F.col("f.v").rlike(r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$")
+    number, date = ~is_id & F.col("f.v").rlike(NUMBER_VALUE), F.col("f.v").rlike(DATE_VALUE)
     return first.select(
-        "path", F.when(number, F.lit("number")).otherwise(F.lit("string")).alias("type"),
-        F.when(is_id | (date & ~number), F.lit("exact")).when(number, F.lit("numeric")).otherwise(F.lit("semantic")).alias("scoring"),
-        F.when(number, F.lit(0.01)).otherwise(F.lit(1e-6)).alias("numeric_tol"), "n_docs",
+        "doc_id", (F.col("f.page") * 1_000_000 + F.col("f.line")).alias("ord"), "path", F.when(number, F.lit("number")).otherwise(F.lit("string")).alias("type"),
+        F.when(number, F.lit("numeric")).when(is_id | date, F.lit("exact")).otherwise(F.lit("semantic")).alias("scoring"),
+        F.when(number, F.lit(0.01)).otherwise(F.lit(1e-6)).alias("numeric_tol"), F.lit(True).alias("required"), F.array().cast("array<string>").alias("aliases"),
     )
 
 
+def schemas_of(inferred: DataFrame) -> DataFrame:
+    """(doc_id, schema): the JSON Schema text of each document's leaves."""
+
+    @F.pandas_udf("string")
+    def made(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: json.dumps(json_schema([dict(x) for x in r]), ensure_ascii=False))
+
+    leaf = F.struct("ord", "path", "type", "scoring", "numeric_tol", "required")
+    return inferred.groupBy("doc_id").agg(F.sort_array(F.collect_list(leaf)).alias("r")).select("doc_id", made("r").alias("schema"))
+
+
 def ocr_search(tokens: DataFrame, leaves: DataFrame) -> DataFrame:
     """Label search over OCR tokens (doc_id, page, text, score, bbox) in
     reading order; token_prob is the mean score of the value's words, each by

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.operators import ground, signals
@@ -31,11 +31,10 @@ def verify(documents: DataFrame, leaves: DataFrame, extract: Callable = text_sea
     return decide(rows, threshold, conf="confidence").select("doc_id", "path", "value", "support", "page", "bbox", "agreement", "confidence", "decision")
 
 
-def verify_auto(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Verification against the schema inferred from the documents' own labels."""
-    inferred = infer_schema(documents).withColumn("ord", F.dense_rank().over(Window.orderBy("path")))  # one row a label
-    leaves = inferred.select("ord", "path", "type", "scoring", "numeric_tol", F.lit(True).alias("required"), F.array().cast("array<string>").alias("aliases"))
-    return verify(documents, leaves, threshold=threshold)
+def verify_auto(documents: DataFrame, threshold: float = 0.8, propose: Callable[[DataFrame], DataFrame] = infer_schema, **settings) -> DataFrame:
+    """Verification of each document against a schema proposed from its own
+    text; ``propose`` gives leaves with their doc_id."""
+    return verify(documents, propose(documents), threshold=threshold, **settings)
 
 
 def repair(base: DataFrame, tiers: list[Callable[[DataFrame], DataFrame]], require_grounded: bool = True) -> DataFrame:

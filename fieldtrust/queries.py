@@ -171,9 +171,15 @@ def entailment_lexical(spark, sf):
     return r6(p.select("doc_id", "path", ground.lexical_entailment(F.col("text"), ground.hypothesis(F.col("path"), F.col("value"))).alias("entailment")), "entailment")
 
 
-@query()
+_RULE = r"^\s*([A-Za-z][\w /&.#-]{0,40}?)\s*:\s*(\S.*?)\s*$"
+_INFER = f"""nm AS (SELECT doc_id, line, lower(regexp_extract(content, '{_RULE}', 1)) AS label, regexp_extract(content, '{_RULE}', 2) AS v FROM ln WHERE regexp_matches(content, '{_RULE}')),
+fs AS (SELECT *, trim(regexp_replace(label, '[^a-z0-9]+', '_', 'g'), '_') AS path, regexp_matches(label, 'id|no|number|ref|invoice|order|#') AS is_id FROM nm QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY line) = 1),
+sc AS (SELECT doc_id, line AS ord, path, NOT is_id AND regexp_matches(v, '^[$€£]?\s?-?[\d,]+(\.\d+)?\s?%?$') AS num, is_id OR regexp_matches(v, '^\d{{4}}-\d{{1,2}}-\d{{1,2}}$|^\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}$') AS ex FROM fs WHERE path <> '')"""
+
+
+@query(f"WITH {_LINES}, {_INFER} SELECT doc_id, ord, path, CASE WHEN num THEN 'number' ELSE 'string' END AS type, CASE WHEN num THEN 'numeric' WHEN ex THEN 'exact' ELSE 'semantic' END AS scoring, CASE WHEN num THEN 0.01 ELSE 1e-6 END AS numeric_tol FROM sc")
 def schema_inference(spark, sf):
-    return extract.infer_schema(invoices(spark, sf))
+    return extract.infer_schema(invoices(spark, sf)).drop("required", "aliases")
 
 
 @query(f"""WITH p AS (SELECT doc_id, path, value, instr(lower(text), lower(value)) AS found FROM ({PRED}) JOIN ({INV}) USING (doc_id) WHERE run = 0 AND value IS NOT NULL)
@@ -465,25 +471,23 @@ def histogram_binning(spark, sf):
     return r6(calibrators.apply_histogram(rows.where("split = 'test'"), fitted, ["signal"]).select("doc_id", "signal", "path", "calibrated"), "calibrated")
 
 
-@query(f"""WITH {_O}, {_TIES.format(by='signal,')}, g AS (SELECT -4.0::DOUBLE + 8.0::DOUBLE * i / 40 AS log_t, i FROM range(0, 41) r(i)),
-z AS (SELECT *, ln(least(1 - 1e-7, greatest(1e-7, conf)) / (1 - least(1 - 1e-7, greatest(1e-7, conf)))) AS z FROM t),
-p AS (SELECT signal, i, log_t, pos, err, least(1 - 1e-12, greatest(1e-12, 1 / (1 + exp(-(z / exp(log_t)))))) AS p FROM z CROSS JOIN g),
-l AS (SELECT signal, i, log_t, round(sum(-(pos * ln(p) + err * ln(1 - p))), 9) AS loss FROM p GROUP BY 1, 2, 3)
-SELECT signal, round(log_t, 6) AS log_t FROM l QUALIFY row_number() OVER (PARTITION BY signal ORDER BY loss, i) = 1""")
-def temperature_grid(spark, sf):
-    return r6(calibrators.fit_temperature(outcomes(spark, sf), ["signal"], rounds=1), "log_t")
+def _each_signal(spark, sf, calibrator) -> DataFrame:
+    out = None
+    for name in ("token_prob", "verbalized", "grounding", "consensus", "combined"):
+        rows = outcomes(spark, sf).where(F.col("signal") == name)
+        one = calibrator(rows.where("split = 'cal'"), rows.where("split = 'test'")).select("doc_id", "signal", "path", "conf", "calibrated")
+        out = one if out is None else out.unionByName(one)
+    return r6(out, "calibrated")
 
 
 @query()
 def platt_scaling(spark, sf):
-    rows = outcomes(spark, sf).where("signal = 'combined'")
-    return r6(calibrators.platt(rows.where("split = 'cal'"), rows.where("split = 'test'")).select("doc_id", "path", "conf", "calibrated"), "calibrated")
+    return _each_signal(spark, sf, calibrators.platt)
 
 
 @query()
 def isotonic_calibration(spark, sf):
-    rows = outcomes(spark, sf).where("signal = 'combined'")
-    return r6(calibrators.isotonic(rows.where("split = 'cal'"), rows.where("split = 'test'")).select("doc_id", "path", "conf", "calibrated"), "calibrated")
+    return _each_signal(spark, sf, calibrators.isotonic)
 
 
 @query()
@@ -552,8 +556,10 @@ def table_teds(spark, sf):
 
 @query()
 def table_grits(spark, sf):
-    t = _tables(spark, sf).select("l_orderkey", tables.grits(F.col("pred"), F.col("gold")).alias("g"))
-    return r6(t.select("l_orderkey", "g.p", "g.r", "g.f"), "p", "r", "f")
+    kinds = {k: tables.grits(F.col("pred"), F.col("gold"), k) for k in ("con", "top")}
+    t = _tables(spark, sf).select("l_orderkey", *(g.alias(k) for k, g in kinds.items()))
+    out = t.select("l_orderkey", *(F.col(f"{k}.{m}").alias(f"{k}_{m}") for k in kinds for m in "prf"))
+    return r6(out, *(c for c in out.columns if c != "l_orderkey"))
 
 
 # ---------------------------------------------------------------- statistics, agreement
@@ -654,13 +660,43 @@ def multi_split_conformal(spark, sf):
     return r6(harness.multi_split(outcomes(spark, sf), ["signal"], ALPHAS), "coverage", "risk")
 
 
-@query()
+_AUTO = _GROUND.replace("FROM ext)", "FROM au)")
+
+
+@query(f"""WITH {_LINES}, {_INFER}, ah AS (SELECT l.doc_id, path, line, trim(regexp_extract(content, '(?i)\\b' || replace(path, '_', ' ') || '\\b(.*)$', 1), ' :') AS value FROM ln l JOIN sc ON sc.doc_id = l.doc_id AND regexp_matches(content, '(?i)\\b' || replace(path, '_', ' ') || '\\b')),
+au AS (SELECT * FROM ah WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY line) = 1), {_AUTO}
+SELECT path, CASE WHEN coalesce(1.0 / places, 0) >= 0.8 THEN 'accept' ELSE 'review' END AS decision, count(*) AS n, round(avg(CASE WHEN 1.0 / places >= 0.5 THEN 1.0 / places ELSE 0.0 END), 6) AS confidence FROM au LEFT JOIN g USING (doc_id, path) GROUP BY 1, 2""")
 def verify_auto(spark, sf):
     out = verify.verify_auto(invoices(spark, sf))
     return r6(out.groupBy("path", "decision").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence")), "confidence")
 
 
-@query()
+def _least(source: str, lo: str, hi: str, name: str) -> str:
+    """The grid point of 41 with the least log loss of the calibration rows."""
+    return f"""{name} AS (SELECT signal, log_t FROM (SELECT t.signal, i, log_t, round(sum(-(pos * ln(p) + err * ln(1 - p))), 9) AS loss FROM
+  (SELECT z.*, i, log_t, least(1 - 1e-12, greatest(1e-12, 1 / (1 + exp(-(z.z / exp(log_t)))))) AS p FROM z JOIN (SELECT signal, i, {lo} + ({hi} - {lo}) * i / 40 AS log_t FROM {source} CROSS JOIN range(0, 41) r(i)) gr USING (signal)) t GROUP BY 1, 2, 3) l QUALIFY row_number() OVER (PARTITION BY signal ORDER BY loss, i) = 1)"""
+
+
+_TEMPERATURE = f"""z AS (SELECT signal, pos, err, ln(least(1 - 1e-7, greatest(1e-7, conf)) / (1 - least(1 - 1e-7, greatest(1e-7, conf)))) AS z FROM t),
+{_least('(SELECT DISTINCT signal FROM t) d', '-4.0::DOUBLE', '4.0::DOUBLE', 't1')},
+b1 AS (SELECT signal, greatest(-4.0::DOUBLE, log_t - 0.2::DOUBLE) AS lo, least(4.0::DOUBLE, log_t + 0.2::DOUBLE) AS hi FROM t1), {_least('b1', 'lo', 'hi', 't2')},
+b2 AS (SELECT signal, greatest(-4.0::DOUBLE, t2.log_t - (hi - lo) / 40) AS lo, least(4.0::DOUBLE, t2.log_t + (hi - lo) / 40) AS hi FROM t2 JOIN b1 USING (signal)), {_least('b2', 'lo', 'hi', 't3')}"""
+
+
+@query(f"""WITH {_O}, {_TIES.format(by='signal,')}, {_TEMPERATURE} SELECT signal, round(log_t, 6) AS log_t FROM t3""")
+def temperature_grid(spark, sf):
+    """Three rounds of refinement."""
+    return r6(calibrators.fit_temperature(outcomes(spark, sf), ["signal"]), "log_t")
+
+
+@query(f"""WITH {_O}, ca AS (SELECT * FROM o WHERE split = 'cal'), te AS (SELECT * FROM o WHERE split = 'test'), {_TIES.format(by='signal,').replace('FROM o', 'FROM ca')}, {_TEMPERATURE},
+hb AS (SELECT signal, {_BIN} AS bin, avg(correct) AS a FROM ca GROUP BY 1, 2), hw AS (SELECT signal, avg(correct) AS a FROM ca GROUP BY 1),
+al AS (SELECT signal, 'none' AS calibrator, conf, correct FROM te
+  UNION ALL SELECT te.signal, 'histogram', coalesce(hb.a, hw.a), correct FROM te JOIN hw USING (signal) LEFT JOIN hb ON hb.signal = te.signal AND hb.bin = {_BIN}
+  UNION ALL SELECT signal, 'temperature', 1 / (1 + exp(-ln(least(1 - 1e-7, greatest(1e-7, conf)) / (1 - least(1 - 1e-7, greatest(1e-7, conf)))) / exp(log_t))), correct FROM te JOIN t3 USING (signal)),
+bi AS (SELECT signal, calibrator, {_BIN} AS bin, abs(avg(correct) - avg(conf)) AS gap, count(*) AS n FROM al GROUP BY 1, 2, 3), ec AS (SELECT signal, calibrator, sum(gap * n) / sum(n) AS ece, max(gap) AS mce FROM bi GROUP BY 1, 2),
+pr AS (SELECT signal, calibrator, avg((conf - correct) * (conf - correct)) AS brier, avg(-(correct * ln(least(1 - 1e-12, greatest(1e-12, conf))) + (1 - correct) * ln(1 - least(1 - 1e-12, greatest(1e-12, conf))))) AS nll FROM al GROUP BY 1, 2)
+SELECT signal, calibrator, round(ece, 6) AS ece, round(mce, 6) AS mce, round(brier, 6) AS brier, round(nll, 6) AS nll FROM ec JOIN pr USING (signal, calibrator)""")
 def calibration_table(spark, sf):
     rows = outcomes(spark, sf)
     return r6(harness.calibration_table(rows.where("split = 'cal'"), rows.where("split = 'test'")), "ece", "mce", "brier", "nll")
