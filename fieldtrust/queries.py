@@ -155,7 +155,16 @@ def verify_invoices(spark, sf):
     return r6(out.select("doc_id", "path", "value", "support", "confidence", "decision"), "support", "confidence")
 
 
-@query()
+@query(f"""WITH inv AS ({INV}), ln AS (SELECT doc_id, unnest(range(0, len(s))) AS line, unnest(s) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM inv)), ext AS (SELECT doc_id, path || '#' || run AS path, value FROM ({PRED}) WHERE value IS NOT NULL), {_GROUND},
+wn AS (SELECT doc_id, i, t AS t1, lead(t) OVER d AS t2, lead(t, 2) OVER d AS t3, lead(t, 3) OVER d AS t4 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+win AS (SELECT doc_id, i, k, CASE k WHEN 1 THEN t1 WHEN 2 THEN t1 || ' ' || t2 WHEN 3 THEN t1 || ' ' || t2 || ' ' || t3 ELSE t1 || ' ' || t2 || ' ' || t3 || ' ' || t4 END AS txt FROM wn CROSS JOIN range(1, 5) r(k)),
+op AS (SELECT tg.*, len(string_split(target, ' ')) AS n FROM tg ANTI JOIN g USING (doc_id, path) WHERE target <> ''),
+st AS (SELECT op.doc_id, path, target, n, w.i FROM op JOIN w USING (doc_id) WHERE n = 1
+  UNION SELECT DISTINCT op.doc_id, op.path, op.target, op.n, greatest(1, w.i - r.o) FROM op JOIN sp USING (doc_id, path) JOIN w ON w.doc_id = op.doc_id AND w.t = sp.tok JOIN range(0, 4) r(o) ON r.o <= op.n WHERE op.n > 1),
+sm AS (SELECT st.doc_id, path, i, k, 1.0::DOUBLE - levenshtein(txt, target)::DOUBLE / greatest(length(txt), length(target)) AS score FROM st JOIN win USING (doc_id, i) WHERE k <= n + 1 AND txt IS NOT NULL),
+bs AS (SELECT doc_id, path, max(score) AS best FROM sm GROUP BY 1, 2), nb AS (SELECT doc_id, path, best, count(*) AS n FROM sm JOIN bs USING (doc_id, path) WHERE score >= best - 1e-9 AND best > 0 GROUP BY 1, 2, 3),
+al AS (SELECT doc_id, path, 1.0::DOUBLE / places AS s FROM g UNION ALL SELECT doc_id, path, best / n FROM nb)
+SELECT e.doc_id, e.path, e.value, CASE WHEN s >= 0.5 THEN round(s, 6) END AS support, CASE WHEN s >= 0.5 THEN 0 END AS page FROM (SELECT doc_id, path || '#' || run AS path, value FROM ({PRED})) e LEFT JOIN al USING (doc_id, path)""")
 def ground_fuzzy(spark, sf):
     """Corrupted values of all runs against the invoices' words."""
     p = predictions(spark, sf).select("doc_id", F.concat_ws("#", "path", "run").alias("path"), "value")
@@ -696,10 +705,11 @@ al AS (SELECT signal, 'none' AS calibrator, conf, correct FROM te
   UNION ALL SELECT signal, 'temperature', 1 / (1 + exp(-ln(least(1 - 1e-7, greatest(1e-7, conf)) / (1 - least(1 - 1e-7, greatest(1e-7, conf)))) / exp(log_t))), correct FROM te JOIN t3 USING (signal)),
 bi AS (SELECT signal, calibrator, {_BIN} AS bin, abs(avg(correct) - avg(conf)) AS gap, count(*) AS n FROM al GROUP BY 1, 2, 3), ec AS (SELECT signal, calibrator, sum(gap * n) / sum(n) AS ece, max(gap) AS mce FROM bi GROUP BY 1, 2),
 pr AS (SELECT signal, calibrator, avg((conf - correct) * (conf - correct)) AS brier, avg(-(correct * ln(least(1 - 1e-12, greatest(1e-12, conf))) + (1 - correct) * ln(1 - least(1 - 1e-12, greatest(1e-12, conf))))) AS nll FROM al GROUP BY 1, 2)
-SELECT signal, calibrator, round(ece, 6) AS ece, round(mce, 6) AS mce, round(brier, 6) AS brier, round(nll, 6) AS nll FROM ec JOIN pr USING (signal, calibrator)""")
+SELECT signal, calibrator, round(ece, 10) AS ece, round(mce, 10) AS mce, round(brier, 10) AS brier, round(nll, 10) AS nll FROM ec JOIN pr USING (signal, calibrator)""")
 def calibration_table(spark, sf):
     rows = outcomes(spark, sf)
-    return r6(harness.calibration_table(rows.where("split = 'cal'"), rows.where("split = 'test'")), "ece", "mce", "brier", "nll")
+    out = harness.calibration_table(rows.where("split = 'cal'"), rows.where("split = 'test'"))
+    return out.withColumns({c: F.round(c, 10) for c in ("ece", "mce", "brier", "nll")})  # ten places: a mean may lie on the border of a sixth place
 
 
 def _decided(spark, sf, run: int, threshold: float = 0.7):
