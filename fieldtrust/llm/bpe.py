@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ from fieldtrust.llm.common import blocks, lean
 #: The byte-level pre-tokeniser's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct chunks and words that a worker remembers before it starts afresh.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 NEVER = 1 << 60
 #: A space before other white space or the end: not every space is a cut.
 SIMPLE = re.compile(r" (?:\s|$)")
@@ -102,7 +101,11 @@ class TrieEncoder:
             stable.clear()
         path, states, sizes = "", [-1], [0]  # states[n]: the last token of path[:n]
         for data, word in sorted((w.encode().decode("latin-1"), w) for w in words):
-            shared = len(os.path.commonprefix((path, data)))
+            shared = 0
+            for a, b in zip(path, data, strict=False):
+                if a != b:
+                    break
+                shared += 1
             del states[shared + 1 :], sizes[shared + 1 :]
             done = shared + 1  # the next prefix length without a state
             if shared < len(data):
@@ -141,7 +144,9 @@ class TrieEncoder:
 
     def learn(self, chunks: set[str], memo: dict) -> None:
         """memo[chunk] = its ids, through the trie of the chunks' words."""
-        split = {c: self.pattern.findall(c) for c in chunks}
+        findall = self.pattern.findall
+        # ASCII letters behind one character, a letter or the chunk's space, are one word of the pattern
+        split = {c: (c,) if c.isascii() and c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else findall(c) for c in chunks}
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         self.encode_words({w for parts in split.values() for w in parts if w not in self.words})
