@@ -100,7 +100,7 @@ class TrieEncoder:
         if len(stable) > 1_000_000:
             stable.clear()
         path, states, sizes = "", [-1], [0]  # states[n]: the last token of path[:n]
-        for data, word in sorted((w.encode().decode("latin-1"), w) for w in words):
+        for data, word in sorted((w if w.isascii() else w.encode().decode("latin-1"), w) for w in words):
             shared = 0
             for a, b in zip(path, data, strict=False):
                 if a != b:
