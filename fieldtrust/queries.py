@@ -181,7 +181,7 @@ def entailment_lexical(spark, sf):
 
 
 _RULE = r"^\s*([A-Za-z][\w /&.#-]{0,40}?)\s*:\s*(\S.*?)\s*$"
-_INFER = f"""nm AS (SELECT doc_id, line, lower(regexp_extract(content, '{_RULE}', 1)) AS label, regexp_extract(content, '{_RULE}', 2) AS v FROM ln WHERE regexp_matches(content, '{_RULE}')),
+_INFER = rf"""nm AS (SELECT doc_id, line, lower(regexp_extract(content, '{_RULE}', 1)) AS label, regexp_extract(content, '{_RULE}', 2) AS v FROM ln WHERE regexp_matches(content, '{_RULE}')),
 fs AS (SELECT *, trim(regexp_replace(label, '[^a-z0-9]+', '_', 'g'), '_') AS path, regexp_matches(label, 'id|no|number|ref|invoice|order|#') AS is_id FROM nm QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY line) = 1),
 sc AS (SELECT doc_id, line AS ord, path, NOT is_id AND regexp_matches(v, '^[$€£]?\s?-?[\d,]+(\.\d+)?\s?%?$') AS num, is_id OR regexp_matches(v, '^\d{{4}}-\d{{1,2}}-\d{{1,2}}$|^\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}$') AS ex FROM fs WHERE path <> '')"""
 
