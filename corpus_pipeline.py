@@ -12,6 +12,11 @@ read again. All stages but the last return the columns of documents.
 * secret_scan: spans are replaced by a mark; no document goes.
 * packing: the remaining texts become pieces of sequences of 2048 tokens.
 
+Rows with null or repeated ids and equal texts are judged as each operator
+states: rows without a text or a letter go in the first stage, and of documents
+with equal texts the smallest id stays, null after all others. An empty table
+passes through. Extra columns stay up to the last stage, whatever their names.
+
 SQL can't express the first stage (a trained model), the second (hash families
 with densification) or the last (greedy retrieval), so there is no ORACLE_SQL;
 the tests hold the pipeline against a brute-force version.
