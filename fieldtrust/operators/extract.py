@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import typing
 from collections.abc import Callable
 from typing import Any
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldtrust.functions.paths import flatten_json
 from fieldtrust.functions.text import slug
+from fieldtrust.operators.resampling import uniform
 from fieldtrust.sources.datasets import ocr_lines
 from fieldtrust.sources.ingest import lines
 
@@ -98,6 +100,59 @@ def canned_map(documents: DataFrame, values: Column) -> DataFrame:
     return rows.select("doc_id", "ord", F.col("e.key").alias("path"), F.col("e.value").alias("value")).where("value IS NOT NULL")
 
 
+def _swapped(value: Column, i: Column, j: Column) -> Column:
+    """The text with its i-th and j-th characters exchanged."""
+    at = lambda k: F.substring(value, k, F.lit(1))
+    place = F.sequence(F.lit(1), F.char_length(value))
+    return F.array_join(F.transform(place, lambda k: F.when(k == i, at(j)).when(k == j, at(i)).otherwise(at(k))), "")
+
+
+def noisy(golds: DataFrame, runs: int = 1, seed: int = 0, omit: float = 0.05, error: float = 0.1, invent: float = 0.05) -> DataFrame:
+    """(doc_id, run, path, value, verbalized, logprobs): golds as a faulty
+    extractor would give them. Values are left out, or wrong with two
+    characters exchanged (two digits of numbers), and some documents get a path
+    that has no gold. Verbalized confidence is high whatever the value; token
+    scores are a little lower for wrong ones. Draws are hashes of the keys."""
+    u = lambda *salt: uniform(F.lit(seed), F.col("doc_id"), F.col("run"), *salt)
+    rows = golds.select("doc_id", "path", "value", "scoring", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).withColumn("roll", u(F.col("path"), F.lit("roll")))
+    text = F.col("value")
+    digits = F.filter(F.sequence(F.lit(1), F.char_length("value")), lambda k: F.substring(text, k, F.lit(1)).rlike("[0-9]"))
+    first = F.least(F.size("digits") - 1, 1 + F.floor(u(F.col("path"), F.lit("i")) * (F.size("digits") - 1))).cast("int")
+    spot = F.least(F.char_length("value") - 1, 1 + F.floor(u(F.col("path"), F.lit("j")) * (F.char_length("value") - 1))).cast("int")
+    numeric = F.when(F.size("digits") >= 2, _swapped(text, F.element_at("digits", first), F.element_at("digits", first + 1))).otherwise(F.concat(text, F.lit("0")))
+    plain = F.when(F.char_length("value") >= 2, _swapped(text, spot, spot + 1)).otherwise(F.concat(text, F.lit("x")))
+    kept = rows.where(F.col("roll") >= omit).where("value <> ''").withColumn("digits", digits)
+    wrong = F.col("roll") < omit + error
+    told = kept.select("doc_id", "run", "path", F.when(wrong, F.when(F.col("scoring") == "numeric", numeric).otherwise(plain)).otherwise(text).alias("value"), wrong.alias("wrong"))
+    ghosts = rows.select("doc_id", "run").distinct().where(u(F.lit("invent")) < invent)
+    ghosts = ghosts.select("doc_id", "run", F.concat(F.lit("spurious_"), F.floor(u(F.lit("name")) * 1000).cast("string")).alias("path"), F.lit("ghost").alias("value"), F.lit(True).alias("wrong"))
+    both = told.unionByName(ghosts)
+    score = lambda k: F.log(F.least(F.lit(1.0), F.when(F.col("wrong"), F.lit(0.90)).otherwise(F.lit(0.97)) + 0.1 * (u(F.col("path"), F.lit(f"t{k}")) - 0.5)))
+    verbal = F.least(F.lit(1.0), 0.85 + 0.13 * u(F.col("path"), F.lit("verbal")))
+    return both.select("doc_id", "run", "path", "value", verbal.alias("verbalized"), F.array(*map(score, range(3))).alias("logprobs"))
+
+
+def leaves_of_class(model: type, prefix: str = "", required: bool = True) -> list[dict]:
+    """Leaves of a class with annotated fields: numbers are scored as numbers,
+    flags exactly, other types by likeness. Nested classes and lists of them
+    are followed; optional fields, and fields with a default, aren't required."""
+    out = []
+    for name, kind in typing.get_type_hints(model).items():
+        path, must = f"{prefix}.{name}" if prefix else name, required and not hasattr(model, name)
+        args = typing.get_args(kind)
+        if type(None) in args:
+            kind, must = next(a for a in args if a is not type(None)), False
+        many = typing.get_origin(kind) in (list, tuple)
+        if many:
+            path, kind = path + "[]", (*typing.get_args(kind), str)[0]
+        if getattr(kind, "__annotations__", None):
+            out += leaves_of_class(kind, path, must)
+            continue
+        named, scoring = {int: ("integer", "numeric"), float: ("number", "numeric"), bool: ("boolean", "exact")}.get(kind, ("string", "semantic"))
+        out.append({"path": path, "type": named, "scoring": scoring, "numeric_tol": 1e-6, "required": must, "aliases": []})
+    return out
+
+
 def parse_model_json(replies: DataFrame, column: str = "reply") -> DataFrame:
     """(doc_id, path, value, verbalized) of model replies: the outermost braces
     of each reply, flattened; ``x.value`` and ``x.confidence`` are a pair."""

@@ -10,6 +10,9 @@ of its page, so a row grows with the page and not with its square.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,6 +154,26 @@ def hypothesis(path: Column, value: Column) -> Column:
     return F.concat(F.regexp_replace(F.element_at(F.split(path, r"\."), -1), "_", " "), F.lit(" is "), value)
 
 
+def premise(text: Column, span: Column) -> Column:
+    """What a hypothesis is held against: the grounded span of the text, or all of it."""
+    return F.when(span.isNull(), text).otherwise(F.substring(text, span["start"] + 1, span["end"] - span["start"]))
+
+
+def entailment(scorer: Callable[[list[str], list[str]], list[float]]) -> Callable[[Column, Column], Column]:
+    """A column function around a model's ``scorer(premises, hypotheses)``,
+    called with Arrow batches on the executors; null where either is null."""
+
+    @F.pandas_udf("double")
+    def score(premises: pd.Series, hypotheses: pd.Series) -> pd.Series:
+        ok = premises.notna() & hypotheses.notna()
+        out = pd.Series(float("nan"), index=premises.index, dtype="float64").astype(object).where(ok, None)
+        if ok.any():
+            out[ok] = scorer(premises[ok].tolist(), hypotheses[ok].tolist())
+        return out
+
+    return score
+
+
 def fold_entailment(support: Column, entailed: Column, how: str = "min") -> Column:
     """Support with an entailment score folded in, within [0, 1]."""
     by = {"min": F.least(support, entailed), "product": support * entailed, "mean": (support + entailed) / 2, "replace": entailed}

@@ -37,23 +37,30 @@ def verify_auto(documents: DataFrame, threshold: float = 0.8, propose: Callable[
     return verify(documents, propose(documents), threshold=threshold, **settings)
 
 
-def repair(base: DataFrame, tiers: list[Callable[[DataFrame], DataFrame]], require_grounded: bool = True) -> DataFrame:
+def repair(base: DataFrame, tiers: list[Callable[[DataFrame], DataFrame]], require_grounded: bool = True, costs: list[int] | None = None) -> DataFrame:
     """``base`` decisions with fields under review replaced by the first tier
     that accepts them (and grounds them). A tier sees only the documents that
-    still have such fields, and is not asked once none is left."""
+    still have such fields, and is not asked once none is left. With ``costs``,
+    the extractor calls of the base and of each tier, ``calls`` says how many
+    each row's document took."""
     columns = base.columns
+    if costs:
+        base = base.withColumn("calls", F.lit(costs[0]))
     current = base.withColumn("tier", F.lit(0))
     for n, tier in enumerate(tiers, 1):
         open_docs = current.where("decision = 'review'").select("doc_id").distinct()
         if open_docs.isEmpty():
             break
+        if costs:
+            paid = open_docs.withColumn("paid_", F.lit(costs[n]))
+            current = current.join(paid, "doc_id", "left").withColumn("calls", F.col("calls") + F.coalesce("paid_", F.lit(0))).drop("paid_")
         good = tier(open_docs).where(F.col("decision") == "accept").where(F.col("value").isNotNull())
         good = good.where(F.col("support").isNotNull()) if require_grounded else good
         better = good.select("doc_id", "path", F.struct(*(c for c in columns if c not in ("doc_id", "path"))).alias("better"))
         joined = current.join(better, ["doc_id", "path"], "left")
         take = (F.col("decision") == "review") & F.col("better").isNotNull()
         chosen = [F.when(take, F.col(f"better.{c}")).otherwise(F.col(c)).alias(c) for c in columns if c not in ("doc_id", "path")]
-        current = joined.select("doc_id", "path", *chosen, F.when(take, F.lit(n)).otherwise(F.col("tier")).alias("tier"))
+        current = joined.select("doc_id", "path", *chosen, *(["calls"] if costs else []), F.when(take, F.lit(n)).otherwise(F.col("tier")).alias("tier"))
     return current
 
 

@@ -129,8 +129,21 @@ def polygon_box(points: Column, width: Column, height: Column) -> Column:
 LOADERS = {"receipts": quad_words, "invoices": relative_words, "scans": line_words, "forms": form_golds}
 
 
-def load(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """Rows of a cached dataset by the name of its shape."""
+#: Languages of the form shape beside English.
+FORM_LANGUAGES = ("de", "es", "fr", "it", "ja", "pt", "zh")
+
+
+def load(spark: SparkSession, kind: str, path: str, lang: str | None = None, split: str = "val", limit: int | None = None) -> DataFrame:
+    """Rows of a cached dataset by the name of its shape. With ``lang``, the
+    forms of that language and split, from files named like ``de.val.json``;
+    with ``limit``, those of the documents with the smallest ids."""
     if kind not in LOADERS:
         raise ValueError(f"unknown dataset shape {kind!r}; known: {sorted(LOADERS)}")
-    return LOADERS[kind](spark.read.option("multiLine", True).json(path))
+    if lang is not None:
+        if lang not in FORM_LANGUAGES or split not in ("train", "val"):
+            raise ValueError(f"unknown language {lang!r} or split {split!r}; known: {FORM_LANGUAGES}, train and val")
+        path = f"{path.rstrip('/')}/{lang}.{split}.json"
+    rows = spark.read.option("multiLine", True).json(path)
+    if limit is not None:
+        rows = rows.orderBy("doc_id").limit(limit)
+    return LOADERS[kind](rows)
