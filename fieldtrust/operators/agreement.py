@@ -37,6 +37,16 @@ def fleiss(annotations: DataFrame) -> DataFrame:
     return agree.crossJoin(pe).select("n_items", "n_raters", kappa_of(F.col("po"), F.col("pe")).alias("kappa"))  # one row each
 
 
+def report(annotations: DataFrame) -> DataFrame:
+    """(kind, a, b, n, kappa, band): every pair of annotators, the mean of the
+    pairs, and all annotators together."""
+    none = F.lit(None).cast("string")
+    pairs = cohen(annotations).select(F.lit("pair").alias("kind"), "a", "b", "n", "kappa")
+    mean = pairs.agg(F.sum("n").alias("n"), F.avg("kappa").alias("kappa")).select(F.lit("pairs").alias("kind"), none.alias("a"), none.alias("b"), "n", "kappa")
+    whole = fleiss(annotations).select(F.lit("all").alias("kind"), none.alias("a"), none.alias("b"), F.col("n_items").alias("n"), "kappa")
+    return pairs.unionByName(mean).unionByName(whole).withColumn("band", interpret(F.col("kappa")))
+
+
 def interpret(kappa: Column) -> Column:
     """The published bands of agreement."""
     return (

@@ -648,6 +648,16 @@ def fleiss_kappa(spark, sf):
     return r6(out.withColumn("band", agreement.interpret(F.col("kappa"))), "kappa")
 
 
+_BAND = "CASE WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' ELSE 'almost perfect' END"
+
+
+@query(f"""WITH co AS ({ORACLES['cohen_kappa']}), fl AS ({ORACLES['fleiss_kappa']}), al AS (SELECT 'pair' AS kind, a, b, n, kappa FROM co UNION ALL SELECT 'all', NULL, NULL, n_items, kappa FROM fl)
+SELECT kind, a, b, n, kappa, {_BAND} AS band FROM al""")
+def iaa_report(spark, sf):
+    out = agreement.report(rendered(spark, sf, testbed.ANNOTATIONS)).where("kind <> 'pairs'")  # the mean of rounded values would differ
+    return r6(out, "kappa")
+
+
 # ---------------------------------------------------------------- plans
 
 
