@@ -14,6 +14,7 @@ length; repeated rows give equal rows; extra columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -175,7 +176,15 @@ class Digests:
     def value(self, ids: tuple[int, ...]) -> tuple[int, bytes, bytes]:
         return len(ids), b"".join(map(self.decimal.__getitem__, ids)), b"".join(map(self.bpe.bytes.__getitem__, ids))
 
-    def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """No cycles arise here, and the collector would walk the caches again and again."""
+        gc.disable()
+        try:
+            return list(self.each(texts))
+        finally:
+            gc.enable()
+
+    def each(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         bpe, memo = self.bpe, self.memo
         docs = [[c for s in bpe.spans(t) for c in ([s] if s in bpe.special else bpe.chunks(s))] if t else [] for t in texts]
         if len(memo) > CACHE_WORDS:
