@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm import bpe, chat, embeddings, langid, minhash, ogg, packing, secrets, substring, urls
+from fieldtrust.llm import bpe, chat, embeddings, langid, merkle, minhash, ogg, packing, secrets, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,17 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embeddings, op2_packing, op3_bpe, op4_minhash, op5_urls, op6_chat, op7_ogg, op8_secrets, op9_langid, op10_substring)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embeddings, op2_packing, op3_bpe, op4_minhash, op5_urls, op6_chat, op7_ogg, op8_secrets, op9_langid, op10_substring,
+        op12_merkle,
+    )
+}
 
 ORACLES = {
     "op5_urls": r"""
