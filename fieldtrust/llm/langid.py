@@ -15,8 +15,8 @@ word of every text. Features are 64-bit hashes in a sorted array.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; so
 is every text if no labelled row exists; words without letters are neutral;
-very long texts are read whole; equal texts get equal results, repeated or null
-keys too; extra columns are kept and not read, and where one has the name of a
+very long texts are read whole; equal texts get equal results; null or repeated
+keys change neither which rows are in the sample nor how many languages; extra columns are kept and not read, and where one has the name of a
 result column the result's name gets a ``_`` at its end.
 """
 
@@ -330,24 +330,24 @@ def held_out(key: str = "doc_id"):
 
 def train(documents: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits on at most ``max_rows`` labelled rows, as many of each language as
-    there are; which ones, a hash of the key decides. Two narrow passes: counts
-    for each language, then the rows below a hash bound."""
-    known = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.char_length("text") <= MAX_CHARS) & ~F.coalesce(held_out(), F.lit(False)))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()}
-    if not counts:
+    there are: those with the smallest hashes of id, text and language, so that
+    neither null or repeated ids nor the order of files matter. Rows equal in
+    all three count once. Two narrow passes: the hashes that are in for each
+    language, then their rows."""
+    known = (
+        documents.select("doc_id", "text", "lang")
+        .where(F.col("lang").isNotNull() & (F.char_length("text") <= MAX_CHARS) & ~F.coalesce(held_out(), F.lit(False)))
+        .select("text", "lang", F.xxhash64("doc_id", "text", "lang").alias("h"))
+    )
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()]
+    if not langs:
         return Model([], np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 0)))
-    each = max(1, max_rows // len(counts))
-    part = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 1.5 * each / n + 1e-6))) for k, n in counts.items()), F.lit(0.0))
-    # 1.5 times the share, so that each language has enough; the exact bound is set here
-    below = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part * (1 << 30)
-    rows = known.where(below).select("text", "lang", F.xxhash64("doc_id").alias("h")).limit(2 * max_rows).collect()
-    took: dict[str, int] = defaultdict(int)
-    out = []
-    for r in sorted(rows, key=lambda r: (r["h"], r["text"], r["lang"])):
-        took[r["lang"]] += 1
-        if took[r["lang"]] <= each:
-            out.append((r["text"], r["lang"]))
-    return fit(out)
+    each = max(1, max_rows // len(langs))
+    first = known.where(F.col("lang").isin(langs)).selectExpr("lang", "h", "dense_rank() over (partition by lang order by h) as n").where(F.col("n") <= each)
+    bounds = first.groupBy("lang").agg(F.max("h").alias("most")).collect()
+    inside = F.coalesce(*(F.when(F.col("lang") == b["lang"], F.col("h") <= b["most"]) for b in bounds), F.lit(False))
+    rows = known.where(inside).dropDuplicates(["h"]).collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"], r["lang"]))])
 
 
 def predict(documents: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:

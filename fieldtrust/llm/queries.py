@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm import bpe, chat, embeddings, langid, merkle, minhash, ogg, packing, secrets, substring, urls
+from fieldtrust.llm import bpe, chat, embeddings, langid, merkle, minhash, ogg, packing, secrets, substring, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +75,17 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embeddings, op2_packing, op3_bpe, op4_minhash, op5_urls, op6_chat, op7_ogg, op8_secrets, op9_langid, op10_substring,
-        op12_merkle,
+        op12_merkle, op13_toxicity,
     )
 }
 

@@ -37,11 +37,13 @@ WINDOW = 20
 #: Bits at which a window counts, by the classes of its characters; a window of
 #: digits alone never does.
 HEX_BITS, LETTER_BITS, MIXED_BITS = 3.0, 4.0, 3.7
-#: Forms that are no secrets, and words that end a candidate.
+#: Forms that are no secrets, and words that end a candidate. The
+#: repeated group is possessive: Java's engine then loops, where a group that
+#: could give something back recurses for each separator.
 ALLOWED = (
     r"^[A-Za-z_=-]+$",
     r"^[0-9_=+/-]+$",
-    r"^(/|[a-z0-9]+-)?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]*$",
+    r"^(?:/|[a-z0-9]++-)?(?:[A-Za-z]++[/_-])++[A-Za-z]*[0-9]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 )
 PLACEHOLDERS = ("example", "placeholder", "changeme", "xxxxxx", "0123456789", "abcdefgh")
