@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrust.llm import bpe, chat, embeddings, langid, merkle, minhash, ogg, packing, secrets, substring, toxicity, urls
+from fieldtrust.llm import bpe, chat, embeddings, langid, merkle, minhash, negatives, ogg, packing, secrets, substring, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_digest(table(spark, sf_dir, "documents"))
 
@@ -85,11 +90,27 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embeddings, op2_packing, op3_bpe, op4_minhash, op5_urls, op6_chat, op7_ogg, op8_secrets, op9_langid, op10_substring,
-        op12_merkle, op13_toxicity,
+        op11_negatives, op12_merkle, op13_toxicity,
     )
 }
 
 ORACLES = {
+    "op11_negatives": """
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, a.label = b.label AS alike, b.id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e AS a JOIN e AS b ON a.id % 100 = 0 AND a.id <> b.id
+), p AS (
+  SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 5
+""",
     "op5_urls": r"""
 WITH u AS (
   SELECT page_id, CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages
