@@ -83,7 +83,7 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(documents, table(spark, sf_dir, "labels"))
-    return toxicity.score(documents, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+    return toxicity.score(documents, model, keep=["doc_id"]).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
 QUERIES = {

@@ -17,7 +17,7 @@ the least ratio of unlabelled to positive documents above a score.
 
 The model is fitted on a bounded sample (``MAX_POSITIVE`` and ``MAX_UNLABELLED``
 different rows of up to ``MAX_CHARS`` characters, those with the smallest hashes,
-of near copies one); scores are of every word of every text. Features are words,
+of those that share a passage one); scores are of every word of every text. Features are words,
 runs of letters in lower case, and their first bytes; of those in the sample, up
 to ``MAX_FEATURES`` that mark positives by more than chance have weights.
 
@@ -30,7 +30,7 @@ not read, and where one has the name of a result the result's name gets a ``_``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.llm.common import blocks, fresh, lean, mix, text_buffer, word_hashes, words
+from fieldtrust.llm.common import RunHash, blocks, fresh, lean, mix, text_buffer, word_hashes, words
 
 #: Bounds of the sample, and of the features that have weights.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CHARS, MAX_FEATURES = 2000, 6000, 50_000, 1024
@@ -51,12 +51,13 @@ POOL = 1
 THRESHOLD, MAX_WEIGHT = 0.7, 12.0
 #: Bytes of a word's first letters that are a feature, as the word itself is.
 PREFIXES = (4, 5, 6, 7, 8)
-#: MinHash values by which copies in the sample are told.
-KEYS = 4
+#: Hashes of five words by which documents of the sample that share a passage
+#: are told.
+KEYS = 16
 #: ASCII characters other than letters part words.
 _LETTERS = np.arange(256, dtype=np.uint8)
 _LETTERS[[c for c in range(128) if not chr(c).isalpha()]] = 32
-_SALTS = mix(np.arange(70, 70 + max(KEYS, len(PREFIXES)), dtype=np.uint64)) | np.uint64(1)
+_SALTS = mix(np.arange(70, 70 + len(PREFIXES), dtype=np.uint64)) | np.uint64(1)
 
 
 def hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -82,18 +83,16 @@ def distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def copy_keys(n: int, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """``KEYS`` MinHash values of each row's pairs of neighbouring words (of its
-    words where it has one), which near copies share."""
+    """The ``KEYS`` smallest hashes of each row's runs of five words (of all its
+    words where it has fewer): rows with a passage in common share some."""
     out = np.zeros((n, KEYS), np.uint64)
-    if len(rows):
-        pairs = mix(hashes + np.append(hashes[1:], np.uint64(0)) * np.uint64(3))
-        last = np.append(rows[1:] != rows[:-1], True)
-        alone = last & np.append(True, rows[1:] != rows[:-1])
-        kept = ~last | alone
-        rows, pairs = rows[kept], np.where(alone, hashes, pairs)[kept]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        for k in range(KEYS):
-            out[rows[first], k] = np.minimum.reduceat(mix(pairs * _SALTS[k]), first)
+    runs = RunHash(hashes)
+    ends = np.searchsorted(rows, np.arange(n), "right")
+    for i, (start, end) in enumerate(zip(np.searchsorted(rows, np.arange(n)), ends, strict=True)):
+        if end > start:
+            at = np.arange(start, max(start + 1, end - 4))
+            found = np.unique(runs(at, np.minimum(at + 5, end)))[:KEYS]
+            out[i] = np.resize(found, KEYS)
     return out
 
 
@@ -143,7 +142,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, rows: np.ndarray, hashes: np.ndarray, prior: float, steps: int = 300, decay: float = 0.001) -> Model:
+def fit(positive: np.ndarray, rows: np.ndarray, hashes: np.ndarray, prior: float, steps: int = 300, decay: float = 0.0005) -> Model:
     """Minimises the non-negative risk by gradient steps (Adam) on numpy arrays:
     ``positive`` says of each row which sample it is of, ``rows`` and ``hashes``
     are its words."""
@@ -214,9 +213,10 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _drawn(rows: DataFrame, most: int) -> DataFrame:
-    """Different rows (h, text) with the smallest ``h``, ``most`` of them."""
-    share = min(1.0, 4 * most / max(1, rows.count()))
+def _drawn(rows: DataFrame, most: int, n: int) -> DataFrame:
+    """Different rows (h, text) with the smallest ``h``, ``most`` of them; ``n``
+    is about the number of rows."""
+    share = min(1.0, 4 * most / max(1, n))
     some = rows.where(F.pmod("h", F.lit(1 << 32)) <= int(share * (1 << 32)))
     bound = some.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     return some.where(F.col("h") <= F.lit(bound)).dropDuplicates(["h"])
@@ -228,14 +228,15 @@ def train(documents: DataFrame, labels: DataFrame, prior: float | None = None) -
     marks = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = marks.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     rows = documents.where((F.char_length("text") <= MAX_CHARS) & ~held_out()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
-    confirmed = rows.join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").drop("doc_id")
-    sample = _drawn(confirmed, MAX_POSITIVE).withColumn("positive", F.lit(True)).unionByName(
-        _drawn(rows.drop("doc_id"), MAX_UNLABELLED).withColumn("positive", F.lit(False))
+    toxic = marks.where("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(4 * MAX_POSITIVE)
+    confirmed = rows.join(F.broadcast(toxic), "doc_id", "left_semi").drop("doc_id")  # bounded ids
+    sample = _drawn(confirmed, MAX_POSITIVE, toxic.count()).withColumn("positive", F.lit(True)).unionByName(
+        _drawn(rows.drop("doc_id"), MAX_UNLABELLED, documents.count()).withColumn("positive", F.lit(False))
     )
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", 1 << 20):
             found = list(hashed(b.column("text")))
             keys = copy_keys(b.num_rows, *found[0]).view(np.int64)
             at, hashes = distinct(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
@@ -252,14 +253,12 @@ def train(documents: DataFrame, labels: DataFrame, prior: float | None = None) -
     positive = got["positive"].to_numpy(zero_copy_only=False).astype(bool)
     if not positive.any():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0, 0.0)
-    # of near copies in one sample the first stays: their words would count once for each
+    # of documents that share a passage, the first of each sample stays: words
+    # of the passage would count once for each
     keys = pc.list_flatten(got["keys"]).to_numpy().reshape(-1, KEYS)
-    keys = keys ^ np.arange(KEYS) ^ (positive.astype(np.int64) << 62)[:, None]
-    again = np.zeros(len(positive), bool)
-    for k in range(KEYS):
-        copies = np.ones(len(positive), bool)
-        copies[np.unique(keys[:, k], return_index=True)[1]] = False
-        again |= copies
+    keys = np.where(keys == 0, -1 - np.arange(len(keys))[:, None], keys ^ (positive.astype(np.int64) << 62)[:, None])
+    _, first, which = np.unique(keys.ravel(), return_index=True, return_inverse=True)
+    again = (first[which].reshape(keys.shape) // KEYS < np.arange(len(keys))[:, None]).any(1)
     kept = np.flatnonzero(~again)
     got, positive = got.take(kept), positive[kept]
     lengths = pc.list_value_length(got["features"]).to_numpy()
@@ -268,19 +267,22 @@ def train(documents: DataFrame, labels: DataFrame, prior: float | None = None) -
     return fit(positive, rows, hashes, prior or estimated_prior(positive, rows, hashes, labelled))
 
 
-def score(documents: DataFrame, model: Model, text: str = "text", name: str = "score", predicted: str = "predicted") -> DataFrame:
-    """``documents`` with the chance that each is toxic, and whether it reaches
-    the threshold; a narrow map."""
+def score(
+    documents: DataFrame, model: Model, text: str = "text", name: str = "score", predicted: str = "predicted", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """``documents`` (or their columns ``keep``) with the chance that each is
+    toxic, and whether it reaches the threshold; a narrow map."""
     name, predicted = fresh(documents, name), fresh(documents, predicted)
+    kept = list(keep if keep is not None else documents.columns)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_FEATURES
-    keep = [*documents.columns, name, predicted]
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema] + [f"`{name}` double", f"`{predicted}` int"]
+    kinds = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept] + [f"`{name}` double", f"`{predicted}` int"]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in blocks(batches, text):
+        for b in blocks(batches, text, 1 << 20):
             chance = model.chances(b.column(text))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chance), pa.array((chance >= THRESHOLD).astype(np.int32))], keep)
+            added = [pa.array(chance), pa.array((chance >= THRESHOLD).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *added], [*kept, name, predicted])
 
     return documents.mapInArrow(run, ", ".join(kinds))
