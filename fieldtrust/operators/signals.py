@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.functions.text import folded
@@ -48,30 +50,29 @@ def combined(signals: dict[str, Column], weights: dict[str, float] = WEIGHTS) ->
     return F.when(bottom > 0, unit(top / bottom))
 
 
-def votes(predictions: DataFrame, runs: int) -> DataFrame:
-    """(doc_id, path, run, ord, value, support, vote): a row for each run of
-    each path, with an omit vote where a run lacks it. The last row of a
-    (run, path) counts."""
-    latest = Window.partitionBy("doc_id", "run", "path").orderBy(F.desc("ord"))
-    rows = predictions.where(F.col("run") < runs).withColumn("turn", F.row_number().over(latest)).where("turn = 1")
-    cast = rows.select("doc_id", "path", "run", "ord", "value", "support", F.when(F.col("value").isNull(), F.lit("<null>")).otherwise(folded(F.col("value"))).alias("vote"))
-    paths = cast.groupBy("doc_id", "path").agg(F.collect_set("run").alias("had"))
-    absent = paths.select("doc_id", "path", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(runs - 1)), "had")).alias("run"))
-    missing = absent.select("doc_id", "path", "run", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("support"), F.lit(OMIT).alias("vote"))
-    return cast.withColumn("run", F.col("run").cast("int")).withColumn("ord", F.col("ord").cast("int")).unionByName(missing.withColumn("run", F.col("run").cast("int")))
-
-
-def consensus(predictions: DataFrame, runs: int) -> DataFrame:
-    """(doc_id, path, value, support, agreement, n_votes, first_run, first_ord):
-    the modal vote of each path, the first seen on ties; a won omit is a null
-    value. One shuffle by document and path does it all."""
-    v = votes(predictions, runs)
-    counted = v.groupBy("doc_id", "path", "vote").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("first"), F.min_by("value", "run").alias("value"), F.min_by("support", "run").alias("support"))
-    seen = v.where(F.col("vote") != OMIT).groupBy("doc_id", "path").agg(F.min(F.struct("run", "ord")).alias("seen"))
-    best = counted.groupBy("doc_id", "path").agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "value", "support")).alias("b"))
-    return best.join(seen, ["doc_id", "path"]).select(
-        "doc_id", "path", "b.value", "b.support", (F.col("b.n") / runs).alias("agreement"), F.col("b.n").alias("n_votes"), F.col("seen.run").alias("first_run"), F.col("seen.ord").alias("first_ord")
-    )
+def consensus(predictions: DataFrame, runs: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, path, value, support, agreement, n_votes, first_run, first_ord,
+    and ``keep``): the modal vote of each path, the first seen on ties. A run
+    that lacks a path, or has no value for it, votes to omit; a won omit is a
+    null value. The last row of a (run, path) counts; value, support and
+    ``keep`` are those of the first run with the modal vote. A path's rows meet
+    in one aggregate, and its at most ``runs`` votes are counted inside the row."""
+    taken = ["value", *(c for c in ("support", *keep) if c in predictions.columns)]
+    vote = F.coalesce(folded(F.col("value")), F.lit(OMIT)).alias("vote")
+    used = predictions.where((F.col("run") >= 0) & (F.col("run") < runs))
+    rows = used.groupBy("doc_id", "path").agg(F.array_sort(F.collect_list(F.struct(F.col("run").cast("int").alias("run"), F.col("ord").cast("long").alias("ord"), vote, *taken))).alias("rows"))
+    places = F.sequence(F.lit(0), F.lit(runs - 1))
+    cast = F.transform(places, lambda r: F.try_element_at(F.filter("rows", lambda x: x["run"] == r), F.lit(-1)))
+    rows = rows.select("doc_id", "path", F.col("rows")[0].alias("seen"), cast.alias("cast"))
+    rows = rows.withColumn("votes", F.transform("cast", lambda x: F.coalesce(x["vote"], F.lit(OMIT))))
+    backed = lambda i: F.size(F.filter("votes", lambda v: v == F.get("votes", i)))
+    rows = rows.withColumn("best", F.array_max(F.transform(places, lambda i: F.struct(backed(i).alias("n"), (-i).alias("place")))))
+    first = F.get("cast", -F.col("best.place"))
+    won = F.get("votes", -F.col("best.place")) != OMIT
+    extra = [F.when(won, first[c]).alias(c) for c in taken]
+    if "support" not in taken:
+        extra.append(F.lit(None).cast("double").alias("support"))
+    return rows.select("doc_id", "path", *extra, (F.col("best.n") / runs).alias("agreement"), F.col("best.n").cast("long").alias("n_votes"), F.col("seen.run").alias("first_run"), F.col("seen.ord").cast("int").alias("first_ord"))
 
 
 def adaptive_consensus(predictions: DataFrame, threshold: float = 0.5, margin: float = 0.25, k_min: int = 2, k_max: int = 5, budget: int | None = None) -> DataFrame:

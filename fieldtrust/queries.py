@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrust.functions import boxes, paths, text
+from fieldtrust.functions.store import kept
 from fieldtrust.operators import agreement, calibrators, conformal, extract, extraction_metrics, ground, grounding_metrics, resampling, selective_metrics, signals, tables
 from fieldtrust.operators import calibration_metrics as cm
-from fieldtrust.plans import harness, sinks, verify
+from fieldtrust.plans import harness, offline, sinks, verify
 from fieldtrust.sources import datasets, ingest, testbed
 from fieldtrust.sources.testbed import portable, rendered
 from fieldtrust.streaming import monitor
@@ -123,7 +124,7 @@ def flatten_props(spark, sf):
 _LINES = f"""inv AS ({INV}),
 ln AS (SELECT doc_id, unnest(range(0, len(s))) AS line, unnest(s) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM inv)),
 lab(ord, path, nth, label) AS (VALUES (0, 'invoice_id', 0, 'invoice id'), (1, 'customer', 0, 'customer'), (2, 'segment', 0, 'segment'), (3, 'priority', 0, 'priority'), (4, 'total', 0, 'total'), (5, 'status', 0, 'status'), (5, 'status', 1, 'state')),
-hit AS (SELECT doc_id, ord, path, nth, line, trim(regexp_extract(content, '(?i)\\b' || label || '\\b(.*)$', 1), ' :') AS value FROM ln JOIN lab ON regexp_matches(content, '(?i)\\b' || label || '\\b')),
+hit AS (SELECT doc_id, ord, path, nth, line, trim(regexp_extract(content, '(?i)\\b' || label || '\\b(.*)$', 1), ' :') AS value FROM ln JOIN lab ON contains(lower(content), label) WHERE regexp_matches(content, '(?i)\\b' || label || '\\b')),
 ext AS (SELECT doc_id, ord, path, value, line FROM hit WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY nth, line) = 1)"""
 
 
@@ -155,7 +156,7 @@ def verify_invoices(spark, sf):
     return r6(out.select("doc_id", "path", "value", "support", "confidence", "decision"), "support", "confidence")
 
 
-@query(f"""WITH inv AS ({INV}), ln AS (SELECT doc_id, unnest(range(0, len(s))) AS line, unnest(s) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM inv)), ext AS (SELECT doc_id, path || '#' || run AS path, value FROM ({PRED}) WHERE value IS NOT NULL), {_GROUND},
+_FUZZY = f"""inv AS ({INV}), ln AS (SELECT doc_id, unnest(range(0, len(s))) AS line, unnest(s) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM inv)), ext AS (SELECT doc_id, path || '#' || run AS path, value FROM ({PRED}) WHERE value IS NOT NULL), {_GROUND},
 wn AS (SELECT doc_id, i, t AS t1, lead(t) OVER d AS t2, lead(t, 2) OVER d AS t3, lead(t, 3) OVER d AS t4 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 win AS (SELECT doc_id, i, k, CASE k WHEN 1 THEN t1 WHEN 2 THEN t1 || ' ' || t2 WHEN 3 THEN t1 || ' ' || t2 || ' ' || t3 ELSE t1 || ' ' || t2 || ' ' || t3 || ' ' || t4 END AS txt FROM wn CROSS JOIN range(1, 5) r(k)),
 op AS (SELECT tg.*, len(string_split(target, ' ')) AS n FROM tg ANTI JOIN g USING (doc_id, path) WHERE target <> ''),
@@ -163,7 +164,10 @@ st AS (SELECT op.doc_id, path, target, n, w.i FROM op JOIN w USING (doc_id) WHER
   UNION SELECT DISTINCT op.doc_id, op.path, op.target, op.n, greatest(1, w.i - r.o) FROM op JOIN sp USING (doc_id, path) JOIN w ON w.doc_id = op.doc_id AND w.t = sp.tok JOIN range(0, 4) r(o) ON r.o <= op.n WHERE op.n > 1),
 sm AS (SELECT st.doc_id, path, i, k, 1.0::DOUBLE - levenshtein(txt, target)::DOUBLE / greatest(length(txt), length(target)) AS score FROM st JOIN win USING (doc_id, i) WHERE k <= n + 1 AND txt IS NOT NULL),
 bs AS (SELECT doc_id, path, max(score) AS best FROM sm GROUP BY 1, 2), nb AS (SELECT doc_id, path, best, count(*) AS n FROM sm JOIN bs USING (doc_id, path) WHERE score >= best - 1e-9 AND best > 0 GROUP BY 1, 2, 3),
-al AS (SELECT doc_id, path, 1.0::DOUBLE / places AS s FROM g UNION ALL SELECT doc_id, path, best / n FROM nb)
+al AS (SELECT doc_id, path, 1.0::DOUBLE / places AS s FROM g UNION ALL SELECT doc_id, path, best / n FROM nb)"""
+
+
+@query(f"""WITH {_FUZZY}
 SELECT e.doc_id, e.path, e.value, CASE WHEN s >= 0.5 THEN round(s, 6) END AS support, CASE WHEN s >= 0.5 THEN 0 END AS page FROM (SELECT doc_id, path || '#' || run AS path, value FROM ({PRED})) e LEFT JOIN al USING (doc_id, path)""")
 def ground_fuzzy(spark, sf):
     """Corrupted values of all runs against the invoices' words."""
@@ -263,7 +267,7 @@ def align_arrays(spark, sf):
 
 # ---------------------------------------------------------------- signals
 
-_VOTES = f"""pr AS (SELECT *, CASE WHEN value IS NULL THEN '<null>' ELSE lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))) END AS vote FROM ({PRED})),
+_VOTES = f"""pr AS (SELECT *, CASE WHEN value IS NULL THEN '<omit>' ELSE lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))) END AS vote FROM ({PRED})),
 paths AS (SELECT DISTINCT doc_id, path FROM pr WHERE run < {{k}}), v AS (SELECT p.doc_id, p.path, r.run, coalesce(pr.vote, '<omit>') AS vote, pr.value, pr.support FROM paths p CROSS JOIN range(0, {{k}}) r(run) LEFT JOIN pr ON pr.doc_id = p.doc_id AND pr.path = p.path AND pr.run = r.run),
 m AS (SELECT doc_id, path, vote, count(*) AS n, min(run) AS first, arg_min(value, run) AS value FROM v GROUP BY 1, 2, 3),
 mode_ AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY n DESC, first) = 1)"""
@@ -679,6 +683,94 @@ def multi_split_conformal(spark, sf):
     return r6(harness.multi_split(outcomes(spark, sf), ["signal"], ALPHAS), "coverage", "risk")
 
 
+_HALF = "coalesce(nullif({c}, 0), 0.5)"
+_KEPT = """coalesce(0.5 * agreement, 0) + 0.3 * coalesce(sup, 0) + 0.1 * tp + 0.1 * verbalized"""
+#: Runs of the test bed, their values grounded in the invoices, to outcomes of each signal.
+_SIGNALS = f"""{_FUZZY},
+{_VOTES.format(k=5)},
+gr AS (SELECT pr.*, exp((ln(verbalized) + ln(0.9) + ln(0.97)) / 3) AS tp, CASE WHEN al.s >= 0.5 THEN al.s END AS sup FROM pr LEFT JOIN al ON al.doc_id = pr.doc_id AND al.path = pr.path || '#' || pr.run),
+gd AS ({GOLD}),
+bs0 AS (SELECT doc_id, path, ord, value, sup, tp, verbalized, NULL::DOUBLE AS agreement, false AS voted FROM gr WHERE run = 0
+  UNION ALL SELECT m.doc_id, m.path, gr.ord, gr.value, gr.sup, gr.tp, gr.verbalized, m.n / 5, true FROM mode_ m JOIN gr ON gr.doc_id = m.doc_id AND gr.path = m.path AND gr.run = m.first WHERE m.vote <> '<omit>'),
+{_CORRECT.replace('FROM p LEFT JOIN g USING', 'FROM bs0 AS p LEFT JOIN gd AS g USING')},
+so AS (SELECT doc_id, path, ord, CASE WHEN known THEN 'matched' ELSE 'hallucinated' END AS status, correct, sup AS support, value, unnest(CASE WHEN voted THEN
+    [{{{{'signal': 'consensus', 'conf': agreement}}}}, {{{{'signal': 'combined', 'conf': least(1.0, {_KEPT})}}}}]
+    ELSE [{{{{'signal': 'token_prob', 'conf': {_HALF.format(c='tp')}}}}}, {{{{'signal': 'verbalized', 'conf': {_HALF.format(c='verbalized')}}}}}, {{{{'signal': 'grounding', 'conf': coalesce(sup, 0)}}}}] END, recursive := true) FROM fo)""".replace("{{", "{").replace("}}", "}")
+
+
+def _runs(spark, sf) -> DataFrame:
+    """All runs' values, grounded in the invoices."""
+    logs = F.array(F.log("verbalized"), F.log(F.lit(0.9)), F.log(F.lit(0.97)))
+    p = predictions(spark, sf).select("doc_id", "run", "ord", F.col("path").alias("field"), F.concat_ws("#", "path", "run").alias("path"), "value", "verbalized", signals.token_prob(logs).alias("token_prob"))
+    return ground.ground(p, ingest.words(invoices(spark, sf))).withColumn("path", F.col("field")).drop("field")
+
+
+@query(f"WITH {_SIGNALS} SELECT doc_id, path, signal, round(conf, 6) AS conf, status, correct FROM so")
+def harness_outcomes(spark, sf):
+    return r6(harness.signal_outcomes(_runs(spark, sf), golds(spark, sf), 5).select("doc_id", "path", "signal", "conf", "status", "correct"), "conf")
+
+
+# confidences are rounded first, so that both sides agree on what is tied
+_HARNESS = f"""{_SIGNALS}, ids AS (SELECT doc_id, row_number() OVER (ORDER BY {_U.format(x="'0|' || doc_id::VARCHAR")}, doc_id) AS n, count(*) OVER () AS n_all FROM (SELECT DISTINCT doc_id FROM so)),
+o AS (SELECT doc_id, path, doc_id * 10 + ord AS ord, signal, round(conf, 6) AS conf, correct, support, value, CASE WHEN n <= greatest(1, least(n_all - 1, round_even(n_all * 0.5, 0))) THEN 'cal' ELSE 'test' END AS split FROM so JOIN ids USING (doc_id))"""
+
+
+def _harness_rows(spark, sf) -> DataFrame:
+    rows = harness.signal_outcomes(_runs(spark, sf), golds(spark, sf), 5).withColumn("ord", F.col("doc_id") * 10 + F.col("ord"))
+    return kept(harness.exact_split(kept(r6(rows, "conf"), "outcomes")), "outcomes")
+
+
+@query("WITH " + _HARNESS + ORACLES["leaderboard"][len(f"WITH {_O}"):])
+def harness_leaderboard(spark, sf):
+    """The leaderboard of signals from extractor runs, over an exact split."""
+    rows = _harness_rows(spark, sf)
+    out = harness.leaderboard(rows.where("split = 'cal'"), rows.where("split = 'test'"), ALPHAS)
+    return r6(out, "coverage", "risk", "auroc", "e_aurc", "ece")
+
+
+@query(f"""WITH {_O}, ids AS (SELECT doc_id, row_number() OVER (ORDER BY {_U.format(x="'3|' || doc_id::VARCHAR")}, doc_id) AS n, count(*) OVER () AS n_all FROM (SELECT DISTINCT doc_id FROM o))
+SELECT doc_id, CASE WHEN n <= greatest(1, least(n_all - 1, round_even(n_all * 0.3, 0))) THEN 'cal' ELSE 'test' END AS split FROM ids""")
+def exact_split(spark, sf):
+    return harness.exact_split(outcomes(spark, sf), 0.3, 3).select("doc_id", "split").distinct()
+
+
+_BOUND = f"""{_O}, {_TAX}, cal AS (SELECT *, {_U.format(x="doc_id::VARCHAR || '|7'")} < 0.5 AS fit FROM x WHERE split = 'cal'), ft AS (SELECT * FROM cal WHERE fit), {_fitted('ft', 'signal taxonomy rank_ grp', 'own')},
+y AS (SELECT h.signal, a.alpha, h.taxonomy, h.rank_, h.correct, coalesce(h.conf >= own.t, false) AS acc FROM cal h CROSS JOIN (SELECT unnest([{', '.join(f'{a}::DOUBLE' for a in ALPHAS)}]) AS alpha) a
+  LEFT JOIN own ON own.signal = h.signal AND own.taxonomy = h.taxonomy AND own.grp = h.grp AND own.alpha = a.alpha WHERE NOT fit),
+z AS (SELECT signal, alpha, taxonomy, rank_, avg(acc::INT) AS coverage, CASE WHEN sum(acc::INT) > 0 THEN sum((acc AND correct = 0)::INT) / sum(acc::INT) ELSE 0 END AS risk FROM y GROUP BY 1, 2, 3, 4),
+b AS (SELECT * FROM z WHERE risk <= alpha AND coverage > 0 QUALIFY row_number() OVER (PARTITION BY signal, alpha ORDER BY coverage DESC, rank_) = 1)"""
+
+
+@query(f"WITH {_BOUND} SELECT k.signal, k.alpha, coalesce(taxonomy, 'pooled') AS taxonomy, round(coverage, 6) AS coverage, round(risk, 6) AS risk FROM (SELECT DISTINCT signal, alpha FROM y) k LEFT JOIN b USING (signal, alpha)")
+def bounded_taxonomy(spark, sf):
+    """The taxonomy with the most coverage among those that hold their risk on a held-out half."""
+    rows = conformal.by_taxonomy(outcomes(spark, sf).where("split = 'cal'"))
+    fit = resampling.uniform(F.col("doc_id"), F.lit(7)) < 0.5
+    return r6(offline.select_bounded(rows.where(fit), rows.where(~fit), ["signal"], ALPHAS), "coverage", "risk")
+
+
+def _dump_rows(spark, sf) -> DataFrame:
+    """The study's rows: fields of the test bed's vote, with lexical entailment for the model's."""
+    rows = offline.fields(predictions(spark, sf), golds(spark, sf), 5).join(invoices(spark, sf), "doc_id", "left")
+    return rows.withColumn("entailment", F.coalesce("entailment", ground.lexical_entailment(F.col("text"), ground.hypothesis(F.col("path"), F.col("value"))))).drop("text")
+
+
+_DUMP = f"""{_VOTES.format(k=5)}, gd AS ({GOLD}), vt AS (SELECT m.doc_id, m.path, pr.value, pr.verbalized, m.n / 5 AS consistency, pr.support FROM mode_ m JOIN pr ON pr.doc_id = m.doc_id AND pr.path = m.path AND pr.run = m.first WHERE m.vote <> '<omit>'),
+{_CORRECT.replace('FROM p LEFT JOIN g USING', 'FROM vt AS p LEFT JOIN gd AS g USING')}, tx AS (SELECT fo.*, list_filter(regexp_split_to_array(lower(replace(path, '_', ' ') || ' is ' || value), '[^\\p{{L}}\\p{{N}}.]+'), lambda w: w <> '') AS h, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}.]+'), lambda w: w <> '') AS q FROM fo LEFT JOIN ({INV}) i USING (doc_id))"""
+
+
+@query(f"""WITH {_DUMP} SELECT doc_id, path, value, verbalized, consistency, coalesce(support, 0) AS support, (support IS NOT NULL)::INT AS grounded, correct,
+  round(CASE WHEN support IS NULL THEN 0 ELSE len(list_filter(h, lambda w: list_contains(q, w)))::DOUBLE / len(h) END, 6) AS entailment FROM tx""")
+def field_dump(spark, sf):
+    return r6(_dump_rows(spark, sf), "entailment")
+
+
+@query()
+def offline_study(spark, sf):
+    out = offline.study(_dump_rows(spark, sf), [0.05, 0.1, 0.2])
+    return out.withColumns({c: F.round(c, 4) for c in ("coverage", "risk", "lift")})
+
+
 _AUTO = _GROUND.replace("FROM ext)", "FROM au)")
 
 
