@@ -50,6 +50,8 @@ from fieldtrust.llm.common import RunHash, blocks, cut, fresh, lean, text_buffer
 
 #: Words of a window, and of the runs whose smallest hash joins windows.
 K, M = 20, 6
+#: Bytes of text that a worker handles at once.
+BLOCK_BYTES = 1 << 20
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
@@ -83,7 +85,7 @@ def paths(documents: DataFrame, key: str, text: str, k: int, m: int) -> DataFram
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text):
+        for b in blocks(batches, text, BLOCK_BYTES):
             values, offsets = text_buffer(b.column(text))
             s, e, first = words(values, offsets)
             starts, place, mini, runs = minimisers(word_hashes(values, s, e), first, k, m)
@@ -126,7 +128,7 @@ def opened(documents: DataFrame, chosen: DataFrame, key: str, text: str, k: int)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text):
+        for b in blocks(batches, text, BLOCK_BYTES):
             values, offsets = text_buffer(b.column(text))
             s, e, first = words(values, offsets)
             runs = RunHash(word_hashes(values, s, e))
@@ -161,7 +163,7 @@ def source_digests(documents: DataFrame, wanted: DataFrame, key: str, text: str,
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text):
+        for b in blocks(batches, text, BLOCK_BYTES):
             row, start, n = listed(b.column("paths"))
             own, parts, told = -1, [], []
             for r, i, j in zip(row.tolist(), start.tolist(), n.tolist(), strict=True):
@@ -256,7 +258,7 @@ def _apply(documents: DataFrame, key: str, text: str, k: int, m: int, digested:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text):
+        for b in blocks(batches, text, BLOCK_BYTES):
             n_words, n_removed, out = [], [], []
             column, lists = b.column(text).cast(pa.binary()).to_pylist(), b.column(held)
             valid = lists.is_valid().to_pylist()
