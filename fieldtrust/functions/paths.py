@@ -77,11 +77,13 @@ def _lists(node: Any) -> Any:
     return node
 
 
-def unflatten(leaves: DataFrame, key: str) -> DataFrame:
-    """(key, json): nested JSON text of each key's (path, value) rows."""
+def unflatten(leaves: DataFrame, key: str, parsed: bool = False) -> DataFrame:
+    """(key, json): nested JSON text of each key's (path, value) rows; with
+    ``parsed``, values are JSON texts themselves."""
+    read = json.loads if parsed else lambda v: v
 
     @F.pandas_udf("string")
     def to_json(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: json.dumps(nest({x["path"]: x["value"] for x in r}), ensure_ascii=False))
+        return rows.map(lambda r: json.dumps(nest({x["path"]: read(x["value"]) for x in r}), ensure_ascii=False))
 
     return leaves.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("path", "value"))).alias("r")).select(key, to_json("r").alias("json"))

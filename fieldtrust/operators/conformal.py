@@ -75,6 +75,16 @@ def thresholds(outcomes: DataFrame, by: list[str], alphas: list[float], empirica
     return best.select(*by, "alpha", F.col("b.conf").alias("threshold"), (1 - F.coalesce(F.col("b.k") / F.col("n_all"), F.lit(0.0))).alias("abstention"))
 
 
+def policies(cal: DataFrame, by: list[str], alphas: list[float], method: str = "conformal") -> DataFrame:
+    """(by, alpha, threshold, method, expected_coverage): operating points for
+    target risks, with the finite-sample correction (conformal) or without
+    (empirical); the coverage is that of the calibration rows."""
+    if method not in ("conformal", "empirical"):
+        raise ValueError(f"unknown method {method!r}; known: conformal, empirical")
+    found = thresholds(cal, by, alphas, empirical=method == "empirical")
+    return found.select(*by, "alpha", "threshold", F.lit(method).alias("method"), (1 - F.col("abstention")).alias("expected_coverage"))
+
+
 def grouped_thresholds(cal: DataFrame, by: list[str], group: str, alphas: list[float]) -> DataFrame:
     """Thresholds of each group, and pooled ones under a null group."""
     own = thresholds(cal, [*by, group], alphas)

@@ -177,7 +177,7 @@ def infer_schema(documents: DataFrame, text: str = "text") -> DataFrame:
         is_id = is_id | F.lower("f.label").contains(w)
     number, date = ~is_id & F.col("f.v").rlike(NUMBER_VALUE), F.col("f.v").rlike(DATE_VALUE)
     return first.select(
-        "doc_id", (F.col("f.page") * 1_000_000 + F.col("f.line")).alias("ord"), "path", F.when(number, F.lit("number")).otherwise(F.lit("string")).alias("type"),
+        "doc_id", (F.col("f.page").cast("long") * (1 << 31) + F.col("f.line")).alias("ord"), "path", F.when(number, F.lit("number")).otherwise(F.lit("string")).alias("type"),
         F.when(number, F.lit("numeric")).when(is_id | date, F.lit("exact")).otherwise(F.lit("semantic")).alias("scoring"),
         F.when(number, F.lit(0.01)).otherwise(F.lit(1e-6)).alias("numeric_tol"), F.lit(True).alias("required"), F.array().cast("array<string>").alias("aliases"),
     )

@@ -18,6 +18,15 @@ def field_outcomes(predictions: DataFrame, golds: DataFrame, tau: float = 0.5) -
     return joined.withColumn("status", F.when(F.col("known"), F.lit("matched")).otherwise(F.lit("hallucinated"))).withColumn("correct", (F.coalesce("known", F.lit(False)) & right).cast("int")).drop("known")
 
 
+def unique_golds(golds: DataFrame) -> DataFrame:
+    """``golds``, failing where a document states one path twice. They are
+    counted by the keys that they are joined by, so that it takes no shuffle more."""
+    rest = [c for c in golds.columns if c not in ("doc_id", "path")]
+    each = golds.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("n_"), *(F.first(c).alias(c) for c in rest))
+    problem = F.concat(F.lit("a document has several golds of path "), F.col("path"))
+    return each.withColumn("path", F.when(F.col("n_") > 1, F.raise_error(problem)).otherwise(F.col("path"))).select(golds.columns)
+
+
 def omitted(predictions: DataFrame, golds: DataFrame) -> DataFrame:
     """Golds without a predicted value."""
     return golds.join(predictions.where(F.col("value").isNotNull()), ["doc_id", "path"], "left_anti")

@@ -2,7 +2,7 @@
 
 Threshold metrics depend only on how many right and wrong values each distinct
 confidence has, so rows are first reduced to *tie groups* (map-side, by any
-keys). Order-sensitive metrics need every row: those are summed inside slices
+keys), which are summed in slices of the confidence scale. Order-sensitive metrics need every row: those are summed inside slices
 of the confidence scale, which are cut further by ranges of ``ord`` where many
 rows share one confidence, and slices get the totals of the slices above them.
 """
@@ -27,30 +27,43 @@ def tie_groups(outcomes: DataFrame, by: list[str]) -> DataFrame:
     return outcomes.groupBy(*by, "conf").agg(F.sum(n).cast("long").alias("n"), F.sum(right * n).cast("long").alias("pos"), F.sum((1 - right) * n).cast("long").alias("errors"))
 
 
+def running(ties: DataFrame, by: list[str], columns: dict[str, str], down: bool = True) -> DataFrame:
+    """``ties`` with running sums over the confidences of each group, falling
+    or rising: ``columns`` names each sum by its column, and ``<column>_all`` is
+    the total. Sums run inside slices of the confidence scale, which get the
+    totals of the slices before them, so no task orders a whole group."""
+    direction = F.desc_nulls_last if down else F.asc_nulls_last
+    sliced = ties.withColumn("slice_", F.coalesce(F.floor(F.col("conf") * SLICES), F.lit(-1)))
+    totals = sliced.groupBy(*by, "slice_").agg(*(F.sum(c).alias(f"sum_{c}") for c in columns))
+    before = Window.partitionBy(*by).orderBy(F.desc("slice_") if down else F.asc("slice_")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    offsets = totals.select(
+        *(F.col(c).alias(f"key_{i}") for i, c in enumerate(by)), F.col("slice_").alias("at_"),
+        *(F.coalesce(F.sum(f"sum_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in columns), *(F.sum(f"sum_{c}").over(whole).alias(f"{c}_all") for c in columns),
+    )
+    inside = Window.partitionBy(*by, "slice_").orderBy(direction("conf")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = sliced.withColumns({name: F.sum(c).over(inside) for c, name in columns.items()})
+    same = F.col("slice_") == F.col("at_")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"key_{i}"))
+    joined = part.join(offsets, same).withColumns({name: F.col(name) + F.col(f"before_{c}") for c, name in columns.items()})
+    return joined.drop("slice_", "at_", *(f"key_{i}" for i in range(len(by))), *(f"before_{c}" for c in columns))
+
+
 def cumulated(ties: DataFrame, by: list[str]) -> DataFrame:
     """Tie groups with k, k_pos and k_errors: counts at or above each
     confidence, and totals n_all and errors_all."""
-    down = Window.partitionBy(*by).orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    return (
-        ties.withColumn("k", F.sum("n").over(down))
-        .withColumn("k_pos", F.sum("pos").over(down))
-        .withColumn("k_errors", F.sum("errors").over(down))
-        .withColumn("n_all", F.sum("n").over(whole))
-        .withColumn("errors_all", F.sum("errors").over(whole))
-    )
+    return running(ties, by, {"n": "k", "pos": "k_pos", "errors": "k_errors"}).drop("pos_all")
 
 
 def ranked(outcomes: DataFrame, by: list[str]) -> DataFrame:
     """Rows with k and k_errors in stable order: confidence falling, then ord."""
     # a slice of one confidence may be cut by ord; a part's place is (slice, part)
-    ends = outcomes.agg(F.min("ord").cast("double").alias("lo"), F.max("ord").cast("double").alias("hi")).first()
-    lo, width = ends["lo"] or 0.0, ((ends["hi"] or 0.0) - (ends["lo"] or 0.0)) / SLICES + 1e-9
-    slice_ = F.floor(F.col("conf") * SLICES)
-    whole = outcomes.withColumn("slice", slice_)
-    single = whole.groupBy(*by, "slice").agg(F.min("conf").alias("c0"), F.max("conf").alias("c1")).where("c0 = c1").select(*by, "slice", F.lit(True).alias("even"))
-    cut = F.when(F.col("even"), F.floor((F.col("ord") - lo) / width)).otherwise(F.lit(0))
-    sliced = whole.join(single, [*by, "slice"], "left").withColumn("part", cut).drop("even")
+    whole = outcomes.withColumn("slice", F.floor(F.col("conf") * SLICES))
+    low, high = F.min("ord").cast("double"), F.max("ord").cast("double")
+    single = whole.groupBy(*by, "slice").agg(F.min("conf").alias("c0"), F.max("conf").alias("c1"), low.alias("lo_"), ((high - low) / SLICES + 1e-9).alias("width_")).where("c0 = c1").select(*by, "slice", "lo_", "width_")
+    cut = F.coalesce(F.floor((F.col("ord") - F.col("lo_")) / F.col("width_")), F.lit(0))
+    sliced = whole.join(single, [*by, "slice"], "left").withColumn("part", cut).drop("lo_", "width_")
     totals = sliced.groupBy(*by, "slice", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("correct")).alias("e"))
     above = Window.partitionBy(*by).orderBy(F.desc("slice"), "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "slice", "part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("e").over(above), F.lit(0)).alias("e0"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.operators.prefix import cumulated, ranked, tie_groups
+from fieldtrust.operators.prefix import cumulated, ranked, running, tie_groups
 
 
 def aurc_family(outcomes: DataFrame, by: list[str]) -> DataFrame:
@@ -47,14 +47,7 @@ def risk_at_coverage(outcomes: DataFrame, by: list[str], coverages: list[float])
 def detection(outcomes: DataFrame, by: list[str], tpr: float = 0.95) -> DataFrame:
     """auroc, aupr and fpr of finding errors by low confidence; null where
     only one class occurs. Tied confidences count as one step."""
-    up = Window.partitionBy(*by).orderBy("conf").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = (
-        tie_groups(outcomes, by)
-        .withColumn("tp", F.sum("errors").over(up))
-        .withColumn("fp", F.sum("pos").over(up))
-        .withColumn("p_all", F.sum("errors").over(Window.partitionBy(*by)))
-        .withColumn("n_all", F.sum("pos").over(Window.partitionBy(*by)))
-    )
+    c = running(tie_groups(outcomes, by), by, {"errors": "tp", "pos": "fp"}, down=False).withColumnsRenamed({"errors_all": "p_all", "pos_all": "n_all"})
     # an error outranks the right values of larger confidence, and half of its tie group's
     wins = F.col("errors") * (F.col("n_all") - F.col("fp") + 0.5 * F.col("pos"))
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 # ------------------------------------------------------------------ trees
 
 
+def _span(stated: str | None) -> int:
+    """A stated span; one that is no number counts as 1."""
+    return int(stated) if stated and stated.strip().isdecimal() else 1
+
+
 class _Reader(HTMLParser):
     """(tag, colspan, rowspan, text, children) of the first table."""
 
@@ -26,7 +31,7 @@ class _Reader(HTMLParser):
         tag = "td" if tag == "th" else tag
         if tag in self.KEEP and (self.open or (tag == "table" and self.root is None)):
             a = dict(attrs)
-            node = [tag, int(a.get("colspan") or 1), int(a.get("rowspan") or 1), "", []]
+            node = [tag, _span(a.get("colspan")), _span(a.get("rowspan")), "", []]
             if self.open:
                 self.open[-1][4].append(node)
             else:
@@ -44,11 +49,10 @@ class _Reader(HTMLParser):
             self.open[-1][3] = " ".join((self.open[-1][3] + " " + data).split())
 
 
-def tree(html: str) -> list:
+def tree(html: str) -> list | None:
+    """The first table, or none."""
     reader = _Reader()
     reader.feed(html)
-    if reader.root is None:
-        raise ValueError("no table")
     return reader.root
 
 
@@ -66,16 +70,20 @@ def _postorder(root: list) -> tuple[list, list[int]]:
     nodes: list = []
     leftmost: list[int] = []
 
-    def walk(node) -> int:
-        first = None
-        for child in node[4]:
-            got = walk(child)
-            first = got if first is None else first
+    # a stack of its own, as tables may nest deeper than calls can
+    stack: list[list] = [[root, 0, None]]  # node, children dealt with, leftmost leaf below
+    while stack:
+        top = stack[-1]
+        node, done, _ = top
+        if done < len(node[4]):
+            top[1] += 1
+            stack.append([node[4][done], 0, None])
+            continue
+        stack.pop()
         nodes.append(node)
-        leftmost.append(len(nodes) - 1 if first is None else first)
-        return leftmost[-1]
-
-    walk(root)
+        leftmost.append(len(nodes) - 1 if top[2] is None else top[2])
+        if stack and stack[-1][2] is None:
+            stack[-1][2] = leftmost[-1]
     return nodes, leftmost
 
 
@@ -103,8 +111,9 @@ def tree_distance(a: list, b: list, cost: Callable) -> float:
     return done[-1][-1]
 
 
-def teds_of(pred: str, gold: str, structure_only: bool = False) -> float:
-    """1 - tree edit distance / size of the larger tree."""
+def teds_of(pred: str, gold: str, structure_only: bool = False) -> float | None:
+    """1 - tree edit distance / size of the larger tree; none where a text has
+    no table."""
 
     def cost(x, y) -> float:
         if x[:3] != y[:3]:
@@ -114,9 +123,12 @@ def teds_of(pred: str, gold: str, structure_only: bool = False) -> float:
         return edit_distance(x[3], y[3]) / max(len(x[3]), len(y[3]))
 
     a, b = tree(pred), tree(gold)
-    if a == b:
+    if a is None or b is None:
+        return None
+    (an, al), (bn, bl) = _postorder(a), _postorder(b)
+    if al == bl and all(x[:4] == y[:4] for x, y in zip(an, bn, strict=True)):
         return 1.0
-    return 1.0 - tree_distance(a, b, cost) / max(len(_postorder(a)[0]), len(_postorder(b)[0]))
+    return 1.0 - tree_distance(a, b, cost) / max(len(an), len(bn))
 
 
 def teds(pred: Column, gold: Column, structure_only: bool = False) -> Column:
@@ -185,11 +197,15 @@ CELLS = "array<array<struct<text: string, rowspan: int, colspan: int>>>"
 
 
 def grits(pred: Column, gold: Column, kind: str = "con") -> Column:
-    """struct<p, r, f> of two grids of type CELLS, as JSON texts."""
+    """struct<p, r, f> of two grids of type CELLS, as JSON texts; nulls where a
+    grid is null. Null rows are empty, null texts too; cells may have a bbox,
+    an array of four numbers, for kind ``loc``."""
     import json
 
     @F.pandas_udf("p double, r double, f double")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([grits_of(json.loads(x), json.loads(y), kind) for x, y in zip(a, b, strict=True)], columns=["p", "r", "f"])
+        read = lambda x: [[{"text": "", **{k: v for k, v in (c or {}).items() if v is not None}} for c in row or []] for row in json.loads(x)]
+        none = (None, None, None)
+        return pd.DataFrame([none if x is None or y is None else grits_of(read(x), read(y), kind) for x, y in zip(a, b, strict=True)], columns=["p", "r", "f"], dtype="float64")
 
     return run(F.to_json(pred), F.to_json(gold))

@@ -98,6 +98,7 @@ def run(predictions: DataFrame, golds: DataFrame, runs: int, alphas: list[float]
     ``predictions`` as ``signal_outcomes`` takes them, with bbox where gold
     boxes (gold_box of ``golds``) are to be compared. ``ord`` orders rows of one
     confidence, so it should differ from row to row of a signal."""
+    golds = extraction_metrics.unique_golds(golds)
     rows = kept(exact_split(kept(signal_outcomes(predictions, golds, runs), "outcomes"), fraction, seed), "outcomes")
     cal, test, by = rows.where("split = 'cal'"), rows.where("split = 'test'"), ["signal"]
     every = calibrated_rows(cal, test)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldtrust.functions.boxes import box, clamped
 from fieldtrust.functions.paths import flatten_json
 from fieldtrust.functions.text import parse_number, slug
+from fieldtrust.operators import ground
 
 #: Page sizes of the shapes that state none, and their gold paths.
 RECEIPT_SIZE, FORM_SIZE = (864.0, 1296.0), (800.0, 1000.0)
@@ -71,6 +72,20 @@ def entity_golds(documents: DataFrame, leaves: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(leaves.select("path", "scoring", "numeric_tol")), "path")
 
 
+def _page_size(forms: DataFrame) -> tuple[Column, Column]:
+    """Page sizes of forms: the rows' own, or the fixed ones."""
+    own = [F.coalesce(F.col(c).cast("double"), F.lit(d)) if c in forms.columns else F.lit(d) for c, d in zip(("width", "height"), FORM_SIZE, strict=True)]
+    return own[0], own[1]
+
+
+def form_words(forms: DataFrame) -> DataFrame:
+    """(doc_id, line, pos, text, bbox): the words of each entity of a form."""
+    width, height = _page_size(forms)
+    rows = forms.select("doc_id", width.alias("width"), height.alias("height"), F.posexplode("form").alias("line", "e")).select("doc_id", "width", "height", "line", F.posexplode("e.words").alias("pos", "w"))
+    b = lambda i: F.get("w.box", F.lit(i)).cast("double")
+    return placed(rows.where("trim(w.text) <> ''"), box(b(0), b(1), b(2), b(3)), F.col("width"), F.col("height")).select("doc_id", "line", "pos", F.col("w.text").alias("text"), "bbox")
+
+
 def form_golds(forms: DataFrame) -> DataFrame:
     """Question and answer links: (doc_id, path, value, scoring, numeric_tol,
     bbox). Answers of a question are joined by spaces, paths are slugs of the
@@ -85,16 +100,48 @@ def form_golds(forms: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "answer"))), lambda x: x["answer"]), " ").alias("value"),
         F.min(corner(0, F.array_min)).alias("x0"), F.min(corner(1, F.array_min)).alias("y0"), F.max(corner(2, F.array_max)).alias("x1"), F.max(corner(3, F.array_max)).alias("y1"),
     )
+    width, height = _page_size(forms)
+    joined = joined.join(forms.select("doc_id", width.alias("width"), height.alias("height")), "doc_id")
     named = joined.withColumn("slug", slug(F.col("question"))).withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("q")))
     numeric = parse_number(F.col("value")).isNotNull()
     raw = box(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")))
     return named.select(
         "doc_id", F.when(F.col("n") > 1, F.concat_ws("_", "slug", "n")).otherwise(F.col("slug")).alias("path"), "value",
         F.when(numeric, F.lit("numeric")).otherwise(F.lit("semantic")).alias("scoring"), F.when(numeric, F.lit(0.01)).otherwise(F.lit(1e-6)).alias("numeric_tol"),
-        clamped(raw, F.lit(FORM_SIZE[0]), F.lit(FORM_SIZE[1])).alias("bbox"),
+        clamped(raw, F.col("width"), F.col("height")).alias("bbox"),
     )
 
 
+def boxed_golds(golds: DataFrame, words: DataFrame, min_support: float) -> DataFrame:
+    """``golds`` with gold_page and gold_box: where their values stand among the
+    document's words, null where no place reaches ``min_support``."""
+    page = F.col("page") if "page" in words.columns else F.lit(0)
+    placed_words = words.select("doc_id", page.alias("page"), (F.col("line").cast("long") * (1 << 31) + F.col("pos")).alias("pos"), "text", "bbox.*")
+    plain = golds.drop("page", "bbox", "support")
+    found = ground.ground(plain, placed_words, min_support, mode="none")
+    return found.select(*plain.columns, F.col("page").alias("gold_page"), F.col("bbox").alias("gold_box"))
+
+
+#: Layout replies: the score of a token that states none.
+LAYOUT_SCORE = 0.9
+
+
+def layout_tokens(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, text, score, bbox) from the layout replies of a vision
+    model, JSON lists of {bbox, text, score} whose shape may differ from row to
+    row. Pages are (doc_id, page, width, height, reply). Replies that are no
+    JSON list and items without a box of four numbers give no tokens; a missing
+    text is empty, a missing or unreadable score ``LAYOUT_SCORE``."""
+    spark = pages.sparkSession
+    rows = pages.select("doc_id", "page", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.try_parse_json("reply").alias("v"))
+    rows = rows.where(F.schema_of_variant("v").startswith("ARRAY"))
+    items = spark.sql("SELECT p.doc_id, p.page, p.width, p.height, e.pos, e.value AS item FROM {rows} p, LATERAL variant_explode(p.v) e", rows=rows)
+    part = lambda path, kind: F.try_variant_get("item", path, kind)
+    b = box(*(part(f"$.bbox[{i}]", "double") / F.col("width" if i % 2 == 0 else "height") for i in range(4)))
+    out = items.select("doc_id", "page", F.coalesce(part("$.text", "string"), F.lit("")).alias("text"), F.coalesce(part("$.score", "double"), F.lit(LAYOUT_SCORE)).alias("score"), b.alias("bbox"))
+    return out.where("bbox.x0 IS NOT NULL AND bbox.y0 IS NOT NULL AND bbox.x1 IS NOT NULL AND bbox.y1 IS NOT NULL")
+
+
 def ocr_lines(tokens: DataFrame) -> DataFrame:
     """(doc_id, page, line, pos, text, score, bbox): tokens (doc_id, page, text,
     score, bbox) in reading order. A token joins the first line whose mean band
@@ -127,23 +174,53 @@ def polygon_box(points: Column, width: Column, height: Column) -> Column:
 
 
 LOADERS = {"receipts": quad_words, "invoices": relative_words, "scans": line_words, "forms": form_golds}
+#: Least support of gold boxes, by shape.
+GOLD_SUPPORT = {"receipts": 0.7, "invoices": 0.6, "scans": 0.6}
+#: Languages of the form shape beside English, and the page size of their files where none is stated.
+FORM_LANGUAGES = ("de", "es", "fr", "it", "ja", "pt", "zh")
+LANGUAGE_SIZE = 1000.0
+_ENTITY = "array<struct<id: int, label: string, text: string, box: array<double>, linking: array<array<int>>, words: array<struct<box: array<double>, text: string>>>>"
+#: Both names that files give the list of a document's entities.
+LANGUAGE_FILE = f"documents array<struct<id: string, img: struct<width: double, height: double>, form: {_ENTITY}, document: {_ENTITY}>>"
 
 
-#: Languages of the form shape beside English.
-FORM_LANGUAGES = ("de", "es", "fr", "it", "ja", "pt", "zh")
+def language_forms(spark: SparkSession, path: str, lang: str, split: str = "val") -> DataFrame:
+    """(doc_id, pos, width, height, form) of a language's file, which holds all
+    its documents in one list; ids are numbered by place in the list."""
+    if lang not in FORM_LANGUAGES or split not in ("train", "val"):
+        raise ValueError(f"unknown language {lang!r} or split {split!r}; known: {FORM_LANGUAGES}, train and val")
+    raw = spark.read.schema(LANGUAGE_FILE).option("multiLine", True).json(f"{path.rstrip('/')}/{lang}.{split}.json")
+    size = lambda c: F.coalesce(F.col(f"d.img.{c}"), F.lit(LANGUAGE_SIZE)).alias(c)
+    number = F.concat(F.lit(f"forms-{lang}-{split}-"), F.lpad(F.col("pos").cast("string"), F.greatest(F.lit(4), F.length(F.col("pos").cast("string"))), F.lit("0")))
+    rows = raw.select(F.posexplode("documents").alias("pos", "d"))
+    return rows.select(number.alias("doc_id"), "pos", size("width"), size("height"), F.coalesce("d.form", "d.document").alias("form"))
 
 
-def load(spark: SparkSession, kind: str, path: str, lang: str | None = None, split: str = "val", limit: int | None = None) -> DataFrame:
-    """Rows of a cached dataset by the name of its shape. With ``lang``, the
-    forms of that language and split, from files named like ``de.val.json``;
-    with ``limit``, those of the documents with the smallest ids."""
+def _rows(spark: SparkSession, kind: str, path: str, lang: str | None, split: str, limit: int | None) -> DataFrame:
     if kind not in LOADERS:
         raise ValueError(f"unknown dataset shape {kind!r}; known: {sorted(LOADERS)}")
     if lang is not None:
-        if lang not in FORM_LANGUAGES or split not in ("train", "val"):
-            raise ValueError(f"unknown language {lang!r} or split {split!r}; known: {FORM_LANGUAGES}, train and val")
-        path = f"{path.rstrip('/')}/{lang}.{split}.json"
+        rows = language_forms(spark, path, lang, split)
+        return rows.where(F.col("pos") < limit) if limit is not None else rows
     rows = spark.read.option("multiLine", True).json(path)
-    if limit is not None:
-        rows = rows.orderBy("doc_id").limit(limit)
-    return LOADERS[kind](rows)
+    return rows.orderBy("doc_id").limit(limit) if limit is not None else rows
+
+
+def load(spark: SparkSession, kind: str, path: str, lang: str | None = None, split: str = "val", limit: int | None = None) -> DataFrame:
+    """Rows of a cached dataset by the name of its shape. With ``lang``, the
+    forms of that language's file (``de.val.json``); with ``limit``, those of
+    the first documents."""
+    return LOADERS[kind](_rows(spark, kind, path, lang, split, limit))
+
+
+def bench(spark: SparkSession, kind: str, path: str, leaves: DataFrame | None = None, lang: str | None = None, split: str = "val", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(words, golds) of a cached dataset, golds with gold_box; documents
+    without a gold are left out. All shapes but forms need a schema's ``leaves``."""
+    rows = _rows(spark, kind, path, lang, split, limit)
+    if kind == "forms":
+        words, golds = form_words(rows), form_golds(rows).withColumnRenamed("bbox", "gold_box").withColumn("gold_page", F.lit(0))
+    else:
+        words = LOADERS[kind](rows)
+        made = {"receipts": parse_golds, "invoices": typed_golds, "scans": entity_golds}[kind](rows, leaves)
+        golds = boxed_golds(made, words, GOLD_SUPPORT[kind])
+    return words.join(golds.select("doc_id").distinct(), "doc_id", "left_semi"), golds

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Suffixes a directory scan takes.
@@ -49,6 +50,58 @@ def read_binaries(spark: SparkSession, path: str, glob: str = "*.{pdf,png,jpg,jp
     return read.select(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("doc_id"), F.col("path").alias("source_path"), "content")
 
 
+#: Bytes at the start of an image in which its size must stand.
+HEADER = 1 << 20
+#: Signatures, and the markers of JPEG frames (all start-of-frame ones).
+PNG_START, JPEG_START = b"\x89PNG\r\n\x1a\n", b"\xff\xd8"
+JPEG_FRAMES = frozenset({0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF})
+
+
+def size_of(head: bytes | None) -> tuple[int, int] | None:
+    """Width and height that the first bytes of a PNG or JPEG file state."""
+    if head is None:
+        return None
+    if head.startswith(PNG_START):
+        width, height = int.from_bytes(head[16:20], "big"), int.from_bytes(head[20:24], "big")
+        return (width, height) if head[12:16] == b"IHDR" and len(head) >= 24 and width and height else None
+    at = 2 if head.startswith(JPEG_START) else len(head)
+    while at + 9 <= len(head) and head[at] == 0xFF:
+        marker = head[at + 1]
+        if marker == 0xFF:  # a fill byte
+            at += 1
+            continue
+        if marker == 0x01 or 0xD0 <= marker <= 0xD8:  # markers without a length
+            at += 2
+            continue
+        if marker in JPEG_FRAMES:
+            height, width = int.from_bytes(head[at + 5 : at + 7], "big"), int.from_bytes(head[at + 7 : at + 9], "big")
+            return (width, height) if width and height else None
+        if marker in (0xD9, 0xDA):  # image data starts or ends: no frame before
+            return None
+        at += 2 + int.from_bytes(head[at + 2 : at + 4], "big")
+    return None
+
+
+def image_size(content: Column) -> Column:
+    """struct<width, height> of an image's bytes, null for broken ones and
+    other formats. Only the first ``HEADER`` bytes go to Python."""
+
+    @F.pandas_udf("width double, height double")
+    def run(heads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([size_of(h) or (None, None) for h in heads], columns=["width", "height"], dtype="float64")
+
+    size = run(F.substring(content, 1, HEADER))
+    return F.when(size["width"].isNotNull(), size)
+
+
+def read_images(spark: SparkSession, path: str, glob: str = "*.{png,jpg,jpeg}") -> DataFrame:
+    """(doc_id, source_path, page, width, height) of image files below a folder:
+    one page each, with null sizes where the file states none. Files of no
+    bytes are not listed."""
+    read = read_binaries(spark, path, glob).withColumn("size", image_size(F.col("content")))
+    return read.select("doc_id", "source_path", F.lit(0).alias("page"), "size.width", "size.height")
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(annotator, field_id, label) of label files; without a name in the file,
     the annotator is the file's stem."""
