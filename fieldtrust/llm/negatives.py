@@ -28,7 +28,7 @@ that isn't finite, take no part; rows alike in id, label and vector count once;
 rows that share an id only are different rows, and each anchor among them gets
 its result; vectors of different lengths are filled with zeros; sums beyond the
 integers that doubles hold exactly are computed with whole numbers, and scores
-beyond a long are shown as the nearest long; anchors without a positive and
+beyond a long are the nearest long; anchors without a positive and
 positives without a negative have no rows; empty tables give none; extra columns
 are not read.
 """
@@ -82,13 +82,13 @@ def _widened(x: np.ndarray, width: int) -> np.ndarray:
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of two matrices of integers: as doubles where these
-    hold them, else as Python's integers."""
+    hold them, else as Python's integers, those beyond a long the nearest long."""
     width = max(a.shape[1], b.shape[1])
     a, b = _widened(a, width), _widened(b, width)
     most = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
     if most(a) * most(b) * max(1, width) < _EXACT:
         return a.astype(np.float64) @ b.astype(np.float64).T
-    return a.astype(object) @ b.astype(object).T
+    return np.minimum(np.maximum(a.astype(object) @ b.astype(object).T, -_LONG - 1), _LONG)
 
 
 class Space:
@@ -171,7 +171,7 @@ def join_shard(k: int, low_percent: int, same_label: bool):
                         out[0] += [names[i + j]] * n
                         out[1] += [0 if same_label else highs[i + j][r]] * n
                         out[2] += ids[at].tolist()
-                        out[3] += [min(max(int(s), -_LONG - 1), _LONG) for s in scores[j, at]]
+                        out[3] += map(int, scores[j, at])
                         out[4] += ties[at].tolist()
                         out[5] += (rows[at] == q[i + j]).all(1).tolist() if same_label else [False] * n
         kinds = [pa.int64()] * 5 + [pa.bool_()]
@@ -210,7 +210,7 @@ def mine(
     label = F.col(label) if isinstance(label, str) else label
     marked = embeddings.withColumn("__anchor", F.coalesce(anchors if anchors is not None else F.col(key) % 100 == 0, F.lit(False)))
     every = prepared(marked, key, label, vector, F.col("__anchor"))
-    ranked = every.selectExpr("id", "label", "v", "row_number() over (partition by label, v order by id) as n").where(F.col("n") <= k + 1)
+    ranked = every.select("id", "label", "v").distinct().selectExpr("*", "row_number() over (partition by label, v order by id) as n").where(F.col("n") <= k + 1)
     few = cut(ranked.select("id", "label", "v", F.xxhash64("v").alias("tie")), "negatives_rows")
     chosen = cut(every.where("anchor").select("id", "label", "v").distinct(), "negatives_chosen")
     asked = cut(chosen.select("label", "v").distinct().withColumn("q", F.monotonically_increasing_id()), "negatives_asked")
@@ -282,8 +282,9 @@ def mine(
     ring = asking.select(
         "cell",
         "dist",
-        F.sqrt(F.greatest(square - 2 * F.floor(F.element_at("highs", 1) * (low_percent / 100.0)) + 2, F.lit(0.0))).alias("far"),
-        F.sqrt(F.greatest(square - 2 * F.element_at("highs", -1), F.lit(0.0))).alias("near"),
+        F.sqrt(F.greatest(square - 2 * F.floor(F.element_at("highs", 1).cast("double") * (low_percent / 100.0)).cast("double") + 2, F.lit(0.0))).alias("far"),
+        # the largest long stands for all scores beyond it too
+        F.when(F.element_at("highs", -1) == _LONG, 0.0).otherwise(F.sqrt(F.greatest(square - 2 * F.element_at("highs", -1).cast("double"), F.lit(0.0)))).alias("near"),
     )
     rings = ring.groupBy("cell").agg(F.max("dist").alias("radius"), F.max("far").alias("far"), F.min("near").alias("near")).collect()  # at most a row a pivot
 

@@ -94,7 +94,38 @@ QUERIES = {
     )
 }
 
+_LEAF = "sha256(" + " || ".join("coalesce(strlen({0}) || ':' || {0}, '-')".format(f"({c})::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: CRC-32 of a decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, range(0, 8 * strlen(doc_id::VARCHAR))), lambda x, i:
+  xor((CASE WHEN i % 8 = 0 THEN xor(x, ascii(substr(doc_id::VARCHAR, i // 8 + 1, 1))) ELSE x END) >> 1,
+      CASE WHEN (CASE WHEN i % 8 = 0 THEN xor(x, ascii(substr(doc_id::VARCHAR, i // 8 + 1, 1))) ELSE x END) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
+_BESIDE = """SELECT k, grp, idx, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {levels} WHERE n > 1 WINDOW w AS (PARTITION BY k, grp, idx // 16 ORDER BY idx)"""
+_CLIMB = """SELECT 0 AS k, grp, idx, n, digest FROM {nodes}
+  UNION ALL SELECT k + 1, grp, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM {levels} WHERE n > 1 GROUP BY k, grp, idx // 16, n"""
+
 ORACLES = {
+    "op12_merkle": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS grp, {_LEAF.format(text='text')} AS digest,
+         CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS now FROM documents
+), a AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER () AS id FROM d
+), lv AS ({_CLIMB.format(nodes='a', levels='lv')}),
+t AS (SELECT 0 AS grp, grp AS name, digest, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM lv WHERE n = 1),
+tv AS ({_CLIMB.format(nodes='t', levels='tv')}),
+ls AS ({_BESIDE.format(levels='lv')}), ts AS ({_BESIDE.format(levels='tv')}),
+st AS (
+  SELECT id, k AS step, l, r FROM a JOIN ls ON ls.grp = a.grp AND ls.idx = a.idx >> (4 * k)
+  UNION ALL SELECT id, 100 + k, l, r FROM a JOIN t ON t.name = a.grp JOIN ts ON ts.idx = t.idx >> (4 * k)
+), pt AS (SELECT id, list({{'l': l, 'r': r}} ORDER BY step) AS path, string_agg(l || r, '' ORDER BY step) AS beside FROM st GROUP BY 1),
+f AS (
+  SELECT a.doc_id, a.digest AS leaf, t.digest AS subroot, (SELECT digest FROM tv WHERE n = 1) AS root, sha256(coalesce(beside, '')) AS proof_sha256,
+         list_reduce(list_prepend({{'l': coalesce(now, a.digest), 'r': ''}}, coalesce(path, [])), lambda x, p: {{'l': sha256(p.l || x.l || p.r), 'r': ''}}).l AS folded_root
+  FROM a JOIN t ON t.name = a.grp LEFT JOIN pt USING (id)
+)
+SELECT *, folded_root = root AS verified FROM f
+""",
     "op11_negatives": """
 WITH e AS (
   SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
