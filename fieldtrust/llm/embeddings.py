@@ -234,7 +234,9 @@ def counted(members: DataFrame, dim: int, least: float) -> DataFrame:
     """(id, n_links) of the members (id, v, copies, component_id, n) of
     components, where n is the number of all vectors in the component."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    scaled = members.withColumn("u", F.transform("v", lambda x: x.cast("double"))).withColumn("length", F.sqrt(dot("u", "u")))
+    # by the largest component first: squares of tiny ones would vanish, of huge ones overflow
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    scaled = members.withColumn("top", largest).withColumn("u", F.transform("v", lambda x: x.cast("double") / F.col("top"))).withColumn("length", F.sqrt(dot("u", "u"))).drop("top")
     mean = cut(scaled.groupBy("component_id").agg(F.array(*(F.avg(F.get("u", F.lit(i)) / F.col("length")) for i in range(dim))).alias("mean")), "means")
     norm = F.sqrt(dot("mean", "mean"))
     cosine = F.when((norm > 1e-9) & (F.col("length") > 0), dot("u", "mean") / norm / F.col("length")).otherwise(F.lit(-1.0))

@@ -232,7 +232,10 @@ def link_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, n_shingles, component_id, kept): one row for each input row."""
+    """(key, n_shingles, component_id, kept): one row for each input row. A row
+    with a null key belongs to the group of the rows with its words; one whose
+    words no row with a key has is linked with nothing (``dedup`` gives such
+    rows keys of their own, and so loses no link)."""
     signed = cut(signatures(documents, key, text, size, bands, rows), "signatures")
     reps = signed.where("n_shingles > 0").groupBy("same").agg(F.min_by(F.struct(key, "keys"), key).alias("r")).where(F.col(f"r.{key}").isNotNull())
     reps = cut(reps.select("same", F.col(f"r.{key}").alias("id"), "r.keys"), "classes")

@@ -142,15 +142,31 @@ def store(text: bytes) -> bytes:
     )
 
 
-def load(media: bytes) -> tuple[bytes, int, str]:
-    """(payload, unpadded length, features) of a stored container."""
+def noted(notes: Stream | None) -> int | None:
+    """The unpadded length that the notes state, none if they can't be read."""
+    try:
+        stated = json.loads(notes.packets[0])["n_bytes"] if notes and notes.packets else None
+    except (ValueError, KeyError, TypeError):
+        return None
+    return stated if isinstance(stated, int) else None
+
+
+def load(media: bytes | None) -> tuple[bytes | None, int | None, str | None]:
+    """(payload, unpadded length, features) of a stored container: all null for
+    null, no payload where the audio stream's header or all of its packets are
+    lost, no length where the notes are."""
+    if media is None:
+        return None, None, None
     streams, damaged = demultiplex(media)
-    audio, notes = streams[AUDIO], streams[NOTES]
-    payload, times = b"".join(audio.packets), audio.times(struct.unpack_from("<I", audio.header, 8)[0])
+    audio, notes = streams.get(AUDIO), streams.get(NOTES)
+    n = noted(notes)
+    rate = int.from_bytes(audio.header[8:12], "little") if audio and len(audio.header) >= 12 else 0
+    if not rate or not any(audio.packets):
+        return None, n, f"streams={len(streams)};damaged={damaged}"
+    payload, times = b"".join(audio.packets), audio.times(rate)
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    n = json.loads(notes.packets[0])["n_bytes"]
     feature = (
-        f"streams={len(streams)};pages={audio.pages + notes.pages};damaged={damaged};packets={len(audio.packets)};samples={len(x)}"
+        f"streams={len(streams)};pages={audio.pages + (notes.pages if notes else 0)};damaged={damaged};packets={len(audio.packets)};samples={len(x)}"
         f";last_start_us={times[-1]};duration_us={audio.granules[-1] * 1_000_000 // RATE}"
         f";mean={x.sum() / len(x):.4f};rms={(np.dot(x, x) / len(x)) ** 0.5:.4f};crossings={np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))}"
     )

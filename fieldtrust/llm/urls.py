@@ -121,7 +121,7 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     sizes, lengths = sorted(length("path")), frozenset(length("host"))
     kind = pages.schema[key].dataType.simpleString()
     if total > max_bytes:
-        return _sharded(pages, rules, sizes, lengths, key, url, default, -(-total // max(max_bytes, 1 + total // 4)))
+        return _sharded(pages, rules, sizes, lengths, key, url, default, total, max_bytes)
     listed = rules.collect()
     verdicts = sorted({r["verdict"] or default for r in listed})
     packed = pages.sparkSession.sparkContext.broadcast(DigestTable.pack([(rule_text(r["host"], r["path"]), verdicts.index(r["verdict"] or default)) for r in listed]))
@@ -147,9 +147,11 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     return pages.select(key, url).mapInArrow(run, f"{key} {kind}, host string, path string, rule string, verdict string")
 
 
-def _sharded(pages: DataFrame, rules: DataFrame, sizes: list[int], lengths: frozenset[int], key: str, url: str, default: str, shards: int) -> DataFrame:
-    """The same with as many arrays as the rules need. Candidates are distinct,
-    so no shard holds a frequent host more than once."""
+def _sharded(pages: DataFrame, rules: DataFrame, sizes: list[int], lengths: frozenset[int], key: str, url: str, default: str, total: int, max_bytes: int) -> DataFrame:
+    """The same with arrays of about ``max_bytes``, as many as the rules or the
+    candidates need, whichever are more: rules and candidates of one digest range
+    meet in a task. Candidates are distinct, so no shard holds a frequent host
+    more than once."""
     kind = pages.schema[key].dataType.simpleString()
 
     @lean
@@ -173,10 +175,12 @@ def _sharded(pages: DataFrame, rules: DataFrame, sizes: list[int], lengths: froz
 
     parts = cut(pages.select(key, url).mapInArrow(split, f"{key} {kind}, host string, path string"), "urls")
     tried = cut(parts.select("host", "path").distinct().mapInArrow(tries, "host string, path string, tried binary"), "tried")
+    once = cut(tried.select("tried").distinct(), "once")
+    asked = once.agg(F.sum(F.octet_length("tried") + 32)).first()[0] or 0
+    shards = -(-max(total, asked) // max_bytes)
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
     listed = rules.select(F.concat(F.col("host").cast("binary"), F.lit(b"\0"), F.col("path").cast("binary")).alias("text"), F.coalesce("verdict", F.lit(default)).alias("verdict"))
-    once = tried.select("tried").distinct().withColumn("shard", shard("tried"))
-    hits = once.groupBy("shard").cogroup(listed.withColumn("shard", shard("text")).groupBy("shard")).applyInArrow(probe, "tried binary, verdict string")
+    hits = once.withColumn("shard", shard("tried")).groupBy("shard").cogroup(listed.withColumn("shard", shard("text")).groupBy("shard")).applyInArrow(probe, "tried binary, verdict string")
     best = tried.join(cut(hits, "hits"), "tried").groupBy("host", "path").agg(F.max(F.struct(F.octet_length("tried").alias("n"), "tried", "verdict")).alias("b"))
     rule = F.replace(F.decode("b.tried", "UTF-8"), F.lit("\0"), F.lit(""))
     return parts.join(cut(best, "rules"), ["host", "path"], "left").select(key, "host", "path", rule.alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fieldtrust.llm import langid, merkle, negatives, queries, secrets, toxicity
+from fieldtrust.llm import embeddings, langid, merkle, negatives, ogg, queries, secrets, toxicity, urls
 
 # ---------------------------------------------------------------- hard negatives
 
@@ -245,3 +245,34 @@ def test_query_equals_sql(spark, name):
     got = queries.QUERIES[name](spark, sf)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(str, (tuple(r) for r in got.select(names).collect()))) == sorted(map(str, found.fetchall()))
+
+
+# ---------------------------------------------------------------- damaged media, tiny vectors, large rule sets
+
+
+def test_damaged_media(spark):
+    whole = ogg.store(b"abc" * 500)
+    pages = [whole.index(b"OggS", i) for i in range(len(whole)) if whole.startswith(b"OggS", i)]
+    cases = {0: whole, 1: None, 2: b"", 3: b"no container", 4: whole[: len(whole) // 2], 5: whole[: pages[0] + 30] + b"x" + whole[pages[0] + 31 :], 6: whole[: pages[1] + 30] + b"x" + whole[pages[1] + 31 :], 7: whole[: pages[-1]]}
+    cases |= {100 + i: whole[:p] + whole[p + 40 :] for i, p in enumerate(pages)}
+    df = spark.createDataFrame(list(cases.items()), "doc_id long, media binary")
+    got = {r.doc_id: r for r in ogg.from_media(df).collect()}
+    assert len(got) == len(cases) and bytes(got[0].payload).startswith(b"abc" * 500) and got[0].n_bytes == 1500
+    assert tuple(got[1])[1:] == (None, None, None) and all(got[i].payload is None for i in (2, 3))
+    assert all(r.n_bytes in (1500, None) for r in got.values()) and any(r.payload is None for i, r in got.items() if i > 3)
+
+
+def test_tiny_and_huge_vectors_link(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    rows = [(i, ((base + 0.01 * rng.normal(size=16)) * scale).tolist()) for i, scale in enumerate((1.0, 1e-200, 1e-300, 1e200, 1e150))] + [(9, rng.normal(size=16).tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 9: (0, 9)}
+
+
+@pytest.mark.parametrize("max_bytes", [200, 5000])
+def test_rules_in_many_arrays(spark, max_bytes):
+    rules = spark.createDataFrame([(f"h{i}.com", "/" if i % 2 else "/a/", "block" if i % 3 else "allow") for i in range(60)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, f"http://{'www.' if i % 4 else ''}h{i % 80}.com/a/{i}") for i in range(400)], "page_id long, url string")
+    one = sorted(map(tuple, urls.judge(pages, rules).collect()))
+    assert sorted(map(tuple, urls.judge(pages, rules, max_bytes=max_bytes).collect())) == one and any(r[3] for r in one)
