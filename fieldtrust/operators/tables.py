@@ -111,9 +111,8 @@ def tree_distance(a: list, b: list, cost: Callable) -> float:
     return done[-1][-1]
 
 
-def teds_of(pred: str, gold: str, structure_only: bool = False) -> float | None:
-    """1 - tree edit distance / size of the larger tree; none where a text has
-    no table."""
+def _similarity(a: list, b: list, structure_only: bool) -> float:
+    """1 - tree edit distance / size of the larger tree."""
 
     def cost(x, y) -> float:
         if x[:3] != y[:3]:
@@ -122,19 +121,27 @@ def teds_of(pred: str, gold: str, structure_only: bool = False) -> float | None:
             return 0.0
         return edit_distance(x[3], y[3]) / max(len(x[3]), len(y[3]))
 
-    a, b = tree(pred), tree(gold)
-    if a is None or b is None:
-        return None
     (an, al), (bn, bl) = _postorder(a), _postorder(b)
     if al == bl and all(x[:4] == y[:4] for x, y in zip(an, bn, strict=True)):
         return 1.0
     return 1.0 - tree_distance(a, b, cost) / max(len(an), len(bn))
 
 
+def teds_of(pred: str, gold: str, structure_only: bool = False) -> float:
+    """Similarity of the first tables of two texts, an error without one."""
+    a, b = tree(pred), tree(gold)
+    if a is None or b is None:
+        raise ValueError("no table")
+    return _similarity(a, b, structure_only)
+
+
 def teds(pred: Column, gold: Column, structure_only: bool = False) -> Column:
+    """The same for columns; null where a text is null or has no table."""
+
     @F.pandas_udf("double")
     def run(p: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else teds_of(x, y, structure_only) for x, y in zip(p, g, strict=True)], dtype="float64")
+        trees = ((x and tree(x), y and tree(y)) for x, y in zip(p, g, strict=True))
+        return pd.Series([_similarity(a, b, structure_only) if a and b else None for a, b in trees], dtype="float64")
 
     return run(pred, gold)
 

@@ -25,32 +25,39 @@ def scored(spark, conf, correct):
 
 
 def test_numbers(spark):
-    raw = ["$1,234.50", "42,5", "7", "n/a", "RM 45.50", "Rp 45.500", "45.50 USD", "USD1,234.50", "45,500", "16,500", None, ""]
-    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, r string")
-    got = [r[0] for r in df.orderBy("i").select(text.parse_number(F.col("r"))).collect()]
-    assert got == [1234.5, 42.5, 7, None, 45.5, 45.5, 45.5, 1234.5, 45500, 16500, None, None]
+    cases = {
+        "£9,871.25": 9871.25, "18,25": 18.25, "-3": -3.0, "see note": None, "CHF 12.5": 12.5, "7.25 EUR": 7.25, "GBP3,210.75": 3210.75, "12,900": 12900.0, "1,200,000": 1200000.0, "8 %": 8.0,
+        "1,2,3": None, "12 boxes of 4": None, " ": None,
+    }
+    df = spark.createDataFrame([(r,) for r in [*cases, None]], "r string")
+    assert {r[0]: r[1] for r in df.select("r", text.parse_number(F.col("r"))).collect()} == cases | {None: None}
 
 
 def test_string_metrics(spark):
     lit = F.lit
-    r = one(
-        spark,
-        text.similarity(lit("abc"), lit("abd")),
-        text.similarity(lit(""), lit("")),
-        text.cer(lit("helo"), lit("hello")),
-        text.cer(lit("xx"), lit("")),
-        text.wer(lit("the cat mat"), lit("the cat sat")),
-        text.wer(lit("the cat"), lit("")),
-        text.match_form(lit("  $45,500 ")),
-        text.match_form(lit("Smith, John")),
-        text.slug(lit("Total Amount ($)")),
-        text.slug(lit("???")),
-    )
-    assert list(r) == [pytest.approx(2 / 3), 1.0, pytest.approx(0.2), 2.0, pytest.approx(1 / 3), 2.0, "45500", "smith, john", "total_amount", "field"]
+    found = {
+        "one letter of five": (text.similarity(lit("river"), lit("rover")), 0.8),
+        "nothing in common": (text.similarity(lit("ab"), lit("xyz")), 0.0),
+        "two empty texts": (text.similarity(lit(""), lit("")), 1.0),
+        "a lost letter": (text.cer(lit("gren"), lit("green")), 0.2),
+        "letters for none": (text.cer(lit("abc"), lit("")), 3.0),
+        "an added word": (text.wer(lit("a big red dog"), lit("a big dog")), 1 / 3),
+        "words for none": (text.wer(lit("one two three"), lit("")), 3.0),
+        "marks and separators": (text.match_form(lit("  €12,750 ")), "12750"),
+        "case and spaces": (text.match_form(lit("Lee,   Ann")), "lee, ann"),
+        "a label": (text.slug(lit("Due Date [net]")), "due_date_net"),
+        "a label without letters": (text.slug(lit("--")), "field"),
+    }
+    r = one(spark, *(c.alias(str(i)) for i, (c, _) in enumerate(found.values())))
+    for value, (name, (_, wanted)) in zip(r, found.items(), strict=True):
+        assert value == (pytest.approx(wanted) if isinstance(wanted, float) else wanted), name
 
 
 def test_value_rules(spark):
-    rows = [("$42.50", "42.5", "numeric", True), ("42.505", "42.5", "numeric", True), ("45.20", "42.5", "numeric", False), (" inv-001 ", "INV-001", "exact", True), ("Acme Corporation", "ACME Corp", "semantic", True), (None, None, "exact", True), (None, "x", "exact", False)]
+    rows = [
+        ("€18.30", "18.3", "numeric", True), ("18.309", "18.3", "numeric", True), ("18.32", "18.3", "numeric", False), ("none", "18.3", "numeric", False), (" po-77 ", "PO-77", "exact", True), ("PO-78", "PO-77", "exact", False),
+        ("Northern Lights Ltd", "northern light", "semantic", True), ("Harbour", "northern light", "semantic", False), (None, None, "exact", True), (None, "x", "exact", False),
+    ]
     df = spark.createDataFrame(rows, "p string, g string, s string, ok boolean")
     assert all(r[0] == r[1] for r in df.select(text.value_correct(F.col("p"), F.col("g"), F.col("s"), F.lit(0.01)), "ok").collect())
 
@@ -273,10 +280,14 @@ def test_tables():
 
 def test_forms(spark):
     entry = lambda i, label, text, box, link: {"id": i, "label": label, "text": text, "words": [{"text": text, "box": box}], "linking": link}
-    form = [entry(0, "question", "DATE:", [0, 0, 80, 20], [[0, 1], [0, 2]]), entry(1, "answer", "early", [100, 0, 200, 20], [[0, 1]]), entry(2, "answer", "May", [210, 0, 300, 20], [[0, 2]]), entry(3, "question", "Date", [0, 50, 80, 70], [[3, 4]]), entry(4, "answer", "7", [100, 50, 200, 70], [])]
+    form = [
+        entry(10, "question", "Ship to", [0, 0, 160, 40], [[10, 12], [10, 11]]), entry(11, "answer", "Pier", [200, 10, 240, 40], []), entry(12, "answer", "Nine", [248, 0, 400, 30], [[10, 12]]),
+        entry(13, "question", "ship-to:", [0, 50, 80, 70], [[13, 14]]), entry(14, "answer", "4,5", [80, 50, 160, 70], []), entry(15, "header", "Slip", [0, 900, 80, 950], []), entry(16, "question", "Weight", [0, 80, 80, 90], [[16, 15]]),
+    ]
     kinds = "doc_id int, form array<struct<id: int, label: string, text: string, words: array<struct<text: string, box: array<int>>>, linking: array<array<int>>>>"
-    got = {r.path: (r.value, r.scoring, r.bbox.x0, r.bbox.x1) for r in datasets.form_golds(spark.createDataFrame([(1, form)], kinds)).collect()}
-    assert got == {"date": ("early May", "semantic", 0.125, 0.375), "date_2": ("7", "numeric", 0.125, 0.25)}
+    got = {r.path: (r.value, r.scoring, r.bbox.x0, r.bbox.y0, r.bbox.x1, r.bbox.y1) for r in datasets.form_golds(spark.createDataFrame([(1, form)], kinds)).collect()}
+    # answers in the order of their ids, boxes around all of them, paths numbered where they repeat, links to no answer left out
+    assert got == {"ship_to": ("Pier Nine", "semantic", 0.25, 0.0, 0.5, 0.04), "ship_to_2": ("4,5", "numeric", 0.1, 0.05, 0.2, 0.07)}
 
 
 def test_texts_and_annotations_from_files(spark, tmp_path):
