@@ -67,7 +67,8 @@ def backfill(spark: SparkSession, path: str, premises: DataFrame, scorer: Callab
     returns how many there were. ``premises`` (doc_id, path, premise,
     hypothesis) say what is held against what, and fields without a premise
     get 0. Parts are rewritten whole, each by itself, after their scores are
-    computed; a part that is complete isn't read again, so a run that ends
+    computed, and stay beside the dump (``<path>.next``) until the next backfill
+    of that part; a part that is complete isn't read again, so a run that ends
     half-way is finished by the next, and running twice changes nothing."""
     every = spark.read.parquet(path).where(F.col("schema_version") == SCHEMA_VERSION)
     columns = every.columns
