@@ -177,7 +177,7 @@ def _sharded(pages: DataFrame, rules: DataFrame, sizes: list[int], lengths: froz
     tried = cut(parts.select("host", "path").distinct().mapInArrow(tries, "host string, path string, tried binary"), "tried")
     once = cut(tried.select("tried").distinct(), "once")
     asked = once.agg(F.sum(F.octet_length("tried") + 32)).first()[0] or 0
-    shards = -(-max(total, asked) // max_bytes)
+    shards = max(1, -(-max(total, asked) // max(max_bytes, 256)))  # a rule or candidate at least
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
     listed = rules.select(F.concat(F.col("host").cast("binary"), F.lit(b"\0"), F.col("path").cast("binary")).alias("text"), F.coalesce("verdict", F.lit(default)).alias("verdict"))
     hits = once.withColumn("shard", shard("tried")).groupBy("shard").cogroup(listed.withColumn("shard", shard("text")).groupBy("shard")).applyInArrow(probe, "tried binary, verdict string")
