@@ -3,7 +3,9 @@ grid of signals x calibrators x alphas as grouped queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrust.functions.store import kept
@@ -13,6 +15,8 @@ from fieldtrust.operators.resampling import uniform
 
 #: Slots of the hash scale in which keys are counted for an exact split.
 SLOTS = 1 << 16
+#: Random halvings whose sides one number holds.
+SIDES = 60
 #: The signals of a run and of the vote of all runs.
 RUN_SIGNALS, VOTE_SIGNALS = ("token_prob", "verbalized", "grounding"), ("consensus", "combined")
 
@@ -171,11 +175,19 @@ def leaderboard(cal: DataFrame, test: DataFrame, alphas: list[float]) -> DataFra
 def multi_split(outcomes: DataFrame, by: list[str], alphas: list[float], splits: int = 40) -> DataFrame:
     """(by, alpha, coverage, risk): means over random halvings of the documents,
     all of them in one job; a split is a key like any other."""
-    # what matters of a document's rows are their counts, so those are repeated for each split
-    rows = outcomes.groupBy("doc_id", *by, "conf", "correct").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    rows = rows.withColumn("fit", uniform(F.col("doc_id"), F.col("s")) < 0.5)
-    fitted = conformal.thresholds(rows.where("fit"), [*by, "s"], alphas)
-    test = conformal.apply_thresholds(rows.where("NOT fit"), fitted, [*by, "s"], alphas)
+    # a document's sides of all splits are one number each, drawn once a document; rows only add to counts
+    words = range(0, splits, SIDES)
+    side = lambda s: F.when(uniform(F.col("key_"), F.lit(s)) < 0.5, F.lit(1 << (s % SIDES))).otherwise(F.lit(0)).cast("long")
+    drawn = [reduce(Column.__add__, map(side, range(at, min(splits, at + SIDES)))).alias(f"sides_{at}") for at in words]
+    docs = outcomes.select(F.col("doc_id").alias("key_")).distinct().select("key_", *drawn)
+    rows = outcomes.select("doc_id", *by, "conf", "correct").join(docs, F.col("doc_id").eqNullSafe(F.col("key_")))
+    fit = [F.sum(F.shiftright(F.col(f"sides_{s - s % SIDES}"), s % SIDES).bitwiseAND(F.lit(1).cast("long"))).alias(f"fit_{s}") for s in range(splits)]
+    counts = rows.groupBy(*by, "conf", "correct").agg(F.count(F.lit(1)).alias("n_"), *fit)
+    each = F.posexplode(F.array(*(F.col(f"fit_{s}") for s in range(splits)))).alias("s", "fit_")
+    counts = kept(counts.select(*by, "conf", "correct", "n_", each), "splits")
+    sides = lambda n: counts.select(*by, "conf", "correct", "s", n.alias("n_rows")).where("n_rows > 0")
+    fitted = conformal.thresholds(sides(F.col("fit_")), [*by, "s"], alphas)
+    test = conformal.apply_thresholds(sides(F.col("n_") - F.col("fit_")), fitted, [*by, "s"], alphas)
     each = conformal.coverage_and_risk(test, [*by, "s", "alpha"])
     return each.groupBy(*by, "alpha").agg(F.avg("coverage").alias("coverage"), F.avg("risk").alias("risk"))
 

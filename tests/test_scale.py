@@ -1,11 +1,16 @@
 """Steps whose work must not grow faster than their tables."""
 
+import io
+from contextlib import redirect_stdout
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtrust.operators import resampling
+from fieldtrust.operators import ground, resampling, signals
+from fieldtrust.plans import harness
+from fieldtrust.sources import ingest
 
 N = 600
 
@@ -33,3 +38,17 @@ def test_mean_interval_equals_bootstrap_of_repeated_rows(spark):
     want = resampling.bootstrap(rows, ["g"], "k", mean, 50).orderBy("g").collect()
     got = resampling.bootstrap_mean(rows, ["g"], "k", F.col("v"), 50).orderBy("g").select("g", "estimate", "lo", "hi").collect()
     assert [tuple(round(x, 9) for x in r) for r in got] == [tuple(round(r[c], 9) for c in ("g", "estimate", "lo", "hi")) for r in want]
+
+
+def plan(df) -> str:
+    with redirect_stdout(io.StringIO()) as out:
+        df.explain("extended")
+    return out.getvalue()
+
+
+def test_splits_repeat_counts_and_not_rows(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(harness, "kept", lambda df, name: sizes.append(df.count()) or df)
+    rows = spark.range(400).selectExpr("id AS doc_id", "'s' AS signal", "(id % 2) / 2D AS conf", "CAST(id % 3 > 0 AS INT) AS correct")
+    assert harness.multi_split(rows, ["signal"], [0.1, 0.5], 70).count() == 2
+    assert sizes == [4 * 70]
