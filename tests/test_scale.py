@@ -52,3 +52,16 @@ def test_splits_repeat_counts_and_not_rows(spark, monkeypatch):
     rows = spark.range(400).selectExpr("id AS doc_id", "'s' AS signal", "(id % 2) / 2D AS conf", "CAST(id % 3 > 0 AS INT) AS correct")
     assert harness.multi_split(rows, ["signal"], [0.1, 0.5], 70).count() == 2
     assert sizes == [4 * 70]
+
+
+def test_shared_values_are_located_once(spark):
+    docs = spark.createDataFrame([(1, "total: 12 apples\nname: Ann")], "doc_id int, text string")
+    p = spark.createDataFrame([(1, f"p{i}", v) for i, v in enumerate(["12 apples", "12 Apples", "Ann", None, "  "])], "doc_id int, path string, value string")
+    assert ground.targets(p).count() == 2
+    found = {r.path: r.support for r in ground.ground(p, ingest.words(docs)).collect()}
+    assert found == {"p0": 1.0, "p1": 1.0, "p2": 1.0, "p3": None, "p4": None}
+
+
+def test_words_of_a_document_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a b\nc")], "doc_id int, text string")
+    assert plan(ground.page_words(ingest.words(docs))).split("Physical Plan")[1].count("Exchange") == 1
