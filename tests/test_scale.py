@@ -65,3 +65,15 @@ def test_shared_values_are_located_once(spark):
 def test_words_of_a_document_are_not_shuffled(spark):
     docs = spark.createDataFrame([(1, "a b\nc")], "doc_id int, text string")
     assert plan(ground.page_words(ingest.words(docs))).split("Physical Plan")[1].count("Exchange") == 1
+
+
+def test_filter_on_a_vote_does_not_repeat_its_steps(spark):
+    p = spark.createDataFrame([(1, "a", 0, 0, "x", 0.5)], "doc_id int, path string, run int, ord int, value string, support double")
+    text = plan(signals.consensus(p, 5).where("value IS NOT NULL"))
+    assert text.split("Optimized Logical Plan")[1].split("Physical Plan")[0].count("try_element_at") + text.split("Optimized Logical Plan")[1].split("Physical Plan")[0].count("element_at(") <= 8
+
+
+def test_entailment_splits_its_premise_once(spark):
+    df = spark.createDataFrame([("Total is 5 5.", "total is 5 6"), ("x", " "), (None, "a")], "p string, h string").select(ground.lexical_entailment(F.col("p"), F.col("h")).alias("e"))
+    assert [r.e for r in df.collect()][:2] == [0.75, 0.0]
+    assert "array_contains(filter" not in plan(df).replace("'", "").lower()
