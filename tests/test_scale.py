@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from fieldtrust import queries
 from fieldtrust.operators import ground, resampling, signals
 from fieldtrust.plans import harness
 from fieldtrust.sources import ingest
@@ -77,3 +78,12 @@ def test_entailment_splits_its_premise_once(spark):
     df = spark.createDataFrame([("Total is 5 5.", "total is 5 6"), ("x", " "), (None, "a")], "p string, h string").select(ground.lexical_entailment(F.col("p"), F.col("h")).alias("e"))
     assert [r.e for r in df.collect()][:2] == [0.75, 0.0]
     assert "array_contains(filter" not in plan(df).replace("'", "").lower()
+
+
+@pytest.mark.parametrize("name", ["bounded_taxonomy", "group_taxonomies"])
+def test_taxonomies_repeat_counts_and_not_rows(spark, name, monkeypatch):
+    def refused(*_):
+        raise AssertionError("rows are repeated for each taxonomy")
+
+    monkeypatch.setattr(queries.conformal, "by_taxonomy", refused)
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
