@@ -1,6 +1,7 @@
 """Steps whose work must not grow faster than their tables."""
 
 import io
+import random
 from contextlib import redirect_stdout
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtrust import queries
-from fieldtrust.operators import ground, resampling, signals
+from fieldtrust.operators import ground, resampling, signals, tables
 from fieldtrust.plans import harness
 from fieldtrust.sources import ingest
 
@@ -87,3 +88,50 @@ def test_taxonomies_repeat_counts_and_not_rows(spark, name, monkeypatch):
 
     monkeypatch.setattr(queries.conformal, "by_taxonomy", refused)
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def _cells(rng, bare):
+    cell = lambda: None if rng.random() < 0.1 else {"text": rng.choice([None, "", "ab", "abc", "b c"]), "rowspan": rng.choice([None, 1, 2]), "colspan": 1, "bbox": rng.choice([None, [0.0, 0.0, 1.0, 1.0], [0.5, 0.0, 1.5, 1.0]])}
+    grid = [None if rng.random() < 0.1 else [cell() for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(0, 4))]
+    return [[{k: v for k, v in {"text": "", **(c or {})}.items() if v is not None} | ({} if c and c["text"] else {"text": ""}) for c in row or []] for row in grid] if bare else grid
+
+
+@pytest.mark.parametrize("kind", ["con", "top", "loc"])
+def test_grids_of_a_batch_equal_single_pairs(kind, monkeypatch):
+    made = {bare: [_cells(random.Random(i), bare) for i in range(400)] for bare in (True, False)}
+    form = pa.list_(pa.list_(pa.struct({"text": pa.string(), "rowspan": pa.int32(), "colspan": pa.int32(), "bbox": pa.list_(pa.float64())})))
+    a, b = (tables._Grids(pa.array(x, form)) for x in (made[False][:200], made[False][200:]))
+    assert a.n_cells.tolist() == [sum(map(len, g)) for g in made[True][:200]]
+    want = [tables._best(p, g, lambda r, s: tables._best(r, s, tables._cell(kind))) for p, g in zip(made[True][:200], made[True][200:], strict=True)]
+    assert tables._totals(a, b, kind).tolist() == want
+    monkeypatch.setattr(tables, "HELD", 1)
+    assert tables._totals(a, b, kind).tolist() == want
+
+
+def test_pairs_of_a_shape_take_their_steps_together(monkeypatch):
+    rng = random.Random(5)
+    html = lambda: "<table>" + "".join("<tr>" + "".join(f"<t{c}>{rng.choice(['a', 'bc', 'abd', ''])}</t{c}>" for c in rng.choices("dh", k=rng.randint(1, 2))) + "</tr>" for _ in range(rng.randint(1, 2))) + "</table>"
+    pairs = [(tables.read_nodes(html()), tables.read_nodes(html())) for _ in range(1000)]
+    want = [[tables._similarity(a, b, m) for m in (False, True)] for a, b in pairs]
+    calls, step = [], tables._distance
+    monkeypatch.setattr(tables, "_distance", lambda *a: calls.append(1) or step(*a))
+    assert tables._similarities([*pairs, None], [False, True])[:-1].tolist() == want and len(calls) < 150
+
+
+@pytest.mark.parametrize("html", ["<table><tr><td>a b<td>c</tr></table> z <table></table>", "x<tr><table></td><thead><th> a\n b</thead>q<td>1 > 2</table>", "<table><tr><td>a<table><td>b</td></table>c</td>", "<p>", "", "<TABLE><td colspan=2>a &amp; b<br>c</td></TABLE>", "</table><table>", "<table <td>x</td></table>"])
+def test_plain_texts_read_as_the_parser_reads_them(html):
+    root, got = tables.tree(html), tables.read_nodes(html)
+    nodes = root and tables._postorder(root)
+    assert (got and ([n[:4] for n in got[0]], got[1])) == (nodes and ([n[:4] for n in nodes[0]], nodes[1]))
+
+
+def test_bits_count_the_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left = 0
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
+        assert tables.common(a, b) == row[-1]
