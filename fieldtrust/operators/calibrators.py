@@ -9,6 +9,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldtrust.functions.store import kept
 from fieldtrust.operators.calibration_metrics import bin_of
 from fieldtrust.operators.prefix import tie_groups
 
@@ -67,14 +68,17 @@ def apply_temperature(rows: DataFrame, fitted: DataFrame, by: list[str]) -> Data
 
 
 def _logistic(rows: DataFrame, features: list[Column], strength: float) -> tuple:
-    """Fits on (features, correct) with loss sum + |w|^2 / (2 * strength)."""
+    """Fits on (features, correct) with loss sum + |w|^2 / (2 * strength).
+    Rows of equal features are one weighted row, so that the passes of the fit
+    don't make the rows again."""
     named = [f.alias(f"f{i}") for i, f in enumerate(features)]
-    data = rows.select(*named, F.col("correct").cast("double").alias("label"))
-    n, pos = data.agg(F.count(F.lit(1)), F.sum("label")).first()
+    each = rows.groupBy(*named, F.col("correct").cast("double").alias("label")).agg(F.count(F.lit(1)).cast("double").alias("n_rows"))
+    data = kept(each, "features")
+    n, pos = data.agg(F.sum("n_rows"), F.sum(F.col("label") * F.col("n_rows"))).first()
     assembler = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features")
     if not n or pos in (0, n):
         return None, assembler, (pos or 0) / n if n else 0.0
-    model = LogisticRegression(regParam=1 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-7).fit(assembler.transform(data))
+    model = LogisticRegression(regParam=1 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-7, weightCol="n_rows").fit(assembler.transform(data))
     return model, assembler, pos / n
 
 
