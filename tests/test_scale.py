@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtrust import queries
-from fieldtrust.operators import ground, resampling, signals, tables
-from fieldtrust.plans import harness
+from fieldtrust.functions import text
+from fieldtrust.operators import calibrators, conformal, ground, resampling, signals, tables
+from fieldtrust.plans import harness, verify
 from fieldtrust.sources import ingest
 
 N = 600
@@ -135,3 +136,39 @@ def test_bits_count_the_common_subsequence():
             for j, y in enumerate(b, 1):
                 left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
         assert tables.common(a, b) == row[-1]
+
+
+def test_word_errors_list_their_words_once(spark):
+    df = spark.createDataFrame([("a b  c", "a x c d"), ("", "a"), ("a a", ""), (None, "a"), ("\U0001f600 b", "b")], "p string, g string").select(text.wer(F.col("p"), F.col("g")).alias("w"))
+    assert [r.w for r in df.collect()] == [0.5, 1.0, 2.0, None, 1.0]
+    made = plan(df).split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+    assert made.count("array_distinct") == 1 and made.count("split(") == 2
+
+
+def test_equal_rows_are_fitted_as_one(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(calibrators, "kept", lambda df, name: sizes.append(df.count()) or df)
+    rows = spark.range(600).selectExpr("id", "(id % 3) / 4D + 0.1 AS conf", "CAST(id % 5 > id % 3 AS INT) AS correct")
+    once = calibrators.platt(rows, rows.where("id < 3")).orderBy("id").collect()
+    assert sizes == [6] and once[0].calibrated == pytest.approx(0.8, abs=0.05)
+
+
+def test_rows_of_a_dealt_order_need_no_shuffle(spark):
+    text = plan(queries.learned_combiner(spark, "/root/testdata/sf0.001")).split("Physical Plan")[1]
+    assert text.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(o_orderkey" in text
+
+
+def test_halvings_repeat_counts_and_not_rows(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(conformal, "kept", lambda df, name: sizes.append(df.count()) or df)
+    rows = spark.range(900).selectExpr("id AS doc_id", "'s' AS signal", "(id % 2) / 2D AS conf", "CAST(id % 3 > 0 AS INT) AS correct", "IF(id % 5 = 0, 0.1D, 0.9D) AS support")
+    assert conformal.characterize(rows, ["signal"], conformal.grounded_group(F.col("support"))).count() == 1 and sizes == [8]
+
+
+def test_tiers_read_what_was_decided(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(verify, "kept", lambda df, name: seen.append(df.count()) or df)
+    base = spark.createDataFrame([(1, "a", None, None, "review"), (1, "b", "y", 0.5, "accept"), (2, "a", "z", 0.5, "accept")], "doc_id int, path string, value string, support double, decision string")
+    tiers = [lambda docs, p=p: docs.selectExpr("doc_id", f"'{p}' AS path", "'x' AS value", "0.9D AS support", "'accept' AS decision") for p in "bab"]
+    got = sorted(tuple(r) for r in verify.repair(base, tiers).collect())
+    assert got == [(1, "a", "x", 0.9, "accept", 2), (1, "b", "y", 0.5, "accept", 0), (2, "a", "z", 0.5, "accept", 0)] and seen == [3, 3, 3]
