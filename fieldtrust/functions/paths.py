@@ -22,9 +22,11 @@ def canonical(c: Column) -> Column:
 
 def split_index(c: Column) -> Column:
     """struct<prefix, idx, rel> of the outermost array index; null without one."""
-    p, rule = canonical(c), r"^([^\[]*)\[(\d+)\]\.?(.*)$"
-    part = lambda n: F.regexp_extract(p, rule, n)
-    return F.when(p.rlike(rule), F.struct(part(1).alias("prefix"), part(2).cast("int").alias("idx"), part(3).alias("rel")))
+    rule = r"^([^\[]*)\[(\d+)\]\.?(.*)$"
+    part = lambda p, n: F.regexp_extract(p, rule, n)
+    # the path is brought to its form once, as a variable of the function, and not for each part
+    split = lambda p: F.when(p.rlike(rule), F.struct(part(p, 1).alias("prefix"), part(p, 2).cast("int").alias("idx"), part(p, 3).alias("rel")))
+    return F.get(F.transform(F.array(canonical(c)), split), F.lit(0))
 
 
 def join_index(prefix: Column, idx: Column, rel: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldtrust import queries
 from fieldtrust.functions import text
-from fieldtrust.operators import calibrators, conformal, ground, resampling, signals, tables
+from fieldtrust.operators import calibrators, conformal, extraction_metrics, ground, resampling, signals, tables
 from fieldtrust.plans import harness, verify
 from fieldtrust.sources import ingest
 
@@ -172,3 +172,26 @@ def test_tiers_read_what_was_decided(spark, monkeypatch):
     tiers = [lambda docs, p=p: docs.selectExpr("doc_id", f"'{p}' AS path", "'x' AS value", "0.9D AS support", "'accept' AS decision") for p in "bab"]
     got = sorted(tuple(r) for r in verify.repair(base, tiers).collect())
     assert got == [(1, "a", "x", 0.9, "accept", 2), (1, "b", "y", 0.5, "accept", 0), (2, "a", "z", 0.5, "accept", 0)] and seen == [3, 3, 3]
+
+
+def _items(spark):
+    p = [(1, "r[0].a", "x"), (1, "r[0].b", "y "), (1, "r.1.a", "z"), (1, "r[2].a", None), (1, "t", "x"), (2, "q[0]", "1,5")]
+    g = [(1, "r[0].a", "z", "exact", 0.0), (1, "r[1].a", "X", "exact", 0.0), (1, "r[1].b", "y", "semantic", 0.0), (2, "q[3]", "1.5", "numeric", 0.01), (3, "r[0].a", "x", "exact", 0.0)]
+    return spark.createDataFrame(p, "doc_id int, path string, value string"), spark.createDataFrame(g, "doc_id int, path string, value string, scoring string, numeric_tol double")
+
+
+def test_items_of_a_document_are_shuffled_once(spark):
+    sims = extraction_metrics.item_similarity(*_items(spark))
+    physical = plan(sims).split("Physical Plan")[1]
+    assert sorted(tuple(r) for r in sims.collect()) == [(1, "r", 0, 1, 1.0), (1, "r", 1, 0, 1.0), (2, "q", 0, 3, 1.0)]
+    assert physical.count("Exchange hashpartitioning") == 1 and "Join" not in physical
+
+
+def test_scores_join_their_sides_once(spark):
+    p, g = _items(spark)
+    moved = extraction_metrics.aligned(p, g)
+    assert sorted((r.doc_id, r.path) for r in moved.collect()) == [(1, "r[0].a"), (1, "r[1].a"), (1, "r[1].b"), (1, "r[2].a"), (1, "t"), (2, "q[3]")]
+    found = extraction_metrics.score(moved, g, ["doc_id"])
+    rates = {r.doc_id: (r.n_gold, r.n_pred, r.n_correct, r.omission_rate, r.hallucination_rate) for r in found.collect()}
+    assert rates == {1: (3, 4, 3, 0.0, 0.25), 2: (1, 1, 1, 0.0, 0.0), 3: (1, 0, 0, 1.0, 0.0)}
+    assert plan(extraction_metrics.score(p, g, ["doc_id"])).split("Physical Plan")[1].count("Join ") == 2
