@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrust.operators.prefix import cumulated, ranked, running, tie_groups
+from fieldtrust.functions.store import kept
+from fieldtrust.operators.prefix import cumulated, right_before, running, tie_groups
 
 
 def edges(bins: int) -> list[float]:
@@ -38,20 +39,26 @@ def ece_mce(outcomes: DataFrame, by: list[str], bins: int = 15) -> DataFrame:
 
 
 def adaptive_ece(outcomes: DataFrame, by: list[str], bins: int = 15) -> DataFrame:
-    """Equal-mass bins in order of confidence, the first ones a row larger. A
-    tie group's rows are dealt to bins by counts and the order of ord inside
-    it, so only tie groups are summed over in order."""
-    place = ranked(outcomes, by)  # k counts from the largest confidence down, ties by ord
-    # rank from the smallest confidence up, ties by ord: rows below, and those before it in its tie group
-    ties = cumulated(tie_groups(outcomes, by), by).select(*by, F.col("conf").alias("c"), F.col("k").alias("k_tie"), F.col("n").alias("n_tie"), "n_all")
-    joined = place.join(ties.withColumnRenamed("c", "conf"), [*by, "conf"])
-    up = (F.col("n_all") - F.col("k_tie")) + (F.col("k") - (F.col("k_tie") - F.col("n_tie")))
+    """Equal-mass bins in order of confidence, then ord, the first ones a row
+    larger. A tie group inside one bin only gives its counts; where a bin's
+    border cuts it, the right rows before the border are found by ``right_before``."""
+    ties = kept(tie_groups(outcomes, by), "ties")
     size, large = F.floor(F.col("n_all") / bins), F.col("n_all") % bins
-    first = large * (size + 1)
-    chunk = F.when(up <= first, F.floor((up - 1) / (size + 1))).otherwise(large + F.floor((up - first - 1) / F.greatest(size, F.lit(1))))
-    rows = joined.withColumn("chunk", chunk)
-    gap = F.abs(F.sum("correct") - F.sum("conf")).alias("g")
-    return rows.groupBy(*by, "chunk", "n_all").agg(gap).groupBy(*by).agg((F.sum("g") / F.max("n_all")).alias("adaptive_ece"))
+    # the bin of a row by its place from 0, and a bin's first place
+    chunk = lambda at: F.when(at < large * (size + 1), F.floor(at / (size + 1))).otherwise(large + F.floor((at - large * (size + 1)) / F.greatest(size, F.lit(1))))
+    first = lambda c: c * size + F.least(c, large)
+    below = F.col("n_all") - F.col("k")
+    placed = cumulated(ties, by).where("conf IS NOT NULL").select(*by, "conf", "n", "pos", "n_all", below.alias("lo"), chunk(below).alias("c0"), chunk(below + F.col("n") - 1).alias("c1"))
+    whole = placed.where("c0 = c1").select(*by, "n_all", F.col("c0").alias("chunk"), (F.col("pos") - F.col("conf") * F.col("n")).alias("g"))
+    cut = placed.where("c0 < c1").withColumn("chunk", F.explode(F.sequence("c0", "c1")))
+    start, end = F.greatest(F.lit(0), first(F.col("chunk")) - F.col("lo")), F.least(F.col("n"), first(F.col("chunk") + 1) - F.col("lo"))
+    cut = cut.withColumn("start", start.cast("long")).withColumn("end", end.cast("long"))
+    before = right_before(outcomes, cut.where("start > 0").select(*by, "conf", F.col("start").alias("r")), by)
+    at = lambda r: before.select(*by, "conf", F.col("r").alias(r), F.col("right").alias(f"right_{r}"))
+    joined = cut.join(at("start"), [*by, "conf", "start"], "left").join(at("end"), [*by, "conf", "end"], "left")
+    right = F.coalesce("right_end", "pos") - F.coalesce("right_start", F.lit(0))
+    parts = joined.select(*by, "n_all", "chunk", (right - F.col("conf") * (F.col("end") - F.col("start"))).alias("g"))
+    return whole.unionByName(parts).groupBy(*by, "chunk", "n_all").agg(F.abs(F.sum("g")).alias("g")).groupBy(*by).agg((F.sum("g") / F.max("n_all")).alias("adaptive_ece"))
 
 
 def proper_scores(outcomes: DataFrame, by: list[str], eps: float = 1e-12) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrust.functions.store import kept
+
 #: Slices of the confidence scale in ordered prefix sums.
 SLICES = 1024
 
@@ -57,7 +59,8 @@ def cumulated(ties: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ranked(outcomes: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with k and k_errors in stable order: confidence falling, then ord."""
+    """Rows with k and k_errors in stable order: confidence falling, then ord,
+    and the totals n_all and errors_all of their group."""
     # a slice of one confidence may be cut by ord; a part's place is (slice, part)
     whole = outcomes.withColumn("slice", F.floor(F.col("conf") * SLICES))
     low, high = F.min("ord").cast("double"), F.max("ord").cast("double")
@@ -65,8 +68,30 @@ def ranked(outcomes: DataFrame, by: list[str]) -> DataFrame:
     cut = F.coalesce(F.floor((F.col("ord") - F.col("lo_")) / F.col("width_")), F.lit(0))
     sliced = whole.join(single, [*by, "slice"], "left").withColumn("part", cut).drop("lo_", "width_")
     totals = sliced.groupBy(*by, "slice", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("correct")).alias("e"))
-    above = Window.partitionBy(*by).orderBy(F.desc("slice"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "slice", "part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("e").over(above), F.lit(0)).alias("e0"))
+    every, above = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(F.desc("slice"), "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "slice", "part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("e").over(above), F.lit(0)).alias("e0"), F.sum("n").over(every).alias("n_all"), F.sum("e").over(every).alias("errors_all"))
     inside = Window.partitionBy(*by, "slice", "part").orderBy(F.desc("conf"), "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = sliced.withColumn("k", F.count(F.lit(1)).over(inside)).withColumn("k_errors", F.sum(1 - F.col("correct")).over(inside))
     return counted.join(offsets, [*by, "slice", "part"]).withColumn("k", F.col("k") + F.col("n0")).withColumn("k_errors", F.col("k_errors") + F.col("e0")).drop("n0", "e0", "slice", "part")
+
+
+def right_before(outcomes: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
+    """``cuts`` (by, conf, r) with ``right``: how many of the first r rows of
+    that confidence, by ord, are right. Rows are counted in parts of the range
+    of ord, and only those of the part that a cut falls into are ranked."""
+    tie = [*by, "conf"]
+    cuts = kept(cuts, "cuts")
+    rows = outcomes.select(*tie, "ord", "correct").join(cuts.select(*tie).distinct(), tie)
+    low, high = F.min("ord").cast("double"), F.max("ord").cast("double")
+    ranges = kept(rows.groupBy(*tie).agg(low.alias("lo_"), ((high - low) / SLICES + 1e-9).alias("width_")), "ranges")
+    part = F.coalesce(F.floor((F.col("ord") - F.col("lo_")) / F.col("width_")), F.lit(0)).alias("part")
+    parted = outcomes.select(*tie, "ord", "correct").join(ranges, tie).select(*tie, "ord", "correct", part)
+    counts = parted.groupBy(*tie, "part").agg(F.count(F.lit(1)).alias("n_"), F.sum("correct").alias("right_"))
+    upto = Window.partitionBy(*tie).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = counts.select(*tie, "part", (F.sum("n_").over(upto) - F.col("n_")).alias("n0"), F.sum("n_").over(upto).alias("n1"), (F.sum("right_").over(upto) - F.col("right_")).alias("right0"))
+    met = kept(cuts.join(summed, tie).where("n0 < r AND r <= n1"), "met")
+    inside = Window.partitionBy(*tie, "part").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = parted.join(met.select(*tie, "part").distinct(), [*tie, "part"])
+    ranks = few.select(*tie, "part", F.count(F.lit(1)).over(inside).alias("k_"), F.sum("correct").over(inside).alias("right_"))
+    found = met.withColumn("k_", F.col("r") - F.col("n0")).join(ranks, [*tie, "part", "k_"])
+    return found.select(*tie, "r", (F.col("right0") + F.col("right_")).alias("right"))

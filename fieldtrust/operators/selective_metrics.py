@@ -10,7 +10,7 @@ from fieldtrust.operators.prefix import cumulated, ranked, running, tie_groups
 
 def aurc_family(outcomes: DataFrame, by: list[str]) -> DataFrame:
     """aurc, oracle_aurc, e_aurc and augrc."""
-    rows = ranked(outcomes, by).join(outcomes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_all"), F.sum("correct").alias("pos_all")), by)
+    rows = ranked(outcomes, by).withColumn("pos_all", F.col("n_all") - F.col("errors_all"))
     oracle = F.greatest(F.lit(0), F.col("k") - F.col("pos_all")) / F.col("k")
     return rows.groupBy(*by).agg(
         F.avg(F.col("k_errors") / F.col("k")).alias("aurc"),
@@ -22,7 +22,7 @@ def aurc_family(outcomes: DataFrame, by: list[str]) -> DataFrame:
 
 def rc_curve(outcomes: DataFrame, by: list[str]) -> DataFrame:
     """(by, ord, coverage, risk) after each row, most confident first."""
-    rows = ranked(outcomes, by).join(outcomes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_all")), by)
+    rows = ranked(outcomes, by)
     return rows.select(*by, "ord", (F.col("k") / F.col("n_all")).alias("coverage"), (F.col("k_errors") / F.col("k")).alias("risk"))
 
 
