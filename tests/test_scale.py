@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldtrust import queries
 from fieldtrust.functions import text
-from fieldtrust.operators import calibrators, conformal, extraction_metrics, ground, resampling, signals, tables
+from fieldtrust.operators import calibration_metrics, calibrators, conformal, extraction_metrics, ground, resampling, signals, tables
 from fieldtrust.plans import harness, verify
 from fieldtrust.sources import ingest
 
@@ -195,3 +195,25 @@ def test_scores_join_their_sides_once(spark):
     rates = {r.doc_id: (r.n_gold, r.n_pred, r.n_correct, r.omission_rate, r.hallucination_rate) for r in found.collect()}
     assert rates == {1: (3, 4, 3, 0.0, 0.25), 2: (1, 1, 1, 0.0, 0.0), 3: (1, 0, 0, 1.0, 0.0)}
     assert plan(extraction_metrics.score(p, g, ["doc_id"])).split("Physical Plan")[1].count("Join ") == 2
+
+
+def test_bins_rank_only_the_rows_of_their_borders(spark, monkeypatch):
+    ranks = []
+    monkeypatch.setattr(calibration_metrics, "right_before", lambda o, c, by, f=calibration_metrics.right_before: ranks.append(c.count()) or f(o, c, by))
+    rows = spark.range(1000).selectExpr("IF(id < 995, 's', 't') AS signal", "id AS ord", "CAST(id % 4 AS DOUBLE) / 7 AS conf", "CAST(id * id % 5 < 2 AS INT) AS correct")
+    got = {r.signal: r.adaptive_ece for r in calibration_metrics.adaptive_ece(rows, ["signal"]).collect()}
+    for s in "st":
+        v = sorted((r.conf, r.ord, r.correct) for r in rows.collect() if r.signal == s)
+        size, large = divmod(len(v), 15)
+        ends = np.cumsum([size + (i < large) for i in range(15)])
+        want = sum(abs(sum(c - p for p, _, c in v[e - size - (i < large) : e])) for i, e in enumerate(ends)) / len(v)
+        assert got[s] == pytest.approx(want, abs=1e-12)
+    assert ranks and ranks[0] < 20
+
+
+def test_totals_come_with_the_ranks(spark):
+    from fieldtrust.operators import selective_metrics
+
+    rows = spark.range(50).selectExpr("'s' AS signal", "id AS ord", "id / 50D AS conf", "CAST(id % 3 > 0 AS INT) AS correct")
+    df = selective_metrics.aurc_family(rows, ["signal"])
+    assert plan(df).split("Optimized Logical Plan")[1].split("Physical Plan")[0].count("Join ") == 3 and 0 < df.first().aurc < 1
