@@ -122,8 +122,9 @@ def boxed_golds(golds: DataFrame, words: DataFrame, min_support: float) -> DataF
     return found.select(*plain.columns, F.col("page").alias("gold_page"), F.col("bbox").alias("gold_box"))
 
 
-#: Layout replies: the score of a token that states none.
+#: Layout replies: the score of a token that states none, and the parts that are read of each item.
 LAYOUT_SCORE = 0.9
+LAYOUT_ITEMS = "array<struct<bbox: array<double>, text: string, score: double>>"
 
 
 def layout_tokens(pages: DataFrame) -> DataFrame:
@@ -132,13 +133,11 @@ def layout_tokens(pages: DataFrame) -> DataFrame:
     row. Pages are (doc_id, page, width, height, reply). Replies that are no
     JSON list and items without a box of four numbers give no tokens; a missing
     text is empty, a missing or unreadable score ``LAYOUT_SCORE``."""
-    spark = pages.sparkSession
-    rows = pages.select("doc_id", "page", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.try_parse_json("reply").alias("v"))
-    rows = rows.where(F.schema_of_variant("v").startswith("ARRAY"))
-    items = spark.sql("SELECT p.doc_id, p.page, p.width, p.height, e.pos, e.value AS item FROM {rows} p, LATERAL variant_explode(p.v) e", rows=rows)
-    part = lambda path, kind: F.try_variant_get("item", path, kind)
-    b = box(*(part(f"$.bbox[{i}]", "double") / F.col("width" if i % 2 == 0 else "height") for i in range(4)))
-    out = items.select("doc_id", "page", F.coalesce(part("$.text", "string"), F.lit("")).alias("text"), F.coalesce(part("$.score", "double"), F.lit(LAYOUT_SCORE)).alias("score"), b.alias("bbox"))
+    # a reply is parsed and its parts are read in one pass: what cannot be read is null there, and what follows looks up struct fields only
+    items = F.try_variant_get(F.try_parse_json("reply"), "$", LAYOUT_ITEMS)
+    rows = pages.select("doc_id", "page", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), F.explode(items).alias("item"))
+    b = box(*(F.get("item.bbox", F.lit(i)) / F.col("width" if i % 2 == 0 else "height") for i in range(4)))
+    out = rows.select("doc_id", "page", F.coalesce("item.text", F.lit("")).alias("text"), F.coalesce("item.score", F.lit(LAYOUT_SCORE)).alias("score"), b.alias("bbox"))
     return out.where("bbox.x0 IS NOT NULL AND bbox.y0 IS NOT NULL AND bbox.x1 IS NOT NULL AND bbox.y1 IS NOT NULL")
 
 

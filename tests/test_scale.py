@@ -13,7 +13,7 @@ from fieldtrust import queries
 from fieldtrust.functions import text
 from fieldtrust.operators import calibration_metrics, calibrators, conformal, extraction_metrics, ground, resampling, signals, tables
 from fieldtrust.plans import harness, verify
-from fieldtrust.sources import ingest
+from fieldtrust.sources import datasets, ingest
 
 N = 600
 
@@ -217,3 +217,43 @@ def test_totals_come_with_the_ranks(spark):
     rows = spark.range(50).selectExpr("'s' AS signal", "id AS ord", "id / 50D AS conf", "CAST(id % 3 > 0 AS INT) AS correct")
     df = selective_metrics.aurc_family(rows, ["signal"])
     assert plan(df).split("Optimized Logical Plan")[1].split("Physical Plan")[0].count("Join ") == 3 and 0 < df.first().aurc < 1
+
+
+def test_layout_replies_are_read_in_one_pass(spark):
+    made = plan(queries.QUERIES["layout_replies"](spark, "/root/testdata/sf0.001")).split("Optimized Logical Plan")[1]
+    optimized, physical = made.split("Physical Plan")
+    assert optimized.count("parseJson(") == 1 and optimized.count("try_variant_get(") == 1
+    assert not any(step in physical for step in ("Window", "Sort", "Aggregate"))
+
+
+def test_parts_of_a_reply_equal_single_reads(spark):
+    rng = random.Random(4)
+    v = ["1", "2.5", "1e3", '"3"', '"x"', "true", "null", "[1]", '{"a": 1}', "12345678901234567890", '"NaN"', "1.0", '"[1, 2, 3, 4]"']
+    bbox = lambda: rng.choice([rng.choice(v), "[1, 2, 3, 4]", f"[{', '.join(rng.choices(v, k=rng.choice([3, 4, 5])))}]", f"[{', '.join(rng.choices(v[:4], k=4))}]"])
+    item = lambda: rng.choice([f'{{"bbox": {bbox()}, "text": {rng.choice(v)}, "score": {rng.choice(v)}}}', f'{{"BBOX": [1, 2, 3, 4], "bbox": {bbox()}}}', rng.choice(v)])
+    replies = ["[%s]" % ", ".join(item() for _ in range(3)) for _ in range(500)] + [None, "", "5", "[", "[]", '{"bbox": [1, 2, 3, 4]}', '[{"bbox": [1, 2, 3, 4], "bbox": 1}]']
+    pages = spark.createDataFrame([(i, 0, 100, 200, r) for i, r in enumerate(replies)], "doc_id int, page int, width int, height int, reply string")
+    got = datasets.layout_tokens(pages).select("doc_id", "text", "score", "bbox.*")
+    rows = spark.sql("SELECT doc_id, value AS item FROM {p}, LATERAL variant_explode(try_parse_json(reply)) WHERE schema_of_variant(try_parse_json(reply)) LIKE 'ARRAY%'", p=pages)
+    part = lambda path, kind: F.try_variant_get("item", path, kind)
+    sides = [(part(f"$.bbox[{i}]", "double") / (200 if i % 2 else 100)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    want = rows.select("doc_id", F.coalesce(part("$.text", "string"), F.lit("")).alias("text"), F.coalesce(part("$.score", "double"), F.lit(0.9)).alias("score"), *sides).where("x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL")
+    made = sorted(map(str, got.collect()))
+    assert len(made) > 100 and made == sorted(map(str, want.collect()))
+
+
+def test_words_are_placed_without_windows(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(["a", "bc", " ", " ", "\n", "\f", "\t", "\U0001f600"], k=rng.randint(0, 60))) for _ in range(300)] + ["w " * 3000, "", " ", "\n\n", "\f"]
+    found = ingest.words(spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id int, text string"))
+    want = []
+    for i, t in enumerate(texts):
+        for page, body in enumerate(t.split("\f")):
+            placed = [(n, sum(len(x) + 1 for x in line.split(" ")[:k]), w) for n, line in enumerate(body.split("\n")) for k, w in enumerate(line.split(" ")) if w]
+            for pos, (n, col, w) in enumerate(placed):
+                x0, y0 = min(0.98, 0.02 + 0.012 * col), min(0.98, n * 0.04)
+                want.append((i, page, n, pos, w, x0, y0, min(0.99, x0 + 0.012 * max(1, len(w))), min(0.99, y0 + 0.9 * 0.04)))
+    made = plan(found)
+    assert "Window" not in made and made.split("Physical Plan")[1].count("Exchange") == 1
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert [r.s for r in spark.sql("SELECT sequence(1, n) AS a FROM VALUES (1), (2), (7), (8), (9) t(n)").select(ingest.sums(F.col("a"))[F.size("a") - 1].alias("s")).collect()] == [1, 3, 28, 36, 45]
