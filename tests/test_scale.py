@@ -65,6 +65,23 @@ def test_shared_values_are_located_once(spark):
     assert found == {"p0": 1.0, "p1": 1.0, "p2": 1.0, "p3": None, "p4": None}
 
 
+def test_texts_of_pages_ground_as_their_words(spark):
+    rng = random.Random(8)
+    w = ["a", "b", "ab", "Total:", "$", "$5", "1,250", "x y", "\u00e9", "abcd", "abce", "GHOST", "a\tb", "\u03a3", ""]
+    docs = [(i, "".join(rng.choice(w) + rng.choice([" ", " ", "\n", "\f"]) for _ in range(rng.randint(0, 20)))) for i in range(60)] + [(60, None), (None, "a b")]
+    p = [(i, f"p{k}", " ".join(rng.choices(w, k=rng.choice([1, 1, 2, 3, 14])))) for i in range(61) for k in range(5)] + [(None, "p", "a")]
+    docs, p = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(p, "doc_id int, path string, value string")
+    got, want = (sorted(map(str, ground.ground(p, words, 0.4).collect())) for words in (ingest.dealt_pages(docs), ingest.words(docs)))
+    assert got == want and sum("bbox=Row" in r for r in got) > 60
+
+
+def test_predictions_are_made_where_their_document_is(spark):
+    """Orders are shuffled, never the values of their runs, and no found place is filtered below its own steps."""
+    made = plan(queries.QUERIES["ground_fuzzy"](spark, "/root/testdata/sf0.001"))
+    optimized, physical = made.split("Optimized Logical Plan")[1].split("Physical Plan")
+    assert "ENSURE_REQUIREMENTS" not in physical and optimized.count("levenshtein(") == 3
+
+
 def test_words_of_a_document_are_not_shuffled(spark):
     docs = spark.createDataFrame([(1, "a b\nc")], "doc_id int, text string")
     assert plan(ground.page_words(ingest.words(docs))).split("Physical Plan")[1].count("Exchange") == 1
