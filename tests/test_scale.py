@@ -93,6 +93,28 @@ def test_filter_on_a_vote_does_not_repeat_its_steps(spark):
     assert text.split("Optimized Logical Plan")[1].split("Physical Plan")[0].count("try_element_at") + text.split("Optimized Logical Plan")[1].split("Physical Plan")[0].count("element_at(") <= 8
 
 
+@pytest.mark.parametrize("name", ["adaptive_k", "field_dump", "harness_outcomes"])
+def test_rows_of_runs_are_not_shuffled(spark, name):
+    """What is shuffled are orders, and what is left after the vote; a document's runs never are."""
+    made = plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    optimized, physical = made.split("Optimized Logical Plan")[1].split("Physical Plan")
+    # golds meet the vote, and texts what is left; the harness lists places as well as runs
+    assert physical.count("ENSURE_REQUIREMENTS") == {"adaptive_k": 0, "field_dump": 3, "harness_outcomes": 2}[name]
+    assert optimized.count("collect_list(") == (2 if name == "harness_outcomes" else 1)
+
+
+def test_prefixes_of_runs_equal_votes_of_those_runs(spark):
+    rng = random.Random(9)
+    p = [(rng.choice([1, 2, 3, 4, 5, None]), rng.choice("ab"), rng.choice([-1, 0, 0, 1, 2, 3, 4, 5]), i, rng.choice(["x", "X ", "y", None, "<omit>"])) for i in range(120)]
+    p = spark.createDataFrame(p, "doc_id int, path string, run int, ord int, value string")
+    for low, top in ((2, 5), (1, 3), (4, 4)):
+        want = {r.doc_id: low if low < top else top for r in p.select("doc_id").distinct().collect()}
+        for d in [d for d in want if d is not None]:
+            shares = {k: [r.agreement for r in signals.consensus(p.where(f"doc_id = {d}"), k).collect()] for k in range(low, top)}
+            want[d] = next((k for k in range(low, top) if all(abs(a - 0.5) > 0.25 for a in shares[k])), top)
+        assert {r.doc_id: r.k for r in signals.adaptive_consensus(p, k_min=low, k_max=top).collect()} == want
+
+
 def test_entailment_splits_its_premise_once(spark):
     df = spark.createDataFrame([("Total is 5 5.", "total is 5 6"), ("x", " "), (None, "a")], "p string, h string").select(ground.lexical_entailment(F.col("p"), F.col("h")).alias("e"))
     assert [r.e for r in df.collect()][:2] == [0.75, 0.0]
