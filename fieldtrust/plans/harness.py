@@ -67,16 +67,21 @@ def signal_outcomes(predictions: DataFrame, golds: DataFrame, runs: int, tau: fl
     and, where extractors give them, token_prob and verbalized."""
     given = [c for c in ("token_prob", "verbalized") if c in predictions.columns]
     base = predictions.withColumns({c: F.lit(None).cast("double") for c in ("token_prob", "verbalized") if c not in given})
-    voted = signals.consensus(base, runs, ["token_prob", "verbalized"]).withColumnRenamed("first_ord", "ord")
-    half = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(0.5)).alias(c)
-    known = signals.grounding(F.col("support"))
+    rows = signals.tallied(base, runs, ["token_prob", "verbalized"])
+    # a path's rows are gathered once, for its first run and its vote; both meet their gold in one join
+    kind = base.schema["ord"].dataType.simpleString()
+    kind = kind if kind == "bigint" else "int"
+    columns = ("value", "support", "token_prob", "verbalized")
+    row = lambda x, place, agreement: F.struct(x[place].cast(kind).alias("ord"), *(x[c].alias(c) for c in columns), agreement.cast("double").alias("agreement"))
+    first = F.transform(F.filter("rows", lambda x: x["run"] == 0), lambda x: row(x, "ord", F.lit(None)))
+    vote = F.array(row(F.col("vote"), "first_ord", F.col("vote.agreement")))
+    both = rows.select("doc_id", "path", F.explode(F.concat(first, vote)).alias("p")).select("doc_id", "path", "p.*")
+    known, half = signals.grounding(F.col("support")), lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(0.5))
     fused = signals.combined({"consensus": F.col("agreement"), "grounding": known, "token_prob": F.col("token_prob"), "verbalized": F.col("verbalized")})
-    first = base.where("run = 0").select("doc_id", "path", "ord", "value", "support", half("token_prob"), half("verbalized"), known.alias("grounding"))
-    vote = voted.select("doc_id", "path", "ord", "value", "support", F.col("agreement").alias("consensus"), fused.alias("combined"))
-    ids = ["doc_id", "path", "ord", "value", "support", "status", "correct"]
-    # a row meets its gold once, then stands for its signals
-    parts = [extraction_metrics.field_outcomes(rows, golds, tau).select(*ids, *names).unpivot(ids, list(names), "signal", "conf") for rows, names in ((first, RUN_SIGNALS), (vote, VOTE_SIGNALS))]
-    return parts[0].unionByName(parts[1])
+    each = lambda names, confs: F.array(*(F.struct(F.lit(n).alias("signal"), c.cast("double").alias("conf")) for n, c in zip(names, confs, strict=True)))
+    stands = F.when(F.col("agreement").isNull(), each(RUN_SIGNALS, (half("token_prob"), half("verbalized"), known))).otherwise(each(VOTE_SIGNALS, (F.col("agreement"), fused)))
+    outcomes = extraction_metrics.field_outcomes(both, golds, tau)
+    return outcomes.select("doc_id", "path", "ord", "value", "support", "status", "correct", F.explode(stands).alias("s")).select("*", "s.*").drop("s")
 
 
 def calibrated_rows(cal: DataFrame, test: DataFrame) -> DataFrame:
