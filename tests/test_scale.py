@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldtrust import queries
 from fieldtrust.functions import text
-from fieldtrust.operators import calibration_metrics, calibrators, conformal, extraction_metrics, ground, resampling, signals, tables
+from fieldtrust.operators import calibration_metrics, calibrators, conformal, extract, extraction_metrics, ground, resampling, signals, tables
 from fieldtrust.plans import harness, verify
 from fieldtrust.sources import datasets, ingest
 
@@ -71,7 +71,7 @@ def test_texts_of_pages_ground_as_their_words(spark):
     docs = [(i, "".join(rng.choice(w) + rng.choice([" ", " ", "\n", "\f"]) for _ in range(rng.randint(0, 20)))) for i in range(60)] + [(60, None), (None, "a b")]
     p = [(i, f"p{k}", " ".join(rng.choices(w, k=rng.choice([1, 1, 2, 3, 14])))) for i in range(61) for k in range(5)] + [(None, "p", "a")]
     docs, p = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(p, "doc_id int, path string, value string")
-    got, want = (sorted(map(str, ground.ground(p, words, 0.4).collect())) for words in (ingest.dealt_pages(docs), ingest.words(docs)))
+    got, want = (sorted(map(str, ground.ground(p, words, 0.4).collect())) for words in (ingest.page_texts(docs), ingest.words(docs)))
     assert got == want and sum("bbox=Row" in r for r in got) > 60
 
 
@@ -115,6 +115,18 @@ def test_prefixes_of_runs_equal_votes_of_those_runs(spark):
         assert {r.doc_id: r.k for r in signals.adaptive_consensus(p, k_min=low, k_max=top).collect()} == want
 
 
+def test_labelled_lines_are_matched_once(spark):
+    docs = spark.createDataFrame([(1, "Subtotal: 4\nTotal - 5\ninvoice-id: x\nInvoice ID: é"), (2, "caf\u00e9 total: -6\rx\ntotal: -7"), (3, None)], "doc_id int, text string")
+    schema = {"properties": {"total": {"type": "number"}, "invoice_id": {"type": "string"}}}
+    found = extract.text_search(docs, extract.schema_table(spark, schema))
+    assert sorted((r.doc_id, r.path, r.value) for r in found.collect()) == [(1, "invoice_id", "é"), (1, "total", "5"), (2, "total", "-7")]
+    inferred = extract.infer_schema(docs)
+    assert sorted((r.doc_id, r.path) for r in inferred.collect()) == [(1, "invoice_id"), (1, "subtotal"), (2, "total")]
+    for df, steps in ((found, {"regexp_extract(": 1, "RLIKE(content": 2}), (inferred, {"regexp_extract(": 0, "regexp_replace(content": 2})):
+        made = plan(df).split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+        assert all(made.count(step) <= n for step, n in steps.items())
+
+
 def test_entailment_splits_its_premise_once(spark):
     df = spark.createDataFrame([("Total is 5 5.", "total is 5 6"), ("x", " "), (None, "a")], "p string, h string").select(ground.lexical_entailment(F.col("p"), F.col("h")).alias("e"))
     assert [r.e for r in df.collect()][:2] == [0.75, 0.0]
