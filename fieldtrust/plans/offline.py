@@ -11,6 +11,7 @@ and of the taxonomy that a held-out part of the calibration documents selects.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ SIGNALS = ("verbalized", "consistency", "support", "grounded", "entailment")
 UNSTATED = 0.9
 #: Partitions of a dump; a backfill rewrites those that lack scores.
 PARTS = 64
+#: Random halvings whose sides one number holds.
+SIDES = 60
 
 
 # ------------------------------------------------------------- dump
@@ -134,6 +137,12 @@ def select_bounded(fit: DataFrame, held: DataFrame, by: list[str], alphas: list[
     return best.select(*by, "alpha", F.coalesce("b.taxonomy", F.lit(fallback)).alias("taxonomy"), F.col("b.coverage").alias("coverage"), F.col("b.risk").alias("risk"))
 
 
+def _sides(limit: float, at: int, splits: int) -> Column:
+    """The splits from ``at`` in which a document's draw is under the limit, a bit each."""
+    bit = lambda s: F.when(uniform(F.col("key_"), F.lit(s)) < limit, F.lit(1 << (s - at))).otherwise(F.lit(0)).cast("long")
+    return reduce(Column.__add__, map(bit, range(at, min(splits, at + SIDES))))
+
+
 def study(rows: DataFrame, alphas: list[float], splits: int = 40) -> DataFrame:
     """(alpha, score, taxonomy, coverage, risk, held, lift): means over random
     halvings of the documents, for the scores verbalized, support and fusion,
@@ -141,11 +150,18 @@ def study(rows: DataFrame, alphas: list[float], splits: int = 40) -> DataFrame:
     rows = kept(rows.select("doc_id", *SIGNALS, "correct"), "fields")
     named = taxonomies(rows)
     signals = list(SIGNALS)
-    cells = rows.groupBy("doc_id", *signals, "correct", *(c.alias(f"in_{i}") for i, c in enumerate(named.values()))).agg(F.count(F.lit(1)).alias("n_rows"))
-    halved = cells.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    u = uniform(F.col("doc_id"), F.col("s"))
+    # rows only add to counts of each split, which alone are repeated; a document's sides are drawn once
+    drawn = [_sides(limit, at, splits).alias(f"{name}_{at}") for name, limit in (("fit", 0.25), ("cal", 0.5)) for at in range(0, splits, SIDES)]
+    docs = rows.select(F.col("doc_id").alias("key_")).distinct().select("key_", *drawn)
+    on = lambda name, s: F.sum(F.shiftright(F.col(f"{name}_{s - s % SIDES}"), s % SIDES).bitwiseAND(F.lit(1).cast("long")))
+    cell = [*signals, "correct", *(c.alias(f"in_{i}") for i, c in enumerate(named.values()))]
+    counts = rows.join(docs, F.col("doc_id").eqNullSafe(F.col("key_"))).groupBy(*cell).agg(F.count(F.lit(1)).alias("n_"), *(on(name, s).alias(f"{name}_of_{s}") for name in ("fit", "cal") for s in range(splits)))
+    cells = [*signals, "correct", *(f"in_{i}" for i in range(len(named)))]
+    each = F.array(*(F.struct(F.col(f"fit_of_{s}").alias("fit"), F.col(f"cal_of_{s}").alias("cal")) for s in range(splits)))
     # calibration documents are halved again for the selection
-    halved = halved.withColumn("role", F.when(u < 0.25, F.lit("fit")).when(u < 0.5, F.lit("select")).otherwise(F.lit("test"))).drop("doc_id")
+    role = lambda name, n: F.struct(F.lit(name).alias("role"), n.alias("n_rows"))
+    roles = F.array(role("fit", F.col("c.fit")), role("select", F.col("c.cal") - F.col("c.fit")), role("test", F.col("n_") - F.col("c.cal")))
+    halved = kept(counts.select(*cells, "n_", F.posexplode(each).alias("s", "c")).select(*cells, "s", F.explode(roles).alias("r")).select(*cells, "s", "r.*").where("n_rows > 0"), "halved")
     fitted = fusion.fit_logistic(halved.where("role <> 'test'"), ["s"], signals)
     fused = fusion.apply_logistic(halved, fitted, ["s"], signals, "fusion")
     scores = F.array(*(F.struct(F.lit(n).alias("score"), F.col(n).cast("double").alias("conf")) for n in ("verbalized", "support", "fusion")))

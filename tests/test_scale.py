@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldtrust import queries
 from fieldtrust.functions import text
 from fieldtrust.operators import calibration_metrics, calibrators, conformal, extract, extraction_metrics, ground, resampling, signals, tables
-from fieldtrust.plans import harness, verify
+from fieldtrust.plans import harness, offline, verify
 from fieldtrust.sources import datasets, ingest
 
 N = 600
@@ -57,6 +57,13 @@ def test_splits_repeat_counts_and_not_rows(spark, monkeypatch):
     assert sizes == [4 * 70]
 
 
+def test_studies_repeat_counts_and_not_rows(spark, monkeypatch):
+    sizes = {}
+    monkeypatch.setattr(offline, "kept", lambda df, name, f=offline.kept: (made := f(df, name), sizes.update({name: made.count()}))[0])
+    rows = spark.range(400).selectExpr("id AS doc_id", "(id % 2) / 2D AS verbalized", "1D AS consistency", "(id % 2) / 2D AS support", "1 AS grounded", "0.5D AS entailment", "CAST(id % 3 > 0 AS INT) AS correct")
+    assert offline.study(rows, [0.3], 2).count() > 0 and sizes["halved"] == 4 * 2 * 3
+
+
 def test_shared_values_are_located_once(spark):
     docs = spark.createDataFrame([(1, "total: 12 apples\nname: Ann")], "doc_id int, text string")
     p = spark.createDataFrame([(1, f"p{i}", v) for i, v in enumerate(["12 apples", "12 Apples", "Ann", None, "  "])], "doc_id int, path string, value string")
